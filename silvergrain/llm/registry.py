@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, shared
+from . import bpe_codec, chat_format, exact_dedup, packing, shared, token_counts
 
 
 def _shipped(query):
@@ -14,7 +14,7 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    found = (chat_format.op9_chat_format, exact_dedup.op10_exact_dedup)
+    found = (bpe_codec.op3_bpe_codec, packing.op5_packing, token_counts.op7_token_counts, chat_format.op9_chat_format, exact_dedup.op10_exact_dedup)
     return {q.__name__: _shipped(q) for q in found}
 
 
