@@ -136,12 +136,13 @@ def _cut(spark, df, window, path, end_id, id_col, text_col, digest: bool) -> Dat
     shared.fresh(df, id_col, text_col)
     held = shared.table(spark, encoded(df, path, end_id, id_col, text_col), "token-ids")
     sizes = held.select("doc_id", "doc_tokens")
-    where = offsets(sizes)
+    where = offsets(sizes).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "begin")
     if sizes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = held.join(where.drop("copy"), held["doc_id"].eqNullSafe(where["doc_id"])).select(held["doc_id"], "ids", "doc_tokens", "begin")
+        rows = held.join(where, F.col("doc_id").eqNullSafe(F.col("_id")))
     else:
         numbered = held.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_tokens", "ids")))
-        rows = numbered.join(where, numbered["doc_id"].eqNullSafe(where["doc_id"]) & (numbered["copy"] == where["copy"])).select(numbered["doc_id"], "ids", "doc_tokens", "begin")
+        rows = numbered.join(where, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")))
+    rows = rows.select("doc_id", "ids", "doc_tokens", "begin")
     content = "ids_crc32 long" if digest else "ids array<int>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
