@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_format, exact_dedup, packing, shared, token_counts
+from . import bpe_codec, chat_format, exact_dedup, language_id, packing, shared, token_counts, toxicity
 
 
 def _shipped(query):
@@ -14,7 +14,7 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    found = (bpe_codec.op3_bpe_codec, packing.op5_packing, token_counts.op7_token_counts, chat_format.op9_chat_format, exact_dedup.op10_exact_dedup)
+    found = (language_id.op1_language_id, toxicity.op2_toxicity, bpe_codec.op3_bpe_codec, packing.op5_packing, token_counts.op7_token_counts, chat_format.op9_chat_format, exact_dedup.op10_exact_dedup)
     return {q.__name__: _shipped(q) for q in found}
 
 
