@@ -32,8 +32,8 @@ SAMPLE = 24_000
 PRIOR, STEMS, RAREST, DRIFT, SIGNIFICANT = 6.0, (3, 4, 5), 3, 0.4, 0.01
 #: Standard deviations taken off a score, so that few occurrences weigh little.
 CAUTION = 1.64
-#: A document whose calibrated probability is above 1/2 gets a score of at least this; queries predict 1 from there on.
-DECISION = 0.7
+#: A document whose calibrated probability is above CERTAIN gets a score of at least DECISION; queries predict 1 from there on.
+CERTAIN, DECISION = 0.6, 0.7
 KEEP = 400_000
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -127,10 +127,10 @@ class Model:
         return max(found, default=0.0), math.log1p(sum(found)), len(found)
 
     def score(self, best: float, total: float) -> float:
-        """Probability by the calibration, stretched so that 1/2 becomes DECISION."""
+        """Probability by the calibration, stretched so that CERTAIN becomes DECISION."""
         a, b, c = self.line
         p = 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * best + c * total))))
-        return p * 2 * DECISION if p <= 0.5 else DECISION + (p - 0.5) * 2 * (1 - DECISION)
+        return p / CERTAIN * DECISION if p <= CERTAIN else DECISION + (p - CERTAIN) / (1 - CERTAIN) * (1 - DECISION)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
