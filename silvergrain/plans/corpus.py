@@ -1,0 +1,245 @@
+"""Text functions, chunks, relations, identifiers and evaluation over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import relations as R
+from ..functions import text as T
+from ..operators import evals, index, rag
+from .catalog import query, table
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+WORDS = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)"
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 512 THEN 1 ELSE 1 + CAST(ceil((len(w) - 512) / 462.0) AS BIGINT) END)) AS i FROM w)
+SELECT doc_id, CAST(i AS INT) AS chunk, md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) AS digest FROM c""")
+def smart_chunk(spark, sf_dir):
+    cut = documents(spark, sf_dir).select("doc_id", F.posexplode(T.smart_chunk(T.fields(F.col("text")), 512, 50)).alias("chunk", "text"))
+    return cut.select("doc_id", "chunk", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, CAST(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 30 THEN 1 ELSE 1 + ceil((len(w) - 30) / 25.0) END AS INT) AS n_chunks FROM w")
+def chunk_counts_closed_form(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.chunk_count(T.word_count(F.col("text")), 30, 5).alias("n_chunks"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(replace(replace(replace(replace(text, '. ', '. ' || chr(1)), '? ', '? ' || chr(1)), '! ', '! ' || chr(1)), chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1))) AS s FROM documents),
+t AS (SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM s)
+SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM t WHERE strlen(s) >= 10 GROUP BY doc_id""")
+def sentence_split(spark, sf_dir):
+    each = documents(spark, sf_dir).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, CAST(len(w) AS INT) AS n_words FROM w")
+def word_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN source = 'src0' THEN text ELSE '[Context: ' || source || ']' || chr(10) || text END) AS digest FROM documents")
+def context_enrich(spark, sf_dir):
+    context = F.when(F.col("source") == "src0", "").otherwise(F.col("source"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.enrich(context, F.col("text"))).alias("digest"))
+
+
+@query("SELECT conv_id, turn, md5(lower(trim(text))) AS digest FROM conversations WHERE role = 'user'")
+def query_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.md5(T.normalised_query(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, strlen(trim(text)) AS n_bytes FROM documents WHERE strlen(trim(text)) >= 10")
+def min_text_filter(spark, sf_dir):
+    size = F.octet_length(F.trim("text"))
+    return documents(spark, sf_dir).where(size >= T.MIN_TEXT).select("doc_id", size.cast("long").alias("n_bytes"))
+
+
+@query(r"""SELECT page_id, length(regexp_replace(html, '[\x00-\x1f\x7f]', '', 'g')) AS n, md5(CASE WHEN length(html) > 100 THEN left(html, 100) || '...' ELSE html END) AS digest FROM pages""")
+def control_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(T.strip_control(F.col("html"))).cast("long").alias("n"), F.md5(T.truncate_chars(F.col("html"), 100)).alias("digest"))
+
+
+@query(r"SELECT conv_id, turn, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: x || ' ') AS pieces FROM conversations WHERE role = 'assistant'")
+def streamed_words(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.streamed_words(F.col("text")).alias("pieces"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+f AS (SELECT label, vec_id, i, 0 AS grp, v AS total, 1 AS n FROM s WHERE i = 1
+ UNION ALL SELECT s.label, s.vec_id, s.i,
+  CASE WHEN list_cosine_similarity(f.total, s.v) < 0.5 THEN f.grp + 1 ELSE f.grp END,
+  CASE WHEN list_cosine_similarity(f.total, s.v) < 0.5 THEN s.v ELSE list_transform(range(1, 65), lambda k: f.total[k] + s.v[k]) END,
+  CASE WHEN list_cosine_similarity(f.total, s.v) < 0.5 THEN 1 ELSE f.n + 1 END
+ FROM f JOIN s ON s.label = f.label AND s.i = f.i + 1)
+SELECT label, vec_id, CAST(grp AS INT) AS grp FROM f""")
+def semantic_chunk_groups(spark, sf_dir):
+    return index.semantic_groups(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+
+
+# relations: sources of programs made from each document's id
+def sources(spark, sf_dir, text):
+    i = F.col("doc_id").cast("string")
+    return documents(spark, sf_dir).select("doc_id", text(i).alias("text"))
+
+
+def listed(df, found) -> DataFrame:
+    return df.select("doc_id", F.explode(found).alias("r")).select("doc_id", "r.type", F.coalesce("r.target", F.lit("")).alias("target"), F.coalesce("r.name", F.lit("")).alias("name"))
+
+
+@query("""SELECT doc_id, unnest(['imports', 'imports', 'defines', 'defines']) AS type, unnest(['os.m' || doc_id, 'pkg' || doc_id, '', '']) AS target, unnest(['', '', 'run_' || doc_id, 'Thing' || doc_id]) AS name FROM documents""")
+def relations_python(spark, sf_dir):
+    text = lambda i: F.concat(F.lit("import os.m"), i, F.lit("\nfrom pkg"), i, F.lit(" import x\nx = 1\n    async def run_"), i, F.lit("(a):\n        pass\nclass Thing"), i, F.lit(":\n    pass\n"))
+    return listed(sources(spark, sf_dir, text), R.python_relations(F.col("text")))
+
+
+@query("""SELECT doc_id, unnest(['imports', 'imports', 'defines', 'defines']) AS type, unnest(['./m' || doc_id, 'lib', '', '']) AS target, unnest(['', '', 'go' || doc_id, 'Box']) AS name FROM documents""")
+def relations_js(spark, sf_dir):
+    text = lambda i: F.concat(F.lit("import {a} from './m"), i, F.lit("'\nconst b = require('lib')\nexport function go"), i, F.lit("() {}\nexport default class Box {}\n"))
+    return listed(sources(spark, sf_dir, text), R.js_relations(F.col("text")))
+
+
+@query("SELECT doc_id, 'imports' AS type, unnest(['stdio.h', 'h' || doc_id || '.h']) AS target, '' AS name FROM documents")
+def relations_c(spark, sf_dir):
+    text = lambda i: F.concat(F.lit("#include <stdio.h>\n  #  include \"h"), i, F.lit(".h\"\nint main(void) { return 0; }\n"))
+    return listed(sources(spark, sf_dir, text), R.c_relations(F.col("text")))
+
+
+@query("SELECT doc_id, 'links_to' AS type, unnest(['a/' || doc_id || '.md', 'b.md']) AS target, '' AS name FROM documents")
+def relations_markdown(spark, sf_dir):
+    text = lambda i: F.concat(F.lit("see [x](a/"), i, F.lit(".md) and [y](https://e.org) or [z](b.md), not [w](c.md#top)"))
+    return listed(sources(spark, sf_dir, text), R.link_relations(F.col("text")))
+
+
+@query("""SELECT doc_id, unnest(['imports', 'imports', 'imports', 'defines', 'defines']) AS type, unnest(['fmt', 'g/' || doc_id, 'os', '', '']) AS target, unnest(['', '', '', 'Run', 'Box']) AS name FROM documents""")
+def relations_go(spark, sf_dir):
+    text = lambda i: F.concat(F.lit('package p\nimport "fmt"\nimport (\n\tx "g/'), i, F.lit('"\n\t"os"\n)\nfunc (b *Box) Run(a int) {}\nfunc hidden() {}\ntype Box struct {}\n'))
+    return listed(sources(spark, sf_dir, text), R.go_relations_udf("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[{"type":"links_to","target":"p' || doc_id || '"}]' ELSE '' END AS relations FROM documents""")
+def relations_json(spark, sf_dir):
+    even = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[x](p"), F.col("doc_id").cast("string"), F.lit(")"))).otherwise("none")
+    return documents(spark, sf_dir).select("doc_id", R.to_json(R.link_relations(even)).alias("relations"))
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#? ]+)"', 1)) AS target FROM pages) SELECT page_id, target, count(*) AS n FROM l WHERE NOT regexp_matches(target, '^https?://') GROUP BY ALL""")
+def page_links(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"#? ]+)"'), F.lit(1))).alias("target"))
+    return found.where(~F.col("target").rlike("^https?://")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('src/' || source || '/' || doc_id || '.md:0')) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
+def point_ids_uuid5(spark, sf_dir):
+    path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return documents(spark, sf_dir).select("doc_id", ids.point_id(path, F.lit(0)).alias("point_id"))
+
+
+@query("SELECT conv_id, turn, sha256('default|' || (conv_id % 3) || '|m1|' || lower(trim(text))) AS cache_key FROM conversations WHERE role = 'user'")
+def cache_keys(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn", ids.answer_key(F.lit("default"), F.col("conv_id") % 3, F.lit("m1"), F.col("text")).alias("cache_key"))
+
+
+@query("SELECT conv_id, turn, left(sha256(text), 32) AS embed_key FROM conversations WHERE role = 'user'")
+def embed_cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", ids.embedding_key(F.col("text")).alias("embed_key"))
+
+
+@query("SELECT md5(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
+def content_hash_dedup(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(F.md5("text").alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+@query("SELECT doc_id, strlen(text) <= 2000 AS small, md5(CASE WHEN strlen(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS digest FROM documents WHERE strlen(text) = length(text)")
+def truncate_texts(spark, sf_dir):
+    own = documents(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    return own.select("doc_id", (F.octet_length("text") <= 2000).alias("small"), F.md5(T.truncate_bytes(F.col("text"), 200)).alias("digest"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def last_user_message(spark, sf_dir):
+    return rag.last_user_message(table(spark, sf_dir, "conversations"))
+
+
+# evaluation: quality and toxic marks of labels stand in for a judge's scores
+SCORES = "o AS (SELECT d.lang AS namespace, CASE WHEN toxic = 0 THEN quality::DOUBLE ELSE quality * 0.3::DOUBLE END AS context_recall, CASE WHEN n_chars % 2 = 0 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS faithfulness FROM labels l JOIN documents d USING (doc_id))"
+
+
+def outcomes(spark, sf_dir):
+    own = table(spark, sf_dir, "labels").join(documents(spark, sf_dir), "doc_id")
+    scored = own.select(F.col("lang").alias("namespace"), evals.recall_score(F.col("quality").cast("double"), F.col("toxic") == 0).alias("context_recall"), F.when(F.col("n_chars") % 2 == 0, 0.5).otherwise(0.9).alias("faithfulness"))
+    return scored.withColumn("verdict", evals.verdict(F.col("context_recall"), F.col("faithfulness")))
+
+
+@query(f"""WITH {SCORES}, v AS (SELECT *, CASE WHEN (context_recall + faithfulness) / 2 >= 0.7 THEN 'PASS' WHEN (context_recall + faithfulness) / 2 >= 0.4 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM o)
+SELECT namespace, verdict, count(*) AS n, round(avg(context_recall), 9) AS avg_recall, round(avg(faithfulness), 9) AS avg_faithfulness FROM v GROUP BY ALL""")
+def eval_verdicts(spark, sf_dir):
+    return evals.by_verdict(outcomes(spark, sf_dir))
+
+
+@query(f"WITH {SCORES} SELECT count(*) AS total, count(*) FILTER (WHERE context_recall >= 0.7) AS passed, count(*) FILTER (WHERE NOT context_recall >= 0.7) AS failed FROM o")
+def eval_suite_summary(spark, sf_dir):
+    return evals.summary(outcomes(spark, sf_dir))
+
+
+@query("SELECT doc_id, quality / 2.0::DOUBLE AS confidence, toxic = 1 AS answer_ready, CASE WHEN toxic = 1 THEN 0 ELSE 2 END AS n_follow_up FROM labels")
+def llm_json_parse(spark, sf_dir):
+    body = F.concat(F.lit('```json\n{"confidence": '), (F.col("quality") / 2).cast("string"), F.lit(', "answer_ready": '), (F.col("toxic") == 1).cast("string"), F.lit(', "follow_up_queries": '), F.when(F.col("toxic") == 1, "[]").otherwise('["a", "b"]'), F.lit("}\n```"))
+    said = table(spark, sf_dir, "labels").select("doc_id", rag.parse_json(body, rag.ASSESSMENT).alias("a"))
+    return said.select("doc_id", "a.confidence", "a.answer_ready", F.size("a.follow_up_queries").alias("n_follow_up"))
+
+
+@query(r"""WITH p AS (SELECT n_name, 'plug_' || lower(n_name) AS name FROM nation) SELECT n_name, trim(name) AS name, ['.x' || length(n_name), '.y'] AS extensions FROM p""")
+def plugin_meta(spark, sf_dir):
+    source = F.concat(F.lit("#!/usr/bin/env python3\n# name: plug_"), F.lower("n_name"), F.lit("\n# extensions: .x"), F.length("n_name").cast("string"), F.lit(", .y\nprint(1)\n"))
+    return table(spark, sf_dir, "nation").select("n_name", T.plugin_meta(source).alias("m")).select("n_name", "m.name", "m.extensions")
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size::BIGINT WHEN 1 THEN p_size::BIGINT * 1048576 ELSE p_size::BIGINT * 1073741824 END AS n_bytes FROM part")
+def size_strings(spark, sf_dir):
+    text = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "MB").otherwise("gb"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.size_in_bytes(text).alias("n_bytes"))
+
+
+@query("SELECT r_regionkey, concat_ws(' ', nullif(r_regionkey::VARCHAR, ''), nullif(r_name, '')) AS text FROM region")
+def csv_rows(spark, sf_dir):
+    from ..sources import files
+
+    return table(spark, sf_dir, "region").select("r_regionkey", files.joined_values(["r_regionkey", "r_name"]).alias("text"))
+
+
+@query("""SELECT c_custkey, regexp_matches(host, '^(127\\.|10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS private FROM (SELECT c_custkey, (CASE c_custkey % 5 WHEN 0 THEN '10' WHEN 1 THEN '172' WHEN 2 THEN '8' WHEN 3 THEN '127' ELSE '192.168' END) || '.' || (c_custkey % 256) || '.1.2' AS host FROM customer)""")
+def private_addresses(spark, sf_dir):
+    m = F.col("c_custkey") % 5
+    host = F.concat_ws(".", F.when(m == 0, "10").when(m == 1, "172").when(m == 2, "8").when(m == 3, "127").otherwise("192.168"), (F.col("c_custkey") % 256).cast("string"), F.lit("1.2"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.is_private_address(host).alias("private"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'unauthorised' WHEN 1 THEN 'rate limited' WHEN 2 THEN 'forbidden' ELSE 'other' END AS kind, event_id % 4 IN (0, 2) AS auth FROM events""")
+def error_classes(spark, sf_dir):
+    m = F.col("event_id") % 4
+    message = F.when(m == 0, "HTTP 401: no key").when(m == 1, "HTTP 429").when(m == 2, "code 403").otherwise("timeout")
+    return table(spark, sf_dir, "events").select("event_id", T.embedding_error(message).alias("kind"), T.is_auth_error(message).alias("auth"))
+
+
+@query(None)
+def index_pipeline(spark, sf_dir):
+    """Documents to points: chunks, relations, vectors of the stand-in embedder. Its parts have SQL of their own."""
+    own = documents(spark, sf_dir).select(F.col("lang").alias("namespace"), F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    return index.points(own, index.hash_embedder()).drop("indexed_at")
+
+
+@query(None)
+def answer_fallback(spark, sf_dir):
+    """What a failing model leaves of a conversation: its last question with the first answer, as text and source."""
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))).where("role = 'assistant' AND _n = 1")
+    return rag.last_user_message(turns).join(first.select("conv_id", rag.block(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")), F.col("text")).alias("answer")), "conv_id")
