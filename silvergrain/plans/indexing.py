@@ -1,0 +1,161 @@
+"""Listings, change detection, upserts and routing: scenarios laid out over whole tables by arithmetic on ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import delta
+from ..sources import files
+from .catalog import query, table
+
+# the listing is all documents; the state lacks every 13th, has a file more for every 11th, another hash for every 7th, another time for every 5th and no hash for every 17th
+FILES = """listing AS (SELECT 'f' || doc_id AS path, n_chars AS size, 1700000000 + doc_id AS mtime, md5(text) AS partial_hash, md5(text) AS full_hash FROM documents),
+state AS (SELECT 'f' || doc_id AS path, n_chars AS size, 1700000000 + doc_id + CASE WHEN doc_id % 5 = 0 THEN 60 ELSE 0 END AS mtime,
+ CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN md5(text || 'x') ELSE md5(text) END AS partial_hash, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE md5(text) END AS full_hash FROM documents WHERE doc_id % 13 <> 0
+ UNION ALL SELECT 'gone' || doc_id, n_chars, 1700000000, md5(text), md5(text) FROM documents WHERE doc_id % 11 = 0)"""
+
+
+def listing(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    h = F.md5("text")
+    return d.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), (F.lit(1700000000) + F.col("doc_id")).alias("mtime"), h.alias("partial_hash"), h.alias("full_hash"))
+
+
+def state(spark, sf_dir) -> DataFrame:
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    h = F.md5("text")
+    part = F.when(i % 17 == 0, None).when(i % 7 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(h)
+    kept = d.where(i % 13 != 0).select(F.concat(F.lit("f"), i.cast("string")).alias("path"), F.col("n_chars").alias("size"), (F.lit(1700000000) + i + F.when(i % 5 == 0, 60).otherwise(0)).alias("mtime"), part.alias("partial_hash"), F.when(i % 3 == 0, None).otherwise(h).alias("full_hash"))
+    gone = d.where(i % 11 == 0).select(F.concat(F.lit("gone"), i.cast("string")).alias("path"), F.col("n_chars").alias("size"), F.lit(1700000000).cast("long").alias("mtime"), h.alias("partial_hash"), h.alias("full_hash"))
+    return kept.unionByName(gone)
+
+
+ACTIONS = """SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'INDEX' WHEN a.path IS NULL THEN 'DELETE' {rest} END AS action FROM listing a FULL JOIN state b ON a.path = b.path"""
+STAT = "(a.size = b.size AND a.mtime = b.mtime)"
+
+
+@query(f"WITH {FILES} " + ACTIONS.format(rest=f"WHEN {STAT} AND b.partial_hash IS NULL THEN 'WARM' WHEN a.partial_hash = b.partial_hash AND NOT {STAT} THEN 'UPDATE_META' WHEN a.partial_hash = b.partial_hash THEN 'UNCHANGED' ELSE 'INDEX'"))
+def delta_classify(spark, sf_dir):
+    return delta.classify(listing(spark, sf_dir), state(spark, sf_dir))
+
+
+@query(f"WITH {FILES} " + ACTIONS.format(rest=f"WHEN {STAT} AND b.partial_hash IS NULL THEN 'WARM' WHEN a.partial_hash = b.partial_hash AND NOT {STAT} THEN 'UPDATE_META' WHEN a.partial_hash = b.partial_hash AND a.full_hash = b.full_hash THEN 'UNCHANGED' ELSE 'INDEX'"))
+def delta_classify_full(spark, sf_dir):
+    return delta.classify(listing(spark, sf_dir), state(spark, sf_dir), full_hash=True)
+
+
+@query(f"WITH {FILES} " + ACTIONS.format(rest=f"WHEN {STAT} THEN 'TOUCH' ELSE 'INDEX'"))
+def delta_classify_stat(spark, sf_dir):
+    return delta.classify(listing(spark, sf_dir), state(spark, sf_dir), use_hash=False)
+
+
+@query(f"WITH {FILES} SELECT path FROM state WHERE path NOT IN (SELECT path FROM listing)")
+def tombstones(spark, sf_dir):
+    return delta.tombstones(listing(spark, sf_dir), state(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT a.path, a.size, a.mtime, a.partial_hash, a.full_hash, 1800000000::BIGINT AS last_seen FROM listing a")
+def next_file_state(spark, sf_dir):
+    return delta.next_state(listing(spark, sf_dir), state(spark, sf_dir), 1800000000)
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id""")
+def upsert_latest(spark, sf_dir):
+    return delta.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
+
+
+@query("SELECT lang AS namespace, 'f' || doc_id AS path, md5(CASE WHEN doc_id % 2 = 0 THEN reverse(text) ELSE text END) AS digest, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM documents")
+def upsert_points(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    row = lambda df, text, v: df.select(F.col("lang").alias("namespace"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.md5(text).alias("digest"), F.lit(v).alias("version"))
+    return delta.upsert(row(d, F.col("text"), 1), row(d.where("doc_id % 2 = 0"), F.reverse("text"), 2), ["namespace", "path"], ["version"])
+
+
+@query("SELECT lang AS namespace, 'f' || doc_id AS path FROM documents WHERE NOT (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+def delete_by_path(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select(F.col("lang").alias("namespace"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "doc_id")
+    bad = own.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select("namespace", "path")
+    return delta.delete_paths(own.drop("doc_id"), bad)
+
+
+@query("""WITH p AS (SELECT source AS namespace, CASE WHEN doc_id % 6 = 0 THEN '[x]' ELSE '' END AS relations FROM documents)
+SELECT namespace, round(avg(CAST(relations <> '' AS INT)), 9) AS coverage, count(*) AS n, round(avg(CAST(relations <> '' AS INT)), 9) < 0.2 AS migrate FROM p GROUP BY namespace""")
+def relation_coverage(spark, sf_dir):
+    p = table(spark, sf_dir, "documents").select(F.col("source").alias("namespace"), F.lit(0).alias("chunk"), F.when(F.col("doc_id") % 6 == 0, "[x]").otherwise("").alias("relations"))
+    return delta.relation_coverage(p)
+
+
+@query("SELECT user_id, event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def seen_dedupe(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return delta.not_seen(e.where("event_type = 'view'").select("user_id", "event_id"), e.where("event_type = 'error'"), "user_id")
+
+
+@query("SELECT event_id AS id, event_type FROM events ORDER BY id LIMIT 5")
+def queue_head(spark, sf_dir):
+    return delta.queue_head(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type"), 5)
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 256")
+def cache_eviction(spark, sf_dir):
+    return delta.evict(table(spark, sf_dir, "events").select("event_id", "ts"), 256, "ts", "event_id")
+
+
+# files: names with extensions by arithmetic on part keys
+EXTS = ["mp3", "MP4", "jpg", "dng", "md", "py", "txt", "pdf", "lrf", "csv", "tmp"]
+NAMES = f"n AS (SELECT p_partkey, '/data/' || (CASE WHEN p_partkey % 23 = 0 THEN '#recycle/' ELSE '' END) || 'd' || (p_partkey % 7) || '/f' || p_partkey || '.' || {EXTS!r}[p_partkey % {len(EXTS)} + 1] AS path, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size::BIGINT END AS size FROM part)"
+EXT = r"lower(regexp_extract(path, '(\.[^./]*)$', 1))"
+SKIP = {flags: "(" + ", ".join(f"'{e}'" for e in T.skipped_extensions(*flags)) + ")" for flags in [(False,) * 4, (True, False, False, True)]}
+
+
+def names(spark, sf_dir):
+    k = F.col("p_partkey")
+    ext = F.element_at(F.array(*map(F.lit, EXTS)), (k % len(EXTS) + 1).cast("int"))
+    path = F.concat(F.lit("/data/"), F.when(k % 23 == 0, "#recycle/").otherwise(""), F.lit("d"), (k % 7).cast("string"), F.lit("/f"), k.cast("string"), F.lit("."), ext)
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), F.when(F.col("p_size") % 10 == 0, 0).otherwise(F.col("p_size")).cast("long").alias("size"))
+
+
+@query(f"WITH {NAMES} SELECT path, {EXT} IN {SKIP[(False,) * 4]} AS skip_none, {EXT} IN {SKIP[(True, False, False, True)]} AS skip_some FROM n")
+def walk_skip_ext(spark, sf_dir):
+    ext = T.extension(F.col("path"))
+    return names(spark, sf_dir).select("path", ext.isin(*T.skipped_extensions(False, False, False, False)).alias("skip_none"), ext.isin(*T.skipped_extensions(True, False, False, True)).alias("skip_some"))
+
+
+OUT = "(contains(path, '#recycle') OR regexp_matches(path, '/[^/]*\\.tmp$'))"
+
+
+@query(f"WITH {NAMES} SELECT path, {OUT} AS excluded FROM n")
+def walk_exclude(spark, sf_dir):
+    return names(spark, sf_dir).select("path", T.excluded(F.col("path"), ["#recycle", "*.tmp"]).alias("excluded"))
+
+
+@query(f"""WITH {NAMES}, c AS (SELECT size, {OUT} AS o, {EXT} IN {SKIP[(False,) * 4]} AS s FROM n)
+SELECT count(*) AS seen, count(*) FILTER (WHERE o) AS excluded, count(*) FILTER (WHERE s AND NOT o) AS skipped_ext, count(*) FILTER (WHERE NOT s AND NOT o AND size = 0) AS empty, count(*) FILTER (WHERE NOT s AND NOT o AND size > 0) AS indexable, CAST(sum(size) FILTER (WHERE NOT s AND NOT o) AS BIGINT) AS bytes FROM c""")
+def walk_stats(spark, sf_dir):
+    return files.walk_stats(names(spark, sf_dir), {"whisper": False, "vision": False, "frames": False, "ocr": False}, ["#recycle", "*.tmp"])
+
+
+@query(f"WITH {NAMES} SELECT path, {EXT} AS ext, CASE {EXT} WHEN '.csv' THEN 'sheets' WHEN '.pdf' THEN 'sheets' WHEN '.md' THEN 'notes' WHEN '.txt' THEN 'notes' END AS plugin FROM n")
+def plugin_match(spark, sf_dir):
+    plugins = spark.createDataFrame([(1, "sheets", [".csv", ".pdf"]), (2, "notes", [".md", ".txt", ".csv"])], "ord int, name string, extensions array<string>")
+    return files.plugin_for(names(spark, sf_dir), plugins)
+
+
+@query(f"WITH {NAMES} SELECT path, CASE WHEN {EXT} IN ('.png', '.jpg', '.jpeg', '.tiff', '.tif', '.bmp') THEN '[Image] ' WHEN {EXT} IN ('.mp4', '.mkv', '.webm') THEN '[Video] ' WHEN {EXT} IN ('.mp3', '.wav', '.m4a', '.ogg', '.flac') THEN '[Audio] ' WHEN {EXT} = '.pdf' THEN '[PDF] ' ELSE '' END AS tag FROM n")
+def media_tags(spark, sf_dir):
+    return names(spark, sf_dir).select("path", T.media_tag(F.col("path")).alias("tag"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CAST([] AS INT[]) ELSE list_transform(range(0, p_size % 4), lambda i: CAST(i * 10 AS INT)) END AS seconds, concat_ws(chr(10) || chr(10), nullif(trim(p_name), ''), '[Frame at 10s] ' || p_type) AS text FROM part")
+def video_texts(spark, sf_dir):
+    caption = F.array(F.struct(F.lit(10).alias("second"), F.col("p_type").alias("text")))
+    return table(spark, sf_dir, "part").select("p_partkey", files.frame_times(F.col("p_size") % 4, F.lit(10)).alias("seconds"), files.video_text(F.col("p_name"), caption).alias("text"))
+
+
+@query(None)
+def archive_paths(spark, sf_dir):
+    """Names as an archive might hold them, cleaned; unsafe ones are null."""
+    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, "../").when(F.col("p_partkey") % 3 == 1, "a/./b/../").otherwise("/"), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", T.clean_archive_path_udf(path).alias("clean"))

@@ -1,0 +1,226 @@
+"""The registry of nodes, caches, streams of events and alert rules, laid out over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..operators import governance, metrics, rag
+from ..streaming import events as E
+from .catalog import query, table
+
+
+def events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+# registry: each supplier registers three times, every fifth one leaves
+NODES = """log AS (SELECT 'n' || s_suppkey AS id, 'http://h' || s_suppkey || ':' || (8000 + v) AS url, ['ns' || (s_suppkey % 4), 'ns' || (s_suppkey % 3), 'all'] AS namespaces, TIMESTAMP '2024-01-01' + INTERVAL (s_suppkey + 100 * v) MINUTE AS registered_at, TIMESTAMP '2024-02-01' + INTERVAL (s_suppkey * 7 % 50) MINUTE AS last_heartbeat, s_suppkey % 5 = 0 AND v = 3 AS removed FROM supplier, (VALUES (1), (2), (3)) t(v)),
+nodes AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY registered_at DESC) = 1)"""
+LIVE = "live AS (SELECT * FROM nodes WHERE NOT removed)"
+
+
+def node_log(spark, sf_dir):
+    k = F.col("s_suppkey")
+    versions = table(spark, sf_dir, "supplier").select(k, F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("v"))
+    after = lambda base, minutes: F.timestamp_micros(F.unix_micros(F.lit(base).cast("timestamp")) + minutes * 60_000_000)
+    return versions.select(
+        F.concat(F.lit("n"), k.cast("string")).alias("id"), F.concat(F.lit("http://h"), k.cast("string"), F.lit(":"), (F.col("v") + 8000).cast("string")).alias("url"),
+        F.array(F.concat(F.lit("ns"), (k % 4).cast("string")), F.concat(F.lit("ns"), (k % 3).cast("string")), F.lit("all")).alias("namespaces"),
+        after("2024-01-01", k + 100 * F.col("v")).alias("registered_at"), after("2024-02-01", k * 7 % 50).alias("last_heartbeat"), ((k % 5 == 0) & (F.col("v") == 3)).alias("removed"),
+    )
+
+
+@query(f"WITH {NODES}, {LIVE} SELECT id, url, namespaces, registered_at FROM live")
+def registry_latest(spark, sf_dir):
+    return governance.latest_nodes(node_log(spark, sf_dir)).select("id", "url", "namespaces", "registered_at")
+
+
+@query(f"""WITH {NODES}, {LIVE}, e AS (SELECT id, last_heartbeat, unnest(namespaces) AS namespace FROM live), c AS (SELECT 'ns' || (doc_id % 4) AS namespace, count(*) AS n FROM documents GROUP BY ALL)
+SELECT e.namespace, list_sort(list(DISTINCT id)) AS node_ids, max(last_heartbeat) AS last_heartbeat, coalesce(any_value(c.n), 0) AS n_points FROM e LEFT JOIN c USING (namespace) GROUP BY e.namespace""")
+def namespace_stats(spark, sf_dir):
+    points = table(spark, sf_dir, "documents").select(F.concat(F.lit("ns"), (F.col("doc_id") % 4).cast("string")).alias("namespace"))
+    return governance.namespace_stats(governance.latest_nodes(node_log(spark, sf_dir)), points)
+
+
+@query(f"WITH {NODES}, {LIVE}, e AS (SELECT id, unnest(namespaces) AS namespace FROM live) SELECT namespace, list_sort(list(DISTINCT id)) AS node_ids, count(DISTINCT id) AS n_nodes FROM e GROUP BY namespace")
+def topology(spark, sf_dir):
+    return governance.topology(governance.latest_nodes(node_log(spark, sf_dir)))
+
+
+@query(f"WITH {NODES}, {LIVE} SELECT id, 'edge:' || split_part(url, ':', 3) AS target, namespaces[1] AS namespace FROM live")
+def file_sd_targets(spark, sf_dir):
+    return governance.scrape_targets(governance.latest_nodes(node_log(spark, sf_dir)), "edge")
+
+
+@query("SELECT user_id AS node_id, max(ts) AS last_beat, max(ts) + INTERVAL 1 DAY >= (SELECT max(ts) FROM events) AS alive FROM events GROUP BY user_id")
+def heartbeat_alive(spark, sf_dir):
+    e = events(spark, sf_dir)
+    now = e.agg(F.max("ts").alias("m")).first()["m"]
+    return governance.alive(e.select(F.col("user_id").alias("node_id"), "ts"), F.lit(now), "1 day")
+
+
+# caches: answers to user messages, those of every third conversation stored
+ASKED = "asked AS (SELECT conv_id * 1000 + turn AS request_id, 'ns' || (conv_id % 4) AS namespace, 'm1' AS model, text AS query, conv_id, turn FROM conversations WHERE role = 'user'), gen AS (SELECT 'ns' || (user_id % 4) AS namespace, count(*) AS generation FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY ALL)"
+
+
+def asked(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.concat(F.lit("ns"), (F.col("conv_id") % 4).cast("string")).alias("namespace"), F.lit("m1").alias("model"), F.col("text").alias("query"), "conv_id", "turn")
+
+
+INDEXING = "i AS (SELECT ts, 'ns' || (user_id % 4) AS namespace, 'n' || (user_id % 10) AS node_id, CASE event_type WHEN 'signup' THEN 'complete' WHEN 'purchase' THEN 'error' WHEN 'view' THEN 'in_progress' END AS status, CAST(json_extract(props, '$.k') AS BIGINT) AS files_indexed, event_id FROM events WHERE event_type IN ('signup', 'purchase', 'view'))"
+
+
+def indexing(spark, sf_dir):
+    e = events(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase", "view"))
+    status = F.when(F.col("event_type") == "signup", "complete").when(F.col("event_type") == "purchase", "error").otherwise("in_progress")
+    return e.select("ts", F.concat(F.lit("ns"), (F.col("user_id") % 4).cast("string")).alias("namespace"), F.concat(F.lit("n"), (F.col("user_id") % 10).cast("string")).alias("node_id"), status.alias("status"), F.get_json_object("props", "$.k").cast("long").alias("files_indexed"), "event_id")
+
+
+@query(f"WITH {INDEXING} SELECT namespace, count(*) AS generation FROM i WHERE status <> 'in_progress' GROUP BY namespace")
+def generation_counter(spark, sf_dir):
+    return governance.generations(indexing(spark, sf_dir))
+
+
+@query(f"WITH {ASKED} SELECT request_id, a.namespace, sha256(a.namespace || '|' || coalesce(generation, 0) || '|m1|' || lower(trim(query))) AS cache_key, CASE WHEN conv_id % 3 = 0 AND turn <= 4 THEN md5(query) END AS answer FROM asked a LEFT JOIN gen USING (namespace)")
+def answer_cache(spark, sf_dir):
+    requests, gens = asked(spark, sf_dir), governance.generations(indexing(spark, sf_dir))
+    stored = requests.where("conv_id % 3 = 0").join(gens, "namespace", "left")
+    key = ids.answer_key(F.col("namespace"), F.coalesce("generation", F.lit(0).cast("long")), F.col("model"), F.col("query"))
+    cache = stored.select(key.alias("cache_key"), F.md5("query").alias("answer"), F.when(F.col("turn") <= 4, 20).otherwise(5).alias("expires_at")).distinct()
+    return governance.cached_answers(requests, cache, gens, F.lit(10)).select("request_id", "namespace", "cache_key", "answer")
+
+
+@query("SELECT DISTINCT text, left(sha256(text), 32) AS embed_key FROM conversations WHERE role = 'user' AND text NOT IN (SELECT text FROM conversations WHERE role = 'user' AND turn < 2)")
+def embed_cache_misses(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return governance.missing_vectors(turns, turns.where("turn < 2").select(ids.embedding_key(F.col("text")).alias("embed_key")))
+
+
+# audit: events as requests, with their type as status and their value as latency
+@query("SELECT 'ns' || (user_id % 4) AS namespace, event_type AS status, count(*) AS n, round(avg(value), 6) AS avg_latency, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL")
+def audit_analytics(spark, sf_dir):
+    e = events(spark, sf_dir)
+    by = e.groupBy(F.concat(F.lit("ns"), (F.col("user_id") % 4).cast("string")).alias("namespace"), F.col("event_type").alias("status"))
+    return by.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_latency"), F.count_distinct("user_id").alias("n_users"))
+
+
+@query("SELECT event_type, CAST(least(greatest(floor(value / 25) + 1, 0), 9) AS INT) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def latency_histogram(spark, sf_dir):
+    bucket = F.least(F.greatest(F.floor(F.col("value") / 25) + 1, F.lit(0)), F.lit(9)).cast("int")
+    return events(spark, sf_dir).groupBy("event_type", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# streams, as batches; the tests run the same functions on streams
+BURST = "g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM (SELECT ts, 'f' || (user_id % 50) AS path, event_type AS op FROM events WHERE event_type <> 'error') WINDOW w AS (PARTITION BY path ORDER BY ts)), h AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)"
+
+
+@query(f"""WITH {BURST} SELECT path, arg_max(op, ts) AS op, max(ts) + INTERVAL 2 HOUR AS fired_at, count(*) AS n FROM h GROUP BY path, burst
+UNION ALL SELECT 'f' || (user_id % 50), 'delete', ts, 1 FROM events WHERE event_type = 'error'""")
+def debounce_events(spark, sf_dir):
+    op = F.when(F.col("event_type") == "error", "delete").otherwise(F.col("event_type"))
+    e = events(spark, sf_dir).select("ts", F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string")).alias("path"), op.alias("op"))
+    return E.debounced(e, "2 hours")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+h AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM h GROUP BY user_id, s""")
+def session_events(spark, sf_dir):
+    return E.sessions(events(spark, sf_dir).select("user_id", "ts"), "user_id")
+
+
+@query(f"WITH {INDEXING} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, namespace, status, count(*) AS n, CAST(sum(files_indexed) AS BIGINT) AS files FROM i GROUP BY ALL")
+def indexing_metrics_tumbling(spark, sf_dir):
+    return E.indexing_metrics(indexing(spark, sf_dir))
+
+
+@query("SELECT user_id AS path, arg_min(event_type, ts) AS op, min(ts) AS ts FROM events GROUP BY user_id")
+def first_events(spark, sf_dir):
+    return E.first_of_path(events(spark, sf_dir).select(F.col("user_id").alias("path"), F.col("event_type").alias("op"), "ts"))
+
+
+# a service a user group; errors and purchases count as failures
+CALLS = "c AS (SELECT event_id, ts, user_id % 40 AS service, event_type NOT IN ('error', 'purchase', 'view') AS ok FROM events), isl AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY service ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM c)"
+
+
+@query(f"WITH {CALLS} SELECT event_id, service, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY service, i ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failures FROM isl")
+def breaker_state(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", "ts", (F.col("user_id") % 40).alias("service"), (~F.col("event_type").isin("error", "purchase", "view")).alias("ok"))
+    return rag.runs_of_failures(e, "service", "ts", "ok").select("event_id", "service", "failures")
+
+
+@query("""WITH RECURSIVE e AS (SELECT ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'signup'),
+f AS (SELECT i, ts, ts AS opened FROM e WHERE i = 1 UNION ALL SELECT e.i, e.ts, CASE WHEN e.ts < f.opened + INTERVAL 6 HOUR THEN f.opened ELSE e.ts END FROM f JOIN e ON e.i = f.i + 1)
+SELECT opened, count(*) AS n FROM f GROUP BY opened""")
+def micro_batches(spark, sf_dir):
+    """Batches that open with their first event and close a fixed time later: jumps from one opening to the next.
+
+    Every event knows the first one outside its own window; the openings are then reached from the first event. Windows
+    of whole days are folded apart only in the sense of one ordered pass, as each opening depends on the one before.
+    """
+    import pandas as pd
+
+    def fold(parts):
+        opened, n, width = None, 0, pd.Timedelta(hours=6)
+        for part in parts:
+            out = []
+            for ts in part["ts"]:
+                if opened is None or ts >= opened + width:
+                    if opened is not None:
+                        out.append((opened, n))
+                    opened, n = ts, 0
+                n += 1
+            yield pd.DataFrame(out, columns=["opened", "n"])
+        if opened is not None:
+            yield pd.DataFrame([(opened, n)], columns=["opened", "n"])
+
+    own = events(spark, sf_dir).where("event_type = 'signup'").select("ts", "event_id")
+    return own.repartition(1).sortWithinPartitions("ts", "event_id").mapInPandas(fold, "opened timestamp, n long")
+
+
+# alert rules: windows of a day over events
+DAY = "time_bucket(INTERVAL 1 DAY, ts) AS window_start"
+
+
+@query(f"SELECT {DAY}, event_type, round(quantile_cont(value, 0.99), 6) AS value FROM events GROUP BY ALL")
+def latency_quantiles(spark, sf_dir):
+    return metrics.quantile(events(spark, sf_dir), ["event_type"], "value", 0.99, "1 day")
+
+
+@query(f"WITH v AS (SELECT {DAY}, user_id % 4 AS ns, count(*) FILTER (WHERE event_type = 'error') AS value FROM events GROUP BY ALL) SELECT * FROM v WHERE value > 5")
+def zero_result_spike(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("ns", F.col("user_id") % 4)
+    return metrics.increase(e, ["ns"], F.col("event_type") == "error", "1 day").where("value > 5")
+
+
+@query(f"SELECT {DAY}, user_id % 4 AS ns, round(count(*) FILTER (WHERE event_type = 'error') / nullif(count(*) FILTER (WHERE event_type IN ('error', 'click')), 0)::DOUBLE, 9) AS value FROM events GROUP BY ALL")
+def error_ratio(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("ns", F.col("user_id") % 4)
+    return metrics.ratio(e, ["ns"], F.col("event_type") == "error", F.col("event_type").isin("error", "click"), "1 day")
+
+
+@query(f"""WITH v AS (SELECT {DAY}, user_id % 4 AS ns, round(count(*) FILTER (WHERE event_type = 'error') / nullif(count(*) FILTER (WHERE event_type IN ('error', 'click')), 0)::DOUBLE, 9) AS value FROM events GROUP BY ALL),
+h AS (SELECT *, epoch(window_start) / 86400 - row_number() OVER (PARTITION BY ns ORDER BY window_start) AS i FROM v WHERE value > 0.1),
+l AS (SELECT *, row_number() OVER (PARTITION BY ns, i ORDER BY window_start) AS held FROM h)
+SELECT window_start, ns, value, CAST(held AS INT) AS held FROM l WHERE held >= 2""")
+def alert_for_duration(spark, sf_dir):
+    return metrics.lasting(error_ratio(spark, sf_dir), ["ns"], F.col("value") > 0.1, 2, 86400)
+
+
+@query(f"""WITH b AS (SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (25.0), (50.0), (100.0), (200.0), (1e9)) t(le) GROUP BY ALL),
+o AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(n) OVER w, 0) AS before FROM b WINDOW w AS (PARTITION BY event_type ORDER BY le)),
+h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n, le) AS r FROM o WHERE n >= total * 0.9)
+SELECT event_type, round(lo + (le - lo) * (total * 0.9 - before) / (n - before), 6) AS value FROM h WHERE r = 1""")
+def bucket_quantiles(spark, sf_dir):
+    bounds = F.explode(F.array(*map(F.lit, (25.0, 50.0, 100.0, 200.0, 1e9)))).alias("le")
+    buckets = events(spark, sf_dir).select("event_type", "value", bounds).groupBy("event_type", "le").agg(F.count_if(F.col("value") <= F.col("le")).alias("n"))
+    return metrics.bucket_quantile(buckets, ["event_type"], 0.9).select("event_type", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_type, window_start, n, CAST(n - lag(n) OVER (PARTITION BY event_type ORDER BY window_start) AS BIGINT) AS change FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL)")
+def rate_changes(spark, sf_dir):
+    daily = metrics.windowed(events(spark, sf_dir), width="1 day").groupBy("event_type", "window_start").agg(F.count(F.lit(1)).alias("n"))
+    return daily.withColumn("change", F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("window_start")))
