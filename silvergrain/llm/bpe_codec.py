@@ -60,12 +60,11 @@ def _field(number: int, kind: int, value) -> bytes:
     return head + (varint(value) if kind == 0 else struct.pack("<f", value) if kind == 5 else varint(len(value)) + value)
 
 
-def serialise(tokens: list[bytes]) -> bytes:
-    """A sentencepiece ModelProto of type BPE; piece i is tokens[i], the unknown piece has the next id."""
-    chars = byte_chars()
+def serialise(texts: list[str]) -> bytes:
+    """A sentencepiece ModelProto of type BPE; piece i is texts[i], scored -i; the unknown piece has the next id."""
     piece = lambda text, score, kind: _field(1, 2, _field(1, 2, text.encode()) + _field(2, 5, score) + _field(3, 0, kind))
-    pieces = b"".join(piece("".join(chars[b] for b in t), -float(i), 1) for i, t in enumerate(tokens)) + piece("<unk>", 0.0, 2)
-    trainer = _field(3, 0, 2) + _field(4, 0, len(tokens) + 1) + _field(40, 0, len(tokens))  # BPE, vocabulary size, id of <unk>
+    pieces = b"".join(piece(t, -float(i), 1) for i, t in enumerate(texts)) + piece("<unk>", 0.0, 2)
+    trainer = _field(3, 0, 2) + _field(4, 0, len(texts) + 1) + _field(40, 0, len(texts))  # BPE, vocabulary size, id of <unk>
     normaliser = _field(1, 2, b"identity") + _field(3, 0, 0) + _field(4, 0, 0) + _field(5, 0, 0)  # no prefix, no trimming, no escapes
     return pieces + _field(2, 2, trainer) + _field(3, 2, normaliser)
 
@@ -75,7 +74,8 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.tokens = read_ranks(path)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
+        chars = byte_chars()
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(["".join(chars[b] for b in t) for t in self.tokens]))
         self.find = regex.compile(pattern).findall
         self.table = dict(enumerate(byte_chars()))
         self.kept: dict[str, bytes] = {}

@@ -9,78 +9,114 @@ that crosses a cut becomes several pieces, so each sequence but the last is full
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from . import shared
+from .bpe_codec import byte_chars, serialise
 
 WINDOW, END_ID = 4096, 2
-#: Words that a worker keeps before it starts anew.
-KEEP = 250_000
+#: Chunks of text that a worker keeps before it starts anew.
+KEEP = 500_000
 #: Blocks of documents for the prefix sums; a block's rows (id and count only) are summed by one task.
 BLOCKS = 512
 
 
 class WordEncoder:
-    """Ids by a tokenizers file that lower-cases, drops white space and encodes each word alone.
-
-    The library itself encodes every distinct word once; ids of a text are those of its words in order. Its own
-    normaliser and splitter are applied here (composition, lower case by character, the word pattern), and
-    special strings inside a text are taken out first, as the library does.
+    """Ids by a tokenizers file that lower-cases, drops white space and encodes each word alone, its end marked.
+
+    Its normaliser (composition, lower case by character) is applied here and texts are cut at white space. The ids of
+    a chunk do not depend on its neighbours, so each distinct one is encoded once a worker; a batch of texts is
+    cut, coded by chunk and laid out again as arrays. New words go through a sentencepiece model made from the
+    vocabulary, in which a word's last character has a form of its own. It merges by rank like the library, as every
+    token of such a vocabulary is what its own characters merge to. Special strings inside a text are taken out first,
+    as the library does.
     """
 
     #: Fixed value: the splitter of the vocabulary file.
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: What ends a word's last piece in the file, and by how much the last character is moved in the model.
+    END, FAR = "</w>", 0x400
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        names = {i: t for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        last = lambda t: t[: -len(self.END) - 1] + chr(ord(t[-len(self.END) - 1]) + self.FAR)
+        pieces = [names.get(i, f"\ue000{i}") for i in range(max(names) + 1)]
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise([last(t) if t.endswith(self.END) else t for t in pieces]))
+        self.table = dict(enumerate(byte_chars()))
         self.find = regex.compile(self.WORDS).findall
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # str.split also splits at these four, which the library takes for signs
+        # these four count as white space when cutting, and as signs in the library
         self.odd = regex.compile("[\x1c-\x1f]").search
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _of_words(self, found: list[str]) -> bytes:
-        words = self.words
-        if new := [w for w in dict.fromkeys(found) if w not in words]:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                words[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join([words[w] for w in found])
-
-    def _ordinary(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self.odd(text):
-            return self._of_words(self.find(text))
-        chunks, pieces = self.chunks, text.split()
-        if new := [c for c in dict.fromkeys(pieces) if c not in chunks]:
-            found = [self.find(c) for c in new]
-            self._of_words([w for f in found for w in f])  # all new words in one call
-            for c, f in zip(new, found):
-                chunks[c] = self._of_words(f)
-        return b"".join([chunks[c] for c in pieces])
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        self.chunks: dict[str, bytes] = {"": b""}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        mapped = [w.encode("utf-8").decode("latin-1").translate(self.table) for w in words]
+        done = self.model.encode([m[:-1] + chr(ord(m[-1]) + self.FAR) for m in mapped], num_threads=1)
+        return [array("I", ids).tobytes() for ids in done]
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.chunks
+        parts = {c: (c,) if c.isalpha() else (c[:-1], c[-1]) if c[-1] in ".," and c[:-1].isalpha() else self.find(c) for c in new}
+        words = list({w for p in parts.values() for w in p}.difference(known))
+        known.update(zip(words, self._words(words)))
+        known.update((c, b"".join([known[w] for w in p])) for c, p in parts.items() if len(p) != 1 or p[0] != c)
+
+    def _plain(self, text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.chunks) > KEEP:
-            self.chunks.clear()
-        if len(self.words) > KEEP:
-            self.words.clear()
-        if self.cut is None or "<|" not in text:
-            return self._ordinary(text)
-        parts = self.cut.split(text)
-        return b"".join(np.asarray([self.special[p]], dtype="<u4").tobytes() if i % 2 else self._ordinary(p) for i, p in enumerate(parts) if i % 2 or p)
+            self.chunks = {"": b""}
+        plain = [i for i, t in enumerate(texts) if "<|" not in t and not self.odd(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(plain, self._many([self._plain(texts[i]) for i in plain])):
+            out[i] = ids
+        for i in set(range(len(texts))).difference(plain):
+            pieces = self.cut.split(texts[i]) if self.cut else [texts[i]]
+            out[i] = b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self._one(self._plain(p)) for k, p in enumerate(pieces))
+        return out
+
+    def _one(self, text: str) -> bytes:
+        found = self.find(text)
+        self._learn(list(set(found).difference(self.chunks)))
+        return b"".join([self.chunks[w] for w in found])
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = cut.values.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if new := set(names).difference(self.chunks):
+            self._learn(list(new))
+        stored = [self.chunks[c] for c in names]
+        pool = np.frombuffer(b"".join(stored), dtype="<u4")
+        size = np.fromiter(map(len, stored), dtype=np.int64, count=len(stored)) // 4
+        begin, length = (np.cumsum(size) - size)[codes], size[codes]
+        after = np.cumsum(length)
+        ids = pool[np.repeat(begin - (after - length), length) + np.arange(after[-1] if len(after) else 0)]
+        edges = np.concatenate([[0], after])[cut.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +131,8 @@ def encoded(df: DataFrame, path: str | None = None, end_id: int = END_ID, id_col
         own = encoder(path or public_tokenizers.path("word_bpe_49k.json"))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [np.frombuffer(own.encode(t) + end, dtype="<u4") for t in batch["_text"]]
+            texts = batch["_text"].tolist()
+            ids = [np.frombuffer(x + end, dtype="<u4") for i in range(0, len(texts), 1024) for x in own.encode_all(texts[i : i + 1024])]
             small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\x00\x00" + x.tobytes() + b"\x00" for x in ids]
             yield pd.DataFrame({"doc_id": batch["_id"], "ids": small, "doc_tokens": [len(x) for x in ids]})
 
@@ -162,6 +199,11 @@ def _cut(spark, df, window, path, end_id, id_col, text_col, digest: bool) -> Dat
     return rows.mapInPandas(run, f"doc_id long, start long, length long, {content}, doc_tokens long, sequence_id long, offset long")
 
 
+def pieces(spark: SparkSession, df: DataFrame, window: int = WINDOW, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``pack``, with ids_crc32 in place of the ids."""
+    return _cut(spark, df, window, path, end_id, id_col, text_col, digest=True)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _cut(spark, docs, WINDOW, None, END_ID, "doc_id", "text", digest=True)
+    return pieces(spark, docs)
