@@ -101,7 +101,7 @@ def edited(head: Column, tail: Column, numbers: Column) -> Column:
 
 
 def successors(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows (_id, _text, _prints) with _next_text and _next_prints of the row that follows by descending id.
+    """rows (_id, _text) with _prints, and _next_text and _next_prints of the row that follows by descending id.
 
     After the last comes the first. Rows of one id are ordered by a hash of their texts; rows without id come last. Ids are
     cut into ranges; each range is sorted by itself and gets a copy of the first row of the next one, so nothing is sorted
@@ -131,16 +131,16 @@ def successors(spark: SparkSession, rows: DataFrame) -> DataFrame:
         rows.withColumn("_from", F.coalesce(range_of(0, len(edges)), F.lit(-1)).cast("long"))
         .join(F.broadcast(to), "_from")
         .where(F.col("_id").eqNullSafe(F.col("_top")))
-        .select("_id", "_text", "_prints", "_range", F.lit(1).alias("_ghost"))
+        .select("_id", "_text", "_range", F.lit(1).alias("_ghost"))
     )
     order = Window.partitionBy("_range").orderBy("_ghost", F.desc_nulls_last("_id"), F.xxhash64("_text"))
-    both = own.unionByName(ghosts)
+    both = own.unionByName(ghosts).withColumn("_prints", chosen(F.encode("_text", "utf-8")))
     return both.select("*", F.lead("_text").over(order).alias("_next_text"), F.lead("_prints").over(order).alias("_next_prints")).where("_ghost = 0").drop("_ghost", "_range")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    rows = successors(spark, docs.withColumn("_prints", chosen(F.encode("_text", "utf-8"))))
+    rows = successors(spark, docs)
     third = F.floor(F.length("_text") / 3).cast("int")
     cut = rows.withColumn("_head", F.left("_text", F.length("_text") - third)).withColumn("_tail", F.left("_next_text", third))
     done = cut.select("*", edited(F.col("_head"), F.col("_tail"), F.col("_prints")).alias("_edited"))
