@@ -16,8 +16,10 @@ white-space run's last character or a contraction is exact as stored; ``count_at
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,18 @@ from .bpe_codec import byte_chars
 KEEP, KEEP_PAIRS = 250_000, 1_000_000
 
 
+class _Kept(dict):
+    """Pre-token -> its counts; works out those it lacks."""
+
+    def __init__(self, owner: PrefixCounter):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.owner.of(piece)
+        return found
+
+
 class PrefixCounter:
     """Counts by one tokenizers file of byte-level BPE without normaliser."""
 
@@ -50,11 +64,11 @@ class PrefixCounter:
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.rank[left, right] = at
             self.made.setdefault(whole, (left, right, at))
-        self.longest = max(map(len, self.ids))
+        self.tails = {t[-k:] for t in self.ids for k in range(1, len(t) + 1)}
         special = sorted((x["content"] for x in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(pattern)
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept = _Kept(self)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def stable(self, a: int, b: int) -> bool:
@@ -89,38 +103,29 @@ class PrefixCounter:
 
     def byte_counts(self, data: bytes) -> list[int]:
         """count[i] for each prefix of i bytes of one pre-token."""
-        ids, pairs, longest = self.ids, self.pairs, self.longest
+        get, pairs, tails = self.ids.get, self.pairs, self.tails
         n = len(data)
         count, last = [0] * (n + 1), [-1] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                token = ids.get(data[j:i])
-                if token is None:
-                    continue
-                if j == 0:
-                    fits = True
-                elif (fits := pairs.get((last[j], token))) is None:
-                    fits = self.stable(last[j], token)
-                if fits:
+            j, ends = i - 1, []
+            while j >= 0 and (part := data[j:i]) in tails:
+                if (token := get(part)) is not None:
+                    ends.append((j, token))
+                j -= 1
+            while ends:  # the longest first
+                j, token = ends.pop()
+                if j == 0 or (fits := pairs.get((last[j], token))) or fits is None and self.stable(last[j], token):
                     last[i], count[i] = token, count[j] + 1
                     break
         return count
 
-    def of(self, piece: str) -> np.ndarray:
-        """Counts at the prefixes of 1, 2, ... code points of one pre-token."""
-        found = self.kept.get(piece)
-        if found is None:
-            if len(self.kept) > KEEP:
-                self.kept.clear()
-            data = piece.encode("utf-8")
-            count = self.byte_counts(data)
-            if len(data) != len(piece):
-                ends = np.cumsum([len(c.encode("utf-8")) for c in piece])
-                found = np.asarray(count, dtype=np.int32)[ends]
-            else:
-                found = np.asarray(count[1:], dtype=np.int32)
-            self.kept[piece] = found
-        return found
+    def of(self, piece: str) -> bytes:
+        """Counts at the prefixes of 1, 2, ... code points of one pre-token, as 32-bit integers."""
+        data = piece.encode("utf-8")
+        count = self.byte_counts(data)
+        if len(data) != len(piece):
+            return array("i", [count[e] for e in accumulate(len(c.encode("utf-8")) for c in piece)]).tobytes()
+        return array("i", count[1:]).tobytes()
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Ordinary stretches and special strings (True), in order."""
@@ -133,13 +138,24 @@ class PrefixCounter:
 
     def prefixes(self, text: str) -> np.ndarray:
         """The stored counts: entry i is the count at the prefix of i + 1 code points; the last is that of the text."""
-        counts: list[np.ndarray] = []
+        if len(self.kept) > KEEP:
+            self.kept.clear()
+        get = self.kept.__getitem__
+        stored: list[bytes] = []
+        lengths: list[int] = []
         for part, special in self.parts(text):
-            counts += [np.r_[np.zeros(len(part) - 1, dtype=np.int32), np.int32(1)]] if special else map(self.of, self.pattern.findall(part))
-        if not counts:
+            if special:
+                stored.append(array("i", [0] * (len(part) - 1) + [1]).tobytes())
+                lengths.append(len(part))
+            elif part:
+                found = self.pattern.findall(part)
+                stored.append(b"".join(map(get, found)))
+                lengths += map(len, found)
+        if not lengths:
             return np.zeros(0, dtype=np.int32)
-        totals = np.fromiter((c[-1] for c in counts), dtype=np.int32, count=len(counts))
-        return np.concatenate(counts) + np.repeat(np.cumsum(totals) - totals, [len(c) for c in counts]).astype(np.int32)
+        counts, size = np.frombuffer(b"".join(stored), dtype=np.int32), np.array(lengths)
+        totals = counts[np.cumsum(size) - 1]
+        return counts + np.repeat((np.cumsum(totals) - totals).astype(np.int32), size)
 
     def count_at(self, text: str, n: int, stored: np.ndarray | None = None) -> int:
         """Exact count of the first n code points of text.
@@ -162,7 +178,7 @@ class PrefixCounter:
         for m in self.pattern.finditer(text, begin, n):
             if m.start() > begin and text[m.start() - 1].strip() and n - m.start() > 16:
                 safe = m.start()
-        tail = sum(int(self.of(p)[-1]) for p in self.pattern.findall(text[safe:n]))
+        tail = sum(int(np.frombuffer(self.kept[p], dtype=np.int32)[-1]) for p in self.pattern.findall(text[safe:n]))
         return (int(stored[safe - 1]) if safe else 0) + tail
 
     def longest_within(self, text: str, budget: int) -> int:
