@@ -152,33 +152,11 @@ def breaker_state(spark, sf_dir):
     return rag.runs_of_failures(e, "service", "ts", "ok").select("event_id", "service", "failures")
 
 
-@query("""WITH RECURSIVE e AS (SELECT ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'signup'),
-f AS (SELECT i, ts, ts AS opened FROM e WHERE i = 1 UNION ALL SELECT e.i, e.ts, CASE WHEN e.ts < f.opened + INTERVAL 6 HOUR THEN f.opened ELSE e.ts END FROM f JOIN e ON e.i = f.i + 1)
-SELECT opened, count(*) AS n FROM f GROUP BY opened""")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS node, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT node, i, ts, ts AS opened FROM e WHERE i = 1 UNION ALL SELECT e.node, e.i, e.ts, CASE WHEN e.ts < f.opened + INTERVAL 6 HOUR THEN f.opened ELSE e.ts END FROM f JOIN e ON e.node = f.node AND e.i = f.i + 1)
+SELECT node, opened, count(*) AS n FROM f GROUP BY ALL""")
 def micro_batches(spark, sf_dir):
-    """Batches that open with their first event and close a fixed time later: jumps from one opening to the next.
-
-    Every event knows the first one outside its own window; the openings are then reached from the first event. Windows
-    of whole days are folded apart only in the sense of one ordered pass, as each opening depends on the one before.
-    """
-    import pandas as pd
-
-    def fold(parts):
-        opened, n, width = None, 0, pd.Timedelta(hours=6)
-        for part in parts:
-            out = []
-            for ts in part["ts"]:
-                if opened is None or ts >= opened + width:
-                    if opened is not None:
-                        out.append((opened, n))
-                    opened, n = ts, 0
-                n += 1
-            yield pd.DataFrame(out, columns=["opened", "n"])
-        if opened is not None:
-            yield pd.DataFrame([(opened, n)], columns=["opened", "n"])
-
-    own = events(spark, sf_dir).where("event_type = 'signup'").select("ts", "event_id")
-    return own.repartition(1).sortWithinPartitions("ts", "event_id").mapInPandas(fold, "opened timestamp, n long")
+    return E.micro_batches(events(spark, sf_dir).select(F.col("user_id").alias("node"), "ts", "event_id"), "node", "6 hours")
 
 
 # alert rules: windows of a day over events

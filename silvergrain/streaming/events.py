@@ -64,6 +64,32 @@ def in_batches(events: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def micro_batches(events: DataFrame, by: str, width: str = BATCH) -> DataFrame:
+    """(by, opened, n): batches of each node's events that open with an event and close a fixed time later, however many follow.
+
+    Each opening depends on the one before, so a node's events pass one task in order; nothing but the open batch is held.
+    """
+    span = pd.Timedelta(width)
+    kind = dict(events.dtypes)[by]
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, opened, n = None, None, 0
+        for part in parts:
+            out = []
+            for key, ts in zip(part[by], part["ts"]):
+                if opened is None or key != node or ts >= opened + span:
+                    if opened is not None:
+                        out.append((node, opened, n))
+                    node, opened, n = key, ts, 0
+                n += 1
+            yield pd.DataFrame(out, columns=[by, "opened", "n"])
+        if opened is not None:
+            yield pd.DataFrame([(node, opened, n)], columns=[by, "opened", "n"])
+
+    order = [by, "ts", *(c for c in ("event_id",) if c in events.columns)]
+    return events.select(*order).repartition(by).sortWithinPartitions(*order).mapInPandas(fold, f"{by} {kind}, opened timestamp, n long")
+
+
 def retry(spark: SparkSession, dead_letters: str, handle: Callable[[DataFrame, int], None]) -> int:
     """Dead letters again, oldest batch first, up to the first that fails; how many were handled. The handler must be idempotent."""
     rows = spark.read.parquet(dead_letters)

@@ -107,3 +107,96 @@ def test_dead_letters_and_retry(spark, tmp_path):
 def test_frames(spark):
     row = spark.range(1).select(files.frame_times(F.lit(3), F.lit(10)).alias("t"), files.video_text(F.lit(" said "), F.array(F.struct(F.lit(10).alias("second"), F.lit("a cat").alias("text")))).alias("v"), files.video_text(F.lit(None).cast("string"), F.lit(None).cast("array<struct<second:int,text:string>>")).alias("none")).first()
     assert row["t"] == [0, 10, 20] and row["v"] == "said\n\n[Frame at 10s] a cat" and row["none"] == ""
+
+
+@pytest.fixture
+def server():
+    """A local double of the services; its answers come from a function put on it."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            code, answer = self.server.answer(self.path, body)
+            data = json.dumps(answer).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    web = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    web.url = f"http://127.0.0.1:{web.server_port}"
+    yield web
+    web.shutdown()
+
+
+def test_services(server):
+    import json
+
+    from silvergrain.sources import services as X
+
+    calls = []
+
+    def busy_first(path, body):
+        calls.append(path)
+        return (503, {}) if len(calls) < 3 else (200, {"text": "said"})
+
+    server.answer = busy_first
+    assert X.transcriber(server.url, waits=(0, 0, 0))("a.mp3", b"x") == "said" and len(calls) == 3
+    server.answer = lambda path, body: (200, {"text": "ocr" if "ocr" in path else "plain"})
+    assert X.extractor(server.url)("a.pdf", b"x") == "plain" and X.extractor(server.url, True)("a.pdf", b"x") == "ocr"
+    server.answer = lambda path, body: (200, {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]})
+    assert X.embedder("openai", server.url, "m")(["a", "b"]) == [[1.0], [2.0]]
+    server.answer = lambda path, body: (200, {"results": [{"index": 1, "score": 0.5}]} if len(json.loads(body)["texts"]) == 2 else {})
+    assert X.reranker(server.url)("q", ["a", "b"]) == [0.0, 0.5] and X.reranker(None)("q", ["a"]) == [0.0]
+    with pytest.raises(ValueError, match="provider"):
+        X.embedder("none", "", "")
+
+
+def test_plugins(spark, tmp_path):
+    from silvergrain.sources import services as X
+
+    (tmp_path / "a.py").write_text("# name: upper\n# extensions: .up, .x\nimport sys, json, base64\nd = json.load(sys.stdin)\nprint(json.dumps({'text': base64.b64decode(d['content']).decode().upper()}))\n")
+    (tmp_path / "b.py").write_text("# name: late\n# extensions: .slow\nimport time\ntime.sleep(30)\n")
+    found = X.discover(str(tmp_path))
+    assert [(n, e) for n, e, _ in found] == [("upper", (".up", ".x")), ("late", (".slow",))]
+    rows = files.extract(spark.createDataFrame([("f.up", bytearray(b"abc"))], "path string, content binary"), found).first()
+    assert (rows["text"], rows["extractor"]) == ("ABC", "upper")
+    with pytest.raises(Exception, match="timed out"):
+        X.program(str(tmp_path / "b.py"), 0.5)("f", b"")
+    assert X.discover(str(tmp_path / "none")) == []
+
+
+def test_sinks(spark, server, tmp_path):
+    from silvergrain.sources import sinks
+
+    got = []
+    server.answer = lambda path, body: (got.append(body) or (500 if len(got) == 1 else 200), {})
+    batch = spark.createDataFrame([("n", "complete"), ("n", "in_progress")], "namespace string, status string")
+    sinks.fan_out([sinks.webhook(server.url)])(batch, 0)
+    assert len(got) == 2 and b"namespace.indexed" in got[1]
+    sinks.append_registry(spark.createDataFrame([("n1", "http://h:1")], "id string, url string"), str(tmp_path / "reg"))
+    assert sinks.registry(spark, str(tmp_path / "reg")).first()["url"] == "http://h:1"
+    with pytest.raises(ValueError, match="database"):
+        sinks.registry(spark, str(tmp_path / "reg"), high_availability=True)
+    (tmp_path / "env").write_text("# c\nSG_TEST_A=1=2\n\nSG_TEST_B = 'x'\n")
+    assert sinks.load_settings(str(tmp_path / "env")) == {"SG_TEST_A": "1=2", "SG_TEST_B": "x"}
+    sinks.scrape_file(spark.createDataFrame([("h:1", "n")], "target string, namespace string"), str(tmp_path / "sd.json"))
+    assert (tmp_path / "sd.json").read_text() == '[{"targets": ["h:1"], "labels": {"namespace": "n"}}]'
+
+
+def test_breaker_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("s", f"2024-01-01 00:00:{i:02d}", False) for i in range(6)] + [("s", "2024-01-01 01:00:00", False), ("s", "2024-01-01 02:00:00", True), ("s", "2024-01-01 02:00:01", False)]
+    df = spark.createDataFrame(rows, "service string, ts string, ok boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    try:
+        got = [r["state"] for r in streamed(spark, df, tmp_path, E.breaker).orderBy("ts").collect()]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == ["failed"] * 4 + ["opened", "rejected", "opened", "closed", "failed"]
