@@ -3,11 +3,11 @@
 Build: equal normalised texts meet in one ``groupBy(hash, text)``. Spark combines copies before the shuffle, so
 a text that a third of all rows share costs one row per map task, and its hash aggregate compares the bytes of
 the text, not only the hash: two texts with one hash become two entries, chained under it. The entries
-(hash, chain, keep_id, size, digest) are written to shared files in key ranges, one owner task per range.
+(hash, keep_id, size, digest) go to shared files.
 
 Directory: doubling from depth 0, a bucket (the leading bits of the hash) with more than ``capacity`` entries
 splits until it fits or ``max_depth`` is reached. Only the counts by leading bits, at most 2**max_depth rows,
-take part.
+take part. Owner tasks then write the index, each the buckets of a range of keys.
 
 Probe: rows look their hash up in the index. Where a hash has a chain of several entries, which takes a collision of 64
 bits, rows and entries meet by text too.
@@ -15,13 +15,15 @@ bits, rows and entries meet by text too.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Entries a bucket holds before it splits, and the depth at which the directory stops doubling.
-CAPACITY, MAX_DEPTH = 8192, 16
+#: Entries a bucket holds before it splits; the depth at which the directory stops doubling, and how far it may go beyond an even split.
+CAPACITY, MAX_DEPTH, SPARE_DEPTH = 8192, 16, 3
 
 
 def normalised(text: str | Column) -> Column:
@@ -39,26 +41,33 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     )
 
 
-def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
-    """The entries without their texts, on shared files in key ranges: _hash, keep_id, group_size, text_sha256."""
-    rows = entries(docs, id_col, text_col, hash_of).select("_hash", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shared.table(spark, rows.repartitionByRange(ranges, "_hash").sortWithinPartitions("_hash", "keep_id"), "hash-index")
+def directory(index: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The directory: leaf (leading max_depth bits of a hash), depth (of its bucket), start (the bucket's first leaf), n_entries.
 
+    A bucket doubles from depth 0 until it fits or max_depth is reached: a leaf's bucket is its shortest prefix that fits.
+    At most 2**max_depth rows.
+    """
+    leaves = index.groupBy(F.shiftrightunsigned("_hash", 64 - max_depth).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
+    prefix = F.expr(f"shiftright(leaf, {max_depth} - depth)").alias("prefix")
+    levels = leaves.select("leaf", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")).select("*", prefix)
+    sized = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("n_entries")).where((F.col("n_entries") <= capacity) | (F.col("depth") == max_depth))
+    found = levels.join(sized, ["depth", "prefix"]).groupBy("leaf").agg(F.min(F.struct("depth", "prefix", "n_entries")).alias("b"))
+    return found.select("leaf", "b.depth", F.expr(f"shiftleft(b.prefix, {max_depth} - b.depth)").alias("start"), "b.n_entries")
 
-def directory(index: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The buckets of the index: depth, bucket (leading ``depth`` bits of the hash), n_entries.
 
-    A prefix is a bucket when it fits and its parent does not; at max_depth it stays as it is.
+def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> DataFrame:
+    """The entries without their texts, on shared files: _hash, keep_id, group_size, text_sha256, start (of the bucket).
+
+    Each bucket lies in one file, in order of its hashes; an owner task writes the buckets of a range of keys.
     """
-    leaf = F.shiftrightunsigned("_hash", 64 - max_depth) if max_depth < 64 else F.col("_hash")
-    leaves = index.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
-    levels = leaves.select("leaf", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    sized = levels.groupBy("depth", F.expr(f"shiftright(leaf, {max_depth} - depth)").alias("bucket")).agg(F.sum("n").alias("n_entries"))
-    parent = sized.select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("_parent"), F.col("n_entries").alias("_parent_n"))
-    joined = sized.withColumn("_parent", F.shiftright("bucket", 1)).join(parent, ["depth", "_parent"], "left")
-    fits = (F.col("n_entries") <= capacity) | (F.col("depth") == max_depth)
-    return joined.where(fits & (F.col("_parent_n").isNull() | (F.col("_parent_n") > capacity))).select("depth", "bucket", "n_entries")
+    rows = entries(docs, id_col, text_col, hash_of).select("_hash", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256"))
+    rows = shared.table(spark, rows, "hash-entries")
+    depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(rows.count(), 1) / capacity + 1)) + SPARE_DEPTH))
+    # 2**MAX_DEPTH rows at most, whatever the input
+    found = F.broadcast(directory(rows, capacity, depth).select("leaf", "start"))
+    placed = rows.join(found, F.shiftrightunsigned("_hash", 64 - depth) == F.col("leaf")).drop("leaf")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return shared.table(spark, placed.repartitionByRange(ranges, "start").sortWithinPartitions("start", "_hash", "keep_id"), "hash-index")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
@@ -73,9 +82,9 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     chained = index.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
     rows = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm")).withColumn("_hash", hash_of(F.col("_norm")))
     if chained.isEmpty():
-        found = rows.drop("_norm").join(index, "_hash")
+        found = rows.drop("_norm").join(index.drop("start"), "_hash")
     else:
-        alone = index.join(chained, "_hash", "left_anti")
+        alone = index.drop("start").join(chained, "_hash", "left_anti")
         texts = entries(docs, id_col, text_col, hash_of).join(chained, "_hash", "left_semi").withColumn("text_sha256", F.sha2("_norm", 256))
         found = rows.drop("_norm").join(alone, "_hash").unionByName(rows.join(texts, ["_hash", "_norm"]).drop("_norm"))
     return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -150,11 +150,20 @@ def test_exact_dedup(spark, hash_of):
 
 def test_directory_doubles(spark):
     index = spark.range(5000).select(F.xxhash64("id").alias("_hash"))
-    buckets = exact_dedup.directory(index, capacity=300, max_depth=8).collect()
-    assert sum(r["n_entries"] for r in buckets) == 5000 and max(r["n_entries"] for r in buckets) <= 300
-    assert sum(2.0 ** -r["depth"] for r in buckets) == 1
+    rows = exact_dedup.directory(index, capacity=300, max_depth=8).collect()
+    buckets = {(r["start"], r["depth"]): r["n_entries"] for r in rows}
+    assert sum(buckets.values()) == 5000 and max(buckets.values()) <= 300
+    assert sum(2.0**-d for _, d in buckets) == 1
     crowded = spark.range(100).select(F.lit(7).cast("long").alias("_hash"))
-    assert [(r["depth"], r["n_entries"]) for r in exact_dedup.directory(crowded, 10, 4).where("n_entries > 0").collect()] == [(4, 100)]
+    assert [(r["depth"], r["n_entries"]) for r in exact_dedup.directory(crowded, 10, 4).collect()] == [(4, 100)]
+
+
+def test_index_keeps_buckets_whole(spark):
+    own = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    index = exact_dedup.build_index(spark, own, capacity=100)
+    files = index.select("start", F.input_file_name().alias("f")).distinct().groupBy("start").count()
+    assert index.count() == 3000 and files.count() > 16 and files.where("count > 1").isEmpty()
+    assert index.groupBy("start").count().agg(F.max("count")).first()[0] <= 100
 
 
 def test_fingerprints(spark):
