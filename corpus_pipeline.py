@@ -6,42 +6,62 @@ docs. All but the last return the columns of documents; the last returns the pie
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvergrain.llm import exact_dedup, near_dedup, packing, shared, suffix_dedup, toxicity
 
 
+_LEFT: list[str] = []
+
+
+def _stage(work):
+    """A stage that first removes what the stage before kept on the shared folder: its result has been written by then."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.ship(spark)
+        shared.remove(spark, _LEFT)
+        with shared.noted() as made:
+            out = work(spark, docs, sf_dir)
+        _LEFT[:] = made
+        return out
+
+    return run
+
+
+@_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose score reaches the decision; the model is fitted on labels of the documents given."""
-    shared.ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(spark, docs, labels)
     scored = toxicity.score(spark, docs, model, carry=tuple(F.col(c) for c in docs.columns if c != "doc_id") + (F.col("text").alias("_kept_text"),))
     return scored.where(F.col("score") < toxicity.DECISION).select(*(F.col("_kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents equal but for white space, the one with the smallest id."""
-    shared.ship(spark)
     return exact_dedup.kept_rows(spark, docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near copies."""
-    shared.ship(spark)
     return near_dedup.kept_rows(spark, docs)
 
 
+@_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes long repeated strings out of the texts; a text of which nothing is left stays as an empty one."""
-    shared.ship(spark)
     return suffix_dedup.trimmed_rows(spark, docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences: the pieces, with digests of their ids."""
-    shared.ship(spark)
     return packing.pieces(spark, docs)
 
 

@@ -5,11 +5,33 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Where tables were written, while someone keeps note of it.
+_NOTES: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Collects the paths of the tables that are written meanwhile."""
+    own: list[str] = []
+    _NOTES.append(own)
+    try:
+        yield own
+    finally:
+        _NOTES.remove(own)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -34,6 +56,8 @@ def table(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    for own in _NOTES:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
