@@ -243,3 +243,31 @@ def answer_fallback(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     first = turns.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))).where("role = 'assistant' AND _n = 1")
     return rag.last_user_message(turns).join(first.select("conv_id", rag.block(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")), F.col("text")).alias("answer")), "conv_id")
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) < 200 THEN '' ELSE md5(trim(left(text, 4000))) END AS digest FROM documents WHERE strlen(text) = length(text)")
+def excerpts(spark, sf_dir):
+    own = documents(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    cut = T.excerpt(F.col("text"))
+    return own.select("doc_id", F.when(cut == "", "").otherwise(F.md5(cut)).alias("digest"))
+
+
+@query("SELECT page_id, md5(replace(to_base64(encode(html)), chr(10), '')) AS digest, true AS same FROM pages")
+def base64_payloads(spark, sf_dir):
+    """Contents as they travel to plug-ins: base64 in one line, and back."""
+    packed = F.regexp_replace(F.base64(F.encode("html", "utf-8")), r"[\r\n]", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(packed).alias("digest"), (F.decode(F.unbase64(packed), "utf-8") == F.col("html")).alias("same"))
+
+
+@query("SELECT n_nationkey, ['r' || n_regionkey, 'all'] AS namespaces FROM nation")
+def acl_json(spark, sf_dir):
+    """Access lists as JSON maps, each read for the group named after its region."""
+    group = F.concat(F.lit("g"), F.col("n_regionkey").cast("string"))
+    text = F.concat(F.lit('{"'), group, F.lit('": ["r'), F.col("n_regionkey").cast("string"), F.lit('", "all"], "x": []}'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.from_json(text, "map<string,array<string>>")[group].alias("namespaces"))
+
+
+@query("""SELECT c_custkey, left(c_name, 12) || CASE WHEN length(c_name) > 12 THEN '...' ELSE '' END AS short, CASE WHEN length(c_name) >= 20 THEN c_name ELSE rpad(c_name, 20, ' ') END AS padded FROM customer""")
+def padded_names(spark, sf_dir):
+    name = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.truncate_chars(name, 12).alias("short"), T.pad_right(name, 20).alias("padded"))

@@ -254,3 +254,14 @@ def test_rerank(spark):
     assert order == ["b", "a", "c"]
     assert S.rerank(base, given, threshold=0.5).count() == 1
     assert S.rerank(base, given, threshold=0.95).count() == 3
+
+
+def test_settings(monkeypatch):
+    from silvergrain import config
+
+    assert (config.weight("0.7"), config.weight("invalid"), config.weight(-1), config.rrf_k("30"), config.rrf_k(-5)) == (0.7, 1.0, 1.0, 30, 60)
+    own = config.Settings(graph_depth=9, hops=0, confident=2.0, batch=1)
+    assert (own.graph_depth, own.hops, own.confident, own.batch) == (3, 1, 1.0, 10)
+    monkeypatch.setenv("SILVERGRAIN_FUSION_K", "30")
+    monkeypatch.setenv("SILVERGRAIN_HOPS", "many")
+    assert config.Settings.from_environment() == config.Settings(fusion_k=30)
