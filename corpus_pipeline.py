@@ -36,9 +36,7 @@ def _stage(work):
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose score reaches the decision; the model is fitted on labels of the documents given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(spark, docs, labels)
-    scored = toxicity.score(spark, docs, model, carry=tuple(F.col(c) for c in docs.columns if c != "doc_id") + (F.col("text").alias("_kept_text"),))
-    return scored.where(F.col("score") < toxicity.DECISION).select(*(F.col("_kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return toxicity.kept_rows(spark, docs, toxicity.fit(spark, docs, labels))
 
 
 @_stage

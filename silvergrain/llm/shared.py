@@ -68,8 +68,14 @@ def fresh(df: DataFrame, *names: str) -> None:
         raise ValueError(f"input lacks the columns {missing}; it has {df.columns}")
 
 
+#: Rows in an Arrow batch, where the session leaves Spark's default: texts may be long, and a worker holds a batch in several forms.
+BATCH_ROWS, DEFAULT_ROWS = 2048, "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; a cluster gets it by --py-files."""
+    """Let Python workers import this package from where the driver has it (a cluster gets it by --py-files), in batches of moderate size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):

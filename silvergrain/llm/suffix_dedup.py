@@ -33,7 +33,7 @@ from . import shared
 
 LENGTH, GRAM = 200, 48
 #: Different segments in a bucket up to which it is sorted in one task; bytes of the segments sorted at a time; bytes of texts hashed at a time.
-HOT, BLOCK, CHUNK = 8192, 4 << 20, 2 << 20
+HOT, BLOCK, CHUNK = 8192, 2 << 20, 1 << 20
 #: Size of the difference cover: period 24 r r + 36 r + 13, 6 r + 4 members.
 COVER = 1
 

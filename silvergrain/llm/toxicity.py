@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import shared
 
@@ -260,6 +261,19 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
     return rows.mapInPandas(run, f"{kept}, score double, n_passages int")
 
 
+def kept_rows(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", below: float = DECISION) -> DataFrame:
+    """The rows of docs whose score is below the decision, with all their columns; only texts go to Python."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(DoubleType())
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = held.value
+        for texts in parts:
+            yield pd.Series([own.score(*own.evidence(t)[:2]) for t in texts], dtype=float)
+
+    return docs.where(scores(F.coalesce(F.col(text_col), F.lit(""))) < below)
+
+
 def passages(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per significant passage: doc_id, first_word, end_word, passage_score, e_value, passage (its words)."""
     held = spark.sparkContext.broadcast(model)
