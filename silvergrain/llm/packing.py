@@ -32,8 +32,8 @@ from .bpe_codec import byte_chars, serialise
 WINDOW, END_ID = 4096, 2
 #: Chunks of text that a worker keeps before it starts anew.
 KEEP = 500_000
-#: Blocks of documents for the prefix sums; a block's rows (id and count only) are summed by one task.
-BLOCKS = 512
+#: Blocks of documents for the prefix sums, by shuffle partition; a block's rows (id and count only) are summed by one task.
+BLOCKS = 4
 
 
 class WordEncoder:
@@ -144,17 +144,18 @@ def unpacked(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, dtype="<u2") if len(ids) == 2 * n else np.frombuffer(ids[2:-1], dtype="<u4")
 
 
-def offsets(sizes: DataFrame) -> DataFrame:
+def offsets(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     """(doc_id, doc_tokens) with ``begin``, the tokens before the row in the stream: two prefix sums.
 
     The stream's order is (block, doc_id, doc_tokens). Rows that repeat doc_id and size are told apart by ``copy``,
     numbered from 1.
     """
-    blocked = sizes.select("doc_id", "doc_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).alias("_block"))
+    blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocked = sizes.select("doc_id", "doc_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_block"))
     inside = Window.partitionBy("_block").orderBy("doc_id", "doc_tokens").rowsBetween(Window.unboundedPreceding, -1)
     copy = Window.partitionBy("_block", "doc_id").orderBy("doc_tokens")
     totals = blocked.groupBy("_block").agg(F.sum("doc_tokens").alias("_total"))
-    # BLOCKS rows at most, whatever the input: one task, and small enough to send to all
+    # a few rows a partition, whatever the input: one task, and small enough to send to all
     starts = totals.select("_block", F.coalesce(F.sum("_total").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     placed = blocked.withColumn("_in", F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0))).withColumn("copy", F.row_number().over(copy))
     return placed.join(F.broadcast(starts), "_block").select("doc_id", "copy", (F.col("_start") + F.col("_in")).alias("begin"))
@@ -173,7 +174,7 @@ def _cut(spark, df, window, path, end_id, id_col, text_col, digest: bool) -> Dat
     shared.fresh(df, id_col, text_col)
     held = shared.table(spark, encoded(df, path, end_id, id_col, text_col), "token-ids")
     sizes = held.select("doc_id", "doc_tokens")
-    where = offsets(sizes).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "begin")
+    where = offsets(spark, sizes).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "begin")
     if sizes.groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = held.join(where, F.col("doc_id").eqNullSafe(F.col("_id")))
     else:
