@@ -2,8 +2,9 @@
 
 Shingles: five words in a row (all words, if fewer), weighted by their count times the inverse document frequency. The
 latter is ln(N / df) for shingles in at least ``COMMON`` of all documents and ln(1 / COMMON), its largest value,
-for the rest, so only common ones have to be told apart. These are found exactly by two passes: a shingle
-common overall is common in some partition; what is common in a partition is counted in all.
+for the rest, so only common ones have to be told apart; it is at least ``LEAST`` of the largest value, lest a large group of
+near copies weigh its own edits too high. Common shingles are found exactly by two passes: one common overall is common in
+some partition; what is common in a partition is counted in all.
 
 Samples: for hash k a shingle of weight w gets t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r, with r
 and c of Gamma(2, 1) and beta uniform, all drawn from the shingle and k; a document's sample is the smallest a. Two
@@ -13,6 +14,11 @@ Links: documents with equal shingles are one node. Within a bucket of a band, al
 nodes that this leaves in different components get other pivots, round by round, until few pairs are left, and
 then all of those are compared. So a group of m near copies costs about m comparisons, and no candidate pair
 whose link could matter is left out. A pivot's comparisons are dealt over tasks in parts of ``PART`` members.
+
+Bounds: two documents of weights w share at most the smaller of their v, where v leaves out what no other document still in
+question has; so their similarity is at most m / (w + w - m) with m = min v. If both were compared with one pivot and share s with
+it, what they share inside and outside the pivot is bounded apart: m = min s + min (v - s). Pairs below SIMILAR by that
+are not compared. Pivots are those with the largest share v / w, the least edited of a group.
 """
 
 from __future__ import annotations
@@ -33,9 +39,11 @@ SHINGLE, SIMILAR = 5, 0.8
 #: A link of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**10 = 0.9992.
 BANDS, ROWS = 10, 3
 #: Share of documents from which on a shingle's frequency counts; most candidates that are sent to all tasks (8 bytes each).
-COMMON, SENT = 0.005, 2_000_000
-#: Members compared with a copy of their pivot in one task; rounds of pivots; pairs a node left to be compared outright.
-PART, ROUNDS, LEFT = 512, 12, 2
+COMMON, LEAST, SENT = 0.05, 0.5, 2_000_000
+#: Members compared with a copy of their pivot in one task; rounds of pivots; pairs a node left whose bounds are looked at outright.
+PART, ROUNDS, LEFT = 512, 6, 2000
+#: Ids up to which they are sent to all tasks to pick candidates' texts (8 bytes each); beyond, texts are shuffled.
+PICKED = 1_000_000
 #: Documents worked on at a time.
 CHUNK = 256
 
@@ -125,14 +133,20 @@ class Sampler:
         return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two documents as (sorted hashes, weights)."""
+def common_weight(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weight that two documents, as (sorted hashes, weights), share: the sum of the smaller weights."""
     if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
+        return 0.0
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     hit = b[0][at] == a[0]
-    shared_weight = np.minimum(a[1][hit], b[1][at[hit]]).sum()
-    return float(shared_weight / (a[1].sum() + b[1].sum() - shared_weight))
+    return float(np.minimum(a[1][hit], b[1][at[hit]]).sum())
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity; two documents without shingles are alike."""
+    both = common_weight(a, b)
+    total = float(a[1].sum() + b[1].sum()) - both
+    return both / total if total else 1.0
 
 
 def _chunks(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -188,11 +202,11 @@ def common_shingles(spark: SparkSession, rows: DataFrame) -> Weights:
     # a document has few shingles that 1 / COMMON of all others share: at most its length / COMMON rows
     found = df.where(F.col("df") >= COMMON * total).toPandas()
     factor = np.log((total + 1) / found["df"].to_numpy(dtype=float)) / np.log(1 / COMMON)
-    return Weights(found["s"].to_numpy(dtype=np.int64).view(np.uint64), np.clip(factor, 1e-3, 1.0))
+    return Weights(found["s"].to_numpy(dtype=np.int64).view(np.uint64), np.clip(factor, LEAST, 1.0))
 
 
 def signed(spark: SparkSession, rows: DataFrame, weights: Weights) -> DataFrame:
-    """Per row: _id, _set (digest of its shingles and counts), _bands (a bucket number a band)."""
+    """Per row: _id, _set (digest of its shingles and counts), _w (its weight), _bands (a bucket number a band)."""
     sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,21 +216,23 @@ def signed(spark: SparkSession, rows: DataFrame, weights: Weights) -> DataFrame:
             for part, found in _chunks(batch):
                 sets = [xxhash.xxh3_128_digest(h.tobytes() + c.tobytes()) for h, c in found]
                 full = [i for i, (h, _) in enumerate(found) if len(h)]
-                bands: list[np.ndarray | None] = [np.zeros(0, dtype=np.int64)] * len(found)
+                bands, total = [np.zeros(0, dtype=np.int64)] * len(found), np.zeros(len(found))
                 if full:
                     hashed, counts = (np.concatenate([found[i][x] for i in full]) for x in (0, 1))
                     sizes = np.array([len(found[i][0]) for i in full])
-                    low = sampler.signatures(hashed, own.of(hashed, counts), np.cumsum(sizes) - sizes).view(np.uint64).reshape(BANDS, ROWS, -1)
+                    weight, starts = own.of(hashed, counts), np.cumsum(sizes) - sizes
+                    total[full] = np.add.reduceat(weight, starts)
+                    low = sampler.signatures(hashed, weight, starts).view(np.uint64).reshape(BANDS, ROWS, -1)
                     keys = _mixed(sum(low[:, j] * _ODD[j] for j in range(ROWS)) + salts[:, None]).view(np.int64)
                     for i, column in zip(full, keys.T):
                         bands[i] = column
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": sets, "_bands": bands})
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": sets, "_w": total, "_bands": bands})
 
-    return rows.mapInPandas(run, "_id long, _set binary, _bands array<long>")
+    return rows.mapInPandas(run, "_id long, _set binary, _w double, _bands array<long>")
 
 
 def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """Of the pairs (a, b), those whose texts' similarity reaches SIMILAR. Every a meets its bs in parts of PART."""
+    """The pairs (a, b) with the weight x that their texts share and whether their similarity reaches SIMILAR. Every a meets its bs in parts of PART."""
     sent = spark.sparkContext.broadcast(weights)
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
     members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("_part"), F.lit(1).alias("_role"), F.col("b").alias("_id"))
@@ -232,11 +248,12 @@ def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, weights: W
                     this = (h, own.of(h, c))
                     if role == 0:
                         key, pivot = (a, p), this
-                    elif key == (a, p) and similarity(pivot, this) >= SIMILAR:
-                        out.append((a, i))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                    elif key == (a, p):
+                        x = common_weight(pivot, this)
+                        out.append((a, i, x, x >= SIMILAR * (pivot[1].sum() + this[1].sum() - x)))
+            yield pd.DataFrame(out, columns=["a", "b", "x", "linked"])
 
-    return rows.select("a", "_part", "_role", "_id", "_text").mapInPandas(run, "a long, b long")
+    return rows.select("a", "_part", "_role", "_id", "_text").mapInPandas(run, "a long, b long, x double, linked boolean")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -277,10 +294,11 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     weights = common_shingles(spark, named)
     signs = shared.table(spark, signed(spark, named, weights), "signatures")
     nodes = shared.table(spark, signs.groupBy("_set").agg(F.min("_id").alias("_node")), "nodes")
-    buckets = signs.join(nodes.select(F.col("_node").alias("_id"), "_set"), ["_id", "_set"], "left_semi").select(F.col("_id").alias("n"), F.explode("_bands").alias("k")).distinct()
+    buckets = signs.join(nodes.select(F.col("_node").alias("_id"), "_set"), ["_id", "_set"], "left_semi").select(F.col("_id").alias("n"), "_w", F.explode("_bands").alias("k")).groupBy("k", "n").agg(F.max("_w").alias("w"))
     many = buckets.groupBy("k").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("k")
     buckets = shared.table(spark, buckets.join(many, "k", "left_semi"), "buckets")
-    texts = shared.table(spark, named.join(buckets.select(F.col("n").alias("_id")).distinct(), "_id", "left_semi"), "candidate-texts")
+    ids = buckets.select(F.col("n").alias("_id")).distinct()
+    texts = shared.table(spark, named.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "_id", "left_semi"), "candidate-texts")
     roots = links(spark, buckets, texts, weights)
     placed = nodes.join(roots.select(F.col("_id").alias("_node"), "_root"), "_node", "left").select("_set", F.coalesce("_root", "_node").alias("class_id"))
     found = signs.select("_id", "_set").join(placed, "_set")
@@ -290,37 +308,86 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     return done.unionByName(alone)
 
 
+def unshared_weights(spark: SparkSession, texts: DataFrame, weights: Weights) -> DataFrame:
+    """(n, alone): the weight of each text's shingles that no other of the texts (_id, _text) has, where there are any."""
+    sent = spark.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, found in _chunks(batch):
+                n = np.repeat(part["_id"].to_numpy(), [len(h) for h, _ in found])
+                h, c = (np.concatenate([f[x] for f in found]) for x in (0, 1))
+                yield pd.DataFrame({"n": n, "s": h.view(np.int64), "x": sent.value.of(h, c)})
+
+    rows = texts.mapInPandas(run, "n long, s long, x double")
+    once = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.max("x").alias("x")).where("m = 1")
+    return once.groupBy("n").agg(F.sum("x").alias("alone"))
+
+
+def open_buckets(spark: SparkSession, placed: DataFrame) -> tuple[DataFrame, float]:
+    """The rows of buckets whose nodes are in several components (c), and the number of pairs between these."""
+    sizes = placed.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("k")
+    split = sizes.agg(F.count(F.lit(1)).alias("parts"), ((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.pow("m", F.lit(2)))) / 2).alias("pairs")).where("parts > 1")
+    live = shared.table(spark, placed.join(split.select("k", "pairs"), "k"), "live-buckets")
+    return live, live.select("k", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+
+
 def links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """Components (_id, _root) of the links between nodes that share a bucket (k, n)."""
+    """Components (_id, _root) of the links between nodes that share a bucket (k, n, and w, the node's weight)."""
     edges = spark.createDataFrame([], "a long, b long")
     done = edges  # pairs that were compared, linked or not
     roots = edges.select(F.col("a").alias("_id"), F.col("b").alias("_root"))
-    placed = buckets.select("k", "n", F.col("n").alias("c"))
+    # v: weight that others may share; p, s: a pivot the node was compared with, and the weight they share
+    known = buckets.select("n", "w", F.col("w").alias("v"), F.lit(None).cast("long").alias("p"), F.lit(0.0).alias("s")).distinct()
+    buckets = buckets.select("k", "n")
     n_nodes = texts.count()
+    most = F.least("v", "pv")
+    most = F.when(F.col("p") == F.col("pp"), F.least(most, F.least("s", "ps") + F.least(F.col("v") - F.col("s"), F.col("pv") - F.col("ps")))).otherwise(most)
+    possible = most >= SIMILAR * (F.col("w") + F.col("pw") - most) - 1e-9
+    other = [F.col("w").alias("pw"), F.col("v").alias("pv"), F.col("p").alias("pp"), F.col("s").alias("ps")]
+
+    def placed() -> DataFrame:
+        root = roots.select(F.col("_id").alias("n"), "_root")
+        return buckets.join(known, "n").join(root, "n", "left").select("k", "n", "w", "v", "p", "s", F.coalesce("_root", "n").alias("c"))
+
     for turn in range(ROUNDS + 1):
-        split = placed.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.count(F.lit(1)).alias("parts"), ((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.pow("m", F.lit(2)))) / 2).alias("pairs")).where("parts > 1")
-        live = shared.table(spark, placed.join(split.select("k", "pairs"), "k"), "live-buckets")
-        across = live.select("k", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        live, across = open_buckets(spark, placed())
+        if turn == 1 and across:  # what the nodes still in question share at most; those with too little have no partner
+            ids = live.select(F.col("n").alias("_id")).distinct()
+            alone = unshared_weights(spark, texts.join(ids, "_id", "left_semi"), weights)
+            share = F.col("w") - F.coalesce("alone", F.lit(0.0))
+            known = shared.table(spark, live.select("n", "w").distinct().join(alone, "n", "left").select("n", "w", share.alias("v"), F.lit(None).cast("long").alias("p"), F.lit(0.0).alias("s")).where(F.col("v") >= SIMILAR * F.col("w") - 1e-9), "known")
+            buckets = live.select("k", "n")
+            live, across = open_buckets(spark, placed())
         if not across:
             break
-        last = turn == ROUNDS or turn > 0 and across <= LEFT * n_nodes
-        order = F.xxhash64("n", F.lit(turn)) if turn else F.col("n")
+        last = turn == ROUNDS or turn > 1 and across <= LEFT * n_nodes
         if last:  # all that is left, between components only
-            other = live.select("k", F.col("n").alias("b"), F.col("c").alias("d"))
-            pairs = live.select("k", F.col("n").alias("a"), "c").join(other, "k").where("a < b AND c <> d").select("a", "b")
+            # a pair that shares several buckets is looked at in the first of them
+            keyed = live.join(live.groupBy("n").agg(F.collect_set("k").alias("ks")), "n")
+            mates = keyed.select("k", F.col("n").alias("b"), F.col("c").alias("d"), *other, F.col("ks").alias("pks"))
+            first = F.col("k") == F.array_min(F.array_intersect("ks", "pks"))
+            pairs = keyed.withColumnRenamed("n", "a").join(mates, "k").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & possible & first).select("a", "b")
         else:
-            pivots = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), F.col("n").alias("a"), F.col("c").alias("d"))).alias("p")).select("k", "p.a", "p.d")
-            pairs = live.join(pivots, "k").where("n <> a AND c <> d").select("a", F.col("n").alias("b"))
+            order = F.struct((-F.col("v") / F.col("w")).alias("o"), F.xxhash64("n", F.lit(turn)).alias("h")) if turn == 1 else F.struct(F.xxhash64("n", F.lit(turn)).alias("o"))
+            pivots = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), F.col("n").alias("a"), F.col("c").alias("d"), *other)).alias("m")).select("k", "m.a", "m.d", "m.pw", "m.pv", "m.pp", "m.ps")
+            wanted = F.lit(True) if turn == 1 else (F.col("c") != F.col("d")) & possible  # the pivots of turn 1 serve the bounds: all are held to them
+            pairs = live.join(pivots, "k").where((F.col("n") != F.col("a")) & wanted).select("a", F.col("n").alias("b"))
         pairs = pairs.distinct()
-        if turn:
+        if turn > 1:
             both = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(both, ["a", "b"], "left_anti")
-        pairs = shared.table(spark, pairs, "pairs")
-        new = shared.table(spark, verified(spark, pairs, texts, weights), "links")
-        edges, done = edges.unionByName(new), done.unionByName(pairs)
-        if not new.isEmpty():
+        seen = shared.table(spark, verified(spark, shared.table(spark, pairs, "pairs"), texts, weights), "compared")
+        edges, done = edges.unionByName(seen.where("linked").select("a", "b")), done.unionByName(seen.select("a", "b"))
+        if turn == 1:
+            own = seen.select(F.col("a").alias("n")).distinct().join(known, "n").select("n", F.col("n").alias("_p"), F.col("w").alias("_s"))
+            met = seen.select(F.col("b").alias("n"), F.col("a").alias("_p"), F.col("x").alias("_s")).unionByName(own)
+            size = seen.groupBy(F.col("a").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+            # of several pivots the one that most were held to, so that the nodes of a group have the same
+            best = met.join(size, "_p").groupBy("n").agg(F.max(F.struct("_c", "_p", "_s")).alias("_m"))
+            known = shared.table(spark, known.join(best, "n", "left").select("n", "w", "v", F.col("_m._p").alias("p"), F.coalesce("_m._s", F.lit(0.0)).alias("s")), "known")
+        if not seen.where("linked").isEmpty():
             roots = shared.table(spark, components(spark, edges), "roots")
-            placed = buckets.join(roots.select(F.col("_id").alias("n"), "_root"), "n", "left").select("k", "n", F.coalesce("_root", "n").alias("c"))
         if last:
             break
     return roots
