@@ -50,9 +50,14 @@ def chunk_count(n: Column, size: int, overlap: int) -> Column:
 def smart_chunk(words: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of chunks from an array of words: ``size`` words each, every next one ``size - overlap`` further on."""
     step = max(size - overlap, 1)
-    n = chunk_count(F.size(words), size, overlap)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+
+    def cut(own: Column) -> Column:
+        n = chunk_count(F.size(own), size, overlap)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i * step + 1, F.lit(size)), " "))
+
+    # the words are bound to a variable, else every chunk would split the text anew
+    return F.get(F.transform(F.array(words), cut), 0)
 
 
 def sentences(text: Column) -> Column:
