@@ -73,10 +73,20 @@ def enrich(context: Column, chunk: Column) -> Column:
     return F.when(F.coalesce(context, F.lit("")) == "", chunk).otherwise(F.concat(F.lit("[Context: "), context, F.lit("]\n"), chunk))
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """The longest start of a text that has at most so many bytes: a code point across the cut goes as a whole."""
+    data = F.encode(text, "utf-8")
+    # a byte 10xxxxxx goes on with a code point; of the up to four bytes of one, three at most stand before the cut
+    goes_on = lambda i: F.coalesce(F.hex(F.substring(data, i, 1)).rlike("^[89AB]"), F.lit(False))
+    end = F.lit(max(most - 3, 0))
+    for i in range(max(most - 2, 1), most + 1):
+        end = F.when(goes_on(i + 1), end).otherwise(F.lit(i))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(data, F.lit(1), end), "utf-8"))
+
+
 def excerpt(text: Column, least: int = 200, most: int = 4000) -> Column:
     """The first bytes of a text for a context request; empty if the text is short. A code point cut in two goes."""
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(text, "utf-8"), 1, most), "utf-8"), "�+$", "")
-    return F.when(F.octet_length(text) < least, "").otherwise(F.trim(cut))
+    return F.when(F.octet_length(text) < least, "").otherwise(F.trim(first_bytes(text, most)))
 
 
 def extension(path: Column) -> Column:
@@ -134,9 +144,8 @@ def strip_control(text: Column) -> Column:
 
 
 def truncate_bytes(text: Column, most: int) -> Column:
-    """At most so many bytes, marked if cut."""
-    cut = F.decode(F.substring(F.encode(text, "utf-8"), 1, most), "utf-8")
-    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
+    """At most so many bytes, marked if cut. A code point cut in two goes."""
+    return F.when(F.octet_length(text) > most, F.concat(first_bytes(text, most), F.lit("..."))).otherwise(text)
 
 
 def truncate_chars(text: Column, most: int) -> Column:

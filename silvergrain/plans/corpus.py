@@ -160,10 +160,29 @@ def content_hash_dedup(spark, sf_dir):
 
 @query("SELECT doc_id, strlen(text) <= 2000 AS small, md5(CASE WHEN strlen(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS digest FROM documents WHERE strlen(text) = length(text)")
 def truncate_texts(spark, sf_dir):
-    own = documents(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    """The ASCII documents only, as its SQL has it; all of them are in truncate_texts_whole."""
+    return truncated(documents(spark, sf_dir).where(F.octet_length("text") == F.length("text")))
+
+
+def truncated(own: DataFrame) -> DataFrame:
     return own.select("doc_id", (F.octet_length("text") <= 2000).alias("small"), F.md5(T.truncate_bytes(F.col("text"), 200)).alias("digest"))
 
 
+def first_bytes_sql(most: int) -> str:
+    """The longest start of text of at most so many bytes, in hexadecimal digits h of the whole: the cut moves back over bytes 10xxxxxx."""
+    goes_on = lambda i: f"substr(h, {2 * i + 1}, 1) IN ('8', '9', 'A', 'B')"
+    back = f"CASE WHEN NOT {goes_on(most)} THEN 0 WHEN NOT {goes_on(most - 1)} THEN 1 WHEN NOT {goes_on(most - 2)} THEN 2 ELSE 3 END"
+    return f"CASE WHEN strlen(text) <= {most} THEN text ELSE decode(unhex(left(h, 2 * ({most} - {back})))) END"
+
+
+HEX = "x AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)"
+
+
+@query(f"WITH {HEX} SELECT doc_id, strlen(text) <= 2000 AS small, md5({first_bytes_sql(200)} || CASE WHEN strlen(text) > 200 THEN '...' ELSE '' END) AS digest FROM x")
+def truncate_texts_whole(spark, sf_dir):
+    return truncated(documents(spark, sf_dir))
+
+
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def last_user_message(spark, sf_dir):
     return rag.last_user_message(table(spark, sf_dir, "conversations"))
@@ -247,11 +266,20 @@ def answer_fallback(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN strlen(text) < 200 THEN '' ELSE md5(trim(left(text, 4000))) END AS digest FROM documents WHERE strlen(text) = length(text)")
 def excerpts(spark, sf_dir):
-    own = documents(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    """The ASCII documents only, as its SQL has it; all of them are in excerpts_whole."""
+    return excerpted(documents(spark, sf_dir).where(F.octet_length("text") == F.length("text")))
+
+
+def excerpted(own: DataFrame) -> DataFrame:
     cut = T.excerpt(F.col("text"))
     return own.select("doc_id", F.when(cut == "", "").otherwise(F.md5(cut)).alias("digest"))
 
 
+@query(f"WITH {HEX} SELECT doc_id, CASE WHEN strlen(text) < 200 THEN '' ELSE md5(trim({first_bytes_sql(4000)})) END AS digest FROM x")
+def excerpts_whole(spark, sf_dir):
+    return excerpted(documents(spark, sf_dir))
+
+
 @query("SELECT page_id, md5(replace(to_base64(encode(html)), chr(10), '')) AS digest, true AS same FROM pages")
 def base64_payloads(spark, sf_dir):
     """Contents as they travel to plug-ins: base64 in one line, and back."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from silvergrain.functions import ids, relations as R, text as T, vectors as V
 from silvergrain.operators import delta, evals, governance, graph, index, metrics, rag
 from silvergrain.operators import search as S
+from silvergrain.plans import catalog
 
 
 def leg(spark, names, namespace="docs", chunk=0):
@@ -185,6 +187,35 @@ def test_truncate(spark):
     assert one(spark, T.truncate_chars(F.lit("héllo"), 5)) == "héllo"
 
 
+def test_byte_cuts_keep_code_points_whole(spark):
+    """Every cut through code points of one to four bytes, against Python's own decoder."""
+    texts = ["", "a", "é" * 6, "日本語です", "🙂👍🏽x", "aé日🙂" * 4, "ab�", "�" * 5, "  é  é"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for most in range(1, 14):
+        want = [t.encode()[:most].decode(errors="ignore") for t in texts]
+        found = rows.select("i", T.truncate_bytes(F.col("text"), most).alias("t"), T.excerpt(F.col("text"), 2, most).alias("e")).orderBy("i").collect()
+        assert [r["t"] for r in found] == [w + "..." if len(t.encode()) > most else t for t, w in zip(texts, want)]
+        assert [r["e"] for r in found] == ["" if len(t.encode()) < 2 else w.strip(" ") for t, w in zip(texts, want)]
+
+
+@pytest.mark.parametrize(("name", "most"), [("excerpts_whole", 4000), ("truncate_texts_whole", 200)])
+def test_whole_table_is_cut(spark, sf_dir, tmp_path, name, most):
+    """All documents, with code points across the cut at each of their bytes, against brute force."""
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = [(10**6 + i, "a" * (most - i) + c * 300, "de", "s", 0) for i in range(5) for c in ("é", "日", "🙂")]
+    more = [(10**6 + k, *r[1:]) for k, r in enumerate(more)]
+    given.unionByName(spark.createDataFrame(more, given.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["digest"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    cut = lambda t: t.encode()[:most].decode(errors="ignore")
+    want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    assert any(len(t) < len(t.encode()) for i, t in want.items() if i < 10**6)
+    if name == "excerpts_whole":
+        assert found == {i: "" if len(t.encode()) < 200 else md5(cut(t).strip(" ")) if cut(t).strip(" ") else "" for i, t in want.items()}
+    else:
+        assert found == {i: md5(cut(t) + "..." if len(t.encode()) > most else t) for i, t in want.items()}
+
+
 def test_agentic_loop(spark):
     first = spark.createDataFrame([("1", 0.5, "a"), ("2", 0.4, "b")], "point_id string, score double, text string")
     more = spark.createDataFrame([("1", 0.9, "a"), ("3", 0.7, "c")], first.schema)
