@@ -2,8 +2,8 @@
 
 Shingles: five words in a row (all words, if fewer), weighted by their count times the inverse document frequency. The
 latter is ln(N / df) for shingles in at least ``COMMON`` of all documents and ln(1 / COMMON), its largest value,
-for the rest, so only common ones have to be told apart; it is at least ``LEAST`` of the largest value, lest a large group of
-near copies weigh its own edits too high. Common shingles are found exactly by two passes: one common overall is common in
+for the rest, so only common ones have to be told apart; it is at least ``LEAST`` of the largest value, lest a shingle
+of all documents weigh nothing. Common shingles are found exactly by two passes: one common overall is common in
 some partition; what is common in a partition is counted in all.
 
 Samples: for hash k a shingle of weight w gets t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r, with r
@@ -39,7 +39,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: A link of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**10 = 0.9992.
 BANDS, ROWS = 10, 3
 #: Share of documents from which on a shingle's frequency counts; most candidates that are sent to all tasks (8 bytes each).
-COMMON, LEAST, SENT = 0.05, 0.5, 2_000_000
+COMMON, LEAST, SENT = 0.005, 0.001, 2_000_000
 #: Members compared with a copy of their pivot in one task; rounds of pivots; pairs a node left whose bounds are looked at outright.
 PART, ROUNDS, LEFT = 512, 6, 2000
 #: Ids up to which they are sent to all tasks to pick candidates' texts (8 bytes each); beyond, texts are shuffled.

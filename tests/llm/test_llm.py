@@ -342,6 +342,24 @@ def test_near_dedup(spark):
     assert near_dedup.classes(spark, lone).first()["kept"]
 
 
+def test_weights_fall_with_document_frequency(spark):
+    """Weights as literals: ln(201 / df) / ln(200) for shingles in 1, 8, 100 and 200 of 200 documents, one at most and 0.001 at least."""
+    texts = ["p q r s t"] * 8 + ["u v w x y"] * 100 + [f"a{i} b c d e" for i in range(92)]
+    weights = near_dedup.common_shingles(spark, docs(spark, texts).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")))
+    of = lambda t, w: float(w.of(*near_dedup.shingles([t])[0])[0])
+    assert [of(t, weights) for t in (texts[0], texts[8], texts[-1])] == pytest.approx([0.60847, 0.13176, 1.0], abs=1e-4)
+    everywhere = near_dedup.common_shingles(spark, docs(spark, ["p q r s t"] * 200).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")))
+    assert of("p q r s t", everywhere) == pytest.approx(0.001)
+
+
+def test_a_template_does_not_make_near_copies(spark):
+    """92 of 100 shingles of a template in 4 % of documents: 56.0 / (56.0 + 16) = 0.78, below 0.8; by counts alone it would be 0.85."""
+    template = " ".join(f"t{i}" for i in range(96))
+    texts = [template + "".join(f" d{i}x{j}" for j in range(8)) for i in range(8)] + [f"f{i} b c d e" for i in range(192)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark, docs(spark, texts)).collect()}
+    assert [found[i] for i in range(8)] == list(range(8))
+
+
 def test_samples_meet_as_often_as_sets_are_similar():
     rnd = np.random.default_rng(1)
     pool = rnd.integers(0, 1 << 63, 300).astype(np.uint64)
