@@ -87,9 +87,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(y - x)) for b, e, x, y, _ in stack]
 
 
-def law(scores: np.ndarray) -> float:
-    """lambda of the extreme-value law: the positive root of the mean of exp(lambda s) = 1."""
-    values, times = np.unique(np.round(scores, 2), return_counts=True)
+def law(values: np.ndarray, times: np.ndarray) -> float:
+    """lambda of the extreme-value law: the positive root of the mean of exp(lambda s) = 1, over scores and how often each stands."""
     p = times / times.sum()
     if values.max(initial=0) <= 0:  # no clean token scores above 0: as if one in ten million did
         values, p = np.append(values, 6.0), np.append(p * (1 - 1e-7), 1e-7)
@@ -219,14 +218,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column |
             for text, toxic in zip(batch["_text"], batch["_toxic"]):
                 words = words_of(text)
                 scores = scores_of(words, model.tokens)
-                step = scores[:: max(1, len(scores) // 50)]
-                out.append((int(toxic), len(words), max((s for *_, s in maximal_segments(scores)), default=0.0), step.tolist() if not toxic else []))
-            yield pd.DataFrame(out, columns=["toxic", "n", "best", "scores"])
+                # all token scores of a clean text, as counts of rounded ones
+                values, times = np.unique(np.round(scores, 2), return_counts=True) if not toxic else (scores[:0], scores[:0])
+                out.append((int(toxic), len(words), max((s for *_, s in maximal_segments(scores)), default=0.0), values.tolist(), times.astype(int).tolist()))
+            yield pd.DataFrame(out, columns=["toxic", "n", "best", "scores", "times"])
 
-    seen = rows.where(second).select("_text", "_toxic").mapInPandas(best_raw, "toxic int, n long, best double, scores array<double>").toPandas()
+    seen = rows.where(second).select("_text", "_toxic").mapInPandas(best_raw, "toxic int, n long, best double, scores array<double>, times array<long>").toPandas()
     clean = seen[(seen["toxic"] == 0) & (seen["n"] > 0)]
     if len(clean):
-        model.lam = law(np.concatenate([np.asarray(s) for s in clean["scores"]]))
+        values, place = np.unique(np.concatenate([np.asarray(s, dtype=float) for s in clean["scores"]]), return_inverse=True)
+        model.lam = law(values, np.bincount(place, np.concatenate([np.asarray(t, dtype=float) for t in clean["times"]])))
         shifted = model.lam * clean["best"].to_numpy() - np.log(clean["n"].to_numpy())
         model.k = float(np.exp(np.clip(shifted.mean() - 0.5772, -30, 5)))
 

@@ -277,6 +277,24 @@ def test_toxicity_edges(spark):
     assert toxicity.score(spark, own.limit(0), model).count() == 0
 
 
+def test_law_sees_every_token_of_clean_texts(spark):
+    """lambda over all token scores of the clean texts that calibrate; of 2000 words a stride would leave out most."""
+    rnd = random.Random(8)
+    plain = [f"{a}{b}" for a in ("ga", "lo", "mi", "tu") for b in ("rden", "cal", "nute", "lip")]
+    texts = [" ".join("moron" if rnd.random() < 0.02 else rnd.choice(plain) for _ in range(2000)) for _ in range(60)] + ["you moron idiot scum"] * 60
+    own = docs(spark, texts)
+    model = toxicity.fit(spark, own, own.select("doc_id", (F.col("doc_id") >= 60).cast("int").alias("toxic")))
+    second = own.where("doc_id < 60").where(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0)
+    scores = np.concatenate([toxicity.scores_of(toxicity.words_of(r["text"]), model.tokens) for r in second.collect()])
+    values, times = np.unique(np.round(scores, 2), return_counts=True)
+    assert values.max() > 0
+    lo, hi = 1e-6, 50.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if (times * np.exp(np.minimum(mid * values, 700))).sum() > times.sum() else (mid, hi)
+    assert model.lam == pytest.approx(lo, rel=1e-9)
+
+
 def test_forward_sums_all_segmentations():
     vocab = ({"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "▁ab": 5}, {"▁", "a", "b", "▁a", "ab", "▁ab"}, 6)
     p = np.array([0.1, 0.2, 0.15, 0.25, 0.2, 0.1, 1e-7])[:, None]
