@@ -441,3 +441,28 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
         if name == "toxicity":
             assert len(left) > 0.8 * len(before)
         given = after
+
+
+def test_stages_row_by_row(spark, sf_dir):
+    """Toxicity against the model's score of each text, trimmed texts against brute-force bytes, pieces against the library's ids."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in given.collect()}
+    model = toxicity.fit(spark, given, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    clean = {i for i, t in texts.items() if model.score(*model.evidence(t)[:2]) < toxicity.DECISION}
+    assert {r["doc_id"] for r in stages["toxicity"](spark, given, sf_dir).collect()} == clean != set(texts)
+    order = sorted(texts)
+    want = {i: c[3] for i, c in zip(order, repeats([(texts[i] or "").encode() for i in order]))}
+    left = {r["doc_id"]: r["text"] for r in stages["suffix-array dedup"](spark, given, sf_dir).collect()}
+    assert {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in left.items()} == want
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    seen = dict.fromkeys(ids, 0)
+    for r in stages["packing"](spark, given, sf_dir).orderBy("doc_id", "start").collect():
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == seen[r["doc_id"]] and r["ids_crc32"] == zlib.crc32(np.asarray(piece, "<u4").tobytes())
+        seen[r["doc_id"]] += len(piece)
+    assert seen == {i: len(x) for i, x in ids.items()}
