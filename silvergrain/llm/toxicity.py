@@ -31,10 +31,10 @@ from . import shared
 SAMPLE = 24_000
 #: Strength of each prior in tokens, lengths of the stems, rarest token kept, what is taken off each score, largest E-value.
 PRIOR, STEMS, RAREST, DRIFT, SIGNIFICANT = 6.0, (3, 4, 5), 3, 0.4, 0.01
-#: Standard deviations taken off a score, so that few occurrences weigh little.
+#: A score is taken at the bound of its share's interval that lies nearer to none, so many standard deviations wide; few occurrences weigh little.
 CAUTION = 1.64
-#: A document whose calibrated probability is above CERTAIN gets a score of at least DECISION; queries predict 1 from there on.
-CERTAIN, DECISION = 0.6, 0.7
+#: Calibrated probability from which on queries predict 1.
+DECISION = 0.7
 KEEP = 400_000
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -127,10 +127,9 @@ class Model:
         return max(found, default=0.0), math.log1p(sum(found)), len(found)
 
     def score(self, best: float, total: float) -> float:
-        """Probability by the calibration, stretched so that CERTAIN becomes DECISION."""
+        """Probability by the calibration."""
         a, b, c = self.line
-        p = 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * best + c * total))))
-        return p / CERTAIN * DECISION if p <= CERTAIN else DECISION + (p - CERTAIN) / (1 - CERTAIN) * (1 - DECISION)
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * best + c * total))))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -146,11 +145,19 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(w.tolist())
 
 
+def wilson(t: float, c: float) -> tuple[float, float]:
+    """Bounds of Wilson's interval for the share t / (t + c), CAUTION standard deviations to either side."""
+    n, z = t + c, CAUTION * CAUTION
+    middle, half = t + z / 2, CAUTION * math.sqrt(t * c / n + z / 4)
+    return (middle - half) / (n + z), (middle + half) / (n + z)
+
+
 def token_scores(counts: pd.DataFrame) -> Model:
     """From columns level (stem length, 0 the word), token, toxic, clean: posterior log-odds, level by level.
 
     The prior of a token comes from the other tokens of its stems, its own counts taken out, so that no occurrence is
-    evidence twice. A score is the log-odds less ``CAUTION`` standard deviations, and never crosses 0 by that.
+    evidence twice. A score is the log-odds at the bound nearer to 0 of Wilson's interval, which stays finite where a token has
+    only toxic or only clean occurrences, and never crosses 0 by that.
     """
     by = {k: dict(zip(g["token"], zip(g["toxic"].astype(float), g["clean"].astype(float)))) for k, g in counts.groupby("level")}
     toxic_all, clean_all = (float(counts.loc[counts["level"] == min(STEMS), c].sum()) for c in ("toxic", "clean"))
@@ -164,8 +171,8 @@ def token_scores(counts: pd.DataFrame) -> Model:
                 t, c = found[0] - toxic, found[1] - clean
                 prior = (t + PRIOR * prior) / (t + c + PRIOR)
         t, c = toxic + PRIOR * prior, clean + PRIOR * (1 - prior)
-        odds, slack = math.log(t / c) - root, CAUTION * math.sqrt(1 / t + 1 / c)
-        return (max(odds - slack, 0.0) if odds > 0 else min(odds + slack, 0.0)) - DRIFT
+        low, high = (math.log(p / (1 - p)) - root for p in wilson(t, c))
+        return max(low, 0.0) + min(high, 0.0) - DRIFT
 
     stems = {token: scored(token, k, *n) for k in STEMS for token, n in by.get(k, {}).items()}
     backed = TokenScores({}, stems, -DRIFT)

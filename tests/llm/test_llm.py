@@ -260,7 +260,7 @@ def test_toxicity_held_out(spark):
     rows = registry.queries()["op2_toxicity"](spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     n = {(r["toxic"], r["predicted"]): r["n"] for r in rows.where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.85
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.9
     assert n.get((0, 1), 0) / n[0, 0] < 0.01
 
 
@@ -277,6 +277,38 @@ def test_toxicity_edges(spark):
     assert toxicity.score(spark, own.limit(0), model).count() == 0
 
 
+def test_tokens_of_toxic_texts_alone_score_high():
+    """A token's bound stays finite where it has no clean occurrence, and more occurrences move it up."""
+    import pandas as pd
+
+    rows = [(0, "zappier", 90, 0), (0, "zapping", 4, 0), (0, "plain", 90, 900), (0, "clean", 0, 900), (3, "zap", 94, 0), (4, "zapp", 94, 0), (5, "zappi", 94, 0), (3, "pla", 90, 900), (3, "cle", 0, 900), (3, "oth", 10, 3000)]
+    model = toxicity.token_scores(pd.DataFrame(rows, columns=["level", "token", "toxic", "clean"]))
+    assert model.tokens["zappier"] > 2 and model.tokens["zappish"] > 2 and model.tokens["zapping"] > 2
+    assert -toxicity.DRIFT <= model.tokens["plain"] < 1 and model.tokens["clean"] < -2 and model.tokens["unseen"] == -toxicity.DRIFT
+    z = toxicity.CAUTION
+    for t, c in ((5.0, 0.01), (90.0, 3.0), (0.5, 40.0)):  # Wilson's bounds solve (p - t / n)**2 = z**2 p (1 - p) / n
+        for p in toxicity.wilson(t, c):
+            assert (p - t / (t + c)) ** 2 == pytest.approx(z * z * p * (1 - p) / (t + c))
+
+
+def test_scores_equal_a_row_by_row_version(spark):
+    """Scores of a whole table against segments by definition, the law and the calibration, text by text; ties, repeats, null and long texts."""
+    texts = [None, "", "fine words here", "you idiot moron scum", "you idiot moron scum", "plain " * 30_000, ("plain " * 300 + "idiot moron ") * 20, "moron", "ab " * 500 + "idiot"]
+    train = docs(spark, ["fine words here", "plain ab here", "you moron here", "idiot moron scum"] * 30)
+    model = toxicity.fit(spark, train, train.select("doc_id", F.col("text").rlike("moron").cast("int").alias("toxic")))
+    for r in toxicity.score(spark, docs(spark, texts), model).collect():
+        words = toxicity.words_of(texts[r["doc_id"]])
+        segments = []
+        scores = toxicity.scores_of(words, model.tokens)
+        for b, e, s in toxicity.maximal_segments(scores):
+            assert s == pytest.approx(float(scores[b:e].sum()))
+            segments.append(model.k * len(words) * math.exp(-model.lam * s))
+        logs = [-math.log(max(v, 1e-300)) for v in segments if v <= toxicity.SIGNIFICANT]
+        a, b, c = model.line
+        want = 1 / (1 + math.exp(-max(-60, min(60, a + b * max(logs, default=0) + c * math.log1p(sum(logs))))))
+        assert r["score"] == pytest.approx(want) and r["n_passages"] == len(logs)
+
+
 def test_law_sees_every_token_of_clean_texts(spark):
     """lambda over all token scores of the clean texts that calibrate; of 2000 words a stride would leave out most."""
     rnd = random.Random(8)
