@@ -115,11 +115,15 @@ def test_packing(spark):
 
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<a>"), (1, 2, "assistant", "\\b\\l</turn>"), (1, 3, "user", None), (2, 0, "system", ""), (2, 300, "assistant", "late"), (2, 300, "assistant", "late"), (2, None, None, "first"), (None, 0, "assistant", "x</role><assistant>")]
+    marks = ["us>er", "<a", "</turn>", "\\", "</role>", "\\g\\l", "><", "assistant"]
+    rows += [(3, i, r, r + "\n") for i, r in enumerate(marks)] + [(4, 0, "assistant", "y" * 300_000), (4, 1, "user", ">" * 300_000), (4, 2, "assistant", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     done = chat_format.format_chats(turns)
     found = {r["conv_id"]: r for r in done.select("conv_id", chat_format.parsed(F.col("formatted")).alias("t"), chat_format.under_mask(F.col("formatted"), F.col("mask")).alias("loss"), "formatted", F.size("mask").alias("n")).collect()}
     assert [(t["role"], t["text"]) for t in found[1]["t"]] == [("user", "hi"), ("assistant", "<a>"), ("assistant", "\\b\\l</turn>"), ("user", "")]
-    assert found[1]["loss"] == "<a>\\b\\l</turn>" and found[1]["n"] == 1
+    assert found[1]["loss"] == "<a>\\b\\l</turn>" and found[1]["n"] == 2
+    assert [(t["role"], t["text"]) for t in found[3]["t"]] == [(r, r + "\n") for r in marks] and found[3]["loss"] == "assistant\n"
+    assert found[4]["loss"] == "y" * 300_000 + "z" and found[4]["t"][1]["text"] == ">" * 300_000
     assert [(t["role"], t["text"]) for t in found[2]["t"]] == [("", "first"), ("system", ""), ("assistant", "late"), ("assistant", "late")]
     assert found[2]["formatted"].count("<assistant>") == 1
     assert found[None]["loss"] == "x</role><assistant>"
@@ -129,8 +133,9 @@ def test_chat_round_trip(spark):
 def test_chat_chunks_join(spark):
     """A conversation over several chunks: runs of one role that cross a border are one block."""
     turns = spark.range(700).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") < 600, "assistant").otherwise("user").alias("role"), F.col("id").cast("string").alias("text"))
-    row = chat_format.format_chats(turns).select("formatted", chat_format.under_mask(F.col("formatted"), F.col("mask")).alias("loss"), F.size("mask").alias("n")).first()
-    assert row["formatted"].count("</role>") == 2 and row["n"] == 1
+    row = chat_format.format_chats(turns).select("formatted", "mask", chat_format.under_mask(F.col("formatted"), F.col("mask")).alias("loss"), F.size("mask").alias("n")).first()
+    assert row["formatted"].count("</role>") == 2 and row["n"] == 600
+    assert [row["formatted"][m["start"] - 1 :][: m["length"]] for m in row["mask"]] == list(map(str, range(600)))
     assert row["loss"] == "".join(map(str, range(600)))
 
 
