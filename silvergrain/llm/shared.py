@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -61,6 +61,45 @@ def table(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many marks behind it as it takes to differ from every column of df."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
+class Kept(dict):
+    """What a worker has made of keys it has met: at most about twice ``most`` of them, and none longer than LONG.
+
+    When the newer half is full it becomes the older one, whose entries move back when they are asked for, so common keys stay.
+    """
+
+    LONG = 64
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        return self.put(key, self.make(key) if found is None else found)
+
+    def put(self, key, value):
+        if len(key) <= self.LONG:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def lacking(self, keys: Iterable) -> set:
+        """Those of the keys that would have to be made."""
+        return {k for k in keys if k not in self and k not in self.older}
+
+
 def fresh(df: DataFrame, *names: str) -> None:
     """Fail early when a column that the operator needs is missing."""
     missing = [n for n in names if n not in df.columns]

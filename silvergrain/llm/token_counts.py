@@ -8,22 +8,28 @@ prefix before it fit together. So with last[i] and count[i] for the prefix of i
 
 A pair of tokens is stable when the merges leave it as it is; that is decided by walking back the merges of
 both. The counts at all prefixes of each distinct pre-token are kept a worker; those of a text are the sums of its
-pre-tokens' last counts, plus the counts inside each. With them, the longest prefix within a budget and the count of
-any truncation are look-ups. A prefix that ends on a boundary of code points and not inside a special string, a
-white-space run's last character or a contraction is exact as stored; ``count_at`` handles those three.
+pre-tokens' last counts, plus the counts inside each. A cut can change the split before it in three places only, which
+``prefixes`` puts right: at the end of a white-space run, inside a contraction, inside a special string. So what is stored is exact at
+every prefix, and the count of any truncation or the longest prefix within a budget is a look-up.
+
+Whole tables are counted by chunks, the stretches between single spaces: the pattern never joins across a space before
+a sign, so a chunk with the space before it counts alike in every text, and so does a text cut inside it. A
+batch is cut into chunks and coded as arrays; a budget's answer is looked up in the one chunk in which the count passes it.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +37,12 @@ from pyspark.sql import functions as F
 from . import shared
 from .bpe_codec import byte_chars
 
-#: Pre-tokens and pairs that a worker keeps before it starts anew.
-KEEP, KEEP_PAIRS = 250_000, 1_000_000
-
-
-class _Kept(dict):
-    """Pre-token -> its counts; works out those it lacks."""
-
-    def __init__(self, owner: PrefixCounter):
-        super().__init__()
-        self.owner = owner
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = self.owner.of(piece)
-        return found
+#: Pre-tokens, chunks and pairs that a worker keeps.
+KEEP, KEEP_CHUNKS, KEEP_PAIRS = 300_000, 400_000, 1_000_000
+#: Contractions of which a shorter prefix splits otherwise than they do.
+SPLIT_LATE = ("'re", "'ve", "'ll")
+#: Texts that are cut and coded at a time.
+BLOCK = 2048
 
 
 class PrefixCounter:
@@ -64,11 +62,14 @@ class PrefixCounter:
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.rank[left, right] = at
             self.made.setdefault(whole, (left, right, at))
-        self.tails = {t[-k:] for t in self.ids for k in range(1, len(t) + 1)}
+        # every end of a token -> its id, -1 if it is none itself
+        self.tails = {t[-k:]: -1 for t in self.ids for k in range(1, len(t) + 1)} | self.ids
         special = sorted((x["content"] for x in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(pattern)
-        self.kept = _Kept(self)
+        self.blank = regex.compile(r"\s").match
+        self.kept = shared.Kept(self.of, KEEP)
+        self.chunks = shared.Kept(lambda chunk: sum([self.kept[w][-1] for w in self.pattern.findall(chunk)]), KEEP_CHUNKS)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def stable(self, a: int, b: int) -> bool:
@@ -101,31 +102,43 @@ class PrefixCounter:
         self.pairs[a, b] = answer
         return answer
 
-    def byte_counts(self, data: bytes) -> list[int]:
-        """count[i] for each prefix of i bytes of one pre-token."""
-        get, pairs, tails = self.ids.get, self.pairs, self.tails
-        n = len(data)
-        count, last = [0] * (n + 1), [-1] * (n + 1)
-        for i in range(1, n + 1):
+    def byte_counts(self, data: bytes, count: list[int], last: list[int]) -> None:
+        """Add to count and last, which hold those of some prefix, the entries of the longer prefixes up to data itself."""
+        pairs, tail = self.pairs, self.tails.get
+        for i in range(len(count), len(data) + 1):
             j, ends = i - 1, []
-            while j >= 0 and (part := data[j:i]) in tails:
-                if (token := get(part)) is not None:
+            while j >= 0 and (token := tail(data[j:i])) is not None:
+                if token >= 0:
                     ends.append((j, token))
                 j -= 1
             while ends:  # the longest first
                 j, token = ends.pop()
                 if j == 0 or (fits := pairs.get((last[j], token))) or fits is None and self.stable(last[j], token):
-                    last[i], count[i] = token, count[j] + 1
+                    last.append(token)
+                    count.append(count[j] + 1)
                     break
-        return count
 
-    def of(self, piece: str) -> bytes:
-        """Counts at the prefixes of 1, 2, ... code points of one pre-token, as 32-bit integers."""
-        data = piece.encode("utf-8")
-        count = self.byte_counts(data)
-        if len(data) != len(piece):
-            return array("i", [count[e] for e in accumulate(len(c.encode("utf-8")) for c in piece)]).tobytes()
-        return array("i", count[1:]).tobytes()
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Keep the counts of these pre-tokens. In order of their bytes, neighbours begin alike, and what they share is worked out once."""
+        before, count, last = b"", [0], [-1]
+        for data, piece in sorted((p.encode("utf-8"), p) for p in self.kept.lacking(pieces)):
+            same, most = 0, min(len(data), len(before))
+            while same < most and data[same] == before[same]:
+                same += 1
+            del count[same + 1 :], last[same + 1 :]
+            self.byte_counts(data, count, last)
+            self.kept.put(piece, self._held(piece, data, count))
+            before = data
+
+    def _held(self, piece: str, data: bytes, count: list[int]) -> bytes | array:
+        found = [count[e] for e in accumulate(len(c.encode("utf-8")) for c in piece)] if len(data) != len(piece) else count[1:]
+        return bytes(found) if max(found) < 256 else array("I", found)
+
+    def of(self, piece: str) -> bytes | array:
+        """Counts at the prefixes of 1, 2, ... code points of one pre-token; a byte each, if all fit."""
+        data, count = piece.encode("utf-8"), [0]
+        self.byte_counts(data, count, [-1])
+        return self._held(piece, data, count)
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Ordinary stretches and special strings (True), in order."""
@@ -136,62 +149,96 @@ class PrefixCounter:
             at = m.end()
         yield text[at:], False
 
+    def _plain(self, part: str) -> list[int]:
+        """Exact counts at the prefixes of a stretch without special strings."""
+        out: list[int] = []
+        kept, total, run = self.kept, 0, ""
+        for piece in self.pattern.findall(part):
+            counts = kept[piece]
+            out += [total + c for c in counts] if total else counts
+            if run and (end := self.blank(piece)):  # a cut behind the first sign leaves one run of white space
+                out[-len(piece)] = total - kept[run][-1] + kept[run + end.group()][-1]
+            elif piece in SPLIT_LATE:
+                out[-2] = total + kept["'"][-1] + kept[piece[1]][-1]
+            total += counts[-1]
+            run = piece if piece.isspace() and self.blank(piece[-1]) else ""
+        return out
+
     def prefixes(self, text: str) -> np.ndarray:
-        """The stored counts: entry i is the count at the prefix of i + 1 code points; the last is that of the text."""
-        if len(self.kept) > KEEP:
-            self.kept.clear()
-        get = self.kept.__getitem__
-        stored: list[bytes] = []
-        lengths: list[int] = []
+        """The stored counts: entry i is the exact count at the prefix of i + 1 code points; the last is that of the text."""
+        out, total, base, before = [np.zeros(0, dtype=np.int64)], 0, 0, ""
         for part, special in self.parts(text):
             if special:
-                stored.append(array("i", [0] * (len(part) - 1) + [1]).tobytes())
-                lengths.append(len(part))
+                # a cut inside leaves ordinary text, split together with what stands before it from the last border on
+                border = before.rfind(" ", 0, -1)
+                border = border if border > 0 and not before[border + 1].isspace() else 0
+                known = int(out[-1][border - 1]) if border else base
+                inside = self._plain(before[border:] + part[:-1])[len(before) - border :]
+                out.append(np.array([*(known + c for c in inside), total + 1], dtype=np.int64))
+                total, before = total + 1, ""
+                base = total
             elif part:
-                found = self.pattern.findall(part)
-                stored.append(b"".join(map(get, found)))
-                lengths += map(len, found)
-        if not lengths:
-            return np.zeros(0, dtype=np.int32)
-        counts, size = np.frombuffer(b"".join(stored), dtype=np.int32), np.array(lengths)
-        totals = counts[np.cumsum(size) - 1]
-        return counts + np.repeat((np.cumsum(totals) - totals).astype(np.int32), size)
+                out.append(np.array(self._plain(part), dtype=np.int64) + total)
+                base, before, total = total, part, int(out[-1][-1])
+        return np.concatenate(out)
 
     def count_at(self, text: str, n: int, stored: np.ndarray | None = None) -> int:
-        """Exact count of the first n code points of text.
+        """Exact count of the first n code points of text: read off what is stored, if it is given."""
+        stored = self.prefixes(text) if stored is None else stored
+        n = min(n, len(stored))
+        return int(stored[n - 1]) if n > 0 else 0
 
-        Only the end can differ from what is stored: a cut inside a special string, a contraction or a white-space
-        run changes the split of that stretch, so it is split again from the last letter, digit or sign run's start.
-        """
-        if n <= 0:
-            return 0
+    def longest_within(self, text: str, budget: int, stored: np.ndarray | None = None) -> int:
+        """Code points of the longest prefix with at most ``budget`` tokens: read off what is stored, if it is given."""
         stored = self.prefixes(text) if stored is None else stored
-        if n >= len(text):
-            return int(stored[-1]) if len(text) else 0
-        begin = 0
-        for m in self.special.finditer(text) if self.special else ():
-            if m.start() >= n or m.end() > n:
-                break
-            begin = m.end()
-        # the pre-tokens of text[begin:n]: all but the last few are those of the text; walk back to a safe border
-        safe = begin
-        for m in self.pattern.finditer(text, begin, n):
-            if m.start() > begin and text[m.start() - 1].strip() and n - m.start() > 16:
-                safe = m.start()
-        tail = sum(int(np.frombuffer(self.kept[p], dtype=np.int32)[-1]) for p in self.pattern.findall(text[safe:n]))
-        return (int(stored[safe - 1]) if safe else 0) + tail
-
-    def longest_within(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix with at most ``budget`` tokens."""
-        stored = self.prefixes(text)
-        if not len(stored) or stored[-1] <= budget:
-            return len(text)
-        # counts rise by far and large: no prefix can fit once the stored counts stay above for a longest token's length
-        fits = np.nonzero(stored <= budget + 2)[0]
-        for n in range(int(fits[-1]) + 1 if len(fits) else 0, 0, -1):
-            if self.count_at(text, n, stored) <= budget:
-                return n
-        return 0
+        fits = np.flatnonzero(stored <= budget)
+        return int(fits[-1]) + 1 if len(fits) else 0
+
+    def answers(self, texts: list[str], budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text its count, and the code points of its longest prefix within the budget."""
+        n, fits = np.zeros(len(texts), dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64)
+        for i in range(0, len(texts), BLOCK):
+            self._block(texts[i : i + BLOCK], budget, n[i : i + BLOCK], fits[i : i + BLOCK])
+        return n, fits
+
+    def _block(self, texts: list[str], budget: int, n: np.ndarray, fits: np.ndarray) -> None:
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        names, codes, edges = coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
+        first = edges[:-1]
+        spaced = [" " + c for c in names]
+        split = {c: self.pattern.findall(c) for c in self.chunks.lacking(spaced)}
+        self.learn(p for found in split.values() for p in found)
+        made = {c: sum([self.kept[p][-1] for p in found]) for c, found in split.items()}
+        for c, count in made.items():
+            self.chunks.put(c, count)
+        sizes = np.array([made[c] if c in made else self.chunks[c] for c in spaced], dtype=np.int64)[codes]
+        sizes[first] = [self.chunks[names[c]] for c in codes[first].tolist()]  # a text's first chunk has no space before it
+        lengths = pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64)[codes] + 1
+        lengths[first] -= 1
+        after, places = np.cumsum(sizes), np.cumsum(lengths)
+        # white space that goes on over the space between two chunks: such texts are counted as a whole, as are those with special strings
+        blank_end = np.array([not c or c[-1].isspace() for c in names], dtype=bool)[codes]
+        blank_end[first] &= lengths[first] > 0
+        odd = np.array([not c or c[0].isspace() for c in names], dtype=bool)[codes]
+        odd[1:] &= blank_end[:-1]
+        odd[first] = False
+        strange = np.add.reduceat(odd, first)
+        for i, (text, a, b) in enumerate(zip(texts, first.tolist(), edges[1:].tolist())):
+            if strange[i] or self.special and self.special.search(text):
+                stored = self.prefixes(text)
+                n[i], fits[i] = stored[-1], self.longest_within(text, budget, stored)
+                continue
+            base, start = int(after[a] - sizes[a]), int(places[a] - lengths[a])
+            n[i] = after[b - 1] - base
+            if n[i] > budget:
+                k = a + int(np.searchsorted(after[a:b], base + budget, side="right"))  # the chunk in which the count passes the budget
+                place, known = int(places[k] - lengths[k]) - start, int(after[k] - sizes[k]) - base
+                inside = np.array(self._plain(text[place : place + int(lengths[k]) + 1]))  # with the space behind it, which may join a run of white space
+                if place and self.blank(text[place - 1]):
+                    run = (self.pattern.findall(names[codes[k - 1]]) or [" "])[-1]
+                    inside[0] = self.kept[run + " "][-1] - self.kept[run][-1]
+                fits[i] = place + self.longest_within("", budget - known, inside)
 
 
 @lru_cache(maxsize=4)
@@ -221,15 +268,18 @@ def prefix_counts(df: DataFrame, path: str | None = None, pattern: str = public_
 
 
 def token_counts(df: DataFrame, limit: int = 512, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), all read off the counts at prefixes."""
+    """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), limit_chars (code points of the longest prefix with at most limit tokens).
+
+    Null counts as empty. Texts of any length are counted whole, rows that repeat each; columns besides the two are not looked
+    at; an empty table gives an empty one.
+    """
 
     def row(own: PrefixCounter, batch: pd.DataFrame) -> pd.DataFrame:
         texts = batch["_text"].tolist()
-        counts = [own.prefixes(t) for t in texts]
-        n = np.array([int(c[-1]) if len(c) else 0 for c in counts], dtype=np.int64)
-        return pd.DataFrame({"doc_id": batch["_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": n, "over_limit": n > limit})
+        n, fits = own.answers(texts, limit)
+        return pd.DataFrame({"doc_id": batch["_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": n, "over_limit": n > limit, "limit_chars": fits})
 
-    return _run(df, id_col, text_col, path, pattern, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", row)
+    return _run(df, id_col, text_col, path, pattern, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long", row)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

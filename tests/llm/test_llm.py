@@ -60,22 +60,53 @@ def test_counts_at_every_prefix():
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     own = token_counts.counter(P.path("byte_bpe_50k.json"), P.PATTERN)
-    for t in (t for t in odd_texts(60, 5) if t and len(t) < 100):
+    rnd = random.Random(9)
+    blanks = ["".join(rnd.choice(["a", "we're", "'ll", " ", "  ", "\n", "\n\n ", "<|endoftext|>", "x.", "\x85", "\x1c"]) for _ in range(rnd.randint(1, 12))) for _ in range(150)]
+    for t in [*(t for t in odd_texts(60, 5) if t and len(t) < 100), *blanks]:
         stored = own.prefixes(t)
-        assert stored[-1] == count(t)
-        assert [own.count_at(t, n, stored) for n in range(len(t) + 1)] == [count(t[:n]) for n in range(len(t) + 1)]
-        assert own.longest_within(t, 5) == max(n for n in range(len(t) + 1) if count(t[:n]) <= 5)
+        want = [count(t[:n]) for n in range(len(t) + 1)]
+        assert [own.count_at(t, n, stored) for n in range(len(t) + 1)] == want
+        for budget in (0, 2, 5):
+            longest = max(n for n, c in enumerate(want) if c <= budget)
+            assert own.longest_within(t, budget, stored) == longest
+            assert [x.tolist() for x in own.answers([t, "", "a b", t], budget)] == [[want[-1], 0, 2, want[-1]], [longest, 0, 3 if budget > 1 else 0, longest]]
+
+
+def test_prefix_questions_encode_nothing(monkeypatch):
+    """Once the counts are stored, a question neither splits nor encodes."""
+    own = token_counts.counter(P.path("byte_bpe_50k.json"), P.PATTERN)
+    text = "Some words, and <|endoftext|> more  of them.\n" * 50
+    stored = own.prefixes(text)
+    for name in ("parts", "byte_counts", "of", "_plain"):
+        monkeypatch.setattr(token_counts.PrefixCounter, name, lambda *a: pytest.fail("encoded"))
+    assert own.count_at(text, len(text), stored) == stored[-1]
+    assert 0 < own.longest_within(text, 100, stored) < len(text)
+
+
+def test_kept_is_bounded_and_keeps_what_is_asked_for():
+    from silvergrain.llm import shared
+
+    made = []
+    kept = shared.Kept(lambda k: made.append(k) or len(k), 10)
+    for i in range(100):
+        assert kept["often"] == 5 and kept[f"k{i}"] == len(f"k{i}") and kept["x" * 100] == 100
+    assert made.count("often") == 1 and made.count("x" * 100) == 100 and len(kept) + len(kept.older) <= 20
 
 
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    texts = odd_texts()
+    texts = [*odd_texts(), "word and " * 20_000, "z" * 20_000]
+    texts += texts[-3:]
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     for r in token_counts.token_counts(docs(spark, texts), 20).collect():
-        n = len(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids)
-        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 20, len((texts[r["doc_id"]] or "").encode()))
+        text = texts[r["doc_id"]] or ""
+        n = count(text)
+        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 20, len(text.encode()))
+        assert r["limit_chars"] == (len(text) if n <= 20 else max(k for k in range(min(len(text), 600)) if count(text[:k]) <= 20))
     assert len(token_counts.prefix_counts(docs(spark, ["ab c"])).first()["counts"]) == 4
+    assert token_counts.token_counts(docs(spark, ["x"]).limit(0)).count() == 0
 
 
 def test_every_token_is_what_its_characters_merge_to():
