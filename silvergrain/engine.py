@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Settings
 from .operators import delta, evals, governance, graph, index, rag
 from .operators import search as S
 from .sources import files
@@ -15,9 +16,10 @@ from .sources import files
 class Engine:
     """Points, edges and models behind one interface. Models are plain callables and may be doubles."""
 
-    def __init__(self, spark: SparkSession, points: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, model: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, points: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, model: Callable[[str], str] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, assess: Callable[[str, list], dict] | None = None, cache: governance.AnswerCache | None = None, settings: Settings | None = None):
         self.spark, self.points = spark, points
-        self.embed, self.model = embed or index.hash_embedder(), model
+        self.embed, self.model, self.reranker, self.assess = embed or index.hash_embedder(), model, reranker, assess
+        self.cache, self.settings = cache, settings or Settings()
 
     @classmethod
     def over_files(cls, spark: SparkSession, root: str, namespace: str = "default", embed: Callable | None = None, **walk) -> Engine:
@@ -29,15 +31,42 @@ class Engine:
     def vector(self, query: str) -> list[float]:
         return self.embed([query])[0]
 
-    def search(self, query: str, namespace: str | None = None, mode: str = "hybrid", k: int = 10, allowed: list[str] | None = None) -> DataFrame:
-        """By mode; over all (allowed) namespaces if none is named. ``allowed`` None means no restriction."""
-        everywhere = namespace in (None, "*", "__global__")
-        free = allowed is None or governance.ALL in allowed
-        if everywhere:
-            return S.fan_out(self.points, None if mode == "keyword" else self.vector(query), None if mode == "semantic" else query, k, None if free else allowed)
-        if not free and namespace not in allowed:
+    @staticmethod
+    def _scope(namespace: str | None, allowed: list[str] | None) -> tuple[bool, bool]:
+        """Whether all namespaces are asked for, and whether nothing is forbidden; a named one that is not allowed is an error."""
+        everywhere, free = namespace in (None, "*", "__global__"), allowed is None or governance.ALL in allowed
+        if not everywhere and not free and namespace not in allowed:
             raise PermissionError(namespace)
-        return S.search(self.points, mode, query=self.vector(query), words=query, k=k, namespace=namespace)
+        return everywhere, free
+
+    def search(self, query: str, namespace: str | None = None, mode: str = "hybrid", k: int = 10, allowed: list[str] | None = None, rerank: bool = False) -> DataFrame:
+        """By mode; over all (allowed) namespaces if none is named. ``allowed`` None means no restriction.
+
+        With ``rerank`` twice as many results are found and the engine's model of relevance orders them (rank, rerank_score, new_rank).
+        """
+        everywhere, free = self._scope(namespace, allowed)
+        depth = 2 * k if rerank and self.reranker else k
+        if everywhere:
+            found = S.fan_out(self.points, None if mode == "keyword" else self.vector(query), None if mode == "semantic" else query, depth, None if free else allowed)
+        else:
+            found = S.search(self.points, mode, query=self.vector(query), words=query, k=depth, namespace=namespace)
+        return S.reranked(self.with_text(found), query, self.reranker, k, self.settings.rerank_threshold) if rerank and self.reranker else found
+
+    def search_apart(self, query: str, sources: dict[str, Callable[[], DataFrame]], k: int = 10, seconds: float = 30.0) -> tuple[DataFrame, list[str], list[str]]:
+        """Over namespaces kept in tables of their own, some of which may fail: results, who answered, who failed."""
+        vector = self.vector(query)
+        return S.each_namespace(self.spark, sources, lambda own: S.hybrid_search(own, vector, query, k), k, seconds)
+
+    def with_text(self, found: DataFrame) -> DataFrame:
+        return found.select(*S.KEY, "score").join(self.points.select(*S.KEY, "text"), list(S.KEY))
+
+    def file(self, path: str, namespace: str | None = None) -> DataFrame:
+        """The chunks of a file, in order."""
+        return index.file_text(self.points, path, namespace)
+
+    def file_relations(self, path: str, namespace: str | None = None) -> DataFrame:
+        """What a file leads to and what it defines."""
+        return graph.file_relations(self.points, path, namespace)
 
     def edges(self) -> DataFrame:
         return graph.edges(self.points)
@@ -50,14 +79,34 @@ class Engine:
         first = S.hybrid_search(own, self.vector(query), query, k)
         return graph.expand(own, graph.edges(own), S.ranked(first, k, [F.desc("score"), *map(F.col, S.KEY)]), self.vector(query), query, k, depth)
 
-    def answer(self, question: str, namespace: str | None = None, k: int = 5) -> str:
-        found = self.search(question, namespace, k=k)
-        texts = found.select(*S.KEY, "score").join(self.points.select(*S.KEY, "text"), list(S.KEY)).orderBy(F.desc("score"), *S.KEY)
-        return rag.answer(question, texts, self.model or (lambda prompt: prompt), namespace in (None, "*"))
-
-    def evaluate(self, suite: DataFrame, judge_recall: Callable, judge_faith: Callable, namespace: str | None = None) -> DataFrame:
-        context = lambda q, ns: "\n".join(r["text"] for r in self.search(q, ns).select(*S.KEY).join(self.points.select(*S.KEY, "text"), list(S.KEY)).collect())
-        return evals.run_suite(self.spark, suite, context, judge_recall, lambda q, c: (self.model or (lambda p: p))(rag.answer_prompt(q, c)), judge_faith, namespace)
+    def answer(self, question: str, namespace: str | None = None, k: int = 5, allowed: list[str] | None = None, expand: bool = False) -> str:
+        """From the cache, or: search, neighbours of the files found (``expand``), rounds of follow-up queries (with ``assess``), reranking, model.
+
+        Neighbours and rounds are for one namespace, as a request over all goes to each once. Answers of a working model are stored.
+        """
+        across, _ = self._scope(namespace, allowed)
+        key = self.cache.key(namespace or "*", getattr(self.model, "__name__", "model"), question) if self.cache else ""
+        if self.cache and (known := self.cache.get(key)) is not None:
+            return known
+        look = lambda q: self.search_graph(q, namespace, k, self.settings.graph_depth) if expand and not across else self.search(q, namespace, k=k, allowed=allowed)
+        found = self.with_text(look(question))
+        if self.assess and not across:
+            rows = lambda q: self.with_text(look(q)).withColumn("point_id", F.concat_ws("\x00", *(F.col(c).cast("string") for c in S.KEY)))
+            best, _ = rag.agentic_search(self.spark, question, rows(question), rows, self.assess, self.settings.hops, self.settings.confident)
+            part = F.split("point_id", "\x00")
+            found = best.select(part[0].alias("namespace"), part[1].alias("path"), part[2].cast("long").alias("chunk"), "score", "text")
+        if self.reranker:
+            order = S.reranked(found, question, self.reranker, k, self.settings.rerank_threshold)
+            found = order.select(*S.KEY, (-F.col("new_rank")).cast("double").alias("score")).join(found.drop("score"), list(S.KEY))
+        said, made = rag.answered(question, found.orderBy(F.desc("score"), *S.KEY), self.model or (lambda prompt: prompt), across)
+        if self.cache and made:
+            self.cache.put(key, said)
+        return said
+
+    def evaluate(self, suite: DataFrame, judge_recall: Callable, judge_faith: Callable, namespace: str | None = None, k: int = 10) -> DataFrame:
+        """A suite of questions: contexts for all by one batch search a namespace, then models in Arrow batches on executors."""
+        model = self.model
+        return evals.run_suite(evals.contexts(self.spark, self.points, suite, self.embed, namespace, k), judge_recall, lambda q, c: (model or (lambda p: p))(rag.answer_prompt(q, c)), judge_faith)
 
     def namespace_stats(self, nodes: DataFrame) -> DataFrame:
         return governance.namespace_stats(nodes, self.points)
@@ -68,4 +117,8 @@ class Engine:
         gone = actions.where("action = 'DELETE'").select("path")
         changed = actions.where("action = 'INDEX'").select("path")
         self.points = delta.reindex(delta.delete_paths(self.points, gone, every_namespace=True), index.points(texts(changed), self.embed))
+        if self.cache:
+            for r in self.points.select("namespace").distinct().toLocalIterator():  # a row a namespace
+                self.cache.indexed(r["namespace"])
+            self.cache.indexed("*")
         return actions

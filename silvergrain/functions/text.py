@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import posixpath
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Extensions by kind of file.
 AUDIO = (".mp3", ".wav", ".m4a", ".ogg", ".flac")
@@ -192,8 +190,8 @@ def plugin_meta(source: Column) -> Column:
 
 
 def is_private_address(host: Column) -> Column:
-    """IPv4 loopback, link-local and RFC 1918 addresses, and the IPv6 ones of that kind."""
-    return host.rlike(r"^(127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)|^(::1$|[fF][cCdD]|[fF][eE][89aAbB])|^localhost$")
+    """Loopback, link-local (multicast too) and RFC 1918 addresses; IPv4 ones may be written as IPv6."""
+    return host.rlike(r"(?i)^(::ffff:)?(127\.|10\.|192\.168\.|169\.254\.|224\.0\.0\.|172\.(1[6-9]|2[0-9]|3[01])\.)|^(::1$|fe[89ab][0-9a-f]:|ff[0-9a-f]2:)")
 
 
 def is_auth_error(message: Column) -> Column:
@@ -201,7 +199,8 @@ def is_auth_error(message: Column) -> Column:
 
 
 def embedding_error(message: Column) -> Column:
-    return F.when(message.contains("401"), "unauthorised").when(message.contains("429"), "rate limited").when(message.contains("403"), "forbidden").otherwise("other")
+    """By status, or by the words that services use for it."""
+    return F.when(message.rlike("401|Unauthorized"), "unauthorised").when(message.rlike("429|Rate Limit|RESOURCE_EXHAUSTED"), "rate limited").when(message.rlike("403|Forbidden"), "forbidden").otherwise("other")
 
 
 def clean_archive_path(path: str | None) -> str | None:
@@ -212,6 +211,15 @@ def clean_archive_path(path: str | None) -> str | None:
     return None if clean.startswith("/") or clean == ".." or clean.startswith("../") else clean
 
 
-@F.pandas_udf(StringType())
-def clean_archive_path_udf(paths: pd.Series) -> pd.Series:
-    return paths.map(clean_archive_path)
+def safe_archive_path(path: Column) -> Column:
+    """``clean_archive_path`` as an expression: segments one by one, ``..`` taking one back; null if absolute or leading out."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda s: ~s.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        back = s == ".."
+        return F.struct(F.when(~back, F.concat(a["kept"], F.array(s))).when(F.size(a["kept"]) > 0, F.slice(a["kept"], 1, F.size(a["kept"]) - 1)).otherwise(a["kept"]).alias("kept"), (a["out"] | (back & (F.size(a["kept"]) == 0))).alias("out"))
+
+    done = F.aggregate(parts, start, step)
+    absolute = F.replace(path, F.lit("\\"), F.lit("/")).startswith("/")
+    return F.when(~absolute & ~done["out"], F.when(F.size(done["kept"]) == 0, ".").otherwise(F.array_join(done["kept"], "/")))

@@ -90,6 +90,7 @@ def evict(cache: DataFrame, capacity: int, order: str = "inserted_at", key: str
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Distinct keys in the order in which they first occur, with that place."""
+    """Distinct keys of a result list in the order in which they first occur, with that place."""
+    # the list is one search's results, a few rows: one task numbers them
     found = rows.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.min(order).alias(order))
     return found.withColumn("place", F.row_number().over(Window.orderBy(order, key)))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections import OrderedDict
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +82,71 @@ def cached_answers(requests: DataFrame, cache: DataFrame, generations: DataFrame
     return asked.join(valid, "cache_key", "left")
 
 
+def stored_answers(cache: DataFrame, answered: DataFrame, now: Column, ttl: float, capacity: int) -> DataFrame:
+    """The cache (cache_key, answer, expires_at, used_at) after a round of requests.
+
+    answered: cache_key, answer, hit. New answers come in for ``ttl`` seconds, hits count as used now; what has expired goes, and beyond
+    ``capacity`` what was used longest ago. Empty answers are not stored. Times are seconds.
+    """
+    now = now.cast("double")
+    touched = answered.where("hit").select("cache_key", now.alias("_now")).distinct()
+    old = cache.join(touched, "cache_key", "left").select("cache_key", "answer", F.col("expires_at").cast("double").alias("expires_at"), F.coalesce("_now", F.col("used_at").cast("double")).alias("used_at"))
+    new = answered.where("NOT hit AND coalesce(answer, '') <> ''").groupBy("cache_key").agg(F.max("answer").alias("answer")).select("cache_key", "answer", (now + ttl).alias("expires_at"), now.alias("used_at"))
+    both = old.join(new, "cache_key", "left_anti").unionByName(new).where(F.col("expires_at") >= now)
+    return both.orderBy(F.desc("used_at"), "cache_key").limit(capacity)
+
+
+def with_vectors(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame], now: Column, ttl: float, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """texts (text) with ``vector`` and ``hit``, and the cache (embed_key, vector, expires_at, inserted_at) filled with what it lacked.
+
+    Each distinct text that no valid entry holds is embedded once (``embed`` adds ``vector`` to a table with ``text``); texts whose
+    vector stays null are not stored. Beyond ``capacity`` the entries inserted first go; one that is made anew keeps its place.
+    """
+    now = now.cast("double")
+    keyed = texts.withColumn("embed_key", ids.embedding_key(F.col("text")))
+    valid = cache.where(F.col("expires_at").cast("double") >= now)
+    lacking = keyed.select("text", "embed_key").distinct().join(valid.select("embed_key"), "embed_key", "left_anti")
+    made = embed(lacking).where(F.col("vector").isNotNull()).select("embed_key", "vector")
+    known = valid.select("embed_key", "vector", F.lit(True).alias("hit")).unionByName(made.withColumn("hit", F.lit(False)))
+    placed = made.join(cache.select("embed_key", F.col("inserted_at").cast("double").alias("_at")), "embed_key", "left")
+    fresh = placed.select("embed_key", "vector", (now + ttl).alias("expires_at"), F.coalesce("_at", now).alias("inserted_at"))
+    old = cache.select("embed_key", "vector", F.col("expires_at").cast("double").alias("expires_at"), F.col("inserted_at").cast("double").alias("inserted_at")).join(fresh, "embed_key", "left_anti")
+    filled = old.unionByName(fresh).orderBy(F.desc("inserted_at"), "embed_key").limit(capacity)
+    return keyed.join(known, "embed_key", "left").drop("embed_key"), filled
+
+
+class AnswerCache:
+    """Answers by key on the driver: at most ``capacity`` for ``ttl`` seconds each, the one used longest ago goes first; generations by namespace."""
+
+    def __init__(self, capacity: int = 1000, ttl: float = 3600.0, clock: Callable[[], float] = time.time):
+        self.capacity, self.ttl, self.clock = capacity, ttl, clock
+        self.kept: OrderedDict[str, tuple[float, str]] = OrderedDict()
+        self.generation: dict[str, int] = {}
+
+    def key(self, namespace: str, model: str, query: str) -> str:
+        """Keys as ``ids.answer_key`` makes them."""
+        return hashlib.sha256("|".join((namespace, str(self.generation.get(namespace, 0)), model, query.strip(" ").lower())).encode()).hexdigest()
+
+    def get(self, key: str) -> str | None:
+        until, answer = self.kept.get(key, (0.0, None))
+        if answer is None or self.clock() > until:
+            self.kept.pop(key, None)
+            return None
+        self.kept.move_to_end(key)
+        return answer
+
+    def put(self, key: str, answer: str) -> None:
+        if answer:
+            self.kept[key] = self.clock() + self.ttl, answer
+            self.kept.move_to_end(key)
+            while len(self.kept) > self.capacity:
+                self.kept.popitem(last=False)
+
+    def indexed(self, namespace: str) -> None:
+        """A namespace was indexed anew: answers from before are not found any more."""
+        self.generation[namespace] = self.generation.get(namespace, 0) + 1
+
+
 def missing_vectors(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct texts (text, embed_key) that the cache of query vectors lacks: what is still to be embedded."""
     keyed = texts.select("text").distinct().withColumn("embed_key", ids.embedding_key(F.col("text")))

@@ -42,9 +42,22 @@ def nodes_and_edges(links: DataFrame, sources: DataFrame, depth: int = 1) -> tup
     return nodes, found.select("source", F.col("path").alias("target")).distinct()
 
 
+def file_relations(points: DataFrame, path: str, namespace: str | None = None) -> DataFrame:
+    """What a file imports, links to and defines: namespace, kind (``leads_to`` or ``defines``), value, in the order of the file (place)."""
+    first = S.in_namespace(points, namespace).where((F.col("path") == path) & (F.col("chunk") == 0))
+    each = first.select("namespace", F.posexplode(R.from_json(F.col("relations"))).alias("place", "r"))
+    leads = F.col("r.type").isin("imports", "links_to")
+    value = F.when(leads, F.col("r.target")).when(F.col("r.type") == "defines", F.col("r.name"))
+    return each.select("namespace", F.when(leads, "leads_to").otherwise("defines").alias("kind"), value.alias("value"), "place").where(F.coalesce("value", F.lit("")) != "")
+
+
 def expand(points: DataFrame, links: DataFrame, direct: DataFrame, query: list[float], words: str, k: int = 10, depth: int = 1, weight: float = 0.7) -> DataFrame:
-    """Direct results (key, rank) merged with a search among their files' neighbours, which weigh less."""
-    sources = direct.select("path").distinct()
+    """Direct results (key, rank) merged with a search among their files' neighbours, which weigh less.
+
+    The direct results are a list of at most k rows: they are worked out once and go on as such.
+    """
+    direct = direct.sparkSession.createDataFrame(direct.select(*S.KEY, "rank").limit(k).collect(), direct.select(*S.KEY, "rank").schema)
+    sources = F.broadcast(direct.select("path").distinct())
     near = neighbours(links, sources, depth).select("path").distinct().join(sources, "path", "left_anti")
     second = S.hybrid_search(points, query, words, k, paths=near)
     return S.weighted_merge(direct, S.ranked(second, k, [F.desc("score"), *map(F.col, S.KEY)]), k, weight)

@@ -77,12 +77,17 @@ def agentic_search(spark: SparkSession, question: str, first: DataFrame, search:
 
 def answer(question: str, results: DataFrame, model: Callable[[str], str], across: bool = False) -> str:
     """The model's answer over the results' context; if it fails, the first result's text and source."""
+    return answered(question, results, model, across)[0]
+
+
+def answered(question: str, results: DataFrame, model: Callable[[str], str], across: bool = False) -> tuple[str, bool]:
+    """``answer``, and whether the model made it."""
     rows = results.collect()  # a result list
     shown = "\n---\n".join(f"[Source: {r['namespace']}/{r['path']}]\n{r['text']}" for r in rows if r["text"])
     try:
-        return model(answer_prompt(question, shown, across))
+        return model(answer_prompt(question, shown, across)), True
     except Exception:  # noqa: BLE001
-        return f"{rows[0]['text']}\n\n[Source: {rows[0]['namespace']}/{rows[0]['path']}]" if rows else "No results."
+        return (f"{rows[0]['text']}\n\n[Source: {rows[0]['namespace']}/{rows[0]['path']}]" if rows else "No results."), False
 
 
 def rank_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

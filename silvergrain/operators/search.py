@@ -7,10 +7,14 @@ namespace, path and chunk, so results are deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +25,8 @@ from ..functions import vectors as V
 RRF_K, PREFETCH = 60, 2
 #: Decimals of a similarity; ranks are made from the rounded value.
 DECIMALS = 9
-#: Query vectors that one pass over the corpus scores together.
-QUERY_BLOCK = 512
+#: Query vectors in one matrix product, and bytes of query vectors that all tasks get for one scan of the points.
+QUERY_BLOCK, SENT = 512, 32 << 20
 KEY = ("namespace", "path", "chunk")
 
 
@@ -43,8 +47,12 @@ def vector_search(points: DataFrame, query: list[float], k: int = 10, namespace:
 
 def text_search(points: DataFrame, words: str, namespace: str | None = None) -> DataFrame:
     """Points whose text holds all the query's tokens. A column ``tokens``, made when indexing, is used if there."""
+    return in_namespace(points, namespace).where(matched(points, words))
+
+
+def matched(points: DataFrame, words: str) -> Column:
     tokens = F.col("tokens") if "tokens" in points.columns else T.match_tokens(F.col("text"))
-    return in_namespace(points, namespace).where(T.matches(tokens, query_tokens(words)))
+    return T.matches(tokens, query_tokens(words))
 
 
 def query_tokens(words: str) -> list[str]:
@@ -74,12 +82,31 @@ def fuse(legs: list[tuple[DataFrame, float]], limit: int, rrf_k: int = RRF_K, ke
     return ranked(sums, limit, order, each).drop("rank") if each else sums.orderBy(*order).limit(limit)
 
 
+def legs(points: DataFrame, query: list[float] | None, words: str | None, depth: int, each: tuple[str, ...] = ()) -> DataFrame:
+    """(key, leg, rank): the first ``depth`` rows of the dense leg (0) and of the text leg (1), of each group if ``each`` names columns.
+
+    One scan: a point gives a row for each leg that it is in, and the limit on ranks holds before the shuffle.
+    """
+    entries = []
+    if query is not None:
+        q = F.array(*(F.lit(float(x)) for x in query))
+        entries.append(F.when(~V.is_zero(F.col("vector")), F.struct(F.lit(0).alias("leg"), F.round(V.cosine(F.col("vector"), q), DECIMALS).alias("score"))))
+    if words is not None:
+        entries.append(F.when(matched(points, words), F.struct(F.lit(1).alias("leg"), F.lit(0.0).alias("score"))))
+    rows = points.select(*KEY, F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(*KEY, "_e.leg", "_e.score")
+    return ranked(rows, depth, [F.desc("score"), *map(F.col, KEY)], (*each, "leg"))
+
+
+def fused_legs(found: DataFrame, weights: tuple[float, float], rrf_k: int) -> DataFrame:
+    """(key, score): the sum over legs of weight / (k + rank)."""
+    weight = F.when(F.col("leg") == 0, float(weights[0])).otherwise(float(weights[1]))
+    return found.where(weight > 0).groupBy(*KEY).agg(F.round(F.sum(weight / (max(rrf_k, 1) + F.col("rank"))), 12).alias("score"))
+
+
 def hybrid_search(points: DataFrame, query: list[float], words: str, k: int = 10, namespace: str | None = None, dense: float = 1.0, sparse: float = 1.0, rrf_k: int = RRF_K, paths: DataFrame | None = None) -> DataFrame:
     """Similarity and text match, fused. ``paths`` (path) restricts both legs; the text leg is unranked and taken by key."""
-    own = points if paths is None else points.join(paths.select("path").distinct(), "path", "left_semi")
-    best = ranked(scored(own, query, namespace), PREFETCH * k, [F.desc("score"), *map(F.col, KEY)])
-    match = ranked(text_search(own, words, namespace), PREFETCH * k, [*map(F.col, KEY)])
-    return fuse([(best, dense), (match, sparse)], k, rrf_k)
+    own = in_namespace(points if paths is None else points.join(paths.select("path").distinct(), "path", "left_semi"), namespace)
+    return fused_legs(legs(own, query, words, PREFETCH * k), (dense, sparse), rrf_k).orderBy(F.desc("score"), *KEY).limit(k)
 
 
 def keyword_search(points: DataFrame, words: str, k: int = 10, namespace: str | None = None, rrf_k: int = RRF_K) -> DataFrame:
@@ -93,16 +120,11 @@ def fan_out(points: DataFrame, query: list[float] | None = None, words: str | No
     ``source_namespace`` says where a result comes from. An empty list of namespaces gives nothing.
     """
     own = points if namespaces is None else points.where(F.col("namespace").isin(*namespaces)) if namespaces else points.limit(0)
-    each, legs = ("namespace",), []
-    depth = PREFETCH * k if words is not None else k
-    if query is not None:
-        legs.append((ranked(scored(own, query), depth, [F.desc("score"), *map(F.col, KEY)], each), 1.0))
-    if words is not None:
-        legs.append((ranked(text_search(own, words), depth, [*map(F.col, KEY)], each), 1.0))
-    if query is not None and words is None:
-        local = legs[0][0].select(*KEY, "score", "rank")
+    each, order = ("namespace",), [F.desc("score"), *map(F.col, KEY)]
+    if words is None:
+        local = ranked(scored(own, query), k, order, each).select(*KEY, "score", "rank")
     else:
-        local = ranked(fuse(legs, k, rrf_k, KEY, each), k, [F.desc("score"), *map(F.col, KEY)], each)
+        local = ranked(fused_legs(legs(own, query, words, PREFETCH * k, each), (1.0, 1.0), rrf_k), k, order, each)
     # keys hold the namespace: ranks of different ones never add up
     return fuse([(local, 1.0)], k, rrf_k).withColumn("source_namespace", F.col("namespace"))
 
@@ -112,42 +134,89 @@ def weighted_merge(primary: DataFrame, secondary: DataFrame, k: int, weight: flo
     return fuse([(primary, 1.0), (secondary, weight)], k, rrf_k)
 
 
+class _Best:
+    """The k best rows of each of a block's queries, by score, then id."""
+
+    def __init__(self, names: np.ndarray, unit: np.ndarray, k: int):
+        self.names, self.unit, self.k = names, unit, k
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(names)
+
+    def add(self, rows: np.ndarray, vectors: np.ndarray) -> None:
+        score = np.round(vectors @ self.unit.T, DECIMALS)
+        score[rows[:, None] == self.names[None, :]] = -np.inf
+        # ties of the k-th score stay until ids decide
+        bound = np.partition(score, len(rows) - self.k, axis=0)[len(rows) - self.k] if len(rows) > self.k else np.full(len(self.names), -np.inf)
+        for q, ((s, i), least) in enumerate(zip(self.best, bound)):
+            new = np.flatnonzero((score[:, q] >= least) & (score[:, q] > -np.inf))
+            s, i = np.concatenate([s, score[new, q]]), np.concatenate([i, rows[new]])
+            order = np.lexsort((i, -s))[: self.k]
+            self.best[q] = s[order], i[order]
+
+
 def batch_search(spark: SparkSession, points: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """For every query (query_id, vector) its k most similar points, itself excluded: query_id, id, score, rank.
 
-    Queries go to all tasks in blocks of QUERY_BLOCK; each task scores its points by one matrix product a batch and hands on
-    its k best a query, so what is shuffled is k rows a query and task, never a pair each.
+    All tasks get up to SENT bytes of queries and score their points against them in blocks of QUERY_BLOCK, one matrix product a
+    block and batch; each hands on its k best a query, so what is shuffled is k rows a query and task, never a pair each.
+    More queries than that take another scan of the points for each such share.
     """
-    out = None
-    ids = [r[0] for r in queries.select("query_id").orderBy("query_id").toLocalIterator()]
-    for i in range(0, len(ids), QUERY_BLOCK):
-        block = queries.where(F.col("query_id").between(ids[i], ids[min(i + QUERY_BLOCK, len(ids)) - 1])).collect()
-        names = np.array([r["query_id"] for r in block])
-        matrix = np.array([r["vector"] for r in block], dtype=np.float64)
-        sent = spark.sparkContext.broadcast((names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+    first = queries.select("vector").first()
+    if first is None:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    at_once = max(QUERY_BLOCK, SENT // (4 * len(first["vector"])))
+    total = queries.count()
+    shares, out = -(-total // at_once), None
+    for share in range(shares):
+        # ids dealt evenly by their hash; a share is collected within its bound, give or take
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(shares)) == share).select("query_id", "vector").toPandas()
+        matrix = np.stack(block["vector"].to_numpy()).astype(np.float64) if len(block) else np.zeros((0, len(first["vector"])))
+        sent = spark.sparkContext.broadcast((block["query_id"].to_numpy(), (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300))))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             names, unit = sent.value
+            blocks = [_Best(names[i : i + QUERY_BLOCK], unit[i : i + QUERY_BLOCK], k) for i in range(0, len(names), QUERY_BLOCK)]
             for batch in batches:
                 if not len(batch):
                     continue
                 own = np.stack(batch["_v"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(own, axis=1)
-                score = np.round((own @ unit.T) / np.where(norm > 0, norm, 1)[:, None], DECIMALS)
-                rows = batch["_id"].to_numpy()
-                score[rows[:, None] == names[None, :]] = -np.inf
-                for q in range(len(names)):
-                    best = np.lexsort((rows, -score[:, q]))[:k]
-                    best = best[np.isfinite(score[best, q])]
-                    yield pd.DataFrame({"query_id": names[q], "id": rows[best], "score": score[best, q]})
+                own /= np.where((norm := np.linalg.norm(own, axis=1)) > 0, norm, 1)[:, None]
+                for b in blocks:
+                    b.add(batch["_id"].to_numpy(), own)
+            for b in blocks:
+                sizes = [len(i) for _, i in b.best]
+                yield pd.DataFrame({"query_id": np.repeat(b.names, sizes), "id": np.concatenate([i for _, i in b.best]), "score": np.concatenate([s for s, _ in b.best])})
 
         part = points.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).mapInPandas(run, "query_id long, id long, score double")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
     return ranked(out, k, [F.desc("score"), F.col("id")], ("query_id",))
 
 
+def each_namespace(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], search: Callable[[DataFrame], DataFrame], k: int = 10, seconds: float = 30.0, rrf_k: int = RRF_K) -> tuple[DataFrame, list[str], list[str]]:
+    """One search over namespaces that are kept apart: fused results, the namespaces that answered, those that failed.
+
+    ``sources`` opens each namespace's points. A leg that raises, or is not there after ``seconds``, leaves the others alone.
+    What comes back of a leg is a list of at most k rows.
+    """
+
+    def leg(name: str) -> list[tuple]:
+        spark.sparkContext.setJobGroup(f"{group}-{name}", name, True)
+        found = ranked(search(sources[name]()), k, [F.desc("score"), *map(F.col, KEY)])
+        return [tuple(r) for r in found.select(*KEY, "rank").collect()]
+
+    group, rows, failed, end = uuid.uuid4().hex, [], [], time.monotonic() + seconds
+    pool = ThreadPoolExecutor(max(1, min(len(sources), 16)))
+    waiting = {name: pool.submit(inheritable_thread_target(spark)(leg), name) for name in sources}
+    for name, job in waiting.items():
+        try:
+            rows += job.result(timeout=max(0.0, end - time.monotonic()))
+        except Exception:  # noqa: BLE001 - whatever fails a leg fails no other
+            spark.sparkContext.cancelJobGroup(f"{group}-{name}")
+            failed.append(name)
+    pool.shutdown(wait=False, cancel_futures=True)
+    local = spark.createDataFrame(rows, "namespace string, path string, chunk long, rank int")
+    return fuse([(local, 1.0)], k, rrf_k).withColumn("source_namespace", F.col("namespace")), [n for n in sources if n not in failed], failed
+
+
 def rerank(results: DataFrame, scores: DataFrame, top_k: int = 0, threshold: float = 0.0) -> DataFrame:
     """results (key, rank) by the scores (key, rerank_score); missing ones count 0.
 
@@ -164,6 +233,15 @@ def rerank(results: DataFrame, scores: DataFrame, top_k: int = 0, threshold: flo
     return done
 
 
+def reranked(results: DataFrame, question: str, model: Callable[[str, list[str]], list[float]], top_k: int = 0, threshold: float = 0.0) -> DataFrame:
+    """A result list (key, score, text) in the order that a model of relevance gives it; the list is scored in one call."""
+    spark, order = results.sparkSession, [F.desc("score"), *map(F.col, KEY)]
+    rows = results.orderBy(*order).collect()  # k rows
+    scores = model(question, [r["text"] or "" for r in rows]) if rows else []
+    before = spark.createDataFrame([(*(r[c] for c in KEY), float(r["score"]), i + 1, float(s)) for i, (r, s) in enumerate(zip(rows, scores))], "namespace string, path string, chunk long, score double, rank int, rerank_score double")
+    return rerank(before.drop("rerank_score"), before.select(*KEY, "rerank_score"), top_k, threshold)
+
+
 def search(points: DataFrame, mode: str = "hybrid", **options) -> DataFrame:
     """Search by mode: hybrid, semantic or keyword."""
     if mode == "semantic":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -120,7 +120,7 @@ def relations_markdown(spark, sf_dir):
 @query("""SELECT doc_id, unnest(['imports', 'imports', 'imports', 'defines', 'defines']) AS type, unnest(['fmt', 'g/' || doc_id, 'os', '', '']) AS target, unnest(['', '', '', 'Run', 'Box']) AS name FROM documents""")
 def relations_go(spark, sf_dir):
     text = lambda i: F.concat(F.lit('package p\nimport "fmt"\nimport (\n\tx "g/'), i, F.lit('"\n\t"os"\n)\nfunc (b *Box) Run(a int) {}\nfunc hidden() {}\ntype Box struct {}\n'))
-    return listed(sources(spark, sf_dir, text), R.go_relations_udf("text"))
+    return listed(sources(spark, sf_dir, text), R.go_relations(F.col("text")))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[{"type":"links_to","target":"p' || doc_id || '"}]' ELSE '' END AS relations FROM documents""")
@@ -158,16 +158,6 @@ def content_hash_dedup(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(F.md5("text").alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-@query("SELECT doc_id, strlen(text) <= 2000 AS small, md5(CASE WHEN strlen(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS digest FROM documents WHERE strlen(text) = length(text)")
-def truncate_texts(spark, sf_dir):
-    """The ASCII documents only, as its SQL has it; all of them are in truncate_texts_whole."""
-    return truncated(documents(spark, sf_dir).where(F.octet_length("text") == F.length("text")))
-
-
-def truncated(own: DataFrame) -> DataFrame:
-    return own.select("doc_id", (F.octet_length("text") <= 2000).alias("small"), F.md5(T.truncate_bytes(F.col("text"), 200)).alias("digest"))
-
-
 def first_bytes_sql(most: int) -> str:
     """The longest start of text of at most so many bytes, in hexadecimal digits h of the whole: the cut moves back over bytes 10xxxxxx."""
     goes_on = lambda i: f"substr(h, {2 * i + 1}, 1) IN ('8', '9', 'A', 'B')"
@@ -179,8 +169,9 @@ HEX = "x AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)"
 
 
 @query(f"WITH {HEX} SELECT doc_id, strlen(text) <= 2000 AS small, md5({first_bytes_sql(200)} || CASE WHEN strlen(text) > 200 THEN '...' ELSE '' END) AS digest FROM x")
-def truncate_texts_whole(spark, sf_dir):
-    return truncated(documents(spark, sf_dir))
+def truncate_texts(spark, sf_dir):
+    cut = T.truncate_bytes(F.col("text"), 200)
+    return documents(spark, sf_dir).select("doc_id", (F.octet_length("text") <= 2000).alias("small"), F.md5(cut).alias("digest"))
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
@@ -235,49 +226,126 @@ def csv_rows(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", files.joined_values(["r_regionkey", "r_name"]).alias("text"))
 
 
-@query("""SELECT c_custkey, regexp_matches(host, '^(127\\.|10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS private FROM (SELECT c_custkey, (CASE c_custkey % 5 WHEN 0 THEN '10' WHEN 1 THEN '172' WHEN 2 THEN '8' WHEN 3 THEN '127' ELSE '192.168' END) || '.' || (c_custkey % 256) || '.1.2' AS host FROM customer)""")
+# hosts of many forms, each with what it is
+HOSTS = [("10.{i}.1.2", True), ("172.{i}.1.2", None), ("8.{i}.1.2", False), ("127.{i}.1.2", True), ("192.168.{i}.1", True), ("192.{i}.1.1", None), ("169.254.{i}.1", True), ("224.0.0.{i}", True), ("224.0.1.{i}", False), ("::1", True), ("fe80::{i}", True), ("ff02::{i}", True), ("fd00::{i}", False), ("::ffff:10.0.0.{i}", True), ("localhost", False), ("2001:db8::{i}", False)]
+
+
+@query(f"""SELECT c_custkey, CASE i WHEN 1 THEN c_custkey % 256 BETWEEN 16 AND 31 WHEN 5 THEN c_custkey % 256 = 168 ELSE {[bool(p) for _, p in HOSTS]!r}[i + 1] END AS private FROM (SELECT c_custkey, c_custkey % {len(HOSTS)} AS i FROM customer)""")
 def private_addresses(spark, sf_dir):
-    m = F.col("c_custkey") % 5
-    host = F.concat_ws(".", F.when(m == 0, "10").when(m == 1, "172").when(m == 2, "8").when(m == 3, "127").otherwise("192.168"), (F.col("c_custkey") % 256).cast("string"), F.lit("1.2"))
+    forms = F.array(*(F.lit(h) for h, _ in HOSTS))
+    host = F.replace(F.get(forms, (F.col("c_custkey") % len(HOSTS)).cast("int")), F.lit("{i}"), (F.col("c_custkey") % 256).cast("string"))
     return table(spark, sf_dir, "customer").select("c_custkey", T.is_private_address(host).alias("private"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'unauthorised' WHEN 1 THEN 'rate limited' WHEN 2 THEN 'forbidden' ELSE 'other' END AS kind, event_id % 4 IN (0, 2) AS auth FROM events""")
+# messages of services: kind, and whether it is an error of access
+SAID = [("HTTP 401: no key", "unauthorised", True), ("HTTP 429", "rate limited", False), ("code 403", "forbidden", True), ("timeout", "other", False), ("Unauthorized request", "unauthorised", False), ("Rate Limit hit", "rate limited", False), ("RESOURCE_EXHAUSTED", "rate limited", False), ("Forbidden", "forbidden", False), ("PERMISSION_DENIED", "other", True), ("API_KEY_INVALID", "other", True)]
+
+
+@query(f"SELECT event_id, {[k for _, k, _ in SAID]!r}[event_id % {len(SAID)} + 1] AS kind, {[a for *_, a in SAID]!r}[event_id % {len(SAID)} + 1] AS auth FROM events")
 def error_classes(spark, sf_dir):
-    m = F.col("event_id") % 4
-    message = F.when(m == 0, "HTTP 401: no key").when(m == 1, "HTTP 429").when(m == 2, "code 403").otherwise("timeout")
+    message = F.get(F.array(*(F.lit(m) for m, *_ in SAID)), (F.col("event_id") % len(SAID)).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", T.embedding_error(message).alias("kind"), T.is_auth_error(message).alias("auth"))
 
 
-@query(None)
+LETTERS = "aenrstiu"
+
+
+def letter_embedder(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model that SQL can follow: how often each of a few letters stands in a text."""
+    return [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
+@query(r"""WITH t AS (SELECT doc_id, lang AS namespace, 'src/' || source || '/' || doc_id || '.md' AS path, regexp_replace(text || ' [x](p' || doc_id || '.md)', '^\s+|\s+$', '', 'g') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM t),
+c AS (SELECT *, unnest(range(0, CASE WHEN len(w) <= 512 THEN 1 ELSE 1 + CAST(ceil((len(w) - 512) / 462.0) AS BIGINT) END)) AS chunk FROM w),
+p AS (SELECT *, array_to_string(w[chunk * 462 + 1 : chunk * 462 + 512], ' ') AS body, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(namespace || ':' || path || ':' || chunk)) AS h FROM c)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id,
+ namespace, path, chunk, md5(body) AS digest, CASE WHEN chunk = 0 THEN '[{"type":"links_to","target":"p' || doc_id || '.md"}]' ELSE '' END AS relations,
+ md5(array_to_string(list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ')) AS tokens, """ + " || ',' || ".join(f"(length(body) - length(replace(body, '{c}', '')))" for c in LETTERS) + f" AS letters FROM p WHERE regexp_matches(body, '[{LETTERS}]')")
 def index_pipeline(spark, sf_dir):
-    """Documents to points: chunks, relations, vectors of the stand-in embedder. Its parts have SQL of their own."""
-    own = documents(spark, sf_dir).select(F.col("lang").alias("namespace"), F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
-    return index.points(own, index.hash_embedder()).drop("indexed_at")
+    """Documents to points: chunks, relations, ids, tokens, and vectors of a stand-in."""
+    path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    own = documents(spark, sf_dir).select(F.col("lang").alias("namespace"), path.alias("path"), F.concat("text", F.lit(" [x](p"), F.col("doc_id").cast("string"), F.lit(".md)")).alias("text"))
+    made = index.points(own, letter_embedder)
+    letters = F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), ",")
+    return made.select("point_id", "namespace", "path", "chunk", F.md5("text").alias("digest"), "relations", F.md5(F.array_join("tokens", " ")).alias("tokens"), letters.alias("letters"))
 
 
-@query(None)
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(replace(replace(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '. ', '. ' || chr(1)), '? ', '? ' || chr(1)), '! ', '! ' || chr(1)), chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1))) AS s FROM documents WHERE strlen(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 10),
+t AS (SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM s), n AS (SELECT doc_id, count(*) AS n FROM t WHERE strlen(s) >= 10 GROUP BY doc_id)
+SELECT doc_id, n > 3 AS by_meaning, n AS n_chunks FROM n WHERE n > 3""")
+def semantic_chunks(spark, sf_dir):
+    """Texts of more than three sentences, cut after each by a stand-in whose vectors never agree."""
+    apart = lambda texts: [[1.0, 0.0] if i % 2 else [0.0, 1.0] for i in range(len(texts))]
+    own = documents(spark, sf_dir).select("doc_id", "text", F.size(T.sentences(index.trimmed_text(F.col("text")))).alias("n"))
+    cut = index.semantic_chunks(own, apart).where("n > 3").groupBy("doc_id").agg(F.max(F.col("n") > 3).alias("by_meaning"), F.count(F.lit(1)).alias("n_chunks"))
+    return cut
+
+
+@query("""WITH q AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), a AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT conv_id, q.text, CASE WHEN a.text IS NULL THEN 'No results.' ELSE '[Source: conv/' || conv_id || ']' || chr(10) || a.text END AS answer FROM q LEFT JOIN a USING (conv_id)""")
 def answer_fallback(spark, sf_dir):
     """What a failing model leaves of a conversation: its last question with the first answer, as text and source."""
     turns = table(spark, sf_dir, "conversations")
-    first = turns.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))).where("role = 'assistant' AND _n = 1")
-    return rag.last_user_message(turns).join(first.select("conv_id", rag.block(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")), F.col("text")).alias("answer")), "conv_id")
+    first = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("_text"))
+    shown = rag.block(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")), F.col("_text"))
+    return rag.last_user_message(turns).join(first, "conv_id", "left").select("conv_id", "text", F.coalesce(shown, F.lit("No results.")).alias("answer"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) < 200 THEN '' ELSE md5(trim(left(text, 4000))) END AS digest FROM documents WHERE strlen(text) = length(text)")
-def excerpts(spark, sf_dir):
-    """The ASCII documents only, as its SQL has it; all of them are in excerpts_whole."""
-    return excerpted(documents(spark, sf_dir).where(F.octet_length("text") == F.length("text")))
+# programs in five languages made of the documents' lines: what stands before the first word of each line, whether the word stays, what follows it
+FORMS = {
+    "py": [("import ", 1, ""), ("from ", 1, " import y"), ("def ", 1, "(a):"), ("  async def f_", 1, " ("), ("class ", 1, ":"), ("x = ", 1, "")],
+    "ts": [("import {a} from './", 1, "'"), ('const b = require("', 1, '")'), ("export function ", 1, "() {}"), ("export default class Box", 0, " {"), ("const a_", 1, " = 1"), ("// ", 1, "")],
+    "cpp": [("#include <", 1, ".h>"), ('  # include "', 1, '"'), ("int ", 1, ";")],
+    "md": [("[a](", 1, ")"), ("see [b](https://", 1, ") x"), ("[c](", 1, "#top) [d](d/e.md)"), ("", 1, "")],
+    "go": [('import "', 1, '"'), ("func ", 1, "(a int) {"), ("import (", 0, ""), ('\tx "', 1, '"'), ("type Hidden struct {", 0, ""), (" )", 0, ""), ("func (b *Box) Run", 0, "() {"), ("type ", 1, " struct {")],
+}
 
 
-def excerpted(own: DataFrame) -> DataFrame:
-    cut = T.excerpt(F.col("text"))
-    return own.select("doc_id", F.when(cut == "", "").otherwise(F.md5(cut)).alias("digest"))
+def _line_sql(forms: list) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{a.replace(chr(39), chr(39) * 2)}' || {'w' if keep else chr(39) * 2} || '{z.replace(chr(39), chr(39) * 2)}'" for i, (a, keep, z) in enumerate(forms))
+    return f"CASE i % {len(forms)} {cases} END".replace("\t", "' || chr(9) || '")
+
+
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+PROGRAMS = rf"""l AS (SELECT doc_id, i, regexp_extract(x, '^[^\s]*') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+m AS (SELECT doc_id, i, CASE doc_id % {len(FORMS)} {" ".join(f"WHEN {k} THEN {_line_sql(f)}" for k, f in enumerate(FORMS.values()))} END AS x FROM l),
+t AS (SELECT doc_id, doc_id % {len(FORMS)} AS k, i, x, regexp_replace(x, '^\s+|\s+$', '', 'g') AS y FROM m),
+g AS (SELECT *, coalesce(max(CASE WHEN starts_with(y, 'import (') THEN i END) OVER w, -1) > coalesce(max(CASE WHEN y = ')' THEN i END) OVER w, -1) AS inside FROM t WHERE k = 4 WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT doc_id, 'imports' AS type, coalesce(nullif(regexp_extract(y, {_sql_text(R.PY_IMPORT)}, 1), ''), regexp_extract(y, {_sql_text(R.PY_FROM)}, 1)) AS target, '' AS name FROM t WHERE k = 0
+UNION ALL SELECT doc_id, 'defines', '', regexp_extract(y, {_sql_text(R.PY_DEF)}, 1) FROM t WHERE k = 0
+UNION ALL SELECT doc_id, 'imports', regexp_extract(y, {_sql_text(R.JS_IMPORT)}, 1), '' FROM t WHERE k = 1
+UNION ALL SELECT doc_id, 'defines', '', coalesce(nullif(regexp_extract(y, {_sql_text(R.JS_DEF)}, 2), ''), regexp_extract(y, {_sql_text(R.JS_DEF)}, 1)) FROM t WHERE k = 1
+UNION ALL SELECT doc_id, 'imports', regexp_extract(x, {_sql_text(R.C_INCLUDE)}, 1), '' FROM t WHERE k = 2
+UNION ALL SELECT doc_id, 'links_to', trim(u), '' FROM (SELECT doc_id, unnest(regexp_extract_all(x, {_sql_text(R.MD_LINK)}, 1)) AS u FROM t WHERE k = 3) WHERE NOT regexp_matches(trim(u), '^https?://')
+UNION ALL SELECT doc_id, 'imports', regexp_extract(y, {_sql_text(R.GO_PATH)}, 1), '' FROM g WHERE NOT starts_with(y, 'import (') AND (inside AND y <> ')' OR NOT inside AND starts_with(y, 'import '))
+UNION ALL SELECT doc_id, 'defines', '', coalesce(nullif(regexp_extract(y, {_sql_text(R.GO_FUNC)}, 1), ''), regexp_extract(y, {_sql_text(R.GO_TYPE)}, 1)) FROM g WHERE NOT inside AND NOT starts_with(y, 'import '))"""
+
+
+@query(f"WITH {PROGRAMS} SELECT doc_id, type, target, name FROM e WHERE target <> '' OR name <> ''")
+def relations_of_texts(spark, sf_dir):
+    """Whole texts as programs, through the dispatcher by extension."""
+    word = lambda x: F.regexp_extract(x, r"^[^\s]*", 0)
+
+    def program(forms: list):
+        line = lambda x, i: F.get(F.array(*(F.concat(F.lit(a), word(x) if keep else F.lit(""), F.lit(z)) for a, keep, z in forms)), i % len(forms))
+        return F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+
+    k = F.col("doc_id") % len(FORMS)
+    text, ext = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (name, forms) in enumerate(FORMS.items()):
+        text, ext = F.when(k == n, program(forms)).otherwise(text), F.when(k == n, F.lit(f"f.{name}")).otherwise(ext)
+    own = documents(spark, sf_dir).select("doc_id", text.alias("text"), ext.alias("path"))
+    return listed(own, R.relations(F.col("path"), F.col("text"))).where("target <> '' OR name <> ''")
 
 
 @query(f"WITH {HEX} SELECT doc_id, CASE WHEN strlen(text) < 200 THEN '' ELSE md5(trim({first_bytes_sql(4000)})) END AS digest FROM x")
-def excerpts_whole(spark, sf_dir):
-    return excerpted(documents(spark, sf_dir))
+def excerpts(spark, sf_dir):
+    cut = T.excerpt(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.when(cut == "", "").otherwise(F.md5(cut)).alias("digest"))
 
 
 @query("SELECT page_id, md5(replace(to_base64(encode(html)), chr(10), '')) AS digest, true AS same FROM pages")

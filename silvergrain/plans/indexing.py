@@ -87,10 +87,13 @@ def relation_coverage(spark, sf_dir):
     return delta.relation_coverage(p)
 
 
-@query("SELECT user_id, event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("""WITH h AS (SELECT (SELECT min(ts) FROM events) + INTERVAL 1 HOUR AS t)
+SELECT user_id, event_id FROM events, h WHERE ts > t AND user_id NOT IN (SELECT user_id FROM events, h WHERE ts <= t)""")
 def seen_dedupe(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return delta.not_seen(e.where("event_type = 'view'").select("user_id", "event_id"), e.where("event_type = 'error'"), "user_id")
+    """Events of users that the first hour, as a start-up walk, has not met."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    end = F.lit(e.agg(F.min("ts").alias("t")).first()["t"]) + F.expr("INTERVAL 1 HOUR")
+    return delta.not_seen(e.where(F.col("ts") > end).select("user_id", "event_id"), e.where(F.col("ts") <= end), "user_id")
 
 
 @query("SELECT event_id AS id, event_type FROM events ORDER BY id LIMIT 5")
@@ -154,8 +157,12 @@ def video_texts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", files.frame_times(F.col("p_size") % 4, F.lit(10)).alias("seconds"), files.video_text(F.col("p_name"), caption).alias("text"))
 
 
-@query(None)
+# names as an archive might hold them: what stands before the name, and what is left of it (null: unsafe)
+ENTRIES = [("../", None), ("a/./b/../", "a/"), ("/", None), ("a/../../", None), ("x\\\\y/", "x/y/"), ("./", ""), ("a//b/", "a/b/")]
+
+
+@query(f"""SELECT p_partkey, {"[" + ", ".join("NULL" if k is None else f"'{k}'" for _, k in ENTRIES) + "]"}[p_partkey % {len(ENTRIES)} + 1] || p_partkey || '.txt' AS clean FROM part""")
 def archive_paths(spark, sf_dir):
-    """Names as an archive might hold them, cleaned; unsafe ones are null."""
-    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, "../").when(F.col("p_partkey") % 3 == 1, "a/./b/../").otherwise("/"), "p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", T.clean_archive_path_udf(path).alias("clean"))
+    k = F.col("p_partkey")
+    path = F.concat(F.get(F.array(*(F.lit(b) for b, _ in ENTRIES)), (k % len(ENTRIES)).cast("int")), k.cast("string"), F.lit(".txt"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.safe_archive_path(path).alias("clean"))

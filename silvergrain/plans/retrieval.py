@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import relations as R
+from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import governance, graph, rag
+from ..operators import governance, graph, index, rag
 from ..operators import search as S
+from ..workspace import work_dir
 from .catalog import query, table
 
 #: The query of the examples: the vector of this id, and these words.
@@ -19,14 +25,29 @@ DENSE = """scored AS (SELECT p.*, round(list_cosine_similarity(p.v, q.v), 9) AS
 MATCH = r"""hits AS (SELECT * FROM points WHERE list_has_all(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'and', 'of']))"""
 
 
-def points(spark, sf_dir: str) -> DataFrame:
-    """Embeddings joined to their documents, as points; one chunk a document."""
+_INDEXED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def made_points(spark, sf_dir: str) -> DataFrame:
+    """Embeddings joined to their documents, as points with tokens for text match; one chunk a document."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
-    return e.join(d, e.vec_id == d.doc_id).select("vec_id", F.col("lang").alias("namespace"), F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(0).cast("long").alias("chunk"), "text", F.col("embedding").alias("vector"))
+    path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return e.join(d, e.vec_id == d.doc_id).select("vec_id", path.alias("path"), F.lit(0).cast("long").alias("chunk"), "text", F.col("embedding").alias("vector"), T.match_tokens(F.col("text")).alias("tokens"), F.col("lang").alias("namespace"))
+
+
+def points(spark, sf_dir: str) -> DataFrame:
+    """The point table of these tables: made when first asked for in a session and read from then on, as an index is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        made, path = made_points(spark, sf_dir), f"{work_dir(spark)}/points-{uuid.uuid4().hex}"
+        index.write_points(made, path)
+        _INDEXED[key] = path, made.schema.json()
+    path, schema = _INDEXED[key]
+    return spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path)
 
 
 def asked(spark, sf_dir: str) -> list[float]:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == ASKED).first()["embedding"]
+    return points(spark, sf_dir).where(F.col("vec_id") == ASKED).first()["vector"]
 
 
 KEYED = ["namespace", "path", "chunk", "score"]
@@ -123,10 +144,8 @@ n AS (SELECT *, row_number() OVER (ORDER BY rerank_score DESC, rank) AS new_rank
 
 
 def reranked(spark, sf_dir, **options):
-    from ..functions import text as T
-
     best = S.ranked(S.scored(points(spark, sf_dir), asked(spark, sf_dir)), 20, [F.desc("score"), *map(F.col, S.KEY)])
-    tokens = T.match_tokens(F.col("text"))
+    tokens = F.col("tokens")
     share = F.round(F.size(F.filter(tokens, lambda t: t.isin("the", "and", "of"))) / F.greatest(F.size(tokens), F.lit(1)), 9)
     return S.rerank(best.select(*S.KEY, "rank"), best.select(*S.KEY, share.alias("rerank_score")), **options)
 
@@ -138,7 +157,9 @@ def rerank_apply(spark, sf_dir):
 
 @query(f"WITH {RERANK} SELECT count(*) AS n, count(*) FILTER (WHERE new_rank <> rank) AS changed, CAST(sum(abs(new_rank - rank)) AS BIGINT) AS distance FROM n")
 def rank_delta(spark, sf_dir):
-    return reranked(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if("moved").alias("changed"), F.sum(F.abs(F.col("new_rank") - F.col("rank"))).alias("distance"))
+    done = reranked(spark, sf_dir)
+    moves = rag.rank_changes(done, done.drop("rank").withColumnRenamed("new_rank", "rank"), "path")
+    return moves.agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed"), F.sum(F.abs(F.col("rank_after") - F.col("rank_before"))).alias("distance"))
 
 
 # access control
@@ -252,6 +273,42 @@ def agentic_merge(spark, sf_dir):
     return rag.merge(S.scored(own, asked(spark, sf_dir)), S.scored(own, e))
 
 
+# look-ups of a file and of what it leads to
+@query(f"WITH {POINTS} SELECT namespace, path, chunk, md5(text) AS digest FROM points WHERE vec_id = {ASKED}")
+def file_lookup(spark, sf_dir):
+    own = points(spark, sf_dir)
+    path = own.where(F.col("vec_id") == ASKED).first()["path"]
+    return index.file_text(own, path).select("namespace", "path", "chunk", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {LINKED} SELECT lang AS namespace, kind, value, CAST(place AS INT) AS place FROM (SELECT lang, unnest(['leads_to', 'leads_to']) AS kind, unnest(['p' || ((7 * doc_id + 3) % n), 'p' || ((11 * doc_id + 5) % n)]) AS value, unnest([0, 1]) AS place FROM documents, n WHERE doc_id = {ASKED})")
+def file_relations_lookup(spark, sf_dir):
+    return graph.file_relations(linked(spark, sf_dir), f"p{ASKED}")
+
+
+@query(f"WITH {POINTS}, {DENSE}, {FAN}, l AS (SELECT namespace, path, chunk, rank FROM d WHERE namespace <> 'fr'), o AS ({ACROSS}) SELECT *, 'de,en,es' AS answered, 'fr' AS failed FROM o")
+def fanout_partial(spark, sf_dir):
+    """Namespaces as tables of their own, one of which can't be read."""
+    own, vector = points(spark, sf_dir), asked(spark, sf_dir)
+    opened = {n: (lambda n=n: own.where(F.col("namespace") == n)) for n in ("de", "en", "es")}
+    opened["fr"] = lambda: spark.read.parquet(f"{work_dir(spark)}/not-there")
+    found, answered, failed = S.each_namespace(spark, opened, lambda p: S.scored(p, vector))
+    return found.withColumn("answered", F.lit(",".join(sorted(answered)))).withColumn("failed", F.lit(",".join(failed)))
+
+
+@query(f"""WITH {POINTS}, q(r, id) AS (VALUES (0, {ASKED}), (1, 11), (2, 13)), s AS (SELECT q.r, p.vec_id::VARCHAR AS point_id, round(list_cosine_similarity(p.v, o.v), 9) AS score FROM q JOIN points o ON o.vec_id = q.id, points p),
+t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, point_id) AS n FROM s),
+a AS (SELECT point_id, max(score) AS score FROM t WHERE r = 0 AND n <= 20 OR r > 0 AND n <= 5 GROUP BY ALL ORDER BY score DESC, point_id LIMIT 20) SELECT point_id, score, 3 AS rounds FROM a""")
+def agentic_rounds(spark, sf_dir):
+    """A loop of three rounds, in which a stand-in for the model asks for the neighbours of two more points."""
+    own = points(spark, sf_dir).withColumn("point_id", F.col("vec_id").cast("string"))
+    vectors = {r["vec_id"]: r["vector"] for r in own.where(F.col("vec_id").isin(ASKED, 11, 13)).collect()}
+    near = lambda i: S.scored(own, vectors[i]).select("point_id", "score", "text").orderBy(F.desc("score"), "point_id")
+    follow = iter((["11"], ["13"], []))
+    found, rounds = rag.agentic_search(spark, "what", near(ASKED), lambda q: near(int(q)), lambda q, rows: {"confidence": 0.1, "follow_up_queries": next(follow)}, rounds=3)
+    return found.select("point_id", "score", F.lit(rounds).alias("rounds"))
+
+
 @query("SELECT label, list(m ORDER BY pos) AS centroid FROM (SELECT label, pos, round(avg(x::DOUBLE), 9) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label")
 def centroids(spark, sf_dir):
     found = V.mean_by(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
@@ -276,8 +333,6 @@ def nonzero_points(spark, sf_dir):
 
 @query(f"WITH {POINTS}, {DENSE}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, namespace, path, chunk) AS rank FROM scored) SELECT path, round(score, 4) AS score, left(text, 100) || '...' AS preview FROM r WHERE rank <= 10")
 def result_preview(spark, sf_dir):
-    from ..functions import text as T
-
     best = S.vector_search(points(spark, sf_dir), asked(spark, sf_dir))
     return best.select("path", F.round("score", 4).alias("score"), T.preview(F.col("path"), F.col("text")).alias("preview"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import email
 import gzip
 import io
+import json
 import mailbox
+import os
 import tarfile
 import tempfile
 import zipfile
@@ -13,6 +15,7 @@ from collections.abc import Callable, Iterator
 from email import policy
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -32,19 +35,52 @@ def uri(backend: str, root: str) -> str:
     return root if "://" in root else f"{SCHEMES.get(backend, 'file')}://{root}"
 
 
-def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def listing(spark: SparkSession, root: str | list[str], glob: str | None = None) -> DataFrame:
     """path, size, mtime (seconds) of all files below; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     return reader.load(root).select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
-def walk(spark: SparkSession, root: str, flags: dict[str, bool] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """path, size, mtime, content of the files that are to be indexed; filters on the path come before any content is read."""
+def walk(spark: SparkSession, root: str | list[str], flags: dict[str, bool] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """path, size, mtime, content, truncated of the files that are to be indexed; filters on the path come before any content is read.
+
+    Of a file over MOST bytes the first ones are kept and ``truncated`` says so; archives up to MOST_ARCHIVE are kept whole, to be opened.
+    Files that vanish meanwhile are left out.
+    """
     flags = {"whisper": False, "vision": False, "frames": False, "ocr": False} | (flags or {})
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
+    archive = F.lower("path").rlike(r"\.(zip|tar|gz|tgz)$") & (F.col("length") <= MOST_ARCHIVE)
+    long = (F.col("length") > MOST) & ~archive
     wanted = ~T.extension(F.col("path")).isin(*T.skipped_extensions(**flags)) & ~T.excluded(F.col("path"), exclude or [])
-    return files.where(wanted).select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.substring("content", 1, MOST).alias("content"))
+    return files.where(wanted).select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.when(long, F.substring("content", 1, MOST)).otherwise(F.col("content")).alias("content"), long.alias("truncated"))
+
+
+def readable_folders(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """The folders below a root that can be listed, and those that can't; links that lead out of it are not followed.
+
+    For roots where some folders are closed: ``walk`` and ``listing`` take such a list, and Spark lists the rest in parallel.
+    """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Hadoop follows local links without a word, so for local folders the driver looks itself
+    real_of = lambda p: os.path.realpath(p.toUri().getPath()) if system.getScheme() == "file" else system.resolvePath(p).toString()
+    base = real_of(top).rstrip("/")
+    fine, closed, waiting = [], [], [top]
+    while waiting:
+        at = waiting.pop()
+        try:
+            real = real_of(at).rstrip("/")
+            if real != base and not real.startswith(base + "/"):
+                continue
+            below = list(system.listStatus(at))
+        except Py4JJavaError:
+            closed.append(at.toString())
+            continue
+        fine.append(at.toString())
+        waiting += [f.getPath() for f in below if f.isDirectory()]
+    return sorted(fine), sorted(closed)
 
 
 def walk_stats(files: DataFrame, flags: dict[str, bool], exclude: list[str]) -> DataFrame:
@@ -140,7 +176,7 @@ def mail_text(contents: pd.Series) -> pd.Series:
 
 
 def extract(files: DataFrame, extractors: list[tuple[str, tuple[str, ...], Callable[[str, bytes], str]]], ocr: Callable[[str, bytes], str] | None = None, ocr_below: int = 50) -> DataFrame:
-    """files (path, content) with ``text`` and ``extractor``.
+    """files (path, content) with ``text``, ``extractor`` and ``relations`` (JSON, of extractors that give (text, relations), else empty).
 
     Plain files are decoded. Otherwise the first of ``extractors`` (name, extensions, function) that takes the extension
     runs, in Arrow batches; a PDF whose text is short goes to ``ocr`` too, and the longer of both stays. Failures give null.
@@ -148,28 +184,33 @@ def extract(files: DataFrame, extractors: list[tuple[str, tuple[str, ...], Calla
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, names = [], []
+            texts, names, found = [], [], []
             for path, data in zip(batch["path"], batch["content"]):
                 ext = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
                 name, work = next(((n, f) for n, exts, f in extractors if ext in exts), (None, None))
+                relations = None
                 try:
                     if work is None and ext in T.PLAIN:
                         name, text = "plain", bytes(data).decode("utf-8", "replace")
                     else:
                         text = work(path, bytes(data)) if work else None
+                        if isinstance(text, tuple):
+                            text, relations = text
                     if ext == ".pdf" and ocr and text is not None and len(text.strip()) < ocr_below:
                         text = max(text, ocr(path, bytes(data)), key=lambda t: len(t.strip()))
                 except Exception:  # noqa: BLE001 - an injected extractor may fail in any way
                     text = None
                 texts.append(text)
                 names.append(name)
-            yield batch[["path"]].assign(text=texts, extractor=names)
+                found.append(json.dumps(relations) if relations else "")
+            yield batch[["path"]].assign(text=texts, extractor=names, relations=found)
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, extractor string")
+    return files.select("path", "content").mapInPandas(run, "path string, text string, extractor string, relations string")
 
 
-def frame_times(n, interval):
-    """Seconds at which frames are taken: every ``interval``, n of them."""
+def frame_times(n, interval, most: int | None = None):
+    """Seconds at which frames are taken: every ``interval``, n of them, the first ``most`` if that is given."""
+    n = n if most is None else F.least(n, F.lit(most))
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1) * interval, interval)).otherwise(F.array().cast("array<int>"))
 
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import subprocess
 import sys
 import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from ..functions import text as T
 
@@ -94,28 +95,95 @@ def embedder(provider: str, url: str, model: str, key: str | None = None) -> Cal
     return known[provider]
 
 
+class Generator:
+    """A language model behind a service: whole answers, JSON, or pieces as they come. provider: openai, ollama or gemini."""
+
+    def __init__(self, provider: str, url: str, model: str, key: str | None = None, timeout: float = 120):
+        if provider not in ("openai", "ollama", "gemini"):
+            raise ValueError(f"provider must be openai, ollama or gemini, not {provider!r}")
+        self.provider, self.url, self.model, self.timeout = provider, url, model, timeout
+        self.headers = {"Authorization": f"Bearer {key}"} if key else {}
+
+    def _body(self, prompt: str, json_mode: bool, stream: bool) -> bytes:
+        if self.provider == "gemini":
+            body: dict = {"contents": [{"role": "user", "parts": [{"text": prompt}]}]}
+            if json_mode:
+                body["generationConfig"] = {"responseMimeType": "application/json"}
+        elif self.provider == "ollama":
+            body = {"model": self.model, "prompt": prompt, "stream": stream} | ({"format": "json"} if json_mode else {})
+        else:
+            body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "stream": stream} | ({"response_format": {"type": "json_object"}} if json_mode else {})
+        return json.dumps(body).encode()
+
+    def _text(self, answer: dict) -> str:
+        if self.provider == "gemini":
+            return "".join(p.get("text", "") for c in answer.get("candidates", [])[:1] for p in c.get("content", {}).get("parts", []))
+        if self.provider == "ollama":
+            return answer.get("response", "")
+        choice = (answer.get("choices") or [{}])[0]
+        return (choice.get("message") or choice.get("delta") or {}).get("content") or ""
+
+    def __call__(self, prompt: str) -> str:
+        return self._text(_post(self.url, self._body(prompt, False, False), headers=self.headers, timeout=self.timeout))
+
+    def json(self, prompt: str) -> dict:
+        """The answer as JSON, with or without a code fence around it; an error if it is none."""
+        said = self._text(_post(self.url, self._body(prompt, True, False), headers=self.headers, timeout=self.timeout)).strip()
+        return json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", said))
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        """The answer piece by piece: lines of JSON, bare or as server-sent events."""
+        request = urllib.request.Request(self.url, self._body(prompt, False, True), {"Content-Type": "application/json"} | self.headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            for line in answer:
+                line = line.decode().strip().removeprefix("data:").strip()
+                if line and line != "[DONE]" and (piece := self._text(json.loads(line))):
+                    yield piece
+
+
+def timed(pieces: Iterator[str], clock: Callable[[], float] = time.monotonic) -> Iterator[tuple[float, str]]:
+    """Pieces of a stream with the seconds since it was asked for; the first is the time to the first token."""
+    began = clock()
+    for piece in pieces:
+        yield clock() - began, piece
+
+
+def sidecar(url: str, timeout: float = PLUGIN_SECONDS) -> Callable[[str, bytes], tuple[str, list[dict]]]:
+    """A plug-in behind HTTP: path and content (base64) go in as JSON; text, and relations if it finds any, come out."""
+
+    def run(path: str, data: bytes) -> tuple[str, list[dict]]:
+        said = _post(url, json.dumps({"path": path, "content": base64.b64encode(data).decode()}).encode(), timeout=timeout)
+        if said.get("error"):
+            raise ValueError(said["error"])
+        return said.get("text", ""), said.get("relations") or []
+
+    return run
+
+
 def reranker(url: str | None) -> Callable[[str, list[str]], list[float]]:
-    """Scores of texts for a query; zeros without a service. Texts beyond the first RERANK_TEXTS score 0, as the service takes no more."""
+    """Scores of texts for a query; zeros without a service. The service takes RERANK_TEXTS texts a call, and the first RERANK_CHARS characters of each."""
 
     def run(question: str, texts: list[str]) -> list[float]:
         if url is None or not texts:
             return [0.0] * len(texts)
         out = [0.0] * len(texts)
-        sent = [t[:RERANK_CHARS] for t in texts[:RERANK_TEXTS]]
-        for r in _post(url, json.dumps({"query": question, "texts": sent}).encode(), timeout=5)["results"]:
-            out[r["index"]] = float(r["score"])
+        for begin in range(0, len(texts), RERANK_TEXTS):
+            sent = [t[:RERANK_CHARS] for t in texts[begin : begin + RERANK_TEXTS]]
+            for r in _post(url, json.dumps({"query": question, "texts": sent}).encode(), timeout=5)["results"]:
+                out[begin + r["index"]] = float(r["score"])
         return out
 
     return run
 
 
-def program(path: str, seconds: float = PLUGIN_SECONDS) -> Callable[[str, bytes], str]:
-    """A plug-in program: file name and content go in as JSON, text comes out as JSON; it is ended after ``seconds``."""
+def program(path: str, seconds: float = PLUGIN_SECONDS) -> Callable[[str, bytes], str | tuple[str, list[dict]]]:
+    """A plug-in program: file name and content go in as JSON; text, and relations if it finds any, come out as JSON. It is ended after ``seconds``."""
 
-    def run(name: str, data: bytes) -> str:
+    def run(name: str, data: bytes) -> str | tuple[str, list[dict]]:
         given = json.dumps({"path": name, "content": base64.b64encode(data).decode()})
         done = subprocess.run([sys.executable, path], input=given, capture_output=True, text=True, timeout=seconds, check=True)
-        return json.loads(done.stdout)["text"]
+        said = json.loads(done.stdout)
+        return (said["text"], said["relations"]) if said.get("relations") else said["text"]
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -43,6 +44,25 @@ def webhook(url: str, final_only: bool = True) -> Callable[[DataFrame, int], Non
     return handle
 
 
+def sent_events(send: Callable[[str], None], keepalive: float = 30.0, clock: Callable[[], float] = time.monotonic) -> Callable[[DataFrame, int], None]:
+    """A handler of micro-batches that sends each event to a listener as a server-sent event, and a comment after a silence.
+
+    A listener takes what one driver can pass on: events of finished files, not the files.
+    """
+    last = [clock()]
+
+    def handle(batch: DataFrame, number: int) -> None:
+        quiet = True
+        for r in batch.select(F.to_json(F.struct(*batch.columns)).alias("body")).toLocalIterator():
+            send(f"data: {r['body']}\n\n")
+            last[0], quiet = clock(), False
+        if quiet and clock() - last[0] >= keepalive:
+            send(": keepalive\n\n")
+            last[0] = clock()
+
+    return handle
+
+
 def fan_out(handlers: list[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
     """One batch to several handlers; one that fails does not keep it from the others, and is reported at the end."""
 

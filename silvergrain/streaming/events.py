@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -146,5 +146,18 @@ def write_json(events: DataFrame, path: str, checkpoint: str | None = None):
     return events.write.mode("append").json(path)
 
 
+def progress(indexed: DataFrame, every: int = 500) -> DataFrame:
+    """A progress event (namespace, ts, files_indexed) for every so many files of a namespace, in the order in which they were done (namespace, path, ts).
+
+    Files are numbered in two steps: counts of hours by namespace give each hour's start, and only an hour is ordered in one task.
+    """
+    hour = F.date_trunc("hour", "ts").alias("_hour")
+    starts = indexed.groupBy("namespace", hour).agg(F.count(F.lit(1)).alias("_n"))
+    before = starts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("namespace").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("namespace", "_hour").orderBy("ts", "path"))
+    placed = indexed.select("namespace", "path", "ts", hour).withColumn("_i", inside).join(before, ["namespace", "_hour"])
+    return placed.select("namespace", "ts", (F.col("_before") + F.col("_i")).alias("files_indexed")).where(F.col("files_indexed") % every == 0)
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ts timestamp, user string, action string, namespace string, query string, results long, latency_ms long, status string, metadata map<string,string>").json(path)

@@ -114,9 +114,17 @@ def test_cosine(spark):
     assert one(spark, V.is_zero(arr(0.0, 0.0))) and not one(spark, V.is_zero(arr(0.0, 1.0)))
 
 
-def test_go_relations():
-    found = R.go_relations_of('package x\nimport "fmt"\nimport (\n a "b/c"\n)\nfunc (s *T) Run() {}\nfunc hidden() {}\ntype Box struct {}')
-    assert [(r["type"], r["target"] or r["name"]) for r in found] == [("imports", "fmt"), ("imports", "b/c"), ("defines", "Run"), ("defines", "Box")]
+@pytest.mark.parametrize(("text", "want"), [
+    ('package x\nimport "fmt"\nimport (\n a "b/c"\n)\nfunc (s *T) Run() {}\nfunc hidden() {}\ntype Box struct {}', ["fmt", "b/c", "Run", "Box"]),
+    ('import (\r\n\t"a"\r\n\t)\r\nfunc Run() {}', ["a", "Run"]),
+    ('import ( // "no"\n"a"\nimport (\n"b"\n)\n)\ntype Box struct', ["a", "b", "Box"]),
+    ('import (\n"a"\nfunc Run() {}', ["a"]),
+    (")\nfunc Run(", ["Run"]),
+    ("", []),
+])
+def test_go_relations(spark, text, want):
+    found = one(spark, R.go_relations(F.lit(text)))
+    assert [r["target"] or r["name"] for r in found] == want
 
 
 def test_relations_round_trip(spark):
@@ -198,7 +206,7 @@ def test_byte_cuts_keep_code_points_whole(spark):
         assert [r["e"] for r in found] == ["" if len(t.encode()) < 2 else w.strip(" ") for t, w in zip(texts, want)]
 
 
-@pytest.mark.parametrize(("name", "most"), [("excerpts_whole", 4000), ("truncate_texts_whole", 200)])
+@pytest.mark.parametrize(("name", "most"), [("excerpts", 4000), ("truncate_texts", 200)])
 def test_whole_table_is_cut(spark, sf_dir, tmp_path, name, most):
     """All documents, with code points across the cut at each of their bytes, against brute force."""
     given = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -210,7 +218,7 @@ def test_whole_table_is_cut(spark, sf_dir, tmp_path, name, most):
     cut = lambda t: t.encode()[:most].decode(errors="ignore")
     want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     assert any(len(t) < len(t.encode()) for i, t in want.items() if i < 10**6)
-    if name == "excerpts_whole":
+    if name == "excerpts":
         assert found == {i: "" if len(t.encode()) < 200 else md5(cut(t).strip(" ")) if cut(t).strip(" ") else "" for i, t in want.items()}
     else:
         assert found == {i: md5(cut(t) + "..." if len(t.encode()) > most else t) for i, t in want.items()}
@@ -296,3 +304,188 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("SILVERGRAIN_FUSION_K", "30")
     monkeypatch.setenv("SILVERGRAIN_HOPS", "many")
     assert config.Settings.from_environment() == config.Settings(fusion_k=30)
+
+
+def test_semantic_chunks_and_fallback(spark):
+    """Groups by direction of their vectors and by words; few sentences, a failing or a short model fall back to words."""
+    texts = ["Cats are nice. Cats do sleep. Stocks went up. Stocks fell again.", "One sentence here. Two sentences.", "w " * 600 + "and so it goes on."]
+    own = spark.createDataFrame([("n", str(i), t) for i, t in enumerate(texts)], "namespace string, path string, text string")
+    embed = lambda found: [[1.0, 0.0] if "ats" in t else [0.0, 1.0] for t in found]
+    cut = lambda e, **o: {p: [r["text"] for r in sorted(rows, key=lambda r: r["chunk"])] for p in "012" for rows in [index.semantic_chunks(own, e, **o).where(F.col("path") == p).collect()]}
+    found = cut(embed)
+    assert found["0"] == ["Cats are nice. Cats do sleep.", "Stocks went up. Stocks fell again."]
+    assert found["1"] == [texts[1]] and [len(t.split()) for t in found["2"]] == [512, 143]
+    assert cut(embed, max_words=4)["0"] == ["Cats are nice.", "Cats do sleep.", "Stocks went up.", "Stocks fell again."]
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    assert cut(broken)["0"] == cut(lambda t: [])["0"] == [texts[0]]
+    made = index.points(own, embed, strategy="semantic")
+    assert made.where("path = '0'").count() == 2
+
+
+def test_contexts_come_from_a_model(spark):
+    own = spark.createDataFrame([("a", "x" * 300), ("b", "short"), ("c", "y" * 300)], "path string, text string")
+
+    def ask(excerpt):
+        if excerpt[0] == "y":
+            raise RuntimeError
+        return f" {excerpt[:3]} "
+
+    assert {r["path"]: r["context"] for r in index.contexts(own, ask).collect()} == {"a": "xxx", "b": "", "c": ""}
+
+
+def test_point_table_has_one_size(spark, tmp_path):
+    path = f"file://{tmp_path}/points"
+    assert index.ensure_points(spark, path, 2) and not index.ensure_points(spark, path, 2)
+    with pytest.raises(ValueError, match="of 2 numbers"):
+        index.ensure_points(spark, path, 3)
+    assert index.read_points(spark, path).count() == 0
+    rows = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "vector array<float>")
+    assert index.sized(rows.limit(1), 2).count() == 1
+    with pytest.raises(Exception, match="vectors must have 2 numbers, not 1"):
+        index.sized(rows, 2).collect()
+
+
+def test_look_ups_of_a_file(spark):
+    rows = [("n", "a.md", 0, "one", '[{"type":"links_to","target":"b.md"},{"type":"defines","name":"X"},{"type":"imports","target":""}]'), ("n", "a.md", 1, "two", ""), ("n", "b.md", 0, "three", "broken"), ("m", "a.md", 0, "other", "")]
+    own = spark.createDataFrame(rows, "namespace string, path string, chunk long, text string, relations string")
+    assert [r["text"] for r in index.file_text(own, "a.md", "n").collect()] == ["one", "two"]
+    assert index.file_text(own, "none.md").count() == 0
+    assert [(r["kind"], r["value"], r["place"]) for r in graph.file_relations(own, "a.md").collect()] == [("leads_to", "b.md", 0), ("defines", "X", 1)]
+    assert graph.file_relations(own, "b.md").count() == 0
+
+
+def test_fan_out_over_tables_that_may_fail(spark):
+    import time
+
+    own = spark.createDataFrame([("a", "p", 0, 0.5), ("a", "q", 0, 0.9)], "namespace string, path string, chunk long, score double")
+
+    def broken():
+        raise RuntimeError
+
+    def slow():
+        time.sleep(20)
+
+    began = time.monotonic()
+    found, answered, failed = S.each_namespace(spark, {"a": lambda: own, "b": broken, "c": slow}, lambda p: p, seconds=5)
+    assert (answered, sorted(failed)) == (["a"], ["b", "c"]) and time.monotonic() - began < 15
+    assert [r["path"] for r in found.collect()] == ["q", "p"]
+    found, answered, failed = S.each_namespace(spark, {"b": broken}, lambda p: p, seconds=5)
+    assert found.count() == 0 and failed == ["b"]
+
+
+def test_batch_search_keeps_the_best_over_batches_and_shares(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    vectors = rng.integers(-2, 3, (300, 3)).astype(float)  # many ties
+    own = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vector array<double>").repartition(3)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(S, "SENT", 7 * 4 * 3 * 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    found = S.batch_search(spark, own, own.withColumnRenamed("vec_id", "query_id"), 4).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    norm = np.linalg.norm(vectors, axis=1)
+    unit = vectors / np.where(norm > 0, norm, 1)[:, None]
+    like = np.round(unit @ unit.T, 9)
+    for q in range(300):
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-like[q, i], i))[:4]
+        assert [r["id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_rerank_by_a_model(spark):
+    rows = spark.createDataFrame([("n", "a", 0, 0.9, "bad"), ("n", "b", 0, 0.5, "good text")], "namespace string, path string, chunk long, score double, text string")
+    done = S.reranked(rows, "good", lambda q, texts: [float(q in t) for t in texts])
+    assert [(r["path"], r["new_rank"]) for r in done.orderBy("new_rank").collect()] == [("b", 1), ("a", 2)]
+    assert S.reranked(rows.limit(0), "good", lambda q, t: []).count() == 0
+
+
+def test_safe_archive_paths_equal_the_plain_function(spark):
+    names = ["a/b", "../a", "a/../../b", "/x", "a\\..\\b", "./", "a//b/./c", "..", "a/..", "a/../b/..", "\\x", "", "c/..d"]
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.safe_archive_path(F.col("n")).alias("p")).collect()
+    assert {r["n"]: r["p"] for r in found} == {n: T.clean_archive_path(n) for n in names}
+
+
+def test_answer_cache_on_the_driver():
+    now = [0.0]
+    cache = governance.AnswerCache(2, 10, lambda: now[0])
+    key = cache.key("n", "m", " Hello ")
+    assert key == cache.key("n", "m", "hello") and cache.get(key) is None
+    cache.put(key, "hi")
+    cache.put("b", "x")
+    assert cache.get(key) == "hi"
+    cache.put("c", "y")  # b was used longest ago
+    assert cache.get("b") is None and cache.get(key) == "hi"
+    cache.put("d", "")
+    assert cache.get("d") is None
+    now[0] = 11.0
+    assert cache.get(key) is None
+    cache.indexed("n")
+    assert cache.key("n", "m", "hello") != key
+
+
+def test_stored_answers(spark):
+    cache = spark.createDataFrame([("a", "A", 100.0, 1.0), ("b", "B", 100.0, 2.0), ("old", "O", 5.0, 3.0)], "cache_key string, answer string, expires_at double, used_at double")
+    said = spark.createDataFrame([("a", "A", True), ("c", "C", False), ("c", "C", False), ("d", "", False)], "cache_key string, answer string, hit boolean")
+    found = {r["cache_key"]: (r["expires_at"], r["used_at"]) for r in governance.stored_answers(cache, said, F.lit(10), 50, 10).collect()}
+    assert found == {"a": (100.0, 10.0), "b": (100.0, 2.0), "c": (60.0, 10.0)}
+    assert {r["cache_key"] for r in governance.stored_answers(cache, said, F.lit(10), 50, 2).collect()} == {"a", "c"}
+    key = spark.range(1).select(ids.answer_key(F.lit("n"), F.lit(0), F.lit("m"), F.lit(" Hi ")).alias("k")).first()["k"]
+    assert key == governance.AnswerCache().key("n", "m", " Hi ")
+
+
+def test_vectors_are_made_once_and_kept(spark):
+    key = lambda t: hashlib.sha256(t.encode()).hexdigest()[:32]
+    cache = spark.createDataFrame([(key("a"), [1.0], 100.0, 1.0), (key("late"), [2.0], 5.0, 2.0)], "embed_key string, vector array<double>, expires_at double, inserted_at double")
+    texts = spark.createDataFrame([("a",), ("b",), ("b",), ("late",), ("bad",)], "text string")
+    embed = lambda df: df.withColumn("vector", F.when(F.col("text") != "bad", F.array(F.length("text").cast("double"))))
+    found, filled = governance.with_vectors(texts, cache, embed, F.lit(10), 50, 10)
+    assert sorted((r["text"], r["vector"], r["hit"]) for r in found.collect() if r["vector"]) == [("a", [1.0], True), ("b", [1.0], False), ("b", [1.0], False), ("late", [4.0], False)]
+    assert found.where("vector IS NULL").count() == 1
+    assert {r["embed_key"]: (r["expires_at"], r["inserted_at"]) for r in filled.collect()} == {key("a"): (100.0, 1.0), key("b"): (60.0, 10.0), key("late"): (60.0, 2.0)}
+    assert {r["embed_key"] for r in governance.with_vectors(texts, cache, embed, F.lit(10), 50, 2)[1].collect()} == {key("b"), key("late")}
+
+
+def test_answer_goes_the_whole_way(spark):
+    from silvergrain.engine import Engine
+
+    texts = [("n", "a.md", "apples are red and sweet [x](b.md)"), ("n", "b.md", "pears are green, see below"), ("n", "c.md", "cars are fast machines"), ("m", "d.md", "apples of another namespace")]
+    own = index.points(spark.createDataFrame(texts, "namespace string, path string, text string"), index.hash_embedder()).persist()
+    asked, said = [], []
+
+    def model(prompt):
+        said.append(prompt)
+        return f"answer {len(said)}"
+
+    def assess(question, rows):
+        asked.append({r["text"] for r in rows})
+        return {"confidence": 0.0, "follow_up_queries": ["cars"]} if len(asked) == 1 else {"answer_ready": True}
+
+    engine = Engine(spark, own, model=model, assess=assess, reranker=lambda q, t: [float("cars" in x) for x in t], cache=governance.AnswerCache())
+    assert engine.answer("apples", "n", k=1, expand=True) == "answer 1"
+    assert len(asked) == 2 and "cars are fast machines" in said[0]
+    assert engine.answer(" Apples ", "n", k=1) == "answer 1" and len(said) == 1
+    engine.cache.indexed("n")
+    assert engine.answer("apples", "n", k=1) == "answer 2"
+    with pytest.raises(PermissionError):
+        engine.answer("apples", "n", allowed=["m"])
+    assert engine.answer("apples", "*", allowed=["m"]) == "answer 3" and "another namespace" in said[2] and "red and sweet" not in said[2]
+    assert engine.search("cars", "n", k=2, rerank=True).orderBy("new_rank").first()["path"] == "c.md"
+    assert [r["chunk"] for r in engine.file("a.md").collect()] == [0] and engine.file_relations("a.md").first()["value"] == "b.md"
+
+    def failing(prompt):
+        raise RuntimeError
+
+    broken = Engine(spark, own, model=failing, cache=governance.AnswerCache())
+    assert broken.answer("apples", "m", k=1).startswith("apples of another namespace") and not broken.cache.kept
+    suite = spark.createDataFrame([("apples", "red", "n"), ("apples", "x", None), ("broken", "x", "m")], "question string, expected_answer string, namespace string")
+
+    def judge(question, expected, context):
+        if question == "broken":
+            raise RuntimeError
+        return {"confidence": 1.0, "contains_answer": expected in context}
+
+    found = {(r["question"], r["namespace"]): r for r in Engine(spark, own).evaluate(suite, judge, lambda c, a: {"score": 0.9}, "m").collect()}
+    assert found["apples", "n"]["verdict"] == "PASS" and found["apples", "m"]["context_recall"] == pytest.approx(0.3) and found["broken", "m"]["verdict"] == "FAIL"

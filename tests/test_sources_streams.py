@@ -105,7 +105,7 @@ def test_dead_letters_and_retry(spark, tmp_path):
 
 
 def test_frames(spark):
-    row = spark.range(1).select(files.frame_times(F.lit(3), F.lit(10)).alias("t"), files.video_text(F.lit(" said "), F.array(F.struct(F.lit(10).alias("second"), F.lit("a cat").alias("text")))).alias("v"), files.video_text(F.lit(None).cast("string"), F.lit(None).cast("array<struct<second:int,text:string>>")).alias("none")).first()
+    row = spark.range(1).select(files.frame_times(F.lit(5), F.lit(10), 3).alias("t"), files.video_text(F.lit(" said "), F.array(F.struct(F.lit(10).alias("second"), F.lit("a cat").alias("text")))).alias("v"), files.video_text(F.lit(None).cast("string"), F.lit(None).cast("array<struct<second:int,text:string>>")).alias("none")).first()
     assert row["t"] == [0, 10, 20] and row["v"] == "said\n\n[Frame at 10s] a cat" and row["none"] == ""
 
 
@@ -191,6 +191,104 @@ def test_sinks(spark, server, tmp_path):
     assert (tmp_path / "sd.json").read_text() == '[{"targets": ["h:1"], "labels": {"namespace": "n"}}]'
 
 
+def test_language_models(server):
+    import json
+
+    from silvergrain.sources import services as X
+
+    asked = []
+    answers = {"openai": {"choices": [{"message": {"content": "said"}}]}, "ollama": {"response": "said"}, "gemini": {"candidates": [{"content": {"parts": [{"text": "sa"}, {"text": "id"}]}}]}}
+    for provider, answer in answers.items():
+        server.answer = lambda path, body, answer=answer: (asked.append(json.loads(body)) or 200, answer)
+        assert X.Generator(provider, server.url, "m", "key")("hello") == "said"
+        assert "hello" in json.dumps(asked[-1])
+    server.answer = lambda path, body: (200, {"response": '```json\n{"a": 1}\n```'})
+    assert X.Generator("ollama", server.url, "m").json("hello") == {"a": 1}
+    server.answer = lambda path, body: (200, {"response": "one line"})
+    assert list(X.Generator("ollama", server.url, "m").stream("hello")) == ["one line"]
+    ticks = iter([0.0, 0.5, 0.75])
+    assert list(X.timed(iter(["a", "b"]), lambda: next(ticks))) == [(0.5, "a"), (0.75, "b")]
+    with pytest.raises(ValueError, match="provider"):
+        X.Generator("none", "", "")
+
+
+def test_reranker_sends_long_lists_in_blocks(server):
+    import json
+
+    from silvergrain.sources import services as X
+
+    sizes = []
+
+    def score(path, body):
+        texts = json.loads(body)["texts"]
+        sizes.append(len(texts))
+        return 200, {"results": [{"index": i, "score": float(t)} for i, t in enumerate(texts)]}
+
+    server.answer = score
+    assert X.reranker(server.url)("q", [str(i) for i in range(250)]) == [float(i) for i in range(250)] and sizes == [100, 100, 50]
+
+
+def test_plugin_behind_http_gives_relations(spark, server):
+    import base64
+    import json
+
+    from silvergrain.operators import index
+    from silvergrain.sources import services as X
+
+    server.answer = lambda path, body: (200, {"text": base64.b64decode(json.loads(body)["content"]).decode() + " and more words", "relations": [{"type": "imports", "target": "x"}]})
+    own = spark.createDataFrame([("f.up", bytearray(b"abc"))], "path string, content binary")
+    row = files.extract(own, [("side", (".up",), X.sidecar(server.url))]).first()
+    assert row["text"] == "abc and more words" and json.loads(row["relations"]) == [{"type": "imports", "target": "x"}]
+    made = index.points(files.extract(own, [("side", (".up",), X.sidecar(server.url))]).withColumn("namespace", F.lit("n")), index.hash_embedder()).first()
+    assert json.loads(made["relations"]) == [{"type": "imports", "target": "x"}]
+    server.answer = lambda path, body: (200, {"error": "no"})
+    assert files.extract(own, [("side", (".up",), X.sidecar(server.url))]).first()["text"] is None
+
+
+def test_sent_events(spark):
+    from silvergrain.sources import sinks
+
+    got, now = [], [0.0]
+    handle = sinks.sent_events(got.append, 30, lambda: now[0])
+    handle(spark.createDataFrame([("n", "complete")], "namespace string, status string"), 0)
+    empty = spark.createDataFrame([], "namespace string, status string")
+    handle(empty, 1)
+    now[0] = 31.0
+    handle(empty, 2)
+    assert got == ['data: {"namespace":"n","status":"complete"}\n\n', ": keepalive\n\n"]
+
+
+def test_progress_events(spark):
+    rows = [("a", f"f{i}", f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00") for i in range(250)] + [("b", "x", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "namespace string, path string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = E.progress(df, 100).orderBy("files_indexed").collect()
+    assert [(r["namespace"], r["files_indexed"], r["ts"].strftime("%H:%M")) for r in found] == [("a", 100, "01:39"), ("a", 200, "03:19")]
+
+
+def test_walk_keeps_archives_whole_and_marks_cut_files(spark, tmp_path, monkeypatch):
+    import io
+    import zipfile
+
+    monkeypatch.setattr(files, "MOST", 100)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in.txt", "inside " * 100)
+    (tmp_path / "long.txt").write_text("x" * 500)
+    (tmp_path / "short.txt").write_text("y" * 50)
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in files.walk(spark, str(tmp_path)).collect()}
+    assert (len(got["long.txt"]["content"]), got["long.txt"]["truncated"], got["short.txt"]["truncated"], got["a.zip"]["truncated"]) == (100, True, False, False)
+    assert zipfile.ZipFile(io.BytesIO(bytes(got["a.zip"]["content"]))).read("in.txt") == b"inside " * 100
+    assert files.expand_archives(files.walk(spark, str(tmp_path))).where("path like '%a.zip/in.txt'").count() == 1
+
+
+def test_readable_folders(spark, tmp_path):
+    (tmp_path / "root" / "a" / "b").mkdir(parents=True)
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "root" / "link").symlink_to(tmp_path / "outside")
+    (tmp_path / "root" / "a" / "f.txt").write_text("hello there")
+    fine, closed = files.readable_folders(spark, f"file://{tmp_path}/root")
+    assert [p.split("/root")[1] for p in fine] == ["", "/a", "/a/b"] and closed == []
+
+
 def test_breaker_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = [("s", f"2024-01-01 00:00:{i:02d}", False) for i in range(6)] + [("s", "2024-01-01 01:00:00", False), ("s", "2024-01-01 02:00:00", True), ("s", "2024-01-01 02:00:01", False)]
