@@ -10,15 +10,20 @@ Samples: for hash k a shingle of weight w gets t = floor(ln w / r + beta) and ln
 and c of Gamma(2, 1) and beta uniform, all drawn from the shingle and k; a document's sample is the smallest a. Two
 documents share a sample with the probability of their weighted Jaccard similarity. ROWS samples make a band.
 
-Links: documents with equal shingles are one node. Within a bucket of a band, all nodes are compared with one pivot;
-nodes that this leaves in different components get other pivots, round by round, until few pairs are left, and
-then all of those are compared. So a group of m near copies costs about m comparisons, and no candidate pair
-whose link could matter is left out. A pivot's comparisons are dealt over tasks in parts of ``PART`` members.
+Links: documents with equal shingles are one node. Within a bucket of a band, all nodes are compared with one pivot, in two rounds:
+one by chance, then the one with the largest share of weight that others have too, the least edited of a group. So a group of m near
+copies costs about m comparisons a round. A pivot's comparisons are dealt over tasks in parts of ``PART`` members.
+
+What the pivots leave: nodes whose bucket still spans several components are compared where they share a shingle that
+counts. A node's shingles are put in one order, rare ones first; two nodes whose similarity reaches SIMILAR share at least
+2 SIMILAR / (1 + SIMILAR) of the lighter one's weight and SIMILAR of the heavier one's, so they have a common shingle among the first
+of each, up to the rest of its weight (prefix filter). A template in many documents stands at the end of that order, behind what is a
+document's own, and makes no pair. No pair whose link could matter is left out, and none is made for a bucket's sake.
 
 Bounds: two documents of weights w share at most the smaller of their v, where v leaves out what no other document still in
 question has; so their similarity is at most m / (w + w - m) with m = min v. If both were compared with one pivot and share s with
 it, what they share inside and outside the pivot is bounded apart: m = min s + min (v - s). Pairs below SIMILAR by that
-are not compared. Pivots are those with the largest share v / w, the least edited of a group.
+are not compared.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -40,8 +45,10 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Share of documents from which on a shingle's frequency counts; most candidates that are sent to all tasks (8 bytes each).
 COMMON, LEAST, SENT = 0.005, 0.001, 2_000_000
-#: Members compared with a copy of their pivot in one task; rounds of pivots; pairs a node left whose bounds are looked at outright.
-PART, ROUNDS, LEFT = 512, 6, 2000
+#: Members compared with a copy of their pivot in one task.
+PART = 512
+#: Shares of a node's weight that its first shingles make up, as the heavier and as the lighter of a pair; room for rounding.
+HEAVIER, LIGHTER, EPS = 1 - SIMILAR, 1 - 2 * SIMILAR / (1 + SIMILAR), 1e-9
 #: Ids up to which they are sent to all tasks to pick candidates' texts (8 bytes each); beyond, texts are shuffled.
 PICKED = 1_000_000
 #: Documents worked on at a time.
@@ -84,6 +91,16 @@ class Weights:
     def __init__(self, common: np.ndarray, factor: np.ndarray):
         order = np.argsort(common)
         self.common, self.factor = common[order], factor[order]
+        self.rank = np.argsort(np.lexsort((self.common, -self.factor)))
+
+    def places(self, hashed: np.ndarray) -> np.ndarray:
+        """Of each common shingle its place by rising document frequency, -1 of others."""
+        out = np.full(len(hashed), -1, dtype=np.int64)
+        if len(self.common) and len(hashed):
+            at = np.minimum(np.searchsorted(self.common, hashed), len(self.common) - 1)
+            hit = self.common[at] == hashed
+            out[hit] = self.rank[at[hit]]
+        return out
 
     def of(self, hashed: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = counts.astype(np.float64)
@@ -117,18 +134,16 @@ class Sampler:
     def signatures(self, hashed: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each hash and document the smallest ln a, whose bits stand for the sample (shingle, t). starts: where documents begin."""
         out = np.empty((len(self.seeds), len(starts)))
-        unit = weight == 1
-        other = np.flatnonzero(~unit)
+        other = np.flatnonzero(weight != 1)  # of weight 1, t is 0
         ln_w = np.log(weight[other])
         for k, seed in enumerate(self.seeds):
             draw = _mixed(hashed ^ seed).view(np.uint16).reshape(-1, 4)
             r, beta, ln_c = self.r[draw[:, 0]], self.beta[draw[:, 1]], self.ln_c[draw[:, 2]]
+            # ln c - r (t - beta) - r, the part without t first, so that equal (shingle, t) have equal bits whatever the weights
+            ln_a = ln_c + r * (beta - 1)
             if len(other):
-                ro, bo = r[other], beta[other]
-                special = ln_c[other] - ro * (np.floor(ln_w / ro + bo) - bo) - ro
-            ln_a = ln_c + r * (beta - 1)  # weight 1: t = 0
-            if len(other):
-                ln_a[other] = special
+                ro = r[other]
+                ln_a[other] -= ro * np.floor(ln_w / ro + beta[other])
             out[k] = np.minimum.reduceat(ln_a, starts)
         return out
 
@@ -284,8 +299,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, class_id (smallest id of its class), class_size, kept (whether it has that id).
 
-    Documents are in a class if links of similarity 0.8 or more lead from one to the other. Null texts count as empty;
-    texts without a word equal each other. Rows without an id stay alone with a null class and are kept. Rows that repeat
+    Documents are in a class if links of similarity 0.8 or more lead from one to the other. Texts of any length are read whole. Null
+    texts count as empty; texts without a word equal each other. Rows without an id stay alone with a null class and are kept. Rows that repeat
     an id are one document. An empty table gives an empty one; columns besides the two are not looked at.
     """
     shared.fresh(docs, id_col, text_col)
@@ -293,35 +308,57 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     named = rows.where("_id IS NOT NULL")
     weights = common_shingles(spark, named)
     signs = shared.table(spark, signed(spark, named, weights), "signatures")
-    nodes = shared.table(spark, signs.groupBy("_set").agg(F.min("_id").alias("_node")), "nodes")
+    nodes = shared.table(spark, signs.groupBy("_set").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_m")), "nodes")
     buckets = signs.join(nodes.select(F.col("_node").alias("_id"), "_set"), ["_id", "_set"], "left_semi").select(F.col("_id").alias("n"), "_w", F.explode("_bands").alias("k")).groupBy("k", "n").agg(F.max("_w").alias("w"))
     many = buckets.groupBy("k").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("k")
     buckets = shared.table(spark, buckets.join(many, "k", "left_semi"), "buckets")
     ids = buckets.select(F.col("n").alias("_id")).distinct()
     texts = shared.table(spark, named.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "_id", "left_semi"), "candidate-texts")
     roots = links(spark, buckets, texts, weights)
-    placed = nodes.join(roots.select(F.col("_id").alias("_node"), "_root"), "_node", "left").select("_set", F.coalesce("_root", "_node").alias("class_id"))
-    found = signs.select("_id", "_set").join(placed, "_set")
-    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    done = found.join(sizes, "class_id").select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_id") == F.col("class_id")).alias("kept"))
+    placed = shared.table(spark, nodes.join(roots.select(F.col("_id").alias("_node"), "_root"), "_node", "left").select("_set", "_m", F.coalesce("_root", "_node").alias("class_id")), "placed")
+    # classes of several nodes get their size by a join of tables, which Spark can split where a class is large
+    sizes = shared.table(spark, placed.groupBy("class_id").agg(F.sum("_m").alias("class_size"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("class_id", "class_size"), "class-sizes")
+    sized = placed.join(sizes, "class_id", "left").select("_set", "class_id", F.coalesce("class_size", "_m").alias("class_size"))
+    done = signs.select("_id", "_set").join(sized, "_set").select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_id") == F.col("class_id")).alias("kept"))
     alone = rows.where("_id IS NULL").select(F.col("_id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return done.unionByName(alone)
 
 
-def unshared_weights(spark: SparkSession, texts: DataFrame, weights: Weights) -> DataFrame:
-    """(n, alone): the weight of each text's shingles that no other of the texts (_id, _text) has, where there are any."""
+def counted_shingles(spark: SparkSession, texts: DataFrame, weights: Weights) -> DataFrame:
+    """(n, s, x, place): the shingles of the texts (_id, _text), their weights, and their place in an order that has rare ones first.
+
+    The place of a shingle is the number of the texts that have it; common ones, which hot keys would be, are not counted but come
+    after all others, by their document frequency.
+    """
     sent = spark.sparkContext.broadcast(weights)
+    last = 1 << 40
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
         for batch in batches:
             for part, found in _chunks(batch):
                 n = np.repeat(part["_id"].to_numpy(), [len(h) for h, _ in found])
                 h, c = (np.concatenate([f[x] for f in found]) for x in (0, 1))
-                yield pd.DataFrame({"n": n, "s": h.view(np.int64), "x": sent.value.of(h, c)})
+                place = own.places(h)
+                yield pd.DataFrame({"n": n, "s": h.view(np.int64), "x": own.of(h, c), "place": np.where(place >= 0, last + place, 0)})
 
-    rows = texts.mapInPandas(run, "n long, s long, x double")
-    once = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.max("x").alias("x")).where("m = 1")
-    return once.groupBy("n").agg(F.sum("x").alias("alone"))
+    rows = shared.table(spark, texts.mapInPandas(run, "n long, s long, x double, place long"), "shingles")
+    rare = rows.where("place = 0").withColumn("place", F.count(F.lit(1)).over(Window.partitionBy("s")))
+    return shared.table(spark, rare.unionByName(rows.where("place > 0")), "counted-shingles")
+
+
+def prefix_pairs(counted: DataFrame, known: DataFrame, possible, other: list) -> DataFrame:
+    """(a, b) of nodes of different components (n, w, c, ...) that may be linked: each pair once, the lighter one as a.
+
+    ``counted``: the shingles of the nodes at least. ``possible`` holds a pair's bound against what is needed.
+    """
+    order = Window.partitionBy("n").orderBy("place", "s").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.join(known.select("n", "w"), "n").withColumn("before", F.coalesce(F.sum("x").over(order), F.lit(0.0))).where((F.col("place") > 1) & (F.col("before") <= HEAVIER * F.col("w") + EPS))
+    held = first.select("n", "s", "before").join(known, "n")
+    lighter = held.where(F.col("before") <= LIGHTER * F.col("w") + EPS).select("s", F.col("n").alias("a"), F.col("c").alias("d"), *other)
+    heavier = held.drop("before").withColumnRenamed("n", "b")
+    after = (F.col("w") > F.col("pw")) | (F.col("w") == F.col("pw")) & (F.col("b") > F.col("a"))
+    return lighter.join(heavier, "s").where(after & (F.col("c") != F.col("d")) & possible).select("a", "b").distinct()
 
 
 def open_buckets(spark: SparkSession, placed: DataFrame) -> tuple[DataFrame, float]:
@@ -339,42 +376,36 @@ def links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, weights: We
     roots = edges.select(F.col("a").alias("_id"), F.col("b").alias("_root"))
     # v: weight that others may share; p, s: a pivot the node was compared with, and the weight they share
     known = buckets.select("n", "w", F.col("w").alias("v"), F.lit(None).cast("long").alias("p"), F.lit(0.0).alias("s")).distinct()
-    buckets = buckets.select("k", "n")
-    n_nodes = texts.count()
+    buckets, counted = buckets.select("k", "n"), None
     most = F.least("v", "pv")
-    most = F.when(F.col("p") == F.col("pp"), F.least(most, F.least("s", "ps") + F.least(F.col("v") - F.col("s"), F.col("pv") - F.col("ps")))).otherwise(most)
-    possible = most >= SIMILAR * (F.col("w") + F.col("pw") - most) - 1e-9
-    other = [F.col("w").alias("pw"), F.col("v").alias("pv"), F.col("p").alias("pp"), F.col("s").alias("ps")]
+    most = F.when(F.col("p") == F.col("pp"), F.least(most, F.least("s_", "ps") + F.least(F.col("v") - F.col("s_"), F.col("pv") - F.col("ps")))).otherwise(most)
+    possible = most >= SIMILAR * (F.col("w") + F.col("pw") - most) - EPS
+    other = [F.col("w").alias("pw"), F.col("v").alias("pv"), F.col("p").alias("pp"), F.col("s_").alias("ps")]
 
     def placed() -> DataFrame:
         root = roots.select(F.col("_id").alias("n"), "_root")
-        return buckets.join(known, "n").join(root, "n", "left").select("k", "n", "w", "v", "p", "s", F.coalesce("_root", "n").alias("c"))
+        return buckets.join(known, "n").join(root, "n", "left").select("k", "n", "w", "v", "p", F.col("s").alias("s_"), F.coalesce("_root", "n").alias("c"))
 
-    for turn in range(ROUNDS + 1):
+    for turn in range(3):
         live, across = open_buckets(spark, placed())
         if turn == 1 and across:  # what the nodes still in question share at most; those with too little have no partner
             ids = live.select(F.col("n").alias("_id")).distinct()
-            alone = unshared_weights(spark, texts.join(ids, "_id", "left_semi"), weights)
+            counted = counted_shingles(spark, texts.join(ids, "_id", "left_semi"), weights)
+            alone = counted.where("place = 1").groupBy("n").agg(F.sum("x").alias("alone"))
             share = F.col("w") - F.coalesce("alone", F.lit(0.0))
-            known = shared.table(spark, live.select("n", "w").distinct().join(alone, "n", "left").select("n", "w", share.alias("v"), F.lit(None).cast("long").alias("p"), F.lit(0.0).alias("s")).where(F.col("v") >= SIMILAR * F.col("w") - 1e-9), "known")
+            known = shared.table(spark, live.select("n", "w").distinct().join(alone, "n", "left").select("n", "w", share.alias("v"), F.lit(None).cast("long").alias("p"), F.lit(0.0).alias("s")).where(F.col("v") >= SIMILAR * F.col("w") - EPS), "known")
             buckets = live.select("k", "n")
             live, across = open_buckets(spark, placed())
         if not across:
             break
-        last = turn == ROUNDS or turn > 1 and across <= LEFT * n_nodes
-        if last:  # all that is left, between components only
-            # a pair that shares several buckets is looked at in the first of them
-            keyed = live.join(live.groupBy("n").agg(F.collect_set("k").alias("ks")), "n")
-            mates = keyed.select("k", F.col("n").alias("b"), F.col("c").alias("d"), *other, F.col("ks").alias("pks"))
-            first = F.col("k") == F.array_min(F.array_intersect("ks", "pks"))
-            pairs = keyed.withColumnRenamed("n", "a").join(mates, "k").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & possible & first).select("a", "b")
+        if turn == 2:
+            pairs = prefix_pairs(counted, live.drop("k", "pairs").distinct(), possible, other)
         else:
             order = F.struct((-F.col("v") / F.col("w")).alias("o"), F.xxhash64("n", F.lit(turn)).alias("h")) if turn == 1 else F.struct(F.xxhash64("n", F.lit(turn)).alias("o"))
-            pivots = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), F.col("n").alias("a"), F.col("c").alias("d"), *other)).alias("m")).select("k", "m.a", "m.d", "m.pw", "m.pv", "m.pp", "m.ps")
-            wanted = F.lit(True) if turn == 1 else (F.col("c") != F.col("d")) & possible  # the pivots of turn 1 serve the bounds: all are held to them
-            pairs = live.join(pivots, "k").where((F.col("n") != F.col("a")) & wanted).select("a", F.col("n").alias("b"))
-        pairs = pairs.distinct()
-        if turn > 1:
+            pivots = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), F.col("n").alias("a"))).alias("m")).select("k", "m.a")
+            # the pivots of turn 1 serve the bounds: all are held to them
+            pairs = live.select("k", "n").join(pivots, "k").where(F.col("n") != F.col("a")).select("a", F.col("n").alias("b")).distinct()
+        if turn == 2:
             both = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(both, ["a", "b"], "left_anti")
         seen = shared.table(spark, verified(spark, shared.table(spark, pairs, "pairs"), texts, weights), "compared")
@@ -388,15 +419,14 @@ def links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, weights: We
             known = shared.table(spark, known.join(best, "n", "left").select("n", "w", "v", F.col("_m._p").alias("p"), F.coalesce("_m._s", F.lit(0.0)).alias("s")), "known")
         if not seen.where("linked").isEmpty():
             roots = shared.table(spark, components(spark, edges), "roots")
-        if last:
-            break
     return roots
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns."""
-    out = shared.table(spark, classes(spark, docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return docs.join(out, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs that stay, one of each class, with all their columns, whatever their names."""
+    (gone,) = shared.unused(docs, "_gone")
+    out = shared.table(spark, classes(spark, docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(gone)).distinct(), "near-copies")
+    return docs.join(out, docs[id_col] == out[gone], "left_anti")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,6 +446,52 @@ def test_a_template_does_not_make_near_copies(spark):
     assert [found[i] for i in range(8)] == list(range(8))
 
 
+def test_equal_samples_have_equal_bits_whatever_the_weights():
+    """A fifth of the shingles counted twice in one document: its signature meets the other's as often as they are similar."""
+    rnd = np.random.default_rng(7)
+    a = np.sort(rnd.integers(0, 1 << 63, 500).astype(np.uint64))
+    wa, wb = np.ones(500), np.ones(500)
+    wa[::5], wb[::5], wb[1::50] = 2.0, 2.0, 3.5
+    like = near_dedup.similarity((a, wa), (a, wb))
+    sampler = near_dedup.Sampler(4000)
+    one, two = (sampler.signatures(a, w, np.array([0]))[:, 0] for w in (wa, wb))
+    assert np.mean(one == two) == pytest.approx(like, abs=0.02)
+    mixed = sampler.signatures(a, np.where(np.arange(500) % 5, wa, 2.0), np.array([0]))[:, 0]
+    assert (one == mixed).all()
+
+
+def test_recall_of_links_over_a_whole_table(spark):
+    """sf0.01: of all pairs of documents with similarity 0.8 or more, how many are in one class, against all pairs by brute force."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs_.collect())
+    want = brute_classes([t for _, t in rows])
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark, docs_).collect()}
+    same = lambda own: {(i, j) for g in {c: [k for k in range(len(rows)) if own[k] == c] for c in set(own)}.values() for i in g for j in g if i < j}
+    have, real = same([found[i] for i, _ in rows]), same(want)
+    assert have <= real and len(have) / len(real) >= 0.99
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Nodes whose bands leave them apart: every pair of similarity 0.8 or more is among the pairs by first shingles."""
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    made = []
+    for i in range(60):
+        own = list(base if i % 2 else base[:60] + [f"c{j}" for j in range(60)])
+        for _ in range(rnd.randint(0, 6)):
+            own[rnd.randrange(len(own))] = f"e{rnd.randint(0, 40)}"
+        made.append(" ".join(own[: rnd.randint(95, 120)]))
+    texts = spark.createDataFrame(list(enumerate(made)), "_id long, _text string")
+    weights = near_dedup.common_shingles(spark, texts)
+    sets = [(h, weights.of(h, c)) for h, c in near_dedup.shingles(made)]
+    counted = near_dedup.counted_shingles(spark, texts, weights)
+    nodes = spark.createDataFrame([(i, float(w.sum()), float(w.sum()), None, 0.0, i) for i, (_, w) in enumerate(sets)], "n long, w double, v double, p long, s_ double, c long")
+    other = [F.col("w").alias("pw"), F.col("v").alias("pv"), F.col("p").alias("pp"), F.col("s_").alias("ps")]
+    found = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.prefix_pairs(counted, nodes, F.lit(True), other).collect()}
+    linked = {(i, j) for j in range(60) for i in range(j) if near_dedup.similarity(sets[i], sets[j]) >= 0.8}
+    assert linked and linked <= found and len(found) < 60 * 59 / 2
+
+
 def test_samples_meet_as_often_as_sets_are_similar():
     rnd = np.random.default_rng(1)
     pool = rnd.integers(0, 1 << 63, 300).astype(np.uint64)
