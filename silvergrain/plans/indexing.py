@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,3 +172,53 @@ def archive_paths(spark, sf_dir):
     k = F.col("p_partkey")
     path = F.concat(F.get(F.array(*(F.lit(b) for b, _ in ENTRIES)), (k % len(ENTRIES)).cast("int")), k.cast("string"), F.lit(".txt"))
     return table(spark, sf_dir, "part").select("p_partkey", T.safe_archive_path(path).alias("clean"))
+
+
+# documents packed in archives of four kinds, by turns, with an entry that leads out
+@query("""SELECT '/data/f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.zip/d/t.txt' WHEN 1 THEN '.tar/d/t.txt' WHEN 2 THEN '.tar.gz/d/t.txt' ELSE '.txt.gz/f' || doc_id || '.txt' END AS path, md5(text) AS digest, false AS truncated FROM documents""")
+def archive_entries(spark, sf_dir):
+    """Archives opened, their entries read as plain text; the entry whose name leads out is left out."""
+
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([archived(i % 4, t.encode()) for i, t in zip(ids, texts)])
+
+    ext = F.get(F.array(*map(F.lit, (".zip", ".tar", ".tar.gz", ".txt.gz"))), (F.col("doc_id") % 4).cast("int"))
+    path = F.concat(F.lit("/data/f"), F.col("doc_id").cast("string"), ext)
+    found = files.expand_archives(table(spark, sf_dir, "documents").select(path.alias("path"), packed("doc_id", "text").alias("content")))
+    texts = files.extract(found, [])
+    return texts.join(found.select("path", "truncated"), "path").select("path", F.md5("text").alias("digest"), "truncated")
+
+
+def archived(kind: int, data: bytes) -> bytes:
+    out = io.BytesIO()
+    if kind == 0:
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("d/./t.txt", data)
+            z.writestr("../out.txt", b"no")
+    elif kind == 3:
+        return gzip.compress(data, 1)
+    else:
+        with tarfile.open(fileobj=out, mode="w:gz" if kind == 2 else "w") as t:
+            for name, body in (("d/t.txt", data), ("/out.txt", b"no")):
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+    return out.getvalue()
+
+
+@query("""SELECT 'f' || doc_id || '.pdf' AS path, CASE WHEN length(regexp_replace(left(text, doc_id % 100), '^\\s+|\\s+$', '', 'g')) < 50 AND doc_id % 2 = 0 THEN md5('scanned ' || text) ELSE md5(left(text, doc_id % 100)) END AS digest FROM documents""")
+def pdf_passes(spark, sf_dir):
+    """Short texts of an extractor go to a second pass by OCR, and the longer one stays; here every other page has a scan."""
+    text = lambda path, data: data.decode()[: int(path[1:-4]) % 100]
+    scan = lambda path, data: "scanned " + data.decode() if int(path[1:-4]) % 2 == 0 else ""
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    return files.extract(pages, [("pdf", (".pdf",), text)], scan).select("path", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, strlen(text) AS n_bytes, 16::BIGINT AS digits, true AS alike FROM documents")
+def file_hashes(spark, sf_dir):
+    """Partial and full hashes of contents: alike for those that a partial hash reads whole; tests hold the values against the library."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    done = files.hashes(own)
+    return done.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.length("full_hash").cast("long").alias("digits"), (F.col("partial_hash") == F.col("full_hash")).alias("alike"))

@@ -99,14 +99,14 @@ def hashes(files: DataFrame) -> DataFrame:
 
 
 def _entries(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """The files in an archive; raises if it can't be read."""
+    """The files in an archive, a byte more than MOST_ENTRY of long ones; raises if it can't be read."""
     name = path.lower()
     if name.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 if not info.is_dir():
                     with z.open(info) as f:
-                        yield info.filename, f.read(MOST_ENTRY)
+                        yield info.filename, f.read(MOST_ENTRY + 1)
         return
     if name.endswith((".gz", ".tgz")):
         with gzip.GzipFile(fileobj=io.BytesIO(data)) as g:
@@ -114,33 +114,35 @@ def _entries(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
         if len(plain) > MOST_UNPACKED:
             raise ValueError("it unpacks to more than is allowed")
         if not name.endswith((".tar.gz", ".tgz")):
-            yield path.rsplit("/", 1)[-1][:-3], plain[:MOST_ENTRY]
+            yield path.rsplit("/", 1)[-1][:-3], plain[: MOST_ENTRY + 1]
             return
         data = plain
     with tarfile.open(fileobj=io.BytesIO(data)) as t:
         for info in t:
             if info.isfile():
-                yield info.name, t.extractfile(info).read(MOST_ENTRY)
+                yield info.name, t.extractfile(info).read(MOST_ENTRY + 1)
 
 
 def expand_archives(files: DataFrame) -> DataFrame:
-    """files (path, content), archives replaced by their entries as archive/entry; unsafe names are left out.
+    """files (path, content, truncated), archives replaced by their entries as archive/entry; unsafe names are left out.
 
-    What can't be opened, other formats (7z, iso) and too large archives pass as they are.
+    Of an entry over MOST_ENTRY bytes the first ones are kept and ``truncated`` says so. What can't be opened, other formats (7z, iso)
+    and too large archives pass as they are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"]):
-                rows = [(path, data)]
+            for path, data, cut in zip(batch["path"], batch["content"], batch["truncated"]):
+                rows = [(path, data, bool(cut))]
                 if path.lower().endswith(ARCHIVES) and data is not None and len(data) <= MOST_ARCHIVE:
                     try:
-                        rows = [(f"{path}/{clean}", body) for name, body in _entries(path, bytes(data)) if (clean := T.clean_archive_path(name))]
+                        rows = [(f"{path}/{clean}", body[:MOST_ENTRY], len(body) > MOST_ENTRY) for name, body in _entries(path, bytes(data)) if (clean := T.clean_archive_path(name))]
                     except (OSError, ValueError, EOFError, zipfile.BadZipFile, tarfile.TarError):
                         pass
-                yield pd.DataFrame(rows, columns=["path", "content"])
+                yield pd.DataFrame(rows, columns=["path", "content", "truncated"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary")
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in files.columns else F.lit(False)
+    return files.select("path", "content", cut.alias("truncated")).mapInPandas(run, "path string, content binary, truncated boolean")
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
