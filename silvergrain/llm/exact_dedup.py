@@ -2,28 +2,33 @@
 
 Build: equal normalised texts meet in one ``groupBy(hash, text)``. Spark combines copies before the shuffle, so
 a text that a third of all rows share costs one row per map task, and its hash aggregate compares the bytes of
-the text, not only the hash: two texts with one hash become two entries, chained under it. The entries
-(hash, keep_id, size, digest) go to shared files.
+the text, not only the hash: two texts with one hash become two entries. The entries (hash, keep_id, size, digest) go to
+shared files; entries of one hash are a chain, and only those keep their texts.
 
 Directory: doubling from depth 0, a bucket (the leading bits of the hash) with more than ``capacity`` entries
-splits until it fits or ``max_depth`` is reached. Only the counts by leading bits, at most 2**max_depth rows,
-take part. Owner tasks then write the index, each the buckets of a range of keys.
+splits until it fits. Only the counts by leading bits take part; their number follows the entries, so all tasks get the
+directory while it has at most ``SENT`` rows, and it is joined beyond. Owner tasks then write the index, each the buckets of a range
+of keys.
 
-Probe: rows look their hash up in the index. Where a hash has a chain of several entries, which takes a collision of 64
-bits, rows and entries meet by text too.
+Probe: a row's hash leads through the directory to its bucket, where it meets the bucket's entries; in a chain, the bytes of the
+text decide. Entries of more than a share of 1 / ``HOT`` of all rows, of which there can't be more than HOT, go to all tasks, and
+their rows are dealt evenly.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Entries a bucket holds before it splits; the depth at which the directory stops doubling, and how far it may go beyond an even split.
-CAPACITY, MAX_DEPTH, SPARE_DEPTH = 8192, 16, 3
+#: Entries a bucket holds before it splits; how far the directory may go beyond an even split.
+CAPACITY, SPARE_DEPTH = 8192, 3
+#: Rows of the directory up to which it is sent to all tasks (16 bytes each); largest number of groups that count as hot, and in how many parts their rows are dealt.
+SENT, HOT, PARTS = 1 << 18, 1000, 4096
 
 
 def normalised(text: str | Column) -> Column:
@@ -41,11 +46,11 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     )
 
 
-def directory(index: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def directory(index: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     """The directory: leaf (leading max_depth bits of a hash), depth (of its bucket), start (the bucket's first leaf), n_entries.
 
     A bucket doubles from depth 0 until it fits or max_depth is reached: a leaf's bucket is its shortest prefix that fits.
-    At most 2**max_depth rows.
+    At most 2**max_depth rows; that depth is chosen by the number of entries, so only a chain can hold more than the capacity.
     """
     leaves = index.groupBy(F.shiftrightunsigned("_hash", 64 - max_depth).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
     prefix = F.expr(f"shiftright(leaf, {max_depth} - depth)").alias("prefix")
@@ -55,53 +60,70 @@ def directory(index: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_D
     return found.select("leaf", "b.depth", F.expr(f"shiftleft(b.prefix, {max_depth} - b.depth)").alias("start"), "b.n_entries")
 
 
-def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> DataFrame:
-    """The entries without their texts, on shared files: _hash, keep_id, group_size, text_sha256, start (of the bucket).
+def _placed(rows: DataFrame, found: DataFrame, depth: int, small: bool) -> DataFrame:
+    """rows with ``start``, the bucket to which the directory leads their _hash."""
+    leaves = found.select("leaf", "start")
+    return rows.join(F.broadcast(leaves) if small else leaves, F.shiftrightunsigned("_hash", 64 - depth) == F.col("leaf"), "left").drop("leaf")
 
-    Each bucket lies in one file, in order of its hashes; an owner task writes the buckets of a range of keys.
+
+def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The index on shared files, and what adds the bucket to rows that have a _hash.
+
+    An entry: _hash, keep_id, group_size, text_sha256, chained (its text where others have its hash, else null), start (of its
+    bucket). Each bucket lies in one file, in order of its hashes; an owner task writes the buckets of a range of keys.
     """
-    rows = entries(docs, id_col, text_col, hash_of).select("_hash", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256"))
-    rows = shared.table(spark, rows, "hash-entries")
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(rows.count(), 1) / capacity + 1)) + SPARE_DEPTH))
-    # 2**MAX_DEPTH rows at most, whatever the input
-    found = F.broadcast(directory(rows, capacity, depth).select("leaf", "start"))
-    placed = rows.join(found, F.shiftrightunsigned("_hash", 64 - depth) == F.col("leaf")).drop("leaf")
+    rows = shared.table(spark, entries(docs, id_col, text_col, hash_of).select("_hash", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256")), "hash-entries")
+    many = shared.table(spark, rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"), "hash-chains")
+    depth = min(60, max(1, math.ceil(math.log2(max(rows.count(), 1) / capacity + 1)) + SPARE_DEPTH))
+    found = shared.table(spark, directory(rows, capacity, depth), "hash-directory")
+    small = found.count() <= SENT
+    if many.isEmpty():
+        rows = rows.withColumn("chained", F.lit(None).cast("string"))
+    else:  # only hashes that texts share are looked up again for these texts
+        texts = docs.select(normalised(text_col).alias("chained")).withColumn("_hash", hash_of(F.col("chained"))).join(many, "_hash", "left_semi").distinct()
+        rows = rows.join(texts.withColumn("text_sha256", F.sha2("chained", 256)), ["_hash", "text_sha256"], "left")
+    placed = _placed(rows, found, depth, small)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shared.table(spark, placed.repartitionByRange(ranges, "start").sortWithinPartitions("start", "_hash", "keep_id"), "hash-index")
+    index = shared.table(spark, placed.repartitionByRange(ranges, "start").sortWithinPartitions("start", "_hash", "keep_id"), "hash-index")
+    return index, lambda probes: _placed(probes, found, depth, small)
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
     """Per row of docs: id, keep_id, group_size, kept, text_sha256 of the normalised text.
 
-    Null texts equal empty ones. An empty table gives an empty result. Rows without an id are kept only if no row
-    of their group has one. Rows that repeat both id and text are one group and all carry the same flags
+    Null texts equal empty ones; texts of any length are compared whole. An empty table gives an empty result. Rows without
+    an id are kept only if no row of their group has one. Rows that repeat both id and text are one group and all carry the same flags
     (``kept_rows`` leaves one of them). Other columns of docs are not looked at, whatever their names.
     """
     shared.fresh(docs, id_col, text_col)
-    index = build_index(spark, docs, id_col, text_col, hash_of)
-    chained = index.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
-    rows = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm")).withColumn("_hash", hash_of(F.col("_norm")))
-    if chained.isEmpty():
-        found = rows.drop("_norm").join(index.drop("start"), "_hash")
-    else:
-        alone = index.drop("start").join(chained, "_hash", "left_anti")
-        texts = entries(docs, id_col, text_col, hash_of).join(chained, "_hash", "left_semi").withColumn("text_sha256", F.sha2("_norm", 256))
-        found = rows.drop("_norm").join(alone, "_hash").unionByName(rows.join(texts, ["_hash", "_norm"]).drop("_norm"))
-    return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    index, placed = build_index(spark, docs, id_col, text_col, hash_of)
+    total = index.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    chains = not index.where("chained IS NOT NULL").isEmpty()
+    entry = F.struct("keep_id", "group_size", "text_sha256").alias("_entry")
+    hot = index.where((F.col("group_size") * HOT > total) & F.col("chained").isNull()).select("_hash", entry.alias("_hot"))  # fewer than HOT rows
+    norm = normalised(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm")).select("_id", *["_norm"] * chains, hash_of(F.col("_norm")).alias("_hash"))
+    # a row of a hot group has its entry by now; its part differs from that of all entries, so the join deals it anywhere
+    part = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_id"), F.lit(PARTS)) + 1).otherwise(0).cast("int")
+    probes = placed(rows.join(F.broadcast(hot), "_hash", "left")).withColumn("_part", part)
+    own = index.select("_hash", "start", F.lit(0).alias("_part"), *["chained"] * chains, entry)
+    on = [probes[c] == own[c] for c in ("start", "_hash", "_part")]
+    if chains:
+        on.append(own["chained"].isNull() | (own["chained"] == probes["_norm"]))
+    found = probes.join(own, on, "left").select("_id", F.coalesce("_hot", "_entry").alias("_entry"))
+    return found.select(F.col("_id").alias(id_col), "_entry.keep_id", "_entry.group_size", F.col("_id").eqNullSafe(F.col("_entry.keep_id")).alias("kept"), "_entry.text_sha256")
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat both id and text, one."""
-    found = classes(spark, docs, id_col, text_col)
-    kept = found.where("kept").select(id_col).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """The rows of docs that stay, with all their columns, whatever their names; of rows that repeat both id and text, one."""
+    key, sha = shared.unused(docs, "_keep", "_sha")
+    kept = classes(spark, docs, id_col, text_col).where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha)).distinct()
+    same = docs[id_col].eqNullSafe(kept[key])
     if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return rows
+        return docs.join(kept, same, "left_semi")
     # ids that repeat: decide by text too
-    digest = F.sha2(normalised(text_col), 256)
-    pairs = found.where("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    held = docs.join(pairs, docs[id_col].eqNullSafe(F.col("_keep")) & (digest == F.col("_sha")), "left_semi")
-    return held.withColumn("_sha", digest).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    digest = F.sha2(normalised(docs[text_col]), 256)
+    return docs.join(kept, same & (digest == kept[sha]), "left_semi").withColumn(sha, digest).dropDuplicates([id_col, sha]).drop(sha)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

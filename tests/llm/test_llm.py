@@ -170,8 +170,10 @@ def test_chat_chunks_join(spark):
     assert row["loss"] == "".join(map(str, range(600)))
 
 
+@pytest.mark.parametrize("sent", [1 << 18, 0], ids=["sent", "joined"])
 @pytest.mark.parametrize("hash_of", [F.xxhash64, lambda c: F.length(c).cast("long")], ids=["hash", "collisions"])
-def test_exact_dedup(spark, hash_of):
+def test_exact_dedup(spark, monkeypatch, hash_of, sent):
+    monkeypatch.setattr(exact_dedup, "SENT", sent)
     texts = [None, "", " ", "a b", "a \t\n b", "a  b", "b a", " a b", "x" * 100_000, "x" * 100_000, "a b"]
     norm = lambda t: regex.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     found = {r["doc_id"]: r for r in exact_dedup.classes(spark, docs(spark, texts, 5), hash_of=hash_of).collect()}
@@ -196,10 +198,12 @@ def test_directory_doubles(spark):
 
 def test_index_keeps_buckets_whole(spark):
     own = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    index = exact_dedup.build_index(spark, own, capacity=100)
+    index, placed = exact_dedup.build_index(spark, own, capacity=100)
     files = index.select("start", F.input_file_name().alias("f")).distinct().groupBy("start").count()
     assert index.count() == 3000 and files.count() > 16 and files.where("count > 1").isEmpty()
     assert index.groupBy("start").count().agg(F.max("count")).first()[0] <= 100
+    probes = placed(own.select("doc_id", F.xxhash64("text").alias("_hash")))
+    assert probes.join(index, ["start", "_hash"]).where("doc_id = keep_id").count() == 3000  # the directory leads each row to its entry
 
 
 def test_fingerprints(spark):
