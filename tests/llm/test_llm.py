@@ -368,7 +368,7 @@ def test_law_sees_every_token_of_clean_texts(spark):
 
 
 def test_forward_sums_all_segmentations():
-    vocab = ({"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "▁ab": 5}, {"▁", "a", "b", "▁a", "ab", "▁ab"}, 6)
+    vocab = ({"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "▁ab": 5}, 6)
     p = np.array([0.1, 0.2, 0.15, 0.25, 0.2, 0.1, 1e-7])[:, None]
     lattice = language_id.Lattice(["▁ab", "▁z"], vocab)
     want = 0.1 * 0.2 * 0.15 + 0.25 * 0.15 + 0.1 * 0.2 + 0.1
@@ -378,6 +378,39 @@ def test_forward_sums_all_segmentations():
     assert expected[5] == pytest.approx(0.1 / want) and expected[3] == pytest.approx(0.25 * 0.15 / want)
 
 
+def test_words_of_any_length_are_summed_whole():
+    """In logarithms as by probabilities, and against a count of segmentations where each piece is as likely as the next."""
+    vocab = ({"\u2581": 0, "a": 1, "aa": 2}, 3)
+    p = np.array([[0.5, 0.2], [0.3, 0.3], [0.2, 0.4], [1e-7, 1e-7]])
+    short = ["\u2581" + "a" * n for n in (1, 5, 30)]
+    for w, want in zip(short, language_id.Lattice(short, vocab).log_probability(p)):
+        assert language_id.LongWord(w, vocab).forward(np.log(p))[-1] == pytest.approx(want)
+        counts = language_id.Lattice([w], vocab).expected(p[:, :1], np.ones(1))
+        assert language_id.LongWord(w, vocab).expected(np.log(p[:, :1])) == pytest.approx(counts)
+    fib = [1, 1]
+    while len(fib) < 3002:
+        fib.append(fib[-1] + fib[-2])
+    even = np.full((4, 1), 1.0)
+    assert language_id.LongWord("\u2581" + "a" * 3000, vocab).forward(np.log(even))[-1, 0] == pytest.approx(float(math.log(fib[3000])))
+
+
+def test_language_scores_equal_a_word_by_word_version(spark):
+    """Repeated, long and odd texts: each score from its words' sums, one word at a time."""
+    train = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("the cat and the dog " + "z" * 100, "en"), ("der hund und die katze", "de")] * 5)], TEXT)
+    langs, p = language_id.fit(spark, train, F.lit(True), docs_per_lang=2)
+    path = P.path("piece_bpe_32k.model")
+    vocab = language_id.vocabulary(path)
+    texts = ["The cat, the dog!", "The cat, the dog!", "\u039f\u03a3 \u03a3\u03a3a \u00b2x", "d" * 80 + " und", "hund  katze\nder " * 3000, "-", "  ", "word" * 30]
+    found = language_id.Scorer(langs, p, path).score(texts)
+    for t, (lang, score) in zip(texts, found):
+        words = ["\u2581" + w for w in language_id.WORDS.findall(t.lower())]
+        if not any(map(str.isalpha, t)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = sum(language_id.LongWord(w, vocab).forward(np.log(p))[-1] for w in words[:200]) if len(words) <= 200 else 3000 * sum(language_id.LongWord(w, vocab).forward(np.log(p))[-1] for w in words[:3])
+        assert lang == langs[int(total.argmax())] and score == pytest.approx(float(1 / np.exp(total - total.max()).sum()))
+
+
 def test_language_id(spark, sf_dir):
     rows = registry.queries()["op1_language_id"](spark, sf_dir)
     right = rows.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("x")).first()["x"]
