@@ -15,11 +15,14 @@ bucket and their first v bytes; ties, of which long repeats have many, are resol
 the next position of D, at most v bytes on, instead of reading on. Neighbours in that order that agree in LENGTH bytes repeat.
 
 Buckets of more than HOT different segments, such as the edges of a passage that a large share of all documents holds, would
-not fit one task: there, each string of LENGTH bytes is counted by its 128-bit hash, combined before the shuffle.
+not fit one task. They are split by the next bytes: the distances of a bucket are halved, each half's segments are cut to what its
+suffixes hold, merged where they are equal by now, and told apart by the bytes that all suffixes of the half share, which are more
+the shorter its range is. Halving ends where a part fits; a range of one distance is told apart by the whole string. Every part is sorted.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -200,6 +203,27 @@ def _bytes(texts) -> list[bytes]:
     return [t.encode("utf-8") for t in texts]
 
 
+def halved(level: DataFrame) -> DataFrame:
+    """Segments (key, h, content, more, anchor, copies, lo, hi) cut at the middle of their bucket's distances lo to hi.
+
+    A row for each half in which a segment has a start: key, shift (of its first start), sub (digest of what it is now) and the
+    columns of the cut segment, whose bucket h is that of the bytes that all strings of the half hold.
+    """
+    middle = F.expr("div(lo + hi + 1, 2)").cast("int")
+    halves = F.array(F.struct(F.col("lo").alias("lo"), (middle - 1).alias("hi")), F.struct(middle.alias("lo"), F.col("hi").alias("hi")))
+    rows = level.select("key", "h", "content", "more", "anchor", "copies", F.explode(halves).alias("r"))
+    # a start i has the distance anchor - i, so distances fall as starts rise
+    first = (F.col("anchor") - F.least("anchor", "r.hi")).alias("shift")
+    last = (F.col("anchor") - F.greatest(F.col("anchor") - F.col("more"), F.col("r.lo"))).alias("_last")
+    rows = rows.select("*", first, last).where("_last >= shift")
+    shared_bytes = F.substring("content", F.col("anchor") - F.col("r.lo") + 1, F.col("r.lo") + F.lit(LENGTH) - F.col("r.hi"))
+    cut = rows.select(
+        "key", "copies", "shift", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), (F.col("_last") - F.col("shift")).alias("more"), (F.col("anchor") - F.col("shift")).alias("anchor"),
+        F.substring("content", F.col("shift") + 1, F.col("_last") - F.col("shift") + F.lit(LENGTH)).alias("content"), F.xxhash64("h", "r.lo", "r.hi", shared_bytes).alias("h"),
+    )
+    return cut.withColumn("sub", F.unhex(F.md5(F.concat("content", F.encode(F.concat_ws(",", "anchor", "lo", "hi"), "utf-8")))))
+
+
 def spans(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From rows (_id, _text), ids distinct: the texts that hold candidates (_id, _text), and their repeats (_id, first start, last start)."""
 
@@ -211,7 +235,8 @@ def spans(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame({"_id": ids[a:b][own], "h": h, "anchor": anchor.astype(np.int32)})
 
     anchors = shared.table(spark, rows.mapInPandas(anchored, "_id long, h long, anchor int"), "anchors")
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # a table of its own, so that the join with it can split an anchor that many texts have
+    twice = shared.table(spark, anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-anchors")
     wanted = anchors.join(twice, "h").groupBy("_id").agg(F.collect_list("anchor").alias("_anchors"))
     texts = shared.table(spark, rows.join(wanted, "_id"), "repeat-candidates")
 
@@ -235,18 +260,34 @@ def spans(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = shared.table(spark, texts.mapInPandas(cut, "_id long, first int, more int, anchor int, h long, key binary, content binary"), "segments")
     copies = parts.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("content").alias("content"), F.max("h").alias("h"), F.max("more").alias("more"), F.max("anchor").alias("anchor"))
     different = shared.table(spark, copies, "different-segments")
-    crowds = different.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = crowds.where(F.col("n") > HOT).select("h")
+    level = different.select("key", "h", "content", "more", "anchor", "copies", F.lit(0).alias("lo"), F.lit(LENGTH - GRAM).alias("hi"))
+    sorted_parts, whole, moved = [], [], None  # moved: (key, sub, shift), where the starts of a segment's cuts are in it
+    for depth in range(LENGTH.bit_length() + 1):
+        crowds = shared.table(spark, level.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowds")
+        sorted_parts.append(level.join(crowds.where(F.col("n") <= HOT).select("h"), "h", "left_semi").select("h", "content", "more", "anchor", "key", F.lit(depth > 0).alias("cut")))
+        whole.append(level.where("copies > 1").select("key", F.array(F.lit(0), F.col("more")).alias("ranges"), F.lit(depth > 0).alias("cut")))
+        hot = crowds.where(F.col("n") > HOT).select("h")
+        if hot.isEmpty():
+            break
+        cuts = shared.table(spark, halved(level.join(hot, "h", "left_semi")), "cuts")
+        level = shared.table(spark, cuts.groupBy(F.col("sub").alias("key")).agg(*(F.max(c).alias(c) for c in ("h", "content", "more", "anchor", "lo", "hi")), F.sum("copies").alias("copies")), "cut-segments")
+        steps = cuts.select("key", "sub", "shift")
+        if moved is None:
+            made = steps
+        else:
+            made = moved.where(F.col("depth") == depth).select(F.col("key").alias("_key"), F.col("sub").alias("key"), F.col("shift").alias("_shift")).join(steps, "key").select(F.col("_key").alias("key"), "sub", (F.col("_shift") + F.col("shift")).alias("shift"))
+        made = shared.table(spark, made.withColumn("depth", F.lit(depth + 1)), "moved")
+        moved = made if moved is None else moved.unionByName(made)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, bucket = [], 0, None
 
         def done() -> pd.DataFrame:
             flags = repeated([bytes(x[1]) for x in held], [x[3] for x in held], [x[0] for x in held], [x[2] for x in held])
-            return pd.DataFrame([(x[4], _ranges(f)) for x, f in zip(held, flags) if f.any()], columns=["key", "ranges"])
+            return pd.DataFrame([(x[4], x[5], _ranges(f)) for x, f in zip(held, flags) if f.any()], columns=["key", "cut", "ranges"])
 
         for batch in batches:
-            for row in zip(batch["h"].tolist(), batch["content"], batch["more"].tolist(), batch["anchor"].tolist(), batch["key"]):
+            for row in zip(batch["h"].tolist(), batch["content"], batch["more"].tolist(), batch["anchor"].tolist(), batch["key"], batch["cut"].tolist()):
                 if size >= BLOCK and row[0] != bucket:  # buckets stay whole
                     yield done()
                     held, size = [], 0
@@ -256,22 +297,15 @@ def spans(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield done()
 
-    few = different.join(crowds.where(F.col("n") <= HOT).select("h"), "h", "left_semi").select("h", "content", "more", "anchor", "key")
-    found = few.repartition("h").sortWithinPartitions("h", "key").mapInPandas(blocks, "key binary, ranges array<int>")
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, content, more, n in zip(batch["key"], batch["content"], batch["more"], batch["copies"]):
-                content = bytes(content)
-                yield pd.DataFrame({"key": key, "at": range(more + 1), "copies": n, "s": [xxhash.xxh3_128_digest(content[i : i + LENGTH]) for i in range(more + 1)]})
-
-    if not hot.isEmpty():
-        each = shared.table(spark, different.join(hot, "h", "left_semi").select("key", "content", "more", "copies").mapInPandas(strings, "key binary, at int, copies long, s binary"), "hot-strings")
-        common = each.groupBy("s").agg(F.sum("copies").alias("n")).where("n > 1").select("s")
-        places = each.join(common, "s", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at"))
-        found = found.unionByName(places.select("key", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("ranges")))
-    whole = different.where("copies > 1").select("key", F.array(F.lit(0), F.col("more")).alias("ranges"))
-    flags = whole.unionByName(found.join(whole.select("key"), "key", "left_anti"))
+    few, same = functools.reduce(DataFrame.unionByName, sorted_parts), functools.reduce(DataFrame.unionByName, whole)
+    found = few.repartition("h").sortWithinPartitions("h", "key").mapInPandas(blocks, "key binary, cut boolean, ranges array<int>")
+    flags = same.select("key", "cut", "ranges").unionByName(found.join(same.select("key"), "key", "left_anti"))
+    if moved is None:
+        flags = flags.select("key", "ranges")
+    else:
+        flags = shared.table(spark, flags, "flags")
+        back = moved.join(flags.where("cut").select(F.col("key").alias("sub"), "ranges"), "sub").select("key", F.transform("ranges", lambda r: r + F.col("shift")).alias("ranges"))
+        flags = flags.where("NOT cut").select("key", "ranges").unionByName(back)
     hits = parts.select("_id", "first", "key").join(flags, "key")
     at = lambda i: F.col("first") + F.get("ranges", i)
     pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.size("ranges"), 1) - 1), lambda i: F.struct(at(F.shiftleft(i, 1)).alias("a"), at(F.shiftleft(i, 1) + 1).alias("b")))
@@ -304,39 +338,41 @@ def kept_bytes(data: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _numbered(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """docs with a column _id that tells rows apart, and (_id, _text): the id itself unless it repeats or is null."""
+def _numbered(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a column that tells rows apart, its name, which no column of docs has, and (_id, _text): the id itself unless it repeats or is null."""
     shared.fresh(docs, id_col, text_col)
+    (own,) = shared.unused(docs, "_id")
     if docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
-        named = docs.withColumn("_id", F.col(id_col).cast("long"))
+        named = docs.withColumn(own, F.col(id_col).cast("long"))
     else:
-        named = shared.table(spark, docs.withColumn("_id", F.monotonically_increasing_id()), "numbered")
-    return named, named.select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        named = shared.table(spark, docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    return named, own, named.select(F.col(own).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
 def report(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null counts as empty; texts under LENGTH bytes lose nothing. Rows that repeat are judged each, and lose all that
+    Null counts as empty; texts under LENGTH bytes lose nothing, those of any length are read whole. Rows that repeat are judged each, and lose all that
     LENGTH bytes cover. An empty table gives an empty one; columns besides the two are not looked at.
     """
-    named, rows = _numbered(spark, docs.select(id_col, text_col), id_col, text_col)
+    named, _, rows = _numbered(spark, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
 
     def row(data: bytes, cut: list[tuple[int, int]]) -> tuple:
         return sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept_bytes(data, cut)).hexdigest()
 
     lost = _trimmed(spark, rows, "_id long, n_removed long, n_spans long, sha string", row)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = named.select("_id", F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"))
+    text = F.coalesce("text", F.lit(""))
+    base = named.select("_id", F.col("doc_id").alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"))
     return base.join(lost, "_id", "left").select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "_whole").alias("kept_sha256"))
 
 
 def trimmed_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated bytes taken out of the text; a code point cut in two goes whole. Other columns stay."""
-    named, rows = _numbered(spark, docs, id_col, text_col)
+    """docs with the repeated bytes taken out of the text; a code point cut in two goes whole. Other columns stay, whatever their names."""
+    named, own, rows = _numbered(spark, docs, id_col, text_col)
+    (left,) = shared.unused(named, "_kept")
     done = _trimmed(spark, rows, "_id long, kept string", lambda data, cut: (kept_bytes(data, cut).decode("utf-8", "ignore"),))
-    held = named.join(done.withColumnRenamed("kept", "_kept"), "_id", "left")
-    return held.select(*(F.coalesce("_kept", text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    held = named.join(done.select(F.col("_id").alias(own), F.col("kept").alias(left)), own, "left")
+    return held.select(*(F.coalesce(left, c).alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

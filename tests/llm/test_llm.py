@@ -256,7 +256,7 @@ def repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 1], ids=["sorted", "counted"])
+@pytest.mark.parametrize("hot", [8192, 1, 3], ids=["whole", "halved to the end", "halved"])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rnd = random.Random(2)
