@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-Every k-gram of the text's UTF-8 bytes is hashed. Of each window of w neighbouring k-grams the smallest hash is
-chosen, the rightmost of equal ones, and its position is kept. So any stretch of at least w + k - 1 bytes that two
-texts share gives them a common fingerprint, whatever stands around it.
+Every k-gram of the text's UTF-8 bytes is hashed by a rolling polynomial: pieces of ``STEP`` bytes are hashed once for each place, and a
+k-gram's hash is the polynomial of its k / STEP pieces modulo 2^31, so that going on by one piece drops the first and takes in
+the next and no k-gram is read anew. Of each window of w neighbouring k-grams the smallest hash is chosen, the rightmost of equal
+ones, and its position is kept. So any stretch of at least w + k - 1 bytes that two texts share gives them a common fingerprint, whatever
+stands around it.
 
 A k-gram's hash and place are one number: the hash above, the place below and counted backwards, so the smallest number of
 a window is the rightmost smallest hash. Minima over 2, 4 and 8 neighbours come by doubling, those of a whole
@@ -20,10 +22,12 @@ from . import shared
 
 #: Bytes of a k-gram; k-grams of a window, three times 8: shared stretches of 35 bytes are always found.
 GRAM, WINDOW = 12, 24
+#: Bytes of a piece, of which a k-gram has two; the polynomial's base, and the bits that it is taken modulo 2^31 by.
+STEP, BASE, MASK = 6, 48271, (1 << 31) - 1
 #: A number's lower 31 bits hold the place, counted backwards from here.
 LAST = (1 << 31) - 1
-#: Ranges of ids by percentiles, each cut into equal parts, for finding a row's successor without one global sort.
-SPLITS, PARTS_A_PARTITION = 64, 8
+#: Ranges of ids by percentiles, each cut into equal parts, for finding a row's successor without one global sort: bytes of text in a range, most ranges.
+SPLITS, RANGE_BYTES, MOST_RANGES = 64, 1 << 20, 1 << 18
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,27 +35,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def chosen(data: Column, before: Column | None = None, gram: int = GRAM) -> Column:
+def chosen(data: Column, before: Column | None = None) -> Column:
     """Fingerprint numbers of a text's bytes in order of place, each once. ``before``: bytes that precede it, added to places.
 
     A text with fewer k-grams than a window is one window, one shorter than a k-gram is one gram, an empty one has none.
     """
-    shift = F.lit(0) if before is None else before
+    last = F.lit(LAST - 1).cast("long") if before is None else LAST - 1 - before.cast("long")
     none = F.array().cast("array<bigint>")
 
-    def grams(data: Column) -> Column:
-        size = F.octet_length(data)
-        number = lambda i: F.shiftleft(F.hash(F.substring(data, i, F.lit(gram))).cast("long"), 31) + (LAST - i - shift).cast("long")
-        return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size - gram + 1, F.lit(1))), number)).otherwise(none)
+    def pieces(data: Column) -> Column:
+        """Hash of the STEP bytes from each place on; of fewer at the end of a text that is shorter than a k-gram."""
+        places = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - STEP + 1, F.lit(GRAM - STEP + 1)))
+        return F.when(F.octet_length(data) > 0, F.transform(places, lambda i: F.hash(F.substring(data, i, F.lit(STEP))).cast("long"))).otherwise(none)
+
+    def grams(p: Column) -> Column:
+        rolled = lambda x, i: (x * BASE + F.get(p, i + STEP)).bitwiseAND(F.lit(MASK))
+        number = lambda x, i: F.shiftleft(rolled(x, i), 31) + (last - i)
+        return F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - GRAM + STEP, F.lit(0))), number)
 
     def doubled(step: int) -> Callable[[Column], Column]:
         return lambda m: F.zip_with(m, F.slice(m, F.lit(step + 1), F.size(m)), lambda a, b: F.least(a, b))
 
     def windows(m: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(m) - WINDOW, F.lit(0)))
-        return F.when(F.size(m) > 0, F.transform(starts, lambda i: F.least(F.get(m, i), F.get(m, i + 8), F.get(m, i + 16)))).otherwise(none)
+        own = F.slice(m, F.lit(1), F.greatest(F.size(m) - WINDOW + 1, F.least(F.size(m), F.lit(1))))
+        return F.transform(own, lambda x, i: F.least(x, F.get(m, i + 8), F.get(m, i + 16)))
 
-    eights = let(let(let(let(data, grams), doubled(1)), doubled(2)), doubled(4))
+    eights = let(let(let(let(let(data, pieces), grams), doubled(1)), doubled(2)), doubled(4))
     return F.array_distinct(let(eights, windows))
 
 
@@ -67,7 +76,7 @@ def hashes(numbers: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared share of two sets of hashes, 0 to 1; two empty ones are alike."""
-    return let(F.size(F.array_union(a, b)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / n))
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)))
 
 
 def written(hashed: Column) -> Column:
@@ -78,7 +87,8 @@ def written(hashed: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, prints (array of hash and place in bytes), in order of place.
 
-    Null counts as empty, which has no prints. Rows that repeat have equal prints. Columns besides the two are not looked
+    Null counts as empty, which has no prints; texts of any length, up to 2 GB, are read whole. Of equal hashes in a window the
+    rightmost is chosen. Rows that repeat have equal prints. Columns besides the two are not looked
     at. An empty table gives an empty one.
     """
     shared.fresh(docs, id_col, text_col)
@@ -107,9 +117,9 @@ def successors(spark: SparkSession, rows: DataFrame) -> DataFrame:
     cut into ranges; each range is sorted by itself and gets a copy of the first row of the next one, so nothing is sorted
     in one task.
     """
-    parts = max(1, PARTS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")) // SPLITS)
-    found = rows.agg(F.percentile_approx("_id", [i / SPLITS for i in range(SPLITS + 1)], 10_000).alias("q")).first()["q"]
-    edges = sorted(set(found or [0]))
+    seen = rows.agg(F.percentile_approx("_id", [i / SPLITS for i in range(SPLITS + 1)], 10_000).alias("q"), F.sum(F.octet_length("_text")).alias("bytes")).first()
+    parts = max(1, min(MOST_RANGES, -(-(seen["bytes"] or 0) // RANGE_BYTES)) // SPLITS)
+    edges = sorted(set(seen["q"] or [0]))
 
     def range_of(lo: int, hi: int) -> Column:
         """Number of the range, by halving: ids from edges[lo] on and below edges[hi]."""
@@ -120,15 +130,16 @@ def successors(spark: SparkSession, rows: DataFrame) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(F.col("_id") < F.lit(edges[mid]), range_of(lo, mid)).otherwise(range_of(mid, hi))
 
-    ranged = F.coalesce(range_of(0, len(edges)), F.lit(-1)).cast("long").alias("_range")
+    number = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(range_of(0, len(edges))).cast("long")
+    ranged = number.alias("_range")
     ids = rows.select("_id", ranged)
-    # at most SPLITS * parts + 1 rows: one per range
+    # at most MOST_RANGES + SPLITS rows: one per range
     tops = ids.groupBy("_range").agg(F.max("_id").alias("_top"))
     down = Window.orderBy(F.desc("_range"))
     to = tops.select(F.col("_range").alias("_from"), "_top", F.coalesce(F.lag("_range").over(down), F.min("_range").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_range"))
     own = rows.select("*", ranged, F.lit(0).alias("_ghost"))
     ghosts = (
-        rows.withColumn("_from", F.coalesce(range_of(0, len(edges)), F.lit(-1)).cast("long"))
+        rows.withColumn("_from", number)
         .join(F.broadcast(to), "_from")
         .where(F.col("_id").eqNullSafe(F.col("_top")))
         .select("_id", "_text", "_range", F.lit(1).alias("_ghost"))

@@ -211,11 +211,12 @@ def test_fingerprints(spark):
     base = "".join(rnd.choice("abcdefgh é") for _ in range(3000))
     texts = [None, "", "a", "x" * 200, base, base, base[:1500] + "ZZ" + base[1500:], "short text here"]
     found = {r["doc_id"]: [(p["hash"], p["place"]) for p in r["prints"]] for r in fingerprints.fingerprints(docs(spark, texts)).collect()}
-    grams = sorted({t.encode()[i : i + 12] for t in texts if t for i in range(max(1, len(t.encode()) - 11))})
-    hashed = {bytes(r["g"]): r["h"] for r in spark.createDataFrame([(bytearray(g),) for g in grams], "g binary").select("g", F.hash("g").alias("h")).collect()}
+    pieces = sorted({t.encode()[i : i + 6] for t in texts if t for i in range(max(7, len(t.encode())))})
+    piece = {bytes(r["g"]): r["h"] for r in spark.createDataFrame([(bytearray(g),) for g in pieces], "g binary").select("g", F.hash("g").alias("h")).collect()}
+    value = lambda g: (piece[g[:6]] * 48271 + piece[g[6:12]]) & (2**31 - 1)
     for i, t in enumerate(texts):
         data, want = (t or "").encode(), []
-        hs = [hashed[data[j : j + 12]] for j in range(max(1, len(data) - 11))] if data else []
+        hs = [value(data[j : j + 12]) for j in range(max(1, len(data) - 11))] if data else []
         for s in range(max(1, len(hs) - 23)) if hs else []:
             window = hs[s : s + 24]
             at = max(j for j, v in enumerate(window) if v == min(window)) + s
@@ -225,6 +226,32 @@ def test_fingerprints(spark):
     assert found[4] == found[5] and len({h for h, _ in found[4]} & {h for h, _ in found[6]}) > 200
 
 
+def test_successors(spark, tmp_path, monkeypatch):
+    """Null and repeated ids, empty texts, ids far apart, ranges of a few rows, one row, no rows: each row's successor by descending id."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 40)
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["", "x" * (i % 90), "word " * (i % 7)])) for i in [*range(50), 10**9, -(10**9), 10**15]] + [(7, "again"), (7, "again"), (9, None), (None, "lost")]
+    for given in (rows, rows[:1], rows[:2], []):
+        own = spark.createDataFrame(given, "_id long, _text string").select("_id", F.coalesce("_text", F.lit("")).alias("_text"))
+        found = fingerprints.successors(spark, own).collect()
+        assert len(found) == len(given)
+        after = {}
+        for r in found:
+            after.setdefault(r["_id"], []).append(r["_next_text"])
+        order = sorted((i for i, _ in given if i is not None), reverse=True) + [i for i, _ in given if i is None]
+        texts = {i: sorted(t or "" for j, t in given if j == i) for i, _ in given}
+        for i in set(order):
+            last = max(k for k, j in enumerate(order) if j == i)
+            follows = order[(last + 1) % len(order)]
+            # one of the rows of an id is followed by the next id's first, the others by rows of their own id
+            left = sorted(after[i])
+            assert len(left) == order.count(i) and any(t in texts[follows] for t in left)
+            assert sum(t in texts[i] for t in left) >= order.count(i) - 1
+    long = spark.createDataFrame([(1, "y" * 300_000), (2, "y" * 300_000)], "_id long, _text string")
+    done = fingerprints.successors(spark, long).select("_id", F.size("_prints").alias("n"), (F.col("_prints") == F.col("_next_prints")).alias("same")).collect()
+    assert [r["same"] for r in done] == [True, True]
+
+
 def test_edited_fingerprints_equal_those_of_the_edited_text(spark, sf_dir):
     rows = registry.queries()["op6_fingerprints"](spark, sf_dir).collect()
     texts = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
