@@ -30,8 +30,8 @@ from . import shared
 from .bpe_codec import byte_chars, serialise
 
 WINDOW, END_ID = 4096, 2
-#: Chunks of text that a worker keeps before it starts anew.
-KEEP = 500_000
+#: Chunks of text that a worker keeps before it starts anew, and the characters of the longest that it keeps beyond a batch.
+KEEP, LONG = 500_000, 64
 #: Blocks of documents for the prefix sums, by shuffle partition; a block's rows (id and count only) are summed by one task.
 BLOCKS = 4
 
@@ -66,6 +66,7 @@ class WordEncoder:
         # these four count as white space when cutting, and as signs in the library
         self.odd = regex.compile("[\x1c-\x1f]").search
         self.chunks: dict[str, bytes] = {"": b""}
+        self.passing: list[str] = []
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word."""
@@ -75,8 +76,10 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         known = self.chunks
+        self.passing += [c for c in new if len(c) > LONG]
         parts = {c: (c,) if c.isalpha() else (c[:-1], c[-1]) if c[-1] in ".," and c[:-1].isalpha() else self.find(c) for c in new}
         words = list({w for p in parts.values() for w in p}.difference(known))
+        self.passing += [w for w in words if len(w) > LONG]
         known.update(zip(words, self._words(words)))
         known.update((c, b"".join([known[w] for w in p])) for c, p in parts.items() if len(p) != 1 or p[0] != c)
 
@@ -94,6 +97,9 @@ class WordEncoder:
         for i in set(range(len(texts))).difference(plain):
             pieces = self.cut.split(texts[i]) if self.cut else [texts[i]]
             out[i] = b"".join(array("I", [self.special[p]]).tobytes() if k % 2 else self._one(self._plain(p)) for k, p in enumerate(pieces))
+        for c in self.passing:
+            self.chunks.pop(c, None)
+        self.passing.clear()
         return out
 
     def _one(self, text: str) -> bytes:
@@ -164,8 +170,9 @@ def offsets(spark: SparkSession, sizes: DataFrame) -> DataFrame:
 def pack(spark: SparkSession, df: DataFrame, window: int = WINDOW, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of the packed sequences: doc_id, start, length, ids (array<int>), doc_tokens, sequence_id, offset.
 
-    Null texts count as empty and hold the end id alone. Rows that repeat an id are packed each. Columns besides the
-    two are not looked at. An empty table gives no piece.
+    Null texts count as empty and hold the end id alone; texts of any length are packed whole. Documents lie in the stream by a hash of
+    their ids, then by id and size; of rows that tie in all three any may come first. Rows that repeat an id are packed each, those
+    without one beside each other. Columns besides the two are not looked at. An empty table gives no piece.
     """
     return _cut(spark, df, window, path, end_id, id_col, text_col, digest=False)
 

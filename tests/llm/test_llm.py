@@ -121,7 +121,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    texts = odd_texts()
+    texts = [*odd_texts(), "a lot of words, " * 3000, "q" * 2000]
     own = {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     rows = packing.pieces(spark, docs(spark, texts), 128).collect()
     seen, filled = {i: [] for i in own}, {}
