@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Pre-tokens that a worker keeps; beyond that it starts anew, so its memory is bounded.
-KEEP = 300_000
+#: Pre-tokens that a worker keeps, beyond which it starts anew, and the characters of the longest that it keeps beyond a text.
+KEEP, LONG = 300_000, 64
 
 
 def byte_chars() -> str:
@@ -92,6 +92,9 @@ class Codec:
                 for t, ids in zip(new, self.model.encode(mapped, num_threads=1)):
                     kept[t] = struct.pack(f"<{len(ids)}I", *ids)
             out.append(b"".join([kept[t] for t in found]))
+            for t in new:
+                if len(t) > LONG:
+                    del kept[t]
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -115,9 +118,9 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, path: str | None, pattern
 
 
 def encode(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and ids array<int>, whole texts, without special tokens. Null counts as empty, which has no ids.
+    """Per row: doc_id and ids array<int>, whole texts of any length, without special tokens. Null counts as empty, which has no ids.
 
-    Rows that repeat are encoded each; columns besides the two are not looked at; an empty table gives an empty one.
+    Of pairs of equal rank the left one merges first, as in the library. Rows that repeat are encoded each; columns besides the two are not looked at; an empty table gives an empty one.
     """
     shared.fresh(df, id_col, text_col)
 
@@ -140,7 +143,10 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, digest of the ids, digest of what they decode to; one pass, no array leaves the worker."""
+    """Per row: doc_id, n_tokens, digest of the ids, digest of what they decode to; one pass, no array leaves the worker.
+
+    Nulls, repeated rows, long texts, empty tables and further columns as for ``encode``.
+    """
     shared.fresh(df, id_col, text_col)
 
     def row(own: Codec, batch: pd.DataFrame) -> pd.DataFrame:

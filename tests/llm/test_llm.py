@@ -42,7 +42,8 @@ def tiktoken_codec():
 
 
 def test_codec_equals_the_library_and_round_trips(spark, tiktoken_codec):
-    texts = odd_texts()
+    texts = [*odd_texts(), "a lot of words " * 10_000, "q" * 2000]
+    texts += texts[-3:]
     ids = bpe_codec.encode(docs(spark, texts)).cache()
     found = {r["doc_id"]: list(r["ids"]) for r in ids.collect()}
     back = {r["doc_id"]: bytes(r["bytes"]) for r in bpe_codec.decode(ids).collect()}
@@ -51,6 +52,7 @@ def test_codec_equals_the_library_and_round_trips(spark, tiktoken_codec):
         assert back[i] == (t or "").encode()
     digest = {r["doc_id"]: r for r in bpe_codec.digests(docs(spark, texts)).collect()}
     assert all(digest[i]["ids_sha256"] == hashlib.sha256(np.asarray(found[i], "<u4").tobytes()).hexdigest() for i in found)
+    assert all((digest[i]["n_tokens"], digest[i]["decoded_sha256"]) == (len(found[i]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(texts))
     assert bpe_codec.encode(docs(spark, ["x"]).limit(0)).count() == 0
 
 
