@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -11,7 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from ..workspace import work_dir
+
 #: Where tables were written, while someone keeps note of it.
 _NOTES: list[list[str]] = []
 
@@ -24,38 +24,33 @@ def noted() -> Iterator[list[str]]:
     try:
         yield own
     finally:
-        _NOTES.remove(own)
+        _NOTES[:] = [n for n in _NOTES if n is not own]  # not by what it holds
+
+
+def _placed(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables that nothing reads any more."""
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, system = _placed(spark, path)
+        system.delete(where, True)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
+def table(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives the loss of any executor.
 
-    Only a session in local mode may leave it unset; then one folder per process is made and used.
+    Lazy results may read it as long as the session lasts; when the driver ends, it goes.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="silvergrain-")
-    return f"file://{_OWN['dir']}"
-
-
-def table(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives the loss of any executor."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    where, system = _placed(spark, path)
+    system.deleteOnExit(where)
     for own in _NOTES:
         own.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -107,14 +102,14 @@ def fresh(df: DataFrame, *names: str) -> None:
         raise ValueError(f"input lacks the columns {missing}; it has {df.columns}")
 
 
-#: Rows in an Arrow batch, where the session leaves Spark's default: texts may be long, and a worker holds a batch in several forms.
-BATCH_ROWS, DEFAULT_ROWS = 2048, "10000"
+#: Rows in an Arrow batch, where the session does not say: texts may be long, and a worker holds a batch in several forms.
+BATCH_ROWS, BATCH = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (a cluster gets it by --py-files), in batches of moderate size."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):  # what is set, to the default too, stays
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):

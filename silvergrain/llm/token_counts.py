@@ -258,7 +258,7 @@ def _run(df: DataFrame, id_col: str, text_col: str, path: str | None, pattern: s
 
 
 def prefix_counts(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and counts array<int>, the tokens at each prefix of whole code points.
+    """Per row: doc_id and counts array<int>, the tokens at each prefix of whole code points of texts of any length.
 
     Null counts as empty and has no prefixes. Rows that repeat are answered each; columns besides the two are not
     looked at; an empty table gives an empty one. Special strings in texts count as the library counts them, one each.

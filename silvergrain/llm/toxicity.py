@@ -252,7 +252,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column |
 def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
     """Per row: doc_id, what ``carry`` names, score (0 to 1), n_passages. Null and empty texts have no passage and the score of that.
 
-    Rows that repeat are scored each; an empty table gives an empty one; columns besides the two are not looked at.
+    Texts of any length are scored whole; of segments that tie in score each is a passage of its own. Rows that repeat are scored each; an empty table gives an empty one; columns besides the two are not looked at.
     """
     shared.fresh(docs, id_col, text_col)
     held = spark.sparkContext.broadcast(model)  # a vocabulary of the bounded sample

@@ -623,6 +623,57 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
         given = after
 
 
+def test_run_equals_its_stages_and_leaves_one_table(spark, sf_dir, tmp_path, monkeypatch):
+    """run() against the chain of stages written by hand; a second start of a stage takes nothing from a lazy result."""
+    import corpus_pipeline
+    from silvergrain.llm import shared
+
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lazy = corpus_pipeline.exact(spark, given, sf_dir)
+    corpus_pipeline.exact(spark, given, sf_dir)
+    corpus_pipeline.near(spark, given, sf_dir)
+    assert 0 < lazy.count() < given.count()
+    with shared.noted() as made:
+        found = corpus_pipeline.run(spark, sf_dir)
+    rows = sorted(map(tuple, found.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, given, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        given = spark.read.parquet(f"{tmp_path}/{name}")
+    assert rows == sorted(map(tuple, given.select(found.columns).collect())) and rows
+    there = [p for p in made if shared._placed(spark, p)[1].exists(shared._placed(spark, p)[0])]
+    assert [p for p in there if "/pipeline-" in p] == [p for p in made if "/pipeline-packing" in p]
+
+
+def test_ship_leaves_what_is_set(spark):
+    from silvergrain.llm import shared
+
+    kept = spark.conf.get(shared.BATCH)
+    spark.conf.set(shared.BATCH, "10000")
+    shared.ship(spark)
+    assert spark.conf.get(shared.BATCH) == "10000"
+    spark.conf.unset(shared.BATCH)
+    shared.ship(spark)
+    assert spark.conf.get(shared.BATCH) == str(shared.BATCH_ROWS)
+    spark.conf.set(shared.BATCH, kept)
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    """Null, empty, repeated and long rows, rows without ids, further columns with names that stages use; and no rows at all."""
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(90))
+    rows = [(1, None), (2, ""), (3, words), (3, words), (4, words + " more"), (5, "x " * 50_000), (None, "alone here"), (None, words), (6, " ")]
+    own = spark.createDataFrame([(i, t, "en", "s", 0, 1, 2) for i, t in rows], TEXT + ", _id int, score int")
+    spark.createDataFrame([(3, 1, 0), (3, 1, 0), (None, 1, 1), (4, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given, ids in ((own, [None, 1, 3, 5]), (own.limit(0), [])):
+        for name, stage in corpus_pipeline.STAGES:
+            done = stage(spark, given, str(tmp_path))
+            assert name == "packing" or done.columns == own.columns
+            done.write.mode("overwrite").parquet(f"{tmp_path}/{len(ids)}-{name}")
+            given = spark.read.parquet(f"{tmp_path}/{len(ids)}-{name}")
+        assert sorted({r["doc_id"] for r in given.collect()}, key=lambda i: i or 0) == ids
+
+
 def test_stages_row_by_row(spark, sf_dir):
     """Toxicity against the model's score of each text, trimmed texts against brute-force bytes, pieces against the library's ids."""
     import corpus_pipeline
