@@ -590,6 +590,21 @@ def test_sql(spark, sf_dir, name):
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(want.fetchall())
 
 
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Every stage over documents whose other columns are named as the operators name theirs inside; null, empty, repeated and long texts among them."""
+    names = ["_id", "_ID_", "_kept", "_gone", "_keep", "_sha", "_hash", "_text", "_norm", "_part", "_entry", "start", "_prints", "score", "class_id", "kept"]
+    passage = " ".join(f"word{i}" for i in range(80))
+    texts = [None, "", "a b", "a  b", passage, passage + " end", "x " * 60_000, None, "fine words", passage.upper()]
+    own = spark.createDataFrame([(i % 9, t, None, "s", 0, *range(len(names))) for i, t in enumerate(texts)], TEXT + "".join(f", `{n}` int" for n in names))
+    stages = [lambda d: exact_dedup.kept_rows(spark, d), lambda d: near_dedup.kept_rows(spark, d), lambda d: suffix_dedup.trimmed_rows(spark, d), lambda d: toxicity.kept_rows(spark, d, toxicity.Model({}, {}, -1.0))]
+    for stage in stages:
+        for rows in (own, own.where("doc_id > 0")):
+            done = stage(rows)
+            assert done.columns == own.columns
+            assert 0 < done.count() <= len(texts) and done.select(*(f"`{n}`" for n in names)).distinct().collect() == own.select(*(f"`{n}`" for n in names)).distinct().collect()
+        assert stage(own.limit(0)).count() == 0
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
     """Each stage against brute force over what it was given."""
     import corpus_pipeline
