@@ -310,7 +310,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     signs = shared.table(spark, signed(spark, named, weights), "signatures")
     nodes = shared.table(spark, signs.groupBy("_set").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_m")), "nodes")
     buckets = signs.join(nodes.select(F.col("_node").alias("_id"), "_set"), ["_id", "_set"], "left_semi").select(F.col("_id").alias("n"), "_w", F.explode("_bands").alias("k")).groupBy("k", "n").agg(F.max("_w").alias("w"))
-    many = buckets.groupBy("k").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("k")
+    # tables of their own, here and below: so a join can split a bucket that many nodes share
+    many = shared.table(spark, buckets.groupBy("k").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("k"), "shared-buckets")
     buckets = shared.table(spark, buckets.join(many, "k", "left_semi"), "buckets")
     ids = buckets.select(F.col("n").alias("_id")).distinct()
     texts = shared.table(spark, named.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "_id", "left_semi"), "candidate-texts")
@@ -365,8 +366,8 @@ def open_buckets(spark: SparkSession, placed: DataFrame) -> tuple[DataFrame, flo
     """The rows of buckets whose nodes are in several components (c), and the number of pairs between these."""
     sizes = placed.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("k")
     split = sizes.agg(F.count(F.lit(1)).alias("parts"), ((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.pow("m", F.lit(2)))) / 2).alias("pairs")).where("parts > 1")
-    live = shared.table(spark, placed.join(split.select("k", "pairs"), "k"), "live-buckets")
-    return live, live.select("k", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+    split = shared.table(spark, split.select("k", "pairs"), "open-buckets")
+    return shared.table(spark, placed.join(split.select("k"), "k"), "live-buckets"), split.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
 
 
 def links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -399,10 +400,11 @@ def links(spark: SparkSession, buckets: DataFrame, texts: DataFrame, weights: We
         if not across:
             break
         if turn == 2:
-            pairs = prefix_pairs(counted, live.drop("k", "pairs").distinct(), possible, other)
+            pairs = prefix_pairs(counted, live.drop("k").distinct(), possible, other)
         else:
             order = F.struct((-F.col("v") / F.col("w")).alias("o"), F.xxhash64("n", F.lit(turn)).alias("h")) if turn == 1 else F.struct(F.xxhash64("n", F.lit(turn)).alias("o"))
             pivots = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), F.col("n").alias("a"))).alias("m")).select("k", "m.a")
+            pivots = shared.table(spark, pivots, "pivots")
             # the pivots of turn 1 serve the bounds: all are held to them
             pairs = live.select("k", "n").join(pivots, "k").where(F.col("n") != F.col("a")).select("a", F.col("n").alias("b")).distinct()
         if turn == 2:
