@@ -114,7 +114,7 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, path: str | None, pattern
         for batch in batches:
             yield row(own, batch)
 
-    return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(run, schema)
+    return shared.exact(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), run, schema, "doc_id")
 
 
 def encode(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +125,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str = public_tokeniz
     shared.fresh(df, id_col, text_col)
 
     def row(own: Codec, batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": batch["_id"], "ids": [np.frombuffer(x, dtype="<u4").astype("int32") for x in own.encode_all(batch["_text"].tolist())]})
+        return pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.frombuffer(x, dtype="<u4").astype("int32") for x in own.encode_all(batch["_text"].tolist())]})
 
     return _mapped(df, id_col, text_col, path, pattern, "doc_id long, ids array<int>", row)
 
@@ -139,7 +139,7 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
             done = [None if x is None else own.decode(np.asarray(x, dtype="<u4").tobytes()) for x in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "bytes": done})
 
-    return df.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return shared.exact(df.select("doc_id", "ids"), run, "doc_id long, bytes binary", "doc_id")
 
 
 def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +152,7 @@ def digests(df: DataFrame, path: str | None = None, pattern: str = public_tokeni
     def row(own: Codec, batch: pd.DataFrame) -> pd.DataFrame:
         ids = own.encode_all(batch["_text"].tolist())
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        return pd.DataFrame({"doc_id": batch["_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(own.decode(x)) for x in ids]})
+        return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(own.decode(x)) for x in ids]})
 
     return _mapped(df, id_col, text_col, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 

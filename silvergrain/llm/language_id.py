@@ -267,7 +267,8 @@ def predict(spark: SparkSession, docs: DataFrame, langs: list[str], p: np.ndarra
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("_text"))
     kept = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "_text")
-    return rows.mapInPandas(run, f"{kept}, lang_pred string, score double")
+    whole = [n for n, t in rows.dtypes if t in ("bigint", "int", "smallint", "tinyint")]
+    return shared.exact(rows, run, f"{kept}, lang_pred string, score double", *whole)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

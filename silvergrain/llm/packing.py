@@ -140,9 +140,9 @@ def encoded(df: DataFrame, path: str | None = None, end_id: int = END_ID, id_col
             texts = batch["_text"].tolist()
             ids = [np.frombuffer(x + end, dtype="<u4") for i in range(0, len(texts), 1024) for x in own.encode_all(texts[i : i + 1024])]
             small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\x00\x00" + x.tobytes() + b"\x00" for x in ids]
-            yield pd.DataFrame({"doc_id": batch["_id"], "ids": small, "doc_tokens": [len(x) for x in ids]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": small, "doc_tokens": [len(x) for x in ids]})
 
-    return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(run, "doc_id long, ids binary, doc_tokens long")
+    return shared.exact(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), run, "doc_id long, ids binary, doc_tokens long", "doc_id")
 
 
 def unpacked(ids: bytes, n: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def _cut(spark, df, window, path, end_id, id_col, text_col, digest: bool) -> Dat
                     at += length
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "_content", "doc_tokens", "sequence_id", "offset"]).rename(columns={"_content": content.split()[0]})
 
-    return rows.mapInPandas(run, f"doc_id long, start long, length long, {content}, doc_tokens long, sequence_id long, offset long")
+    return shared.exact(rows, run, f"doc_id long, start long, length long, {content}, doc_tokens long, sequence_id long, offset long", "doc_id")
 
 
 def pieces(spark: SparkSession, df: DataFrame, window: int = WINDOW, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..workspace import work_dir
 
@@ -95,6 +97,19 @@ class Kept(dict):
         return {k for k in keys if k not in self and k not in self.older}
 
 
+def exact(rows: DataFrame, run: Callable, schema: str, *ids: str) -> DataFrame:
+    """``rows.mapInPandas(run, schema)`` with integers in the columns ``ids`` kept as they are.
+
+    pandas turns a column of integers that holds a null into doubles, which are exact up to 2**53 only; so these columns pass it as text.
+    """
+    made = StructType.fromDDL(schema)
+    asked = {f.name: f.dataType for f in made if f.name in ids}
+    for f in made:
+        f.dataType = StringType() if f.name in ids else f.dataType
+    done = rows.withColumns({n: F.col(n).cast("string") for n in ids}).mapInPandas(run, made)
+    return done.withColumns({n: F.col(n).cast(t) for n, t in asked.items()})
+
+
 def fresh(df: DataFrame, *names: str) -> None:
     """Fail early when a column that the operator needs is missing."""
     missing = [n for n in names if n not in df.columns]

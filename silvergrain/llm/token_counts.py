@@ -254,7 +254,7 @@ def _run(df: DataFrame, id_col: str, text_col: str, path: str | None, pattern: s
         for batch in batches:
             yield row(own, batch)
 
-    return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(run, schema)
+    return shared.exact(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), run, schema, "doc_id")
 
 
 def prefix_counts(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +263,7 @@ def prefix_counts(df: DataFrame, path: str | None = None, pattern: str = public_
     Null counts as empty and has no prefixes. Rows that repeat are answered each; columns besides the two are not
     looked at; an empty table gives an empty one. Special strings in texts count as the library counts them, one each.
     """
-    row = lambda own, b: pd.DataFrame({"doc_id": b["_id"], "counts": [own.prefixes(t) for t in b["_text"]]})
+    row = lambda own, b: pd.DataFrame({"doc_id": b["doc_id"], "counts": [own.prefixes(t) for t in b["_text"]]})
     return _run(df, id_col, text_col, path, pattern, "doc_id long, counts array<int>", row)
 
 
@@ -277,7 +277,7 @@ def token_counts(df: DataFrame, limit: int = 512, path: str | None = None, patte
     def row(own: PrefixCounter, batch: pd.DataFrame) -> pd.DataFrame:
         texts = batch["_text"].tolist()
         n, fits = own.answers(texts, limit)
-        return pd.DataFrame({"doc_id": batch["_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": n, "over_limit": n > limit, "limit_chars": fits})
+        return pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": n, "over_limit": n > limit, "limit_chars": fits})
 
     return _run(df, id_col, text_col, path, pattern, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long", row)
 

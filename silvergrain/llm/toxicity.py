@@ -266,7 +266,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("_text"))
     kept = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "_text")
-    return rows.mapInPandas(run, f"{kept}, score double, n_passages int")
+    whole = [n for n, t in rows.dtypes if t in ("bigint", "int", "smallint", "tinyint")]
+    return shared.exact(rows, run, f"{kept}, score double, n_passages int", *whole)
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", below: float = DECISION) -> DataFrame:
@@ -288,11 +289,11 @@ def passages(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, b, e, s, v, " ".join(words_of(t)[b:e])) for i, t in zip(batch["_id"], batch["_text"]) for b, e, s, v in held.value.passages(t)]
+            out = [(i, b, e, s, v, " ".join(words_of(t)[b:e])) for i, t in zip(batch["doc_id"], batch["_text"]) for b, e, s, v in held.value.passages(t)]
             yield pd.DataFrame(out, columns=["doc_id", "first_word", "end_word", "passage_score", "e_value", "passage"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, first_word int, end_word int, passage_score double, e_value double, passage string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return shared.exact(rows, run, "doc_id long, first_word int, end_word int, passage_score double, e_value double, passage string", "doc_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
