@@ -60,22 +60,31 @@ class Engine:
     def with_text(self, found: DataFrame) -> DataFrame:
         return found.select(*S.KEY, "score").join(self.points.select(*S.KEY, "text"), list(S.KEY))
 
-    def file(self, path: str, namespace: str | None = None) -> DataFrame:
+    def readable(self, namespace: str | None, allowed: list[str] | None) -> DataFrame:
+        """The points of a namespace, or of all that may be read."""
+        everywhere, free = self._scope(namespace, allowed)
+        if not everywhere:
+            return S.in_namespace(self.points, namespace)
+        return self.points if free else self.points.where(F.col("namespace").isin(*allowed)) if allowed else self.points.limit(0)
+
+    def file(self, path: str, namespace: str | None = None, allowed: list[str] | None = None) -> DataFrame:
         """The chunks of a file, in order."""
-        return index.file_text(self.points, path, namespace)
+        return index.file_text(self.readable(namespace, allowed), path)
 
-    def file_relations(self, path: str, namespace: str | None = None) -> DataFrame:
+    def file_relations(self, path: str, namespace: str | None = None, allowed: list[str] | None = None) -> DataFrame:
         """What a file leads to and what it defines."""
-        return graph.file_relations(self.points, path, namespace)
+        return graph.file_relations(self.readable(namespace, allowed), path)
 
-    def edges(self) -> DataFrame:
-        return graph.edges(self.points)
+    def edges(self, namespace: str | None = None, allowed: list[str] | None = None) -> DataFrame:
+        return graph.edges(self.readable(namespace, allowed))
 
-    def neighbours(self, path: str, depth: int = 1) -> DataFrame:
-        return graph.neighbours(self.edges(), self.spark.createDataFrame([(path,)], "path string"), depth)
+    def neighbours(self, path: str, depth: int = 1, namespace: str | None = None, allowed: list[str] | None = None) -> DataFrame:
+        """(namespace, source, path, depth): where a file leads, in each namespace that has it and may be read."""
+        own = self.readable(namespace, allowed)
+        return graph.neighbours(graph.edges(own), own.where(F.col("path") == path).select("namespace", "path"), depth)
 
-    def search_graph(self, query: str, namespace: str | None = None, k: int = 10, depth: int = 1) -> DataFrame:
-        own = S.in_namespace(self.points, namespace)
+    def search_graph(self, query: str, namespace: str | None = None, k: int = 10, depth: int = 1, allowed: list[str] | None = None) -> DataFrame:
+        own = self.readable(namespace, allowed)
         first = S.hybrid_search(own, self.vector(query), query, k)
         return graph.expand(own, graph.edges(own), S.ranked(first, k, [F.desc("score"), *map(F.col, S.KEY)]), self.vector(query), query, k, depth)
 
@@ -88,7 +97,7 @@ class Engine:
         key = self.cache.key(namespace or "*", getattr(self.model, "__name__", "model"), question) if self.cache else ""
         if self.cache and (known := self.cache.get(key)) is not None:
             return known
-        look = lambda q: self.search_graph(q, namespace, k, self.settings.graph_depth) if expand and not across else self.search(q, namespace, k=k, allowed=allowed)
+        look = lambda q: self.search_graph(q, namespace, k, self.settings.graph_depth, allowed) if expand and not across else self.search(q, namespace, k=k, allowed=allowed)
         found = self.with_text(look(question))
         if self.assess and not across:
             rows = lambda q: self.with_text(look(q)).withColumn("point_id", F.concat_ws("\x00", *(F.col(c).cast("string") for c in S.KEY)))

@@ -19,27 +19,37 @@ def edges(points: DataFrame) -> DataFrame:
     return found.where(F.col("r.type").isin("imports", "links_to") & (F.coalesce("r.target", F.lit("")) != "")).select("namespace", "src", F.col("r.target").alias("dst"))
 
 
+def write_edges(links: DataFrame, path: str) -> None:
+    """The edges as a table, a folder a namespace, each edge once and ordered by source: a walk reads what its frontier can hold."""
+    links.select("namespace", "src", "dst").distinct().repartition("namespace", "src").sortWithinPartitions("namespace", "src").write.partitionBy("namespace").mode("overwrite").parquet(path)
+
+
 def neighbours(links: DataFrame, sources: DataFrame, depth: int = 1) -> DataFrame:
     """(source, path, depth): what each source reaches in at most ``depth`` steps (1 to 3), itself left out, at its shortest distance.
 
-    A step joins the frontier to the edges and keeps what no earlier step reached; cycles end there.
+    A step joins the frontier to the edges and keeps what no earlier step reached; cycles end there. Where sources have a
+    namespace, so have the results, and a walk takes edges of its own namespace only; sources without one walk over the edges of all.
     """
-    steps = links.select("src", "dst").distinct()
-    start = sources.select(F.col("path").alias("source")).distinct()
-    frontier = start.select("source", F.col("source").alias("path"))
-    seen = frontier.withColumn("depth", F.lit(0))
+    own = ["namespace"] if "namespace" in sources.columns else []
+    steps = links.select(*own, "src", "dst").distinct()
+    start = sources.select(*own, F.col("path").alias("source")).distinct()
+    frontier = start.select(*own, "source", F.col("source").alias("src"))
+    key = [*own, "source", "path"]
+    seen = frontier.withColumnRenamed("src", "path").withColumn("depth", F.lit(0))
     for d in range(1, min(max(depth, 1), MAX_DEPTH) + 1):
-        reached = frontier.join(steps, F.col("path") == F.col("src")).select("source", F.col("dst").alias("path")).distinct()
-        frontier = reached.join(seen.select("source", "path"), ["source", "path"], "left_anti")
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
-    return seen.where("depth > 0")
+        reached = frontier.join(steps, [*own, "src"]).select(*own, "source", F.col("dst").alias("path")).distinct()
+        new = reached.join(seen.select(*key), key, "left_anti")
+        seen = seen.unionByName(new.withColumn("depth", F.lit(d)))
+        frontier = new.withColumnRenamed("path", "src")
+    return seen.where("depth > 0").select(*key, "depth")
 
 
 def nodes_and_edges(links: DataFrame, sources: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The sources and what they reach; and (source, target) pairs, each once."""
+    """The sources and what they reach; and (source, target) pairs, each once; by namespace where sources have one."""
+    own = ["namespace"] if "namespace" in sources.columns else []
     found = neighbours(links, sources, depth)
-    nodes = sources.select("path").union(found.select("path")).distinct()
-    return nodes, found.select("source", F.col("path").alias("target")).distinct()
+    nodes = sources.select(*own, "path").union(found.select(*own, "path")).distinct()
+    return nodes, found.select(*own, "source", F.col("path").alias("target")).distinct()
 
 
 def file_relations(points: DataFrame, path: str, namespace: str | None = None) -> DataFrame:
@@ -51,13 +61,15 @@ def file_relations(points: DataFrame, path: str, namespace: str | None = None) -
     return each.select("namespace", F.when(leads, "leads_to").otherwise("defines").alias("kind"), value.alias("value"), "place").where(F.coalesce("value", F.lit("")) != "")
 
 
-def expand(points: DataFrame, links: DataFrame, direct: DataFrame, query: list[float], words: str, k: int = 10, depth: int = 1, weight: float = 0.7) -> DataFrame:
+def expand(points: DataFrame, links: DataFrame, direct: DataFrame, query: list[float], words: str, k: int = 10, depth: int = 1, weight: float = 0.7, bound: bool = True) -> DataFrame:
     """Direct results (key, rank) merged with a search among their files' neighbours, which weigh less.
 
+    ``bound``: a file's neighbours are those of its namespace, and so are the points searched; else paths count whatever their namespace.
     The direct results are a list of at most k rows: they are worked out once and go on as such.
     """
+    own = ["namespace"] if bound else []
     direct = direct.sparkSession.createDataFrame(direct.select(*S.KEY, "rank").limit(k).collect(), direct.select(*S.KEY, "rank").schema)
-    sources = F.broadcast(direct.select("path").distinct())
-    near = neighbours(links, sources, depth).select("path").distinct().join(sources, "path", "left_anti")
+    sources = F.broadcast(direct.select(*own, "path").distinct())
+    near = neighbours(links, sources, depth).select(*own, "path").distinct().join(sources, [*own, "path"], "left_anti")
     second = S.hybrid_search(points, query, words, k, paths=near)
     return S.weighted_merge(direct, S.ranked(second, k, [F.desc("score"), *map(F.col, S.KEY)]), k, weight)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,18 @@ def live_files(spark: SparkSession, root: str) -> DataFrame:
     return last.where("NOT last.gone").select("namespace", "path", "last.batch")
 
 
+def _blocks_of(spark: SparkSession, root: str, tokens: list[str]) -> DataFrame:
+    """The blocks of these tokens; only their buckets' folders are listed and opened."""
+    buckets = {r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(bucket_of(F.col("t"))).collect()}  # a row a word of the query
+    try:
+        held = spark.read.schema(BLOCK).option("basePath", f"{root}/blocks").parquet(f"{root}/blocks/batch=*/bucket={{{','.join(map(str, sorted(buckets)))}}}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BLOCK)
+    return held.where(F.col("token").isin(*tokens))
+
+
 def matches(spark: SparkSession, root: str, words: str, namespace: str | None = None) -> DataFrame:
     """(namespace, path, chunk) of the points that hold all tokens of the query; without a token, of none.
 
@@ -67,11 +80,7 @@ def matches(spark: SparkSession, root: str, words: str, namespace: str | None =
     the rarest token on.
     """
     tokens = S.query_tokens(words)
-    held = spark.read.schema(BLOCK).parquet(f"{root}/blocks")
-    if not tokens:
-        return held.select("namespace", F.lit("").alias("path"), F.lit(0).cast("long").alias("chunk")).limit(0)
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(bucket_of(F.col("t"))).collect()]  # a row a word of the query
-    own = S.in_namespace(held.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*tokens)), namespace)
+    own = S.in_namespace(_blocks_of(spark, root, tokens), namespace)
     met = own.groupBy("batch", "namespace", "slice").agg(F.sort_array(F.collect_list(F.struct("n", "keys"))).alias("b"), F.max("lo").alias("lo"), F.min("hi").alias("hi"))
     cut = F.aggregate(F.slice("b", 2, len(tokens)), F.get("b", F.lit(0))["keys"], lambda a, x: F.array_intersect(a, x["keys"]))
     # ranges of paths that do not overlap have no key in common

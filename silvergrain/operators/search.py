@@ -104,8 +104,9 @@ def fused_legs(found: DataFrame, weights: tuple[float, float], rrf_k: int) -> Da
 
 
 def hybrid_search(points: DataFrame, query: list[float], words: str, k: int = 10, namespace: str | None = None, dense: float = 1.0, sparse: float = 1.0, rrf_k: int = RRF_K, paths: DataFrame | None = None) -> DataFrame:
-    """Similarity and text match, fused. ``paths`` (path) restricts both legs; the text leg is unranked and taken by key."""
-    own = in_namespace(points if paths is None else points.join(paths.select("path").distinct(), "path", "left_semi"), namespace)
+    """Similarity and text match, fused. ``paths`` (path, or namespace and path) restricts both legs; the text leg is unranked and taken by key."""
+    by = [] if paths is None else [c for c in ("namespace", "path") if c in paths.columns]
+    own = in_namespace(points.join(paths.select(*by).distinct(), by, "left_semi") if by else points, namespace)
     return fused_legs(legs(own, query, words, PREFETCH * k), (dense, sparse), rrf_k).orderBy(F.desc("score"), *KEY).limit(k)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions import relations as R
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import governance, graph, index, rag
+from ..operators import governance, graph, index, postings, rag
 from ..operators import search as S
 from ..workspace import work_dir
 from .catalog import query, table
@@ -25,7 +25,27 @@ DENSE = """scored AS (SELECT p.*, round(list_cosine_similarity(p.v, q.v), 9) AS
 MATCH = r"""hits AS (SELECT * FROM points WHERE list_has_all(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'and', 'of']))"""
 
 
-_INDEXED: dict[tuple[str, str], tuple[str, str]] = {}
+#: Tables made from the tables of a folder, by session, folder, name and the files that it held.
+_MADE: dict[tuple, tuple[str, str]] = {}
+
+
+def version(spark, *paths: str) -> tuple:
+    """Names, sizes and times of the files of tables: another version is another table."""
+    out = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed)
+    return tuple(out)
+
+
+def stored(spark, sf_dir: str, name: str, tables: tuple[str, ...], write) -> tuple[str, str]:
+    """Where what ``write`` makes of the tables lies, and what it returned: made when first asked for in a session, and again when the tables have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, version(spark, *(f"{sf_dir}/{t}.parquet" for t in tables)))
+    if key not in _MADE:
+        path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _MADE[key] = path, write(path)
+    return _MADE[key]
 
 
 def made_points(spark, sf_dir: str) -> DataFrame:
@@ -36,13 +56,14 @@ def made_points(spark, sf_dir: str) -> DataFrame:
 
 
 def points(spark, sf_dir: str) -> DataFrame:
-    """The point table of these tables: made when first asked for in a session and read from then on, as an index is."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXED:
-        made, path = made_points(spark, sf_dir), f"{work_dir(spark)}/points-{uuid.uuid4().hex}"
+    """The point table of these tables, read from where an index run would have left it."""
+
+    def write(path: str) -> str:
+        made = made_points(spark, sf_dir)
         index.write_points(made, path)
-        _INDEXED[key] = path, made.schema.json()
-    path, schema = _INDEXED[key]
+        return made.schema.json()
+
+    path, schema = stored(spark, sf_dir, "points", ("embeddings", "documents"), write)
     return spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path)
 
 
@@ -94,6 +115,47 @@ def hybrid_by_paths(spark, sf_dir):
     return S.hybrid_search(points(spark, sf_dir), asked(spark, sf_dir), WORDS, paths=long)
 
 
+# the full-text index: all points, then a batch in which every 7th document comes again with another text and every 11th is gone
+def posted(spark, sf_dir: str) -> tuple[str, str]:
+    """Where the index of the points lies, and that of the points after the second batch."""
+
+    def write(path: str) -> None:
+        own = points(spark, sf_dir)
+        again = own.where((F.col("vec_id") % 7 == 0) & (F.col("vec_id") % 11 != 0))
+        half = F.concat(F.lit("Zebra-"), F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+        for name in ("first", "both"):
+            postings.add(own, f"{path}/{name}", 0)
+        postings.add(again.withColumn("tokens", T.match_tokens(half)), f"{path}/both", 1, files=again, gone=own.where(F.col("vec_id") % 11 == 0))
+
+    path, _ = stored(spark, sf_dir, "postings", ("embeddings", "documents"), write)
+    return f"{path}/first", f"{path}/both"
+
+
+LATER = r"""later AS (SELECT *, regexp_split_to_array(lower(CASE WHEN vec_id % 7 = 0 THEN 'Zebra-' || left(text, length(text) // 2) ELSE text END), '[^\p{L}\p{N}]+') AS tokens FROM points WHERE vec_id % 11 <> 0)"""
+#: Queries of the example: common words, a word of the second batch beside one that all have, words of another language, and one that is nowhere.
+LOOKED_UP = ("the and of", "zebra", "Zebra, the", "der die und", "nowhere the")
+
+
+@query(f"WITH {POINTS}, {MATCH}, r AS (SELECT *, row_number() OVER (ORDER BY namespace, path, chunk) AS rank FROM hits) SELECT namespace, path, chunk, round(1.0::DOUBLE / (60 + rank), 12) AS score FROM r ORDER BY score DESC, namespace, path, chunk LIMIT 10")
+def indexed_keyword_search(spark, sf_dir):
+    return postings.keyword_search(spark, posted(spark, sf_dir)[0], WORDS)
+
+
+@query(f"WITH {POINTS}, {LATER}, q(words, wanted) AS (VALUES ('the and of', ['the', 'and', 'of']), ('zebra', ['zebra']), ('Zebra, the', ['zebra', 'the']), ('der die und', ['der', 'die', 'und']), ('nowhere the', ['nowhere', 'the'])) SELECT words, namespace, path, chunk FROM later, q WHERE list_has_all(tokens, wanted)")
+def indexed_matches(spark, sf_dir):
+    """All matches of a few queries after a second batch that changed and removed files."""
+    root, out = posted(spark, sf_dir)[1], None
+    for words in LOOKED_UP:
+        found = postings.matches(spark, root, words).select(F.lit(words).alias("words"), *S.KEY)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"WITH {POINTS}, {DENSE}, {MATCH}, {HYBRID.format(where='')} SELECT * FROM f ORDER BY score DESC, namespace, path, chunk LIMIT 10")
+def indexed_hybrid_search(spark, sf_dir):
+    return postings.hybrid_search(spark, points(spark, sf_dir), posted(spark, sf_dir)[0], asked(spark, sf_dir), WORDS)
+
+
 FAN = """d AS (SELECT namespace, path, chunk, score, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, path, chunk) AS rank FROM scored),
 t AS (SELECT namespace, path, chunk, row_number() OVER (PARTITION BY namespace ORDER BY path, chunk) AS rank FROM hits)"""
 ACROSS = "SELECT namespace, path, chunk, round(1.0::DOUBLE / (60 + rank), 12) AS score, namespace AS source_namespace FROM l WHERE rank <= 10 ORDER BY score DESC, namespace, path, chunk LIMIT 10"
@@ -213,6 +275,12 @@ def linked(spark, sf_dir):
     return docs.select(F.col("lang").alias("namespace"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.lit(0).alias("chunk"), R.to_json(R.link_relations(text)).alias("relations"))
 
 
+def edge_table(spark, sf_dir):
+    """The edges as an index run leaves them."""
+    path, _ = stored(spark, sf_dir, "edges", ("documents",), lambda path: graph.write_edges(graph.edges(linked(spark, sf_dir)), path))
+    return spark.read.schema("src string, dst string, namespace string").parquet(path)
+
+
 def sources(files):
     return files.where("namespace = 'es'").select("path")
 
@@ -228,7 +296,7 @@ def _near(depth):
     @query(f"WITH {LINKED} SELECT source, path, min(d) AS depth FROM ({steps}) WHERE path <> source GROUP BY ALL")
     def near(spark, sf_dir):
         files = linked(spark, sf_dir)
-        return graph.neighbours(graph.edges(files), sources(files), depth)
+        return graph.neighbours(edge_table(spark, sf_dir), sources(files), depth)
 
     return near
 
@@ -241,6 +309,23 @@ for _d in (1, 2, 3):
     catalog.SQL[f"neighbors_depth{_d}"] = catalog.SQL.pop("near")
 
 
+# two namespaces with the same paths: of a document's links, even ones hold in its own and odd ones in the other
+TWICE = """n AS (SELECT count(*) AS n FROM documents), g AS (SELECT DISTINCT CASE WHEN (doc_id + j) % 2 = 0 THEN 'left' ELSE 'right' END AS namespace, 'q' || (doc_id % (n // 2)) AS src, 'q' || ((k * doc_id + j) % (n // 2)) AS dst FROM documents, n, (VALUES (7, 0), (11, 1), (13, 2)) t(k, j)),
+w AS (SELECT DISTINCT ns AS namespace, 'q' || doc_id AS source, 'q' || doc_id AS path, 0 AS d FROM documents, n, (VALUES ('left'), ('right')) v(ns) WHERE doc_id % 10 = 0 AND doc_id < n // 2),
+w1 AS (SELECT DISTINCT w.namespace, source, dst AS path, 1 AS d FROM w JOIN g ON g.namespace = w.namespace AND g.src = w.path), w2 AS (SELECT DISTINCT w1.namespace, source, dst AS path, 2 AS d FROM w1 JOIN g ON g.namespace = w1.namespace AND g.src = w1.path)"""
+
+
+@query(f"WITH {TWICE} SELECT namespace, source, path, min(d) AS depth FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2) WHERE path <> source GROUP BY ALL")
+def neighbors_by_namespace(spark, sf_dir):
+    """Walks of two steps in namespaces that share paths: none leaves its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    half = docs.count() // 2
+    link = lambda k, j: F.struct(F.when((F.col("doc_id") + j) % 2 == 0, "left").otherwise("right").alias("namespace"), F.concat(F.lit("q"), (F.col("doc_id") % half).cast("string")).alias("src"), F.concat(F.lit("q"), ((F.col("doc_id") * k + j) % half).cast("string")).alias("dst"))
+    links = docs.select(F.inline(F.array(link(7, 0), link(11, 1), link(13, 2))))
+    starts = docs.where((F.col("doc_id") % 10 == 0) & (F.col("doc_id") < half)).select(F.explode(F.array(F.lit("left"), F.lit("right"))).alias("namespace"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("path"))
+    return graph.neighbours(links, starts, 2)
+
+
 @query(f"WITH {LINKED} SELECT 'node' AS kind, path AS a, '' AS b FROM (SELECT path FROM w UNION SELECT path FROM w1 UNION SELECT path FROM w2) UNION ALL SELECT DISTINCT 'edge', source, path FROM (SELECT * FROM w1 UNION SELECT * FROM w2) WHERE source <> path")
 def graph_nodes_edges(spark, sf_dir):
     files = linked(spark, sf_dir)
@@ -261,7 +346,24 @@ def graph_expand_search(spark, sf_dir):
     own = points(spark, sf_dir).withColumn("path", F.concat(F.lit("p"), F.col("vec_id").cast("string")))
     vector = asked(spark, sf_dir)
     first = S.ranked(S.hybrid_search(own, vector, WORDS), 10, [F.desc("score"), *map(F.col, S.KEY)])
-    return graph.expand(own, graph.edges(linked(spark, sf_dir)), first, vector, WORDS)
+    return graph.expand(own, edge_table(spark, sf_dir), first, vector, WORDS, bound=False)
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM documents), pid AS (SELECT e.vec_id, d.lang AS namespace, 'p' || d.doc_id AS path, 0::BIGINT AS chunk, d.text, e.embedding::DOUBLE[] AS v FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id), points AS (SELECT * FROM pid), {DENSE}, {MATCH}, {HYBRID.format(where='')},
+first AS (SELECT *, row_number() OVER (ORDER BY score DESC, namespace, path, chunk) AS rank FROM (SELECT * FROM f ORDER BY score DESC, namespace, path, chunk LIMIT 10)),
+near AS (SELECT DISTINCT namespace, 'p' || ((a * CAST(substr(path, 2) AS BIGINT) + b) % n) AS path FROM first, n, (VALUES (7, 3), (11, 5)) t(a, b)),
+own AS (SELECT * FROM near WHERE (namespace, path) NOT IN (SELECT (namespace, path) FROM first)),
+d2 AS (SELECT namespace, path, chunk, row_number() OVER (ORDER BY score DESC, namespace, path, chunk) AS rank FROM scored WHERE (namespace, path) IN (SELECT (namespace, path) FROM own)),
+t2 AS (SELECT namespace, path, chunk, row_number() OVER (ORDER BY namespace, path, chunk) AS rank FROM hits WHERE (namespace, path) IN (SELECT (namespace, path) FROM own)),
+f2 AS (SELECT namespace, path, chunk, round(sum(part), 12) AS score FROM (SELECT namespace, path, chunk, 1.0::DOUBLE / (60 + rank) AS part FROM d2 WHERE rank <= 20 UNION ALL SELECT namespace, path, chunk, 1.0::DOUBLE / (60 + rank) FROM t2 WHERE rank <= 20) GROUP BY ALL),
+second AS (SELECT *, row_number() OVER (ORDER BY score DESC, namespace, path, chunk) AS rank FROM (SELECT * FROM f2 ORDER BY score DESC, namespace, path, chunk LIMIT 10))
+SELECT namespace, path, chunk, round(sum(part), 12) AS score FROM (SELECT namespace, path, chunk, 1.0::DOUBLE / (60 + rank) AS part FROM first UNION ALL SELECT namespace, path, chunk, 0.7::DOUBLE / (60 + rank) FROM second) GROUP BY ALL ORDER BY score DESC, namespace, path, chunk LIMIT 10""")
+def graph_expand_bound(spark, sf_dir):
+    """As ``graph_expand_search``, neighbours and the points searched kept to the namespace of the file they come from."""
+    own = points(spark, sf_dir).withColumn("path", F.concat(F.lit("p"), F.col("vec_id").cast("string")))
+    vector = asked(spark, sf_dir)
+    first = S.ranked(S.hybrid_search(own, vector, WORDS), 10, [F.desc("score"), *map(F.col, S.KEY)])
+    return graph.expand(own, edge_table(spark, sf_dir), first, vector, WORDS)
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT vec_id::VARCHAR AS point_id, round(list_cosine_similarity(p.v, q.v), 9) AS score FROM points p, (SELECT v FROM points WHERE vec_id = 7) q),
