@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import uuid
 import zipfile
 
 import pandas as pd
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import delta
+from ..operators import delta, point_table
 from ..sources import files
+from ..workspace import work_dir
 from .catalog import query, table
 
 # the listing is all documents; the state lacks every 13th, has a file more for every 11th, another hash for every 7th, another time for every 5th and no hash for every 17th
@@ -79,6 +81,24 @@ def upsert_points(spark, sf_dir):
     return delta.upsert(row(d, F.col("text"), 1), row(d.where("doc_id % 2 = 0"), F.reverse("text"), 2), ["namespace", "path"], ["version"])
 
 
+@query("""WITH h AS (SELECT doc_id, lang AS namespace, 'f' || doc_id AS path, unnest([0::BIGINT, 1]) AS chunk, unnest([left(text, length(text) // 2), substr(text, length(text) // 2 + 1)]) AS half, text FROM documents)
+SELECT namespace, path, chunk, md5(CASE WHEN doc_id % 35 = 0 THEN 'back ' || half WHEN doc_id % 5 = 0 THEN text ELSE half END) AS digest FROM h WHERE doc_id % 35 = 0 OR doc_id % 7 <> 0 AND (doc_id % 5 <> 0 OR chunk = 0)""")
+def points_in_place(spark, sf_dir):
+    """A table of two points a file after three rounds in place: every 5th file comes as one point, every 7th goes, every 35th comes back."""
+    root, d, i = f"{work_dir(spark)}/in-place-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), F.col("doc_id")
+    half = F.floor(F.length("text") / 2).cast("int")
+    halves = F.posexplode(F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")))).alias("chunk", "half")
+    file = [F.col("lang").alias("namespace"), F.concat(F.lit("f"), i.cast("string")).alias("path")]
+    cut = d.select(i, *file, halves)
+    row = lambda df, text: df.select("namespace", "path", F.col("chunk").cast("long").alias("chunk"), F.md5(text).alias("digest"))
+    first = row(cut, F.col("half"))
+    point_table.create(first, root, 8)
+    point_table.change(spark, root, d.where(i % 5 == 0).select(*file, F.lit(0).cast("long").alias("chunk"), F.md5("text").alias("digest")), None, 8)
+    point_table.change(spark, root, first.limit(0), d.where(i % 7 == 0).select(*file), 8)
+    point_table.change(spark, root, row(cut.where(i % 35 == 0), F.concat(F.lit("back "), "half")), None, 8)
+    return point_table.read(spark, root, first.schema)
+
+
 @query("SELECT lang AS namespace, 'f' || doc_id AS path FROM documents WHERE NOT (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 def delete_by_path(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select(F.col("lang").alias("namespace"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "doc_id")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import governance, metrics, rag
 from ..streaming import events as E
+from ..streaming import timers
+from ..workspace import work_dir
 from .catalog import query, table
 
 
@@ -159,6 +163,86 @@ def micro_batches(spark, sf_dir):
     return E.micro_batches(events(spark, sf_dir).select(F.col("user_id").alias("node"), "ts", "event_id"), "node", "6 hours")
 
 
+def _refresh_sql(tick: int, settle: int) -> str:
+    """Per node, over its signals in order: the n ticks that fell due before, from p on, and the refresh a signal causes. In microseconds."""
+    following = f"p + n * {tick}"
+    return f"""WITH RECURSIVE e AS (SELECT user_id % 40 AS node, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts) AS i FROM events),
+r AS (SELECT node, i, t, t + {tick} AS p, 0::BIGINT AS n, true AS sig, t + {settle} AS busy, t + {tick} AS tick FROM e WHERE i = 1
+ UNION ALL SELECT node, i, t, p, n, sig, busy, {following} + CASE WHEN sig AND {following} < busy THEN ((busy - ({following}) + {tick} - 1) // {tick}) * {tick} ELSE 0 END AS tick
+ FROM (SELECT *, CASE WHEN p <= t THEN (t - p) // {tick} + 1 ELSE 0 END AS n, t >= b AS sig, CASE WHEN t >= b THEN t + {settle} ELSE b END AS busy FROM (SELECT e.node, e.i, e.t, r.tick AS p, r.busy AS b FROM r JOIN e ON e.node = r.node AND e.i = r.i + 1))),
+o AS (SELECT node, unnest(list_transform(range(0, n), lambda k: p + k * {tick})) AS due, 'tick' AS cause FROM r UNION ALL SELECT node, busy, 'signal' FROM r WHERE sig UNION ALL SELECT node, busy, 'tick' FROM r WHERE sig AND {following} < busy)
+SELECT node, make_timestamp(due) AS refreshed, cause FROM o"""
+
+
+@query(_refresh_sql(12 * 3_600_000_000, 7_200_000_000))
+def topology_refreshes(spark, sf_dir):
+    """When each node's view is refreshed: two hours after a signal, and every twelve hours."""
+    e = events(spark, sf_dir).select((F.col("user_id") % 40).alias("node"), "ts")
+    return timers.refreshes(e, "node", "12 hours", "2 hours")
+
+
+@query("SELECT event_id, event_id % 5 AS batch, CAST(CASE WHEN event_id % 5 < 3 THEN 1 ELSE 2 END AS INT) AS drain FROM events")
+def retry_drains(spark, sf_dir):
+    """All events as letters of five failed batches, drained twice: the first drain stops at a batch that fails, the second goes on there."""
+    root = f"{work_dir(spark)}/letters-{uuid.uuid4().hex}"
+    own = events(spark, sf_dir).select("event_id")
+    for number in range(5):
+        E.bury(own.where(F.col("event_id") % 5 == number), number, f"{root}/dead")
+    for drain in (1, 2):
+
+        def handle(letters, number, drain=drain):
+            if drain == 1 and number == 3:
+                raise RuntimeError("not yet")
+            letters.select("event_id", F.lit(number).cast("long").alias("batch"), F.lit(drain).alias("drain")).write.mode("append").parquet(f"{root}/out")
+
+        E.retry(spark, f"{root}/dead", handle)
+    return spark.read.schema("event_id long, batch long, drain int").parquet(f"{root}/out")
+
+
+# counters: a series a type, sampled at its events, which rises with the clock and starts anew every 14 hours or so
+COUNTER = """s AS (SELECT event_type, ts, max(CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) % 5000) AS value FROM events GROUP BY ALL)"""
+RISES = """w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, lag(value) OVER (PARTITION BY {by}, time_bucket(INTERVAL 6 HOUR, ts) ORDER BY ts) AS before FROM s),
+g AS (SELECT window_start, {by}, sum(CASE WHEN value < before THEN value ELSE value - before END)::DOUBLE AS rise, count(*) AS n, epoch_us(min(ts)) / 1e6 AS a, epoch_us(max(ts)) / 1e6 AS b, arg_min(value, ts) AS first, epoch_us(window_start) / 1e6 AS o FROM w GROUP BY ALL),
+m AS (SELECT *, CASE WHEN n > 1 THEN (b - a) / (n - 1) END AS gap FROM g),
+x AS (SELECT *, CASE WHEN a - o >= gap * 1.1 THEN gap / 2 ELSE a - o END AS lead, CASE WHEN o + 21600 - b >= gap * 1.1 THEN gap / 2 ELSE o + 21600 - b END AS tail FROM m),
+i AS (SELECT window_start, {by}, round(CASE WHEN n > 1 THEN rise * (b - a + least(lead, CASE WHEN rise > 0 THEN first * (b - a) / rise END) + tail) / (b - a) END, 6) AS value FROM x)"""
+
+
+def counters(spark, sf_dir):
+    return events(spark, sf_dir).select("event_type", "ts", (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 10_000_000) % 5000).alias("value"))
+
+
+@query(f"WITH {COUNTER}, {RISES.format(by='event_type')} SELECT * FROM i")
+def counter_increases(spark, sf_dir):
+    return metrics.counter_increase(counters(spark, sf_dir), ["event_type"], "6 hours")
+
+
+@query(f"WITH {COUNTER}, {RISES.format(by='event_type')}, r AS (SELECT window_start, event_type, round(value / 21600, 9) AS value FROM i) SELECT a.window_start, round(a.value / b.value, 6) AS value FROM r a JOIN r b USING (window_start) WHERE a.event_type = 'error' AND b.event_type = 'view' AND b.value <> 0 AND a.value / b.value > 1")
+def counter_ratio_alert(spark, sf_dir):
+    """Windows in which one counter rises faster than another."""
+    rates = metrics.counter_rate(counters(spark, sf_dir), ["event_type"], "6 hours")
+    kind = lambda t, name: rates.where(F.col("event_type") == t).select("window_start", F.col("value").alias(name))
+    both = kind("error", "a").join(kind("view", "b"), "window_start").select("window_start", F.try_divide("a", "b").alias("r"))
+    return both.where("r > 1").select("window_start", F.round("r", 6).alias("value"))
+
+
+BOUNDS = (25.0, 50.0, 100.0, 200.0)
+
+
+@query(f"""WITH s AS (SELECT event_type, le, ts, max(CAST(floor((CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) % 5000) * coalesce(le, 250) / 250) AS BIGINT)) AS value FROM events, (VALUES (25.0), (50.0), (100.0), (200.0), (NULL)) t(le) GROUP BY ALL), {RISES.format(by='event_type, le')},
+b AS (SELECT window_start, event_type, le, round(value / 21600, 9) AS n FROM i WHERE value IS NOT NULL),
+l AS (SELECT window_start, event_type, le, max(n) OVER (PARTITION BY window_start, event_type ORDER BY le NULLS LAST) AS n FROM b),
+o AS (SELECT *, max(n) OVER (PARTITION BY window_start, event_type) AS total, coalesce(lag(le) OVER v, 0) AS lo, coalesce(lag(n) OVER v, 0) AS before FROM l WINDOW v AS (PARTITION BY window_start, event_type ORDER BY le NULLS LAST)),
+h AS (SELECT *, row_number() OVER (PARTITION BY window_start, event_type ORDER BY le NULLS LAST) AS r FROM o WHERE n >= total * 0.7)
+SELECT window_start, event_type, CASE WHEN total > 0 THEN round(coalesce(lo + (le - lo) * (total * 0.7 - before) / nullif(n - before, 0), lo)::DOUBLE, 6) END AS value FROM h WHERE r = 1""")
+def rate_quantiles(spark, sf_dir):
+    """A quantile from the rates of the cumulative buckets of a histogram."""
+    bounds = F.explode(F.array(*map(F.lit, BOUNDS), F.lit(None).cast("double"))).alias("le")
+    buckets = counters(spark, sf_dir).select("event_type", "ts", "value", bounds)
+    scaled = buckets.withColumn("value", F.floor(F.col("value") * F.coalesce("le", F.lit(250.0)) / 250))
+    return metrics.histogram_quantile(scaled, ["event_type"], 0.7, "6 hours")
+
+
 # alert rules: windows of a day over events
 DAY = "time_bucket(INTERVAL 1 DAY, ts) AS window_start"
 

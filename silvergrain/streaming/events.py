@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -58,12 +59,17 @@ def in_batches(events: DataFrame, handle: Callable[[DataFrame, int], None], chec
         except Exception:
             if dead_letters is None:
                 raise
-            batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(dead_letters)
+            bury(batch, number, dead_letters)
 
     writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def bury(batch: DataFrame, number: int, dead_letters: str) -> None:
+    """A batch to the table of dead letters, a folder a batch; one that fails again replaces itself."""
+    batch.withColumn("batch", F.lit(number).cast("long")).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(dead_letters)
+
+
 def micro_batches(events: DataFrame, by: str, width: str = BATCH) -> DataFrame:
     """(by, opened, n): batches of each node's events that open with an event and close a fixed time later, however many follow.
 
@@ -90,15 +96,34 @@ def micro_batches(events: DataFrame, by: str, width: str = BATCH) -> DataFrame:
     return events.select(*order).repartition(by).sortWithinPartitions(*order).mapInPandas(fold, f"{by} {kind}, opened timestamp, n long")
 
 
+def acknowledged(spark: SparkSession, dead_letters: str) -> DataFrame:
+    """(batch) of the dead letters that have been handled."""
+    return read_or_empty(spark, f"{dead_letters}-done", "batch long")
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def retry(spark: SparkSession, dead_letters: str, handle: Callable[[DataFrame, int], None]) -> int:
-    """Dead letters again, oldest batch first, up to the first that fails; how many were handled. The handler must be idempotent."""
-    rows = spark.read.parquet(dead_letters)
-    done = 0
-    for (number,) in rows.select("batch").distinct().orderBy("batch").toLocalIterator():
+    """Dead letters that wait, oldest batch first, up to the first that fails; how many were handled.
+
+    A handled batch is acknowledged in a table beside the letters before the next one is begun, and no later run takes it again. A run that
+    is lost between handling and acknowledging repeats that one batch, so the handler must be idempotent.
+    """
+    rows, done = spark.read.parquet(dead_letters), 0
+    waiting = rows.select(F.col("batch").cast("long").alias("batch")).distinct().join(acknowledged(spark, dead_letters), "batch", "left_anti")
+    for (number,) in waiting.orderBy("batch").collect():  # a number a batch that failed
         try:
             handle(rows.where(F.col("batch") == number).drop("batch"), number)
         except Exception:  # noqa: BLE001
             break
+        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").parquet(f"{dead_letters}-done")
         done += 1
     return done
 
