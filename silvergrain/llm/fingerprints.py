@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-Every k-gram of the text's UTF-8 bytes is hashed by a rolling polynomial: pieces of ``STEP`` bytes are hashed once for each place, and a
-k-gram's hash is the polynomial of its k / STEP pieces modulo 2^31, so that going on by one piece drops the first and takes in
-the next and no k-gram is read anew. Of each window of w neighbouring k-grams the smallest hash is chosen, the rightmost of equal
+Every k-gram of the text's UTF-8 bytes has a rolling hash, a polynomial of its bytes modulo 2^31. An array operation rolls all places at once:
+from the values of single bytes, those of 2, 4, 8 and 12 come by doubling, each from two that lie side by side, so every byte is
+looked at once. Of each window of w neighbouring k-grams the smallest hash is chosen, the rightmost of equal
 ones, and its position is kept. So any stretch of at least w + k - 1 bytes that two texts share gives them a common fingerprint, whatever
 stands around it.
 
@@ -22,12 +22,12 @@ from . import shared
 
 #: Bytes of a k-gram; k-grams of a window, three times 8: shared stretches of 35 bytes are always found.
 GRAM, WINDOW = 12, 24
-#: Bytes of a piece, of which a k-gram has two; the polynomial's base, and the bits that it is taken modulo 2^31 by.
-STEP, BASE, MASK = 6, 48271, (1 << 31) - 1
+#: The polynomial's base, what a byte's value is multiplied by, and the bits that both are taken modulo 2^31 by.
+BASE, FACTOR, MASK = 1540483477, 668265263, (1 << 31) - 1
 #: A number's lower 31 bits hold the place, counted backwards from here.
 LAST = (1 << 31) - 1
-#: Ranges of ids by percentiles, each cut into equal parts, for finding a row's successor without one global sort: bytes of text in a range, most ranges.
-SPLITS, RANGE_BYTES, MOST_RANGES = 64, 1 << 20, 1 << 18
+#: Ranges of ids by percentiles in two steps, for finding a row's successor without one global sort: cells, bytes of text in a range, most ranges of a cell.
+SPLITS, RANGE_BYTES, MOST_PARTS = 64, 1 << 20, 1 << 12
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,15 +43,25 @@ def chosen(data: Column, before: Column | None = None) -> Column:
     last = F.lit(LAST - 1).cast("long") if before is None else LAST - 1 - before.cast("long")
     none = F.array().cast("array<bigint>")
 
-    def pieces(data: Column) -> Column:
-        """Hash of the STEP bytes from each place on; of fewer at the end of a text that is shorter than a k-gram."""
-        places = F.sequence(F.lit(1), F.greatest(F.octet_length(data) - STEP + 1, F.lit(GRAM - STEP + 1)))
-        return F.when(F.octet_length(data) > 0, F.transform(places, lambda i: F.hash(F.substring(data, i, F.lit(STEP))).cast("long"))).otherwise(none)
+    def values(data: Column) -> Column:
+        """A number a byte; a text shorter than a k-gram is filled up with zeros, which no byte has."""
+        each = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: ((F.ascii(c).cast("long") + 1) * FACTOR).bitwiseAND(F.lit(MASK)))
+        short = F.greatest(F.lit(GRAM) - F.octet_length(data), F.lit(0))
+        return F.when(F.octet_length(data) == 0, none).when(short > 0, F.concat(each, F.array_repeat(F.lit(0).cast("long"), short))).otherwise(each)
 
-    def grams(p: Column) -> Column:
-        rolled = lambda x, i: (x * BASE + F.get(p, i + STEP)).bitwiseAND(F.lit(MASK))
-        number = lambda x, i: F.shiftleft(rolled(x, i), 31) + (last - i)
-        return F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - GRAM + STEP, F.lit(0))), number)
+    def rolled(step: int) -> Callable[[Column], Column]:
+        """From hashes of ``step`` bytes those of twice as many; none at the last places."""
+        power = F.lit(pow(BASE, step, MASK + 1))
+        return lambda h: F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda a, b: (a * power + b).bitwiseAND(F.lit(MASK)))
+
+    def grams(h4: Column) -> Column:
+        rest = F.lit(pow(BASE, 4, MASK + 1))
+
+        def numbers(h8: Column) -> Column:
+            whole = lambda x, i: (x * rest + F.get(h4, i + 8)).bitwiseAND(F.lit(MASK))
+            return F.transform(F.slice(h8, F.lit(1), F.greatest(F.size(h8) - GRAM + 1, F.lit(0))), lambda x, i: F.shiftleft(whole(x, i), 31) + (last - i))
+
+        return let(rolled(4)(h4), numbers)
 
     def doubled(step: int) -> Callable[[Column], Column]:
         return lambda m: F.zip_with(m, F.slice(m, F.lit(step + 1), F.size(m)), lambda a, b: F.least(a, b))
@@ -60,7 +70,8 @@ def chosen(data: Column, before: Column | None = None) -> Column:
         own = F.slice(m, F.lit(1), F.greatest(F.size(m) - WINDOW + 1, F.least(F.size(m), F.lit(1))))
         return F.transform(own, lambda x, i: F.least(x, F.get(m, i + 8), F.get(m, i + 16)))
 
-    eights = let(let(let(let(let(data, pieces), grams), doubled(1)), doubled(2)), doubled(4))
+    hashed = let(let(let(let(data, values), rolled(1)), rolled(2)), grams)
+    eights = let(let(let(hashed, doubled(1)), doubled(2)), doubled(4))
     return F.array_distinct(let(eights, windows))
 
 
@@ -110,6 +121,36 @@ def edited(head: Column, tail: Column, numbers: Column) -> Column:
     return F.array_union(own, chosen(rest, begin - 1))
 
 
+def ranges(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What adds ``_range`` to rows (_id, _text): numbers that fall with the order of ids, about RANGE_BYTES of text each.
+
+    Cells are percentiles of ids, and the ranges of a cell are percentiles of its ids, so both hold equal counts however far apart ids lie.
+    Rows without an id come behind all others, in equal ranges of a hash of their texts.
+    """
+    spark = rows.sparkSession
+    seen = rows.agg(F.percentile_approx("_id", [i / SPLITS for i in range(1, SPLITS)], 10_000).alias("q"), F.sum(F.octet_length("_text")).alias("bytes"), F.sum(F.when(F.col("_id").isNull(), F.octet_length("_text"))).alias("lost")).first()
+    count = lambda size: max(1, min(MOST_PARTS, -(-(size or 0) // RANGE_BYTES)))
+    parts, lost = count((seen["bytes"] or 0) // SPLITS), count(seen["lost"])
+    edges = sorted(set(seen["q"] or []))
+
+    def cell(lo: int, hi: int) -> Column:
+        """How many of edges[lo:hi] are at or below the id, by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("_id") < F.lit(edges[mid]), cell(lo, mid)).otherwise(cell(mid + 1, hi))
+
+    celled = lambda df: df.withColumn("_cell", cell(0, len(edges)))
+    fine = celled(rows.select("_id").where("_id IS NOT NULL")).groupBy("_cell").agg(F.array_distinct(F.percentile_approx("_id", [i / parts for i in range(1, parts)] or [1.0], 10_000)).alias("_edges"))
+    held = fine.collect()  # SPLITS rows of at most MOST_PARTS ids
+    sent = F.broadcast(spark.createDataFrame([(r["_cell"], r["_edges"]) for r in held], "_cell int, _edges array<long>"))
+    # the place of the id among its cell's edges
+    part = F.size(F.filter("_edges", lambda e: e <= F.col("_id"))) if parts > 1 else F.lit(0)
+    behind = -1 - F.floor((F.shiftright(F.xxhash64("_text"), 32) + (1 << 31)) * lost / (1 << 32))
+    number = F.when(F.col("_id").isNull(), behind).otherwise(F.col("_cell").cast("long") * (MOST_PARTS + 1) + part)
+    return lambda df: celled(df).join(sent, "_cell", "left").withColumn("_range", number.cast("long")).drop("_cell", "_edges")
+
+
 def successors(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """rows (_id, _text) with _prints, and _next_text and _next_prints of the row that follows by descending id.
 
@@ -117,35 +158,16 @@ def successors(spark: SparkSession, rows: DataFrame) -> DataFrame:
     cut into ranges; each range is sorted by itself and gets a copy of the first row of the next one, so nothing is sorted
     in one task.
     """
-    seen = rows.agg(F.percentile_approx("_id", [i / SPLITS for i in range(SPLITS + 1)], 10_000).alias("q"), F.sum(F.octet_length("_text")).alias("bytes")).first()
-    parts = max(1, min(MOST_RANGES, -(-(seen["bytes"] or 0) // RANGE_BYTES)) // SPLITS)
-    edges = sorted(set(seen["q"] or [0]))
-
-    def range_of(lo: int, hi: int) -> Column:
-        """Number of the range, by halving: ids from edges[lo] on and below edges[hi]."""
-        if hi - lo <= 1:
-            left, width = edges[lo], max(1, (edges[min(hi, len(edges) - 1)] - edges[lo]))
-            part = F.floor((F.col("_id") - F.lit(left)).cast("double") * parts / width)
-            return F.lit(lo * parts) + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))
-        mid = (lo + hi) // 2
-        return F.when(F.col("_id") < F.lit(edges[mid]), range_of(lo, mid)).otherwise(range_of(mid, hi))
-
-    number = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(range_of(0, len(edges))).cast("long")
-    ranged = number.alias("_range")
-    ids = rows.select("_id", ranged)
-    # at most MOST_RANGES + SPLITS rows: one per range
-    tops = ids.groupBy("_range").agg(F.max("_id").alias("_top"))
+    ranged = ranges(rows)(rows)
+    place = F.struct("_id", F.bitwise_not(F.xxhash64("_text")).alias("h"))  # the greatest of a range comes first
+    tops = ranged.groupBy("_range").agg(F.max(place).alias("_top"))  # a row a range
     down = Window.orderBy(F.desc("_range"))
-    to = tops.select(F.col("_range").alias("_from"), "_top", F.coalesce(F.lag("_range").over(down), F.min("_range").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_range"))
-    own = rows.select("*", ranged, F.lit(0).alias("_ghost"))
-    ghosts = (
-        rows.withColumn("_from", number)
-        .join(F.broadcast(to), "_from")
-        .where(F.col("_id").eqNullSafe(F.col("_top")))
-        .select("_id", "_text", "_range", F.lit(1).alias("_ghost"))
-    )
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    to = tops.select(F.col("_range").alias("_from"), "_top", F.coalesce(F.lag("_range").over(down), F.min("_range").over(whole)).alias("_range"))
+    ghosts = ranged.withColumnRenamed("_range", "_from").join(F.broadcast(to), "_from").where(place.eqNullSafe(F.col("_top"))).select("_id", "_text", "_range", F.lit(1).alias("_ghost"))
     order = Window.partitionBy("_range").orderBy("_ghost", F.desc_nulls_last("_id"), F.xxhash64("_text"))
-    both = own.unionByName(ghosts).withColumn("_prints", chosen(F.encode("_text", "utf-8")))
+    # texts are shuffled without their prints, which take as much room again
+    both = ranged.select("_id", "_text", "_range", F.lit(0).alias("_ghost")).unionByName(ghosts).repartition("_range").withColumn("_prints", chosen(F.encode("_text", "utf-8")))
     return both.select("*", F.lead("_text").over(order).alias("_next_text"), F.lead("_prints").over(order).alias("_next_prints")).where("_ghost = 0").drop("_ghost", "_range")
 
 

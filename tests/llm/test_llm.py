@@ -211,11 +211,14 @@ def test_index_keeps_buckets_whole(spark):
 def test_fingerprints(spark):
     rnd = random.Random(1)
     base = "".join(rnd.choice("abcdefgh é") for _ in range(3000))
-    texts = [None, "", "a", "x" * 200, base, base, base[:1500] + "ZZ" + base[1500:], "short text here"]
+    texts = [None, "", "a", "\x00", "\x00" * 11, "é" * 6, "\x00ÿ\x7f\x80" * 30, "x" * 200, base, base, base[:1500] + "ZZ" + base[1500:], "short text here"]
     found = {r["doc_id"]: [(p["hash"], p["place"]) for p in r["prints"]] for r in fingerprints.fingerprints(docs(spark, texts)).collect()}
-    pieces = sorted({t.encode()[i : i + 6] for t in texts if t for i in range(max(7, len(t.encode())))})
-    piece = {bytes(r["g"]): r["h"] for r in spark.createDataFrame([(bytearray(g),) for g in pieces], "g binary").select("g", F.hash("g").alias("h")).collect()}
-    value = lambda g: (piece[g[:6]] * 48271 + piece[g[6:12]]) & (2**31 - 1)
+    def value(gram):
+        h = 0
+        for k in range(12):  # byte by byte
+            h = (h * 1540483477 + ((gram[k] + 1) * 668265263 % 2**31 if k < len(gram) else 0)) % 2**31
+        return h
+
     for i, t in enumerate(texts):
         data, want = (t or "").encode(), []
         hs = [value(data[j : j + 12]) for j in range(max(1, len(data) - 11))] if data else []
@@ -225,7 +228,8 @@ def test_fingerprints(spark):
             if not want or want[-1] != (hs[at], at + 1):
                 want.append((hs[at], at + 1))
         assert found[i] == want
-    assert found[4] == found[5] and len({h for h, _ in found[4]} & {h for h, _ in found[6]}) > 200
+    same = texts.index(base)
+    assert found[same] == found[same + 1] and len({h for h, _ in found[same]} & {h for h, _ in found[same + 2]}) > 200
 
 
 def test_successors(spark, tmp_path, monkeypatch):
@@ -254,6 +258,19 @@ def test_successors(spark, tmp_path, monkeypatch):
     assert [r["same"] for r in done] == [True, True]
 
 
+def test_ranges_hold_equal_counts(spark, monkeypatch):
+    """However far apart ids lie, and for rows without an id too."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 3000)
+    rows = [(i, f"text {i} " * 4) for i in [*range(19_999), 10**12]] + [(None, f"lost {i} " * 4) for i in range(10_000)]
+    own = spark.createDataFrame(rows, "_id long, _text string")
+    found = fingerprints.ranges(own)(own)
+    for known in ("_id IS NOT NULL", "_id IS NULL"):
+        sizes = [r["count"] for r in found.where(known).groupBy("_range").count().collect()]
+        assert len(sizes) > 60 and max(sizes) <= 2 * sum(sizes) / len(sizes) + 2
+    order = [r["_range"] for r in found.where("_id IS NOT NULL").orderBy("_id").collect()]
+    assert order == sorted(order)
+
+
 def test_edited_fingerprints_equal_those_of_the_edited_text(spark, sf_dir):
     rows = registry.queries()["op6_fingerprints"](spark, sf_dir).collect()
     texts = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
