@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import work_dir
 from . import index
 from . import search as S
 
@@ -40,9 +42,13 @@ def read_suite(spark: SparkSession, path: str) -> DataFrame:
 def contexts(spark: SparkSession, points: DataFrame, suite: DataFrame, embed: Callable[[list[str]], list[list[float]]], namespace: str | None = None, k: int = 10) -> DataFrame:
     """suite (question, expected_answer, namespace) with ``context``: the texts of the k nearest points of the entry's namespace, without tags.
 
-    Questions are numbered and embedded in Arrow batches; each namespace, of which there are few, takes one batch search.
+    Questions are numbered, embedded in Arrow batches and kept as a table, so that a number stays what it is if an executor is lost; each
+    namespace, of which there are few, takes one batch search.
     """
-    asked = index.embedded(suite.withColumn("namespace", F.coalesce("namespace", F.lit(namespace))).withColumn("query_id", F.monotonically_increasing_id()), embed, "question").persist()
+    numbered = index.embedded(suite.withColumn("namespace", F.coalesce("namespace", F.lit(namespace))).withColumn("query_id", F.monotonically_increasing_id()), embed, "question")
+    path = f"{work_dir(spark)}/questions-{uuid.uuid4().hex}"
+    numbered.write.parquet(path)
+    asked = spark.read.schema(numbered.schema).parquet(path)
     known = points.withColumn("_row", F.xxhash64(*S.KEY))  # numbers the points: what a search hands on
     out = None
     for (name,) in asked.select("namespace").distinct().toLocalIterator():

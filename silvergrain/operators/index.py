@@ -216,3 +216,25 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 def counts(points: DataFrame) -> DataFrame:
     return points.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scroll(points: DataFrame, after: tuple[str, str, int] | None = None, limit: int = 250, namespace: str | None = None) -> tuple[DataFrame, Callable[[], tuple | None]]:
+    """A page of points in the order of their keys, behind the key ``after``; and what finds the key to go on from, None when there is no further page.
+
+    The next page is told by a key, not by a number of rows, so points that come or go in between move no other from one page to the next. The
+    scan of a page leaves out files and row groups whose greatest path lies before it.
+    """
+    own = points.where(F.col("namespace") == namespace) if namespace else points
+    key = [F.col(c) for c in ("namespace", "path", "chunk")]
+    if after is not None:
+        n, p, c = after
+        later = (F.col("namespace") > n) | ((F.col("namespace") == n) & ((F.col("path") > p) | ((F.col("path") == p) & (F.col("chunk") > c))))
+        # implied by the above, and plain enough to reach the files
+        own = own.where(later & (F.col("namespace") >= n) & ((F.col("namespace") > n) | (F.col("path") >= p)))
+    page = own.orderBy(*key).limit(limit)
+
+    def token() -> tuple | None:
+        rows = page.select("namespace", "path", "chunk").collect()  # a page of keys
+        return tuple(rows[-1]) if len(rows) == limit else None
+
+    return page, token

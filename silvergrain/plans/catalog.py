@@ -27,7 +27,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import corpus, indexing, jobs, retrieval, signals  # noqa: F401 - they register themselves
+    from . import corpus, indexing, jobs, operations, retrieval, signals  # noqa: F401 - they register themselves
 
     return dict(QUERIES)
 

@@ -271,15 +271,20 @@ def index_pipeline(spark, sf_dir):
     return made.select("point_id", "namespace", "path", "chunk", F.md5("text").alias("digest"), "relations", F.md5(F.array_join("tokens", " ")).alias("tokens"), letters.alias("letters"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(replace(replace(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '. ', '. ' || chr(1)), '? ', '? ' || chr(1)), '! ', '! ' || chr(1)), chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1))) AS s FROM documents WHERE strlen(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 10),
-t AS (SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM s), n AS (SELECT doc_id, count(*) AS n FROM t WHERE strlen(s) >= 10 GROUP BY doc_id)
-SELECT doc_id, n > 3 AS by_meaning, n AS n_chunks FROM n WHERE n > 3""")
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE strlen(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 10),
+s AS (SELECT doc_id, string_split(replace(replace(replace(replace(text, '. ', '. ' || chr(1)), '? ', '? ' || chr(1)), '! ', '! ' || chr(1)), chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1)) AS s FROM d),
+t AS (SELECT doc_id, list_filter(list_transform(s, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: strlen(x) >= 10) AS t FROM s),
+e AS (SELECT doc_id, i, t[i] AS s, length(t[i]) % 2 AS kind, len(list_filter(regexp_split_to_array(t[i], '\s+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t WHERE len(t) > 3)),
+g AS (SELECT doc_id, i, kind, n AS words, 0 AS grp FROM e WHERE i = 1
+ UNION ALL SELECT e.doc_id, e.i, e.kind, CASE WHEN e.kind = g.kind AND g.words + e.n <= 512 THEN g.words + e.n ELSE e.n END, CASE WHEN e.kind = g.kind AND g.words + e.n <= 512 THEN g.grp ELSE g.grp + 1 END FROM g JOIN e ON e.doc_id = g.doc_id AND e.i = g.i + 1),
+m AS (SELECT doc_id, grp AS chunk, string_agg(s, ' ' ORDER BY i) AS body FROM g JOIN e USING (doc_id, i) GROUP BY ALL),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM d JOIN t USING (doc_id) WHERE len(t) <= 3),
+c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 512 THEN 1 ELSE 1 + CAST(ceil((len(w) - 512) / 462.0) AS BIGINT) END)) AS i FROM w)
+SELECT doc_id, CAST(chunk AS INT) AS chunk, md5(body) AS digest FROM m UNION ALL SELECT doc_id, CAST(i AS INT), md5(array_to_string(w[i * 462 + 1 : i * 462 + 512], ' ')) FROM c""")
 def semantic_chunks(spark, sf_dir):
-    """Texts of more than three sentences, cut after each by a stand-in whose vectors never agree."""
-    apart = lambda texts: [[1.0, 0.0] if i % 2 else [0.0, 1.0] for i in range(len(texts))]
-    own = documents(spark, sf_dir).select("doc_id", "text", F.size(T.sentences(index.trimmed_text(F.col("text")))).alias("n"))
-    cut = index.semantic_chunks(own, apart).where("n > 3").groupBy("doc_id").agg(F.max(F.col("n") > 3).alias("by_meaning"), F.count(F.lit(1)).alias("n_chunks"))
-    return cut
+    """All texts, cut by a stand-in for which sentences agree if their lengths are both even or both odd; texts of few sentences are cut by words."""
+    agree = lambda texts: [[1.0, 0.0] if len(t) % 2 else [0.0, 1.0] for t in texts]
+    return index.semantic_chunks(documents(spark, sf_dir).select("doc_id", "text"), agree).select("doc_id", F.col("chunk").cast("int").alias("chunk"), F.md5("text").alias("digest"))
 
 
 @query("""WITH q AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), a AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id)

@@ -225,9 +225,21 @@ def rank_delta(spark, sf_dir):
 
 
 # access control
-@query("""SELECT * FROM (VALUES ('ann', ['de', 'en']), ('bob', ['*']), ('cy', CAST([] AS VARCHAR[])), ('di', ['en', 'es'])) t("user", namespaces)""")
+# customers are users: each is in a group of its nation and one of its region; what groups may read is told by their keys
+@query("""WITH acl AS (SELECT 'n' || n_nationkey AS grp, CASE n_nationkey % 4 WHEN 0 THEN ['en'] WHEN 1 THEN ['fr', 'de'] WHEN 2 THEN ['de'] ELSE [] END AS ns FROM nation UNION ALL SELECT 'r' || r_regionkey, CASE WHEN r_regionkey = 4 THEN ['*', 'en'] WHEN r_regionkey % 2 = 0 THEN ['es', 'de'] ELSE [] END FROM region),
+m AS (SELECT 'c' || c_custkey AS "user", unnest(['n' || c_nationkey, 'r' || n_regionkey, 'nobody']) AS grp FROM customer JOIN nation ON n_nationkey = c_nationkey),
+f AS (SELECT "user", unnest(ns) AS ns FROM m JOIN acl USING (grp)), s AS (SELECT "user", list_sort(list(DISTINCT ns)) AS l FROM f GROUP BY ALL)
+SELECT u."user", CASE WHEN list_contains(l, '*') THEN ['*'] ELSE coalesce(l, CAST([] AS VARCHAR[])) END AS namespaces FROM (SELECT DISTINCT "user" FROM m) u LEFT JOIN s USING ("user")""")
 def group_acl(spark, sf_dir):
-    users, acl = acl_tables(spark)
+    nation = table(spark, sf_dir, "nation")
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    several = lambda *ns: F.array(*map(F.lit, ns)).cast("array<string>")
+    k = F.col("n_nationkey") % 4
+    of_nation = F.when(k == 0, several("en")).when(k == 1, several("fr", "de")).when(k == 2, several("de")).otherwise(several())
+    r = F.col("r_regionkey")
+    of_region = F.when(r == 4, several("*", "en")).when(r % 2 == 0, several("es", "de")).otherwise(several())
+    acl = nation.select(name("n", "n_nationkey").alias("grp"), of_nation.alias("namespaces")).unionByName(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("grp"), of_region.alias("namespaces")))
+    users = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(name("c", "c_custkey").alias("user"), F.array(name("n", "c_nationkey"), name("r", "n_regionkey"), F.lit("nobody")).alias("groups"))
     return governance.allowed_namespaces(users, acl)
 
 
