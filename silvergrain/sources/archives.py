@@ -76,23 +76,23 @@ def entries(archives: DataFrame) -> DataFrame:
     return archives.select("path").mapInPandas(run, ENTRY)
 
 
-def _streamed(path: str, kind: str) -> Iterator[tuple[str, bytes, bool]]:
+def _streamed(path: str, kind: str, most: int) -> Iterator[tuple[str, bytes, bool]]:
     """The entries of a compressed archive, one after the other, up to what it may unpack to."""
     with _opened(path) as f, gzip.GzipFile(fileobj=f) as g:
         if kind == "gz":
-            body = g.read(files.MOST_ENTRY + 1)
-            yield f"{path}/{path.rsplit('/', 1)[-1][:-3]}", body[: files.MOST_ENTRY], len(body) > files.MOST_ENTRY
+            body = g.read(most + 1)
+            yield f"{path}/{path.rsplit('/', 1)[-1][:-3]}", body[:most], len(body) > most
             return
         with tarfile.open(fileobj=g, mode="r|") as t:
             for info in t:
                 if info.offset > files.MOST_UNPACKED:
                     raise ValueError(f"{path} unpacks to more than is allowed")
                 if info.isfile() and (clean := T.clean_archive_path(info.name)):
-                    yield f"{path}/{clean}", t.extractfile(info).read(files.MOST_ENTRY), info.size > files.MOST_ENTRY
+                    yield f"{path}/{clean}", t.extractfile(info).read(most), info.size > most
 
 
-def contents(found: DataFrame) -> DataFrame:
-    """Entries to (path, content, truncated): MOST_ENTRY bytes of each at most.
+def contents(found: DataFrame, most: int = files.MOST_ENTRY) -> DataFrame:
+    """Entries to (path, content, truncated): ``most`` bytes of each at most.
 
     Entries are dealt to tasks by size, those of one archive side by side, so a task opens few archives, and reads of each what it needs. An
     entry that turns out unreadable is left out; of a compressed archive, those before the fault stay.
@@ -108,7 +108,7 @@ def contents(found: DataFrame) -> DataFrame:
                 kind = own["kind"].iloc[0]
                 try:
                     if kind in ("gz", "tar.gz"):
-                        for row in _streamed(archive, kind):
+                        for row in _streamed(archive, kind, most):
                             yield pd.DataFrame([row], columns=columns)
                         continue
                     with _opened(archive) as f:
@@ -118,13 +118,13 @@ def contents(found: DataFrame) -> DataFrame:
                             try:
                                 if z:
                                     with z.open(listed[at]) as e:
-                                        body = e.read(files.MOST_ENTRY)
+                                        body = e.read(most)
                                 else:
                                     f.seek(at)
-                                    body = f.read(min(size, files.MOST_ENTRY))
+                                    body = f.read(min(size, most))
                             except (OSError, ValueError, EOFError, RuntimeError, NotImplementedError, zipfile.BadZipFile):
                                 continue
-                            yield pd.DataFrame([(path, body, size > files.MOST_ENTRY)], columns=columns)
+                            yield pd.DataFrame([(path, body, size > most)], columns=columns)
                 except (OSError, ValueError, EOFError, zipfile.BadZipFile, tarfile.TarError):
                     continue
 
