@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from .config import Settings
 from .operators import delta, evals, governance, graph, index, rag
 from .operators import search as S
+from .operators.store import Store
 from .sources import files
 
 
 class Engine:
     """Points, edges and models behind one interface. Models are plain callables and may be doubles."""
 
-    def __init__(self, spark: SparkSession, points: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, model: Callable[[str], str] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, assess: Callable[[str, list], dict] | None = None, cache: governance.AnswerCache | None = None, settings: Settings | None = None):
-        self.spark, self.points = spark, points
+    def __init__(self, spark: SparkSession, points: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, model: Callable[[str], str] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, assess: Callable[[str, list], dict] | None = None, cache: governance.AnswerCache | None = None, settings: Settings | None = None, store: Store | None = None):
+        self.spark, self.points, self.store = spark, points, store
         self.embed, self.model, self.reranker, self.assess = embed or index.hash_embedder(), model, reranker, assess
         self.cache, self.settings = cache, settings or Settings()
 
@@ -28,6 +29,12 @@ class Engine:
         texts = files.extract(files.expand_archives(files.walk(spark, root, **walk)), []).where("text IS NOT NULL").withColumn("namespace", F.lit(namespace))
         return cls(spark, index.points(texts, own), own)
 
+    @classmethod
+    def over_store(cls, store: Store, **models) -> Engine:
+        """An engine over a store: text match goes by its index, and ``refresh`` changes it in place."""
+        points = store.points() if store.exists() else store.spark.createDataFrame([], store.schema)
+        return cls(store.spark, points, store=store, **models)
+
     def vector(self, query: str) -> list[float]:
         return self.embed([query])[0]
 
@@ -48,6 +55,10 @@ class Engine:
         depth = 2 * k if rerank and self.reranker else k
         if everywhere:
             found = S.fan_out(self.points, None if mode == "keyword" else self.vector(query), None if mode == "semantic" else query, depth, None if free else allowed)
+        elif self.store and mode == "keyword":
+            found = self.store.keyword_search(query, depth, namespace)
+        elif self.store and mode == "hybrid":
+            found = self.store.hybrid_search(self.vector(query), query, depth, namespace)
         else:
             found = S.search(self.points, mode, query=self.vector(query), words=query, k=depth, namespace=namespace)
         return S.reranked(self.with_text(found), query, self.reranker, k, self.settings.rerank_threshold) if rerank and self.reranker else found
@@ -120,12 +131,23 @@ class Engine:
     def namespace_stats(self, nodes: DataFrame) -> DataFrame:
         return governance.namespace_stats(nodes, self.points)
 
-    def refresh(self, listing: DataFrame, state: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """The point table after a poll: changed files anew, removed ones gone; returns the actions."""
+    def refresh(self, listing: DataFrame, state: DataFrame, texts: Callable[[DataFrame], DataFrame], number: int | None = None) -> DataFrame:
+        """The points after a poll: changed files anew, removed ones gone; returns the actions.
+
+        An engine over a store changes it in place and needs the ``number`` of the poll; else the whole table is planned anew.
+        """
         actions = delta.classify(listing, state)
         gone = actions.where("action = 'DELETE'").select("path")
-        changed = actions.where("action = 'INDEX'").select("path")
-        self.points = delta.reindex(delta.delete_paths(self.points, gone, every_namespace=True), index.points(texts(changed), self.embed))
+        own = texts(actions.where("action = 'INDEX'").select("path"))
+        if self.store:
+            if number is None:
+                raise ValueError("a change of a store needs its number")
+            # a listing knows paths only: a file that is gone is gone from every namespace that held it
+            held = self.points.select("namespace", "path").distinct().join(gone, "path", "left_semi")
+            self.store.change(number, index.points(own, self.embed), held, own.select("namespace", "path"))
+            self.points = self.store.points()
+        else:
+            self.points = delta.reindex(delta.delete_paths(self.points, gone, every_namespace=True), index.points(own, self.embed))
         if self.cache:
             for r in self.points.select("namespace").distinct().toLocalIterator():  # a row a namespace
                 self.cache.indexed(r["namespace"])

@@ -10,18 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import read_or_empty
+
 LOG = 12
 ROW = "namespace string, added binary, removed binary, batch long"
 
 
 def note(added: DataFrame, removed: DataFrame | None, root: str, batch: int) -> None:
-    """Sketches of a batch from (namespace, point_id) added and removed; running it again replaces the batch.
+    """Sketches of a batch from (namespace, point_id) added and removed. Running it again replaces what it added, and adds to what it removed:
+    a change that is repeated no longer finds what it has taken away already.
 
     A point that is in both was replaced and counts as added.
     """
+    spark = added.sparkSession
     sketch = lambda df, name: df.groupBy("namespace").agg(F.theta_sketch_agg("point_id", LOG).alias(name))
     up = sketch(added, "added")
     down = sketch(added.limit(0) if removed is None else removed, "removed")
+    # sketches of this batch's earlier run: a row a namespace
+    before = spark.createDataFrame(read_or_empty(spark, root, ROW).where((F.col("batch") == batch) & F.col("removed").isNotNull()).select("namespace", F.col("removed").alias("_r")).collect(), "namespace string, _r binary")
+    down = down.join(before, "namespace", "full").select("namespace", F.when(F.col("removed").isNull(), F.col("_r")).when(F.col("_r").isNull(), F.col("removed")).otherwise(F.theta_union("removed", "_r", LOG)).alias("removed"))
     both = up.join(down, "namespace", "full").withColumn("batch", F.lit(batch).cast("long"))
     both.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..workspace import read_or_empty
+
 DEBOUNCE, BATCH = "500 milliseconds", "200 milliseconds"
 GONE = ("delete", "rename", "remove")
 
@@ -101,15 +102,6 @@ def acknowledged(spark: SparkSession, dead_letters: str) -> DataFrame:
     return read_or_empty(spark, f"{dead_letters}-done", "batch long")
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def retry(spark: SparkSession, dead_letters: str, handle: Callable[[DataFrame, int], None]) -> int:
     """Dead letters that wait, oldest batch first, up to the first that fails; how many were handled.
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import delta
 from ..sources import files
-from .events import read_or_empty
+from ..workspace import read_or_empty
 
 STATE = "path string, size long, mtime long, partial_hash string, full_hash string, last_seen long"
 CHANGE = "path string, action string, size long, mtime long"
