@@ -37,6 +37,8 @@ from . import shared
 LENGTH, GRAM = 200, 48
 #: Different segments in a bucket up to which it is sorted in one task; bytes of the segments sorted at a time; bytes of texts hashed at a time.
 HOT, BLOCK, CHUNK = 8192, 2 << 20, 1 << 20
+#: Bits that a place takes below the hash that anchors are chosen by: more than the bytes hashed together, CHUNK and a text of 2 GB, need.
+PLACE_BITS = 32
 #: Size of the difference cover: period 24 r r + 36 r + 13, 6 r + 4 members.
 COVER = 1
 
@@ -78,8 +80,8 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    bits = np.uint64(max(20, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # as many bits of the hash for every text, so that equal strings have equal anchors wherever they stand; of ties the leftmost
+    low = np.uint64((1 << PLACE_BITS) - 1)
     order = (h & ~low) | np.arange(grams, dtype=np.uint64)
     span = LENGTH - GRAM + 1
     pad = -grams % span
