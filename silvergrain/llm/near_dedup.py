@@ -18,7 +18,7 @@ What the pivots leave: nodes whose bucket still spans several components are com
 counts. A node's shingles are put in one order, rare ones first; two nodes whose similarity reaches SIMILAR share at least
 2 SIMILAR / (1 + SIMILAR) of the lighter one's weight and SIMILAR of the heavier one's, so they have a common shingle among the first
 of each, up to the rest of its weight (prefix filter). A template in many documents stands at the end of that order, behind what is a
-document's own, and makes no pair. No pair whose link could matter is left out, and none is made for a bucket's sake.
+document's own, and makes no pair. Only nodes of weights that can link meet there. No pair whose link could matter is left out, and none is made for a bucket's sake.
 
 Bounds: two documents of weights w share at most the smaller of their v, where v leaves out what no other document still in
 question has; so their similarity is at most m / (w + w - m) with m = min v. If both were compared with one pivot and share s with
@@ -28,6 +28,7 @@ are not compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ COMMON, LEAST, SENT = 0.005, 0.001, 2_000_000
 PART = 512
 #: Shares of a node's weight that its first shingles make up, as the heavier and as the lighter of a pair; room for rounding.
 HEAVIER, LIGHTER, EPS = 1 - SIMILAR, 1 - 2 * SIMILAR / (1 + SIMILAR), 1e-9
+#: Width of a class of weights, in logarithms: a little more than two linked nodes may differ by.
+CLASS = -math.log(SIMILAR - 1e-6)
 #: Ids up to which they are sent to all tasks to pick candidates' texts (8 bytes each); beyond, texts are shuffled.
 PICKED = 1_000_000
 #: Documents worked on at a time.
@@ -301,11 +304,15 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
     Documents are in a class if links of similarity 0.8 or more lead from one to the other. Texts of any length are read whole. Null
     texts count as empty; texts without a word equal each other. Rows without an id stay alone with a null class and are kept. Rows that repeat
-    an id are one document. An empty table gives an empty one; columns besides the two are not looked at.
+    an id are one document, whose text is the smallest of theirs; each of them has its class, and it counts once. An empty table gives an empty one; columns besides the two are not looked at.
     """
     shared.fresh(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     named = rows.where("_id IS NOT NULL")
+    again = shared.table(spark, named.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"), "repeated-ids")
+    single = again.isEmpty()
+    if not single:
+        named = named.join(again, "_id", "left_anti").unionByName(named.join(again, "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")))
     weights = common_shingles(spark, named)
     signs = shared.table(spark, signed(spark, named, weights), "signatures")
     nodes = shared.table(spark, signs.groupBy("_set").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_m")), "nodes")
@@ -321,6 +328,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     sizes = shared.table(spark, placed.groupBy("class_id").agg(F.sum("_m").alias("class_size"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("class_id", "class_size"), "class-sizes")
     sized = placed.join(sizes, "class_id", "left").select("_set", "class_id", F.coalesce("class_size", "_m").alias("class_size"))
     done = signs.select("_id", "_set").join(sized, "_set").select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_id") == F.col("class_id")).alias("kept"))
+    if not single:
+        done = rows.select(F.col("_id").alias(id_col)).join(done, id_col)
     alone = rows.where("_id IS NULL").select(F.col("_id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return done.unionByName(alone)
 
@@ -355,11 +364,13 @@ def prefix_pairs(counted: DataFrame, known: DataFrame, possible, other: list) ->
     """
     order = Window.partitionBy("n").orderBy("place", "s").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.join(known.select("n", "w"), "n").withColumn("before", F.coalesce(F.sum("x").over(order), F.lit(0.0))).where((F.col("place") > 1) & (F.col("before") <= HEAVIER * F.col("w") + EPS))
+    # weights within a factor of SIMILAR lie in one class or in neighbouring ones
+    size = F.floor(F.log("w") / CLASS).cast("int")
     held = first.select("n", "s", "before").join(known, "n")
-    lighter = held.where(F.col("before") <= LIGHTER * F.col("w") + EPS).select("s", F.col("n").alias("a"), F.col("c").alias("d"), *other)
-    heavier = held.drop("before").withColumnRenamed("n", "b")
+    lighter = held.where(F.col("before") <= LIGHTER * F.col("w") + EPS).select("s", size.alias("q"), F.col("n").alias("a"), F.col("c").alias("d"), *other)
+    heavier = held.drop("before").withColumnRenamed("n", "b").withColumn("q", F.explode(F.array(size - 1, size)))
     after = (F.col("w") > F.col("pw")) | (F.col("w") == F.col("pw")) & (F.col("b") > F.col("a"))
-    return lighter.join(heavier, "s").where(after & (F.col("c") != F.col("d")) & possible).select("a", "b").distinct()
+    return lighter.join(heavier, ["s", "q"]).where(after & (F.col("c") != F.col("d")) & possible).select("a", "b").distinct()
 
 
 def open_buckets(spark: SparkSession, placed: DataFrame) -> tuple[DataFrame, float]:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from silvergrain.llm import bpe_codec, language_id, packing, sharding, shared, token_counts, toxicity, turn_repair
+from silvergrain.llm import bpe_codec, language_id, near_dedup, packing, sharding, shared, token_counts, toxicity, turn_repair
 
 BIG = 2**53 + 1
 
@@ -231,3 +231,35 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     found = sharding.shards_of(spark, df, 4).groupBy("shard").agg(F.sum("size").alias("n")).collect()
     wrote = back.groupBy("shard").agg(F.sum(sharding.text_size(F.col("text"))).alias("n")).collect()
     assert {r["shard"]: r["n"] for r in found} == {r["shard"]: r["n"] for r in wrote}
+
+
+# --- near copies
+
+
+def test_rows_that_repeat_an_id_are_its_smallest_text(spark):
+    shared.ship(spark)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, "z " + long), (2, long + " a"), (2, long + " a"), (3, "something else altogether, of other words"), (3, "z " + long), (4, long), (None, long)]
+    for order in (rows, rows[::-1]):
+        found = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["class_size"], r["kept"]) for r in near_dedup.classes(spark, spark.createDataFrame(order, "doc_id long, text string")).collect())
+        assert found == [(0, 0, 1, True), (1, 1, 3, True), *[(2, 1, 3, False)] * 3, *[(3, 3, 1, True)] * 2, (4, 1, 3, False)]
+
+
+def test_classes_of_weights_part_no_pair_that_may_link(spark):
+    """Pairs by prefix equal those of all pairs that share a counted shingle and are close enough in weight."""
+    import random as R
+
+    rnd, n = R.Random(3), 60
+    rows, weight = [], {}
+    for i in range(n):
+        own = own[rnd.randint(0, 1) :] if i % 3 else rnd.sample(range(40), rnd.randint(3, 30))  # near copies of the one before
+        rows += [(i, s, 1.0, 2 + s) for s in own]
+        weight[i] = float(len(own))
+    counted = spark.createDataFrame(rows, "n long, s long, x double, place long")
+    known = spark.createDataFrame([(i, w, w, None, 0.0, i) for i, w in weight.items()], "n long, w double, v double, p long, s_ double, c long")
+    other = [F.col("w").alias("pw"), F.col("v").alias("pv")]
+    most = F.least("v", "pv")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.prefix_pairs(counted, known, most >= near_dedup.SIMILAR * (F.col("w") + F.col("pw") - most) - near_dedup.EPS, other).collect()}
+    sets = {i: {s for j, s, *_ in rows if j == i} for i in range(n)}
+    linked = {(a, b) for a in range(n) for b in range(a + 1, n) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(linked) > 20 and linked <= got and all(min(weight[a], weight[b]) >= 0.79 * max(weight[a], weight[b]) for a, b in got)
