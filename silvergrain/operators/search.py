@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..workspace import work_dir
 
 #: The constant of reciprocal rank fusion (Cormack et al. 2009), and how many of a leg are fused per result wanted.
 RRF_K, PREFETCH = 60, 2
@@ -167,6 +168,7 @@ def batch_search(spark: SparkSession, points: DataFrame, queries: DataFrame, k:
     at_once = max(QUERY_BLOCK, SENT // (4 * len(first["vector"])))
     total = queries.count()
     shares, out = -(-total // at_once), None
+    kept = f"{work_dir(spark)}/nearest-{uuid.uuid4().hex}"
     for share in range(shares):
         # ids dealt evenly by their hash; a share is collected within its bound, give or take
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(shares)) == share).select("query_id", "vector").toPandas()
@@ -188,7 +190,10 @@ def batch_search(spark: SparkSession, points: DataFrame, queries: DataFrame, k:
                 yield pd.DataFrame({"query_id": np.repeat(b.names, sizes), "id": np.concatenate([i for _, i in b.best]), "score": np.concatenate([s for s, _ in b.best])})
 
         part = points.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).mapInPandas(run, "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
+        if shares > 1:  # a share's best go to the shared folder, so the plan stays as small as one share's
+            ranked(part, k, [F.desc("score"), F.col("id")], ("query_id",)).drop("rank").write.mode("append").parquet(kept)
+        out = part
+    out = out if shares == 1 else spark.read.schema("query_id long, id long, score double").parquet(kept)
     return ranked(out, k, [F.desc("score"), F.col("id")], ("query_id",))
 
 

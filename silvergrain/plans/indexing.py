@@ -206,8 +206,7 @@ def archive_entries(spark, sf_dir):
     ext = F.get(F.array(*map(F.lit, (".zip", ".tar", ".tar.gz", ".txt.gz"))), (F.col("doc_id") % 4).cast("int"))
     path = F.concat(F.lit("/data/f"), F.col("doc_id").cast("string"), ext)
     found = files.expand_archives(table(spark, sf_dir, "documents").select(path.alias("path"), packed("doc_id", "text").alias("content")))
-    texts = files.extract(found, [])
-    return texts.join(found.select("path", "truncated"), "path").select("path", F.md5("text").alias("digest"), "truncated")
+    return files.extract(found, []).select("path", F.md5("text").alias("digest"), "truncated")
 
 
 def archived(kind: int, data: bytes) -> bytes:

@@ -178,36 +178,39 @@ def mail_text(contents: pd.Series) -> pd.Series:
 
 
 def extract(files: DataFrame, extractors: list[tuple[str, tuple[str, ...], Callable[[str, bytes], str]]], ocr: Callable[[str, bytes], str] | None = None, ocr_below: int = 50) -> DataFrame:
-    """files (path, content) with ``text``, ``extractor`` and ``relations`` (JSON, of extractors that give (text, relations), else empty).
+    """files (path, content) with ``text``, ``extractor``, ``relations`` (JSON, of extractors that give (text, relations), else empty), ``metadata`` (a map) and ``truncated``.
 
     Plain files are decoded. Otherwise the first of ``extractors`` (name, extensions, function) that takes the extension
-    runs, in Arrow batches; a PDF whose text is short goes to ``ocr`` too, and the longer of both stays. Failures give null.
+    runs, in Arrow batches; it gives a text, (text, relations) or (text, relations, metadata). A PDF whose text is short goes to ``ocr`` too, and the longer
+    of both stays. Failures give null. ``truncated`` is that of the files, false if they have none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, names, found = [], [], []
+            texts, names, found, notes = [], [], [], []
             for path, data in zip(batch["path"], batch["content"]):
                 ext = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
                 name, work = next(((n, f) for n, exts, f in extractors if ext in exts), (None, None))
-                relations = None
+                relations, note = None, {}
                 try:
                     if work is None and ext in T.PLAIN:
                         name, text = "plain", bytes(data).decode("utf-8", "replace")
                     else:
                         text = work(path, bytes(data)) if work else None
                         if isinstance(text, tuple):
-                            text, relations = text
+                            text, relations, note = (*text, {})[:3]
                     if ext == ".pdf" and ocr and text is not None and len(text.strip()) < ocr_below:
                         text = max(text, ocr(path, bytes(data)), key=lambda t: len(t.strip()))
                 except Exception:  # noqa: BLE001 - an injected extractor may fail in any way
-                    text = None
+                    text, relations, note = None, None, {}
                 texts.append(text)
                 names.append(name)
                 found.append(json.dumps(relations) if relations else "")
-            yield batch[["path"]].assign(text=texts, extractor=names, relations=found)
+                notes.append({str(k): v if isinstance(v, str) else json.dumps(v) for k, v in note.items()})
+            yield batch[["path", "truncated"]].assign(text=texts, extractor=names, relations=found, metadata=notes)
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, extractor string, relations string")
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in files.columns else F.lit(False)
+    return files.select("path", "content", cut.alias("truncated")).mapInPandas(run, "path string, text string, extractor string, relations string, metadata map<string,string>, truncated boolean")
 
 
 def frame_times(n, interval, most: int | None = None):

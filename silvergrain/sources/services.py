@@ -60,19 +60,24 @@ def extractor(url: str, ocr: bool = False) -> Callable[[str, bytes], str]:
     return run
 
 
-def transcriber(url: str, least: int = 0, waits: tuple[float, ...] = WAITS) -> Callable[[str, bytes], str]:
-    """Text of a recording; empty if it has fewer than ``least`` characters."""
+def transcriber(url: str, least: int = 0, waits: tuple[float, ...] = WAITS, segments: bool = False) -> Callable[[str, bytes], str | tuple[str, None, dict]]:
+    """Text of a recording; empty if it has fewer than ``least`` characters. With ``segments``, its timed parts (start, end, text) go into the metadata."""
 
-    def run(path: str, data: bytes) -> str:
+    def run(path: str, data: bytes) -> str | tuple[str, None, dict]:
         body, kind = multipart(path.rsplit("/", 1)[-1], data)
-        text = _post(url, body, kind, timeout=600).get("text", "")
-        return text if len(text.strip()) >= least else ""
+        said = _post(url, body, kind, timeout=600)
+        text = said.get("text", "")
+        text = text if len(text.strip()) >= least else ""
+        if not segments:
+            return text
+        timed = [{k: p.get(k) for k in ("start", "end", "text")} for p in said.get("segments") or []]
+        return text, None, {"segments": timed} if text and timed else {}
 
     return patient(run, waits)
 
 
-def embedder(provider: str, url: str, model: str, key: str | None = None) -> Callable[[list[str]], list[list[float]]]:
-    """Vectors from a service by the form of its requests: openai (answers carry an index), ollama (one list) or gemini (one text each)."""
+def embedder(provider: str, url: str, model: str, key: str | None = None, waits: tuple[float, ...] = WAITS) -> Callable[[list[str]], list[list[float]]]:
+    """Vectors from a service by the form of its requests: openai (answers carry an index), ollama (one list) or gemini (one text each). A busy service is asked again."""
     headers = {"Authorization": f"Bearer {key}"} if key else {}
 
     def openai(texts: list[str]) -> list[list[float]]:
@@ -86,13 +91,14 @@ def embedder(provider: str, url: str, model: str, key: str | None = None) -> Cal
         return _post(url, json.dumps({"model": model, "input": texts}).encode(), headers=headers)["embeddings"]
 
     def gemini(texts: list[str]) -> list[list[float]]:
-        one = lambda t: _post(url, json.dumps({"model": model, "content": {"parts": [{"text": t}]}}).encode(), headers=headers)
+        # texts that were answered are not sent again when a later one finds the service busy
+        one = patient(lambda t: _post(url, json.dumps({"model": model, "content": {"parts": [{"text": t}]}}).encode(), headers=headers), waits)
         return [one(t)["embedding"]["values"] for t in texts]
 
     known = {"openai": openai, "ollama": ollama, "gemini": gemini}
     if provider not in known:
         raise ValueError(f"provider must be one of {sorted(known)}, not {provider!r}")
-    return known[provider]
+    return known[provider] if provider == "gemini" else patient(known[provider], waits)
 
 
 class Generator:
@@ -160,8 +166,12 @@ def sidecar(url: str, timeout: float = PLUGIN_SECONDS) -> Callable[[str, bytes],
     return run
 
 
-def reranker(url: str | None) -> Callable[[str, list[str]], list[float]]:
-    """Scores of texts for a query; zeros without a service. The service takes RERANK_TEXTS texts a call, and the first RERANK_CHARS characters of each."""
+def reranker(url: str | None, waits: tuple[float, ...] = WAITS) -> Callable[[str, list[str]], list[float]]:
+    """Scores of texts for a query; zeros without a service. The service takes RERANK_TEXTS texts a call, and the first RERANK_CHARS characters of each.
+
+    A busy service is asked again, for the block that it refused only.
+    """
+    send = patient(lambda body: _post(url, body, timeout=5), waits)
 
     def run(question: str, texts: list[str]) -> list[float]:
         if url is None or not texts:
@@ -169,7 +179,7 @@ def reranker(url: str | None) -> Callable[[str, list[str]], list[float]]:
         out = [0.0] * len(texts)
         for begin in range(0, len(texts), RERANK_TEXTS):
             sent = [t[:RERANK_CHARS] for t in texts[begin : begin + RERANK_TEXTS]]
-            for r in _post(url, json.dumps({"query": question, "texts": sent}).encode(), timeout=5)["results"]:
+            for r in send(json.dumps({"query": question, "texts": sent}).encode())["results"]:
                 out[begin + r["index"]] = float(r["score"])
         return out
 
@@ -202,11 +212,22 @@ def discover(folder: str) -> list[tuple[str, tuple[str, ...], Callable[[str, byt
     return found
 
 
-def media_extractors(document: Callable | None = None, speech: Callable | None = None, vision: Callable | None = None, ocr: Callable | None = None) -> list[tuple[str, tuple[str, ...], Callable]]:
-    """Extractors by kind of file, of those services that there are; images prefer vision to OCR."""
+def captioned(vision: Callable[[str, bytes], str], most: int | None = None) -> Callable[[str, bytes], tuple[str, None, dict]]:
+    """A caption from a vision model, with how it was made as metadata; images over ``most`` bytes are not sent and have an empty text."""
+
+    def run(path: str, data: bytes) -> tuple[str, None, dict]:
+        if most is not None and len(data) > most:
+            return "", None, {"skipped": "size"}
+        return vision(path, data), None, {"extraction_method": "vision"}
+
+    return run
+
+
+def media_extractors(document: Callable | None = None, speech: Callable | None = None, vision: Callable | None = None, ocr: Callable | None = None, vision_most: int | None = None) -> list[tuple[str, tuple[str, ...], Callable]]:
+    """Extractors by kind of file, of those services that there are; images prefer vision, up to ``vision_most`` bytes, to OCR."""
     out = [("speech", T.AUDIO + T.VIDEO, speech)] if speech else []
     if vision or ocr:
-        out.append(("image", T.IMAGES, vision or ocr))
+        out.append(("image", T.IMAGES, captioned(vision, vision_most) if vision else ocr))
     if document:
         out.append(("document", (".pdf", ".docx", ".doc", ".odt", ".rtf", ".pptx", ".xlsx", ".epub", ".html"), document))
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import tarfile
 import zipfile
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvergrain.sources import files
+from silvergrain.sources import services as X
 from silvergrain.streaming import events as E
 
 
@@ -137,10 +139,6 @@ def server():
 
 
 def test_services(server):
-    import json
-
-    from silvergrain.sources import services as X
-
     calls = []
 
     def busy_first(path, body):
@@ -160,8 +158,6 @@ def test_services(server):
 
 
 def test_plugins(spark, tmp_path):
-    from silvergrain.sources import services as X
-
     (tmp_path / "a.py").write_text("# name: upper\n# extensions: .up, .x\nimport sys, json, base64\nd = json.load(sys.stdin)\nprint(json.dumps({'text': base64.b64decode(d['content']).decode().upper()}))\n")
     (tmp_path / "b.py").write_text("# name: late\n# extensions: .slow\nimport time\ntime.sleep(30)\n")
     found = X.discover(str(tmp_path))
@@ -194,8 +190,6 @@ def test_sinks(spark, server, tmp_path):
 def test_language_models(server):
     import json
 
-    from silvergrain.sources import services as X
-
     asked = []
     answers = {"openai": {"choices": [{"message": {"content": "said"}}]}, "ollama": {"response": "said"}, "gemini": {"candidates": [{"content": {"parts": [{"text": "sa"}, {"text": "id"}]}}]}}
     for provider, answer in answers.items():
@@ -215,8 +209,6 @@ def test_language_models(server):
 def test_reranker_sends_long_lists_in_blocks(server):
     import json
 
-    from silvergrain.sources import services as X
-
     sizes = []
 
     def score(path, body):
@@ -230,11 +222,7 @@ def test_reranker_sends_long_lists_in_blocks(server):
 
 def test_plugin_behind_http_gives_relations(spark, server):
     import base64
-    import json
-
     from silvergrain.operators import index
-    from silvergrain.sources import services as X
-
     server.answer = lambda path, body: (200, {"text": base64.b64decode(json.loads(body)["content"]).decode() + " and more words", "relations": [{"type": "imports", "target": "x"}]})
     own = spark.createDataFrame([("f.up", bytearray(b"abc"))], "path string, content binary")
     row = files.extract(own, [("side", (".up",), X.sidecar(server.url))]).first()
@@ -298,3 +286,60 @@ def test_breaker_stream(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == ["failed"] * 4 + ["opened", "rejected", "opened", "closed", "failed"]
+
+
+def test_metadata_of_extractors(spark):
+    long = bytearray(b"x" * 2000)
+    own = spark.createDataFrame([("a.png", bytearray(b"small"), False), ("b.png", long, True), ("c.mp3", bytearray(b"y"), False), ("d.txt", bytearray(b"plain"), False), ("e.png", bytearray(b"bad"), False)], "path string, content binary, truncated boolean")
+
+    def vision(path, data):
+        if data == b"bad":
+            raise RuntimeError
+        return f"a picture of {len(data)} bytes"
+
+    speech = lambda path, data: ("said", None, {"segments": [{"start": 0.0, "end": 1.5, "text": "said"}]})
+    found = {r["path"]: r for r in files.extract(own, X.media_extractors(speech=speech, vision=vision, vision_most=1000)).collect()}
+    assert (found["a.png"]["text"], found["a.png"]["metadata"]) == ("a picture of 5 bytes", {"extraction_method": "vision"})
+    assert (found["b.png"]["text"], found["b.png"]["metadata"], found["b.png"]["truncated"]) == ("", {"skipped": "size"}, True)
+    assert json.loads(found["c.mp3"]["metadata"]["segments"])[0]["end"] == 1.5 and found["d.txt"]["metadata"] == {}
+    assert found["e.png"]["text"] is None and found["e.png"]["metadata"] == {}
+
+
+def test_busy_models_are_asked_again(server):
+    calls = []
+
+    def busy(path, body):
+        calls.append(json.loads(body))
+        if len(calls) % 2:
+            return 503, {}
+        sent = calls[-1]
+        if "texts" in sent:
+            return 200, {"results": [{"index": i, "score": len(t)} for i, t in enumerate(sent["texts"])]}
+        if "content" in sent:
+            return 200, {"embedding": {"values": [float(len(sent["content"]["parts"][0]["text"]))]}}
+        return 200, {"embeddings": [[1.0] for _ in sent["input"]]}
+
+    server.answer = busy
+    none = (0, 0, 0)
+    assert X.embedder("ollama", server.url, "m", waits=none)(["a", "b"]) == [[1.0], [1.0]] and len(calls) == 2
+    assert X.embedder("gemini", server.url, "m", waits=none)(["a", "bb"]) == [[1.0], [2.0]] and len(calls) == 6
+    assert X.reranker(server.url, none)("q", ["abc"]) == [3.0] and len(calls) == 8
+
+
+def test_segments_of_speech(server):
+    server.answer = lambda path, body: (200, {"text": "hello you", "segments": [{"id": 0, "start": 0, "end": 2, "text": "hello you", "tokens": [1]}]})
+    assert X.transcriber(server.url, segments=True)("a.mp3", b"x") == ("hello you", None, {"segments": [{"start": 0, "end": 2, "text": "hello you"}]})
+    assert X.transcriber(server.url, least=50, segments=True)("a.mp3", b"x") == ("", None, {})
+
+
+def test_batch_search_in_shares_equals_one(spark, sf_dir, monkeypatch):
+    from silvergrain.operators import search as S
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    whole = sorted(map(tuple, S.batch_search(spark, e, asked, 4).collect()))
+    monkeypatch.setattr(S, "SENT", 1)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 20)
+    found = S.batch_search(spark, e, asked, 4)
+    assert sorted(map(tuple, found.collect())) == whole
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # whatever the number of shares
