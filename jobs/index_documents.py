@@ -5,7 +5,8 @@
 Documents (doc_id, text, lang, source) are Parquet files that arrive in a folder. Each run takes the files that its checkpoint has not
 seen, cuts texts into chunks, reads relations off them and writes two tables below the output: ``chunks`` (by batch and namespace) and
 ``index`` (postings for text match by batch and bucket, and the files of each batch). A document that comes again, by its source and id,
-replaces its earlier version; one whose text has become null is taken out. ``current`` gives the chunks as they stand.
+replaces its earlier version; one whose text has become null is taken out. ``current`` gives the chunks as they stand. With the setting
+``embedder``, ``package.module:factory``, chunks get vectors from what the factory returns, a function from texts to vectors.
 
 A run that is repeated finds nothing new and changes nothing. A run that broke off repeats its last batch, which
 overwrites the partitions of that batch. Of versions of a document in one batch, the one whose text sorts last counts.
@@ -13,8 +14,10 @@ overwrites the partitions of that batch. Of versions of a document in one batch,
 
 from __future__ import annotations
 
+import importlib
 import logging
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 if __name__ == "__main__":
@@ -29,8 +32,8 @@ from silvergrain.functions import text as T
 from silvergrain.operators import delta, index, postings
 
 log = logging.getLogger("index_documents")
-SETTINGS = {"files_per_batch": 1000, "chunk_words": T.CHUNK_SIZE, "overlap_words": T.CHUNK_OVERLAP, "default_namespace": "default"}
-CHUNK = "namespace string, path string, chunk long, text string, relations string, tokens array<string>, batch long"
+SETTINGS = {"files_per_batch": 1000, "chunk_words": T.CHUNK_SIZE, "overlap_words": T.CHUNK_OVERLAP, "default_namespace": "default", "embedder": None}
+CHUNK = "namespace string, path string, chunk long, text string, relations string, tokens array<string>, vector array<float>, batch long"
 STATE = ("namespace", "path")
 
 
@@ -41,21 +44,31 @@ def texts_of(documents: DataFrame, default_namespace: str) -> DataFrame:
     return delta.latest(own, list(STATE), ["text"])
 
 
-def chunks_of(texts: DataFrame, chunk_words: int, overlap_words: int) -> DataFrame:
-    """(namespace, path, chunk, text, relations, tokens), relations on first chunks."""
+def embedder_of(name: str | None) -> Callable[[list[str]], list[list[float]]] | None:
+    """What ``package.module:factory`` makes."""
+    if not name:
+        return None
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)()
+
+
+def chunks_of(texts: DataFrame, chunk_words: int, overlap_words: int, embed: Callable | None = None) -> DataFrame:
+    """(namespace, path, chunk, text, relations, tokens and, with a model, vector), relations on first chunks."""
     own = texts.withColumn("relations", R.to_json(R.relations(F.col("path"), F.col("text"))))
     cut = index.chunks(own, chunk_words, overlap_words)
     first = F.when(F.col("chunk") == 0, F.col("relations")).otherwise("")
-    return cut.select("namespace", "path", F.col("chunk").cast("long").alias("chunk"), "text", first.alias("relations"), T.match_tokens(F.col("text")).alias("tokens"))
+    made = cut.select("namespace", "path", F.col("chunk").cast("long").alias("chunk"), "text", first.alias("relations"), T.match_tokens(F.col("text")).alias("tokens"))
+    return index.embedded(made, embed, "text") if embed else made
 
 
-def run(spark: SparkSession, documents: str, output: str, checkpoint: str, files_per_batch: int = 1000, chunk_words: int = T.CHUNK_SIZE, overlap_words: int = T.CHUNK_OVERLAP, default_namespace: str = "default") -> int:
+def run(spark: SparkSession, documents: str, output: str, checkpoint: str, files_per_batch: int = 1000, chunk_words: int = T.CHUNK_SIZE, overlap_words: int = T.CHUNK_OVERLAP, default_namespace: str = "default", embedder: str | None = None) -> int:
     """Take in the files that are new; how many batches that took. Returns when all are written."""
+    embed = embedder_of(embedder)
 
     def batch(part: DataFrame, number: int) -> None:
         own = part.sparkSession
         texts = texts_of(part, default_namespace)
-        made = chunks_of(texts.where("text IS NOT NULL"), chunk_words, overlap_words)
+        made = chunks_of(texts.where("text IS NOT NULL"), chunk_words, overlap_words, embed)
         made.withColumn("batch", F.lit(number).cast("long")).write.partitionBy("batch", "namespace").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(f"{output}/chunks")
         # what follows reads what was written, not the documents again
         stored = own.read.schema(CHUNK).parquet(f"{output}/chunks").where(F.col("batch") == number)

@@ -79,6 +79,19 @@ def test_a_batch_that_broke_off_is_repeated(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{out}/chunks").count() == 30  # nothing twice
 
 
+def test_chunks_get_vectors_from_a_model_that_is_named(spark, tmp_path):
+    docs, out, mark = (f"{tmp_path}/{n}" for n in ("docs", "out", "mark"))
+    add(spark, docs, [doc(1, "the words of one text"), doc(2, "and of another one")])
+    index_documents.run(spark, docs, out, mark, embedder="silvergrain.operators.index:hash_embedder")
+    from silvergrain.operators import index
+
+    want = index.hash_embedder()(["the words of one text"])[0]
+    found = {r["path"]: list(r["vector"]) for r in index_documents.current(spark, out).collect()}
+    assert len(found) == 2 and found["src/1.md"] == pytest.approx(want)
+    with pytest.raises(ModuleNotFoundError):
+        index_documents.run(spark, docs, out, mark, embedder="nowhere.at_all:x")
+
+
 def event(minute, kind, value, day=1):
     return (dt.datetime(2024, 1, day) + dt.timedelta(minutes=minute), kind, value)
 
