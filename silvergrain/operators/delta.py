@@ -75,6 +75,20 @@ def relation_coverage(points: DataFrame) -> DataFrame:
     return first.agg(F.round(ratio, 9).alias("coverage"), F.count(F.lit(1)).alias("n")).withColumn("migrate", F.col("coverage") < 0.2)
 
 
+def migrations(points: DataFrame, mode: str = "auto", sample: int | None = None) -> DataFrame:
+    """(namespace, coverage, n, migrate): whether relations are to be extracted anew. ``auto`` goes by coverage, ``skip`` never does, ``force`` always.
+
+    ``sample`` looks at so many first chunks of each namespace only, the first by path, where a quick answer is wanted.
+    """
+    if mode not in ("auto", "skip", "force"):
+        raise ValueError(f"mode must be auto, skip or force, not {mode!r}")
+    own = points.where("chunk = 0")
+    if sample is not None:
+        own = own.withColumn("_i", F.row_number().over(Window.partitionBy("namespace").orderBy("path"))).where(F.col("_i") <= sample)
+    found = relation_coverage(own)
+    return found if mode == "auto" else found.withColumn("migrate", F.lit(mode == "force"))
+
+
 def not_seen(rows: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
     """Rows whose key an earlier pass has not handled."""
     return rows.join(seen.select(key).distinct(), key, "left_anti")

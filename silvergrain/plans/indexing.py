@@ -113,6 +113,20 @@ def relation_coverage(spark, sf_dir):
     return delta.relation_coverage(p)
 
 
+@query("""WITH p AS (SELECT source AS namespace, 'f' || doc_id AS path, CAST(doc_id % 6 = 0 AND (source <> 'src1' OR doc_id % 2 = 0) AS INT) AS has FROM documents), s AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY path) AS i FROM p),
+c AS (SELECT 'auto' AS mode, namespace, round(avg(has), 9) AS coverage, count(*) AS n, round(avg(has), 9) < 0.2 AS migrate FROM p GROUP BY ALL UNION ALL SELECT 'sampled', namespace, round(avg(has), 9), count(*), round(avg(has), 9) < 0.2 FROM s WHERE i <= 50 GROUP BY ALL)
+SELECT * FROM c UNION ALL SELECT m, namespace, coverage, n, m = 'force' FROM c, (VALUES ('skip'), ('force')) t(m) WHERE mode = 'auto'""")
+def migration_modes(spark, sf_dir):
+    """Which namespaces extract their relations anew, by mode."""
+    i = F.col("doc_id")
+    has = (i % 6 == 0) & ((F.col("source") != "src1") | (i % 2 == 0))
+    p = table(spark, sf_dir, "documents").select(F.col("source").alias("namespace"), F.concat(F.lit("f"), i.cast("string")).alias("path"), F.lit(0).alias("chunk"), F.when(has, "[x]").otherwise("").alias("relations"))
+    out = delta.migrations(p, "auto", 50).withColumn("mode", F.lit("sampled"))
+    for mode in ("auto", "skip", "force"):
+        out = out.unionByName(delta.migrations(p, mode).withColumn("mode", F.lit(mode)))
+    return out
+
+
 @query("""WITH h AS (SELECT (SELECT min(ts) FROM events) + INTERVAL 1 HOUR AS t)
 SELECT user_id, event_id FROM events, h WHERE ts > t AND user_id NOT IN (SELECT user_id FROM events, h WHERE ts <= t)""")
 def seen_dedupe(spark, sf_dir):

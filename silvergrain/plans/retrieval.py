@@ -115,6 +115,13 @@ def hybrid_by_paths(spark, sf_dir):
     return S.hybrid_search(points(spark, sf_dir), asked(spark, sf_dir), WORDS, paths=long)
 
 
+@query(f"WITH {POINTS}, {DENSE}, {MATCH}, {HYBRID.format(where="WHERE namespace = 'de' AND path IN (SELECT 'src/' || source || '/' || doc_id || '.md' FROM documents WHERE n_chars > 500)")} SELECT * FROM f ORDER BY score DESC, namespace, path, chunk LIMIT 10".replace("['the', 'and', 'of']", "['der']"))
+def hybrid_by_namespace_and_paths(spark, sf_dir):
+    """One namespace, some paths and a text match at once."""
+    long = table(spark, sf_dir, "documents").where("n_chars > 500").select(F.col("lang").alias("namespace"), F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return S.hybrid_search(points(spark, sf_dir), asked(spark, sf_dir), "der", namespace="de", paths=long)
+
+
 # the full-text index: all points, then a batch in which every 7th document comes again with another text and every 11th is gone
 def posted(spark, sf_dir: str) -> tuple[str, str]:
     """Where the index of the points lies, and that of the points after the second batch."""

@@ -226,6 +226,15 @@ def counter_ratio_alert(spark, sf_dir):
     return both.where("r > 1").select("window_start", F.round("r", 6).alias("value"))
 
 
+@query(f"WITH {COUNTER}, {RISES.format(by='event_type')}, r AS (SELECT window_start, event_type, round(value / 21600, 9) AS value FROM i), t AS (SELECT window_start, sum(value) AS total FROM r WHERE value IS NOT NULL GROUP BY ALL) SELECT window_start, r.value AS rate, round(r.value / total, 6) AS share FROM r JOIN t USING (window_start) WHERE event_type = 'error' AND r.value > 0 AND round(r.value / total, 6) > 0.2")
+def timeout_spikes(spark, sf_dir):
+    """Windows in which the counter of timeouts rises at all and makes up more than a fifth of all calls' rate."""
+    rates = metrics.counter_rate(counters(spark, sf_dir), ["event_type"], "6 hours").where("value IS NOT NULL")
+    total = rates.groupBy("window_start").agg(F.sum("value").alias("total"))
+    spikes = rates.where("event_type = 'error' AND value > 0").join(total, "window_start")
+    return spikes.select("window_start", F.col("value").alias("rate"), F.round(F.try_divide("value", "total"), 6).alias("share")).where("share > 0.2")
+
+
 BOUNDS = (25.0, 50.0, 100.0, 200.0)
 
 
