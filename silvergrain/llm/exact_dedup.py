@@ -1,18 +1,18 @@
 """Exact dedup through an extendible-hash index on shared files, in DataFrame operations only.
 
-Build: equal normalised texts meet in one ``groupBy(hash, text)``. Spark combines copies before the shuffle, so
-a text that a third of all rows share costs one row per map task, and its hash aggregate compares the bytes of
-the text, not only the hash: two texts with one hash become two entries. The entries (hash, keep_id, size, digest) go to
-shared files; entries of one hash are a chain, and only those keep their texts.
+Keys: every row's hash of its normalised text, 64 bits, beside its id on shared files. Counts by hash tell the hot ones.
 
-Directory: doubling from depth 0, a bucket (the leading bits of the hash) with more than ``capacity`` entries
-splits until it fits. Only the counts by leading bits take part; their number follows the entries, so all tasks get the
-directory while it has at most ``SENT`` rows, and it is joined beyond. Owner tasks then write the index, each the buckets of a range
-of keys.
+Directory: doubling from depth 0, a bucket (the leading bits of the hash) with more than ``capacity`` hashes
+splits until it fits. Only the counts by leading bits take part; their number follows the hashes, so all tasks get the
+directory while it has at most ``SENT`` rows, and it is joined beyond.
+
+Owners: each row goes through the directory to its bucket, and the buckets of a range of keys to one owner task, which
+sorts them by hash and text. Texts are compared byte by byte there: equal ones are a group, different ones of one hash a chain. The
+owner decides who stays, and writes the bucket's entries (hash, keep_id, size, digest); only chains keep their texts. Copies of a hash with more than a share
+of 1 / ``HOT`` of all rows, of which there can't be more than HOT, are combined before they are sent, so no owner gets them row by row.
 
 Probe: a row's hash leads through the directory to its bucket, where it meets the bucket's entries; in a chain, the bytes of the
-text decide. Entries of more than a share of 1 / ``HOT`` of all rows, of which there can't be more than HOT, go to all tasks, and
-their rows are dealt evenly.
+text decide. Entries of hot groups go to all tasks, and their rows are dealt evenly.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Entries a bucket holds before it splits; how far the directory may go beyond an even split.
+#: Hashes a bucket holds before it splits; how far the directory may go beyond an even split.
 CAPACITY, SPARE_DEPTH = 8192, 3
 #: Rows of the directory up to which it is sent to all tasks (16 bytes each); largest number of groups that count as hot, and in how many parts their rows are dealt.
 SENT, HOT, PARTS = 1 << 18, 1000, 4096
@@ -37,15 +37,6 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(column, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
-    """One row per distinct normalised text: _hash, _norm, keep_id, group_size."""
-    return (
-        docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm"))
-        .groupBy(hash_of(F.col("_norm")).alias("_hash"), "_norm")
-        .agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-
-
 def directory(index: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     """The directory: leaf (leading max_depth bits of a hash), depth (of its bucket), start (the bucket's first leaf), n_entries.
 
@@ -66,25 +57,35 @@ def _placed(rows: DataFrame, found: DataFrame, depth: int, small: bool) -> DataF
     return rows.join(F.broadcast(leaves) if small else leaves, F.shiftrightunsigned("_hash", 64 - depth) == F.col("leaf"), "left").drop("leaf")
 
 
-def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """The index on shared files, and what adds the bucket to rows that have a _hash.
+def keys(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
+    """_id and _hash of each row, on shared files."""
+    return shared.table(spark, docs.select(F.col(id_col).alias("_id"), hash_of(normalised(text_col)).alias("_hash")), "hash-keys")
+
+
+def build_index(spark: SparkSession, docs: DataFrame, keyed: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The index on shared files, and what adds the bucket to rows that have a _hash. ``keyed``: the keys of docs.
 
     An entry: _hash, keep_id, group_size, text_sha256, chained (its text where others have its hash, else null), start (of its
-    bucket). Each bucket lies in one file, in order of its hashes; an owner task writes the buckets of a range of keys.
+    bucket). Each bucket lies in one file, in order of its hashes; an owner task decides and writes the buckets of a range of keys.
     """
-    rows = shared.table(spark, entries(docs, id_col, text_col, hash_of).select("_hash", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256")), "hash-entries")
-    many = shared.table(spark, rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"), "hash-chains")
-    depth = min(60, max(1, math.ceil(math.log2(max(rows.count(), 1) / capacity + 1)) + SPARE_DEPTH))
-    found = shared.table(spark, directory(rows, capacity, depth), "hash-directory")
+    counts = shared.table(spark, keyed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")), "hash-counts")
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("hashes")).first()
+    depth = min(60, max(1, math.ceil(math.log2(max(seen["hashes"], 1) / capacity + 1)) + SPARE_DEPTH))
+    found = shared.table(spark, directory(counts, capacity, depth), "hash-directory")
     small = found.count() <= SENT
-    if many.isEmpty():
-        rows = rows.withColumn("chained", F.lit(None).cast("string"))
-    else:  # only hashes that texts share are looked up again for these texts
-        texts = docs.select(normalised(text_col).alias("chained")).withColumn("_hash", hash_of(F.col("chained"))).join(many, "_hash", "left_semi").distinct()
-        rows = rows.join(texts.withColumn("text_sha256", F.sha2("chained", 256)), ["_hash", "text_sha256"], "left")
-    placed = _placed(rows, found, depth, small)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = shared.table(spark, placed.repartitionByRange(ranges, "start").sortWithinPartitions("start", "_hash", "keep_id"), "hash-index")
+    hot = counts.where(F.col("n") * HOT > seen["rows"]).select("_hash")  # fewer than HOT rows
+    norm = normalised(text_col)
+    rows = docs.select(F.col(id_col).alias("keep_id"), norm.alias("_norm"), hash_of(norm).alias("_hash"))
+    few = rows.join(F.broadcast(hot), "_hash", "left_semi").groupBy("_hash", "_norm").agg(F.min("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    each = rows.join(F.broadcast(hot), "_hash", "left_anti").withColumn("group_size", F.lit(1).cast("long"))
+    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket's first leaf, as a share of all leaves, tells its owner: ranges of keys, one a task
+    owner = F.least(F.floor(F.col("start").cast("double") * owners / float(1 << depth)), F.lit(owners - 1)).cast("int")
+    sent = _placed(each.unionByName(few), found, depth, small).withColumn("_owner", owner).repartitionById(owners, "_owner")
+    groups = sent.groupBy("_owner", "start", "_hash", "_norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chain = F.count(F.lit(1)).over(Window.partitionBy("_owner", "start", "_hash"))
+    entries = groups.select("_owner", "start", "_hash", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256"), F.when(chain > 1, F.col("_norm")).alias("chained"))
+    index = shared.table(spark, entries.sortWithinPartitions("start", "_hash", "keep_id").drop("_owner"), "hash-index")
     return index, lambda probes: _placed(probes, found, depth, small)
 
 
@@ -96,13 +97,15 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     (``kept_rows`` leaves one of them). Other columns of docs are not looked at, whatever their names.
     """
     shared.fresh(docs, id_col, text_col)
-    index, placed = build_index(spark, docs, id_col, text_col, hash_of)
-    total = index.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    keyed = keys(spark, docs, id_col, text_col, hash_of)
+    index, placed = build_index(spark, docs, keyed, id_col, text_col, hash_of)
+    total = keyed.count()
     chains = not index.where("chained IS NOT NULL").isEmpty()
     entry = F.struct("keep_id", "group_size", "text_sha256").alias("_entry")
     hot = index.where((F.col("group_size") * HOT > total) & F.col("chained").isNull()).select("_hash", entry.alias("_hot"))  # fewer than HOT rows
     norm = normalised(text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm")).select("_id", *["_norm"] * chains, hash_of(F.col("_norm")).alias("_hash"))
+    # texts are read again only where a chain must be told apart
+    rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"), hash_of(norm).alias("_hash")) if chains else keyed
     # a row of a hot group has its entry by now; its part differs from that of all entries, so the join deals it anywhere
     part = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_id"), F.lit(PARTS)) + 1).otherwise(0).cast("int")
     probes = placed(rows.join(F.broadcast(hot), "_hash", "left")).withColumn("_part", part)

@@ -188,6 +188,14 @@ def test_exact_dedup(spark, monkeypatch, hash_of, sent):
     assert sorted((r["doc_id"], r["text"]) for r in rows.collect()) == [(0, "a"), (2, "b")]
 
 
+def test_hot_groups_are_combined_before_they_reach_their_owner(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 5)
+    for hash_of in (F.xxhash64, lambda c: F.length(c).cast("long")):
+        texts = ["again and"] * 40 + ["\tagain  and"] * 20 + ["other and"] * 30 + [f"text {i}" for i in range(30)]
+        found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.classes(spark, docs(spark, texts), hash_of=hash_of).collect()}
+        assert len(found) == 120 and found[5] == (0, 40) and found[41] == (40, 20) and found[70] == (60, 30) and found[119] == (119, 1)
+
+
 def test_directory_doubles(spark):
     index = spark.range(5000).select(F.xxhash64("id").alias("_hash"))
     rows = exact_dedup.directory(index, capacity=300, max_depth=8).collect()
@@ -200,7 +208,7 @@ def test_directory_doubles(spark):
 
 def test_index_keeps_buckets_whole(spark):
     own = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    index, placed = exact_dedup.build_index(spark, own, capacity=100)
+    index, placed = exact_dedup.build_index(spark, own, exact_dedup.keys(spark, own), capacity=100)
     files = index.select("start", F.input_file_name().alias("f")).distinct().groupBy("start").count()
     assert index.count() == 3000 and files.count() > 16 and files.where("count > 1").isEmpty()
     assert index.groupBy("start").count().agg(F.max("count")).first()[0] <= 100
