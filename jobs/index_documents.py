@@ -87,7 +87,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, files
 
 def current(spark: SparkSession, output: str) -> DataFrame:
     """The chunks of all documents as they stand (``CHUNK``)."""
-    return spark.read.schema(CHUNK).parquet(f"{output}/chunks").join(postings.live_files(spark, f"{output}/index"), ["namespace", "path", "batch"], "left_semi")
+    return postings.current(spark, f"{output}/index", spark.read.schema(CHUNK).parquet(f"{output}/chunks"))
 
 
 if __name__ == "__main__":

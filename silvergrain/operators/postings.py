@@ -54,11 +54,23 @@ def add(points: DataFrame, root: str, batch: int, files: DataFrame | None = None
     _put(listed.withColumn("batch", F.lit(batch).cast("long")), f"{root}/files", "batch")
 
 
-def live_files(spark: SparkSession, root: str) -> DataFrame:
-    """(namespace, path, batch) of each file that is there, with the batch that holds it."""
-    listed = spark.read.schema(FILES).parquet(f"{root}/files")
-    last = listed.groupBy("namespace", "path").agg(F.max(F.struct("batch", "gone")).alias("last"))
-    return last.where("NOT last.gone").select("namespace", "path", "last.batch")
+def batches(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the batches, from the names of their folders."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(int(f.getPath().getName()[6:]) for f in found if f.getPath().getName().startswith("batch="))
+
+
+def current(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Those of rows (namespace, path, batch, ...) whose file no later batch lists.
+
+    Files of the first batch, which is the bulk of an index, are not looked at, as nothing is older than they are.
+    """
+    known = batches(spark, root)
+    if len(known) < 2:
+        return rows
+    later = spark.read.schema(FILES).parquet(f"{root}/files").where(F.col("batch") > known[0]).select(F.col("namespace").alias("_n"), F.col("path").alias("_p"), F.col("batch").alias("_b"))
+    return rows.join(later, (F.col("namespace") == F.col("_n")) & (F.col("path") == F.col("_p")) & (F.col("batch") < F.col("_b")), "left_anti")
 
 
 def _blocks_of(spark: SparkSession, root: str, tokens: list[str]) -> DataFrame:
@@ -85,7 +97,7 @@ def matches(spark: SparkSession, root: str, words: str, namespace: str | None =
     cut = F.aggregate(F.slice("b", 2, len(tokens)), F.get("b", F.lit(0))["keys"], lambda a, x: F.array_intersect(a, x["keys"]))
     # ranges of paths that do not overlap have no key in common
     found = met.where((F.size("b") == len(tokens)) & (F.col("lo") <= F.col("hi"))).select("batch", "namespace", F.explode(cut).alias("k")).select("batch", "namespace", "k.path", "k.chunk")
-    return found.join(live_files(spark, root), ["namespace", "path", "batch"], "left_semi").select(*S.KEY)
+    return current(spark, root, found).select(*S.KEY)
 
 
 def keyword_search(spark: SparkSession, root: str, words: str, k: int = 10, namespace: str | None = None, rrf_k: int = S.RRF_K) -> DataFrame:
