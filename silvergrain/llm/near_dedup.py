@@ -228,6 +228,7 @@ def signed(spark: SparkSession, rows: DataFrame, weights: Weights) -> DataFrame:
     sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared.sole()
         sampler, own = Sampler(BANDS * ROWS), sent.value
         salts = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[3])
         for batch in batches:

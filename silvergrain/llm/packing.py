@@ -134,6 +134,7 @@ def encoded(df: DataFrame, path: str | None = None, end_id: int = END_ID, id_col
     """Per row: doc_id, ids (binary, little-endian, two bytes an id if all fit), doc_tokens; the end id is the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared.sole(encoder)
         own = encoder(path or public_tokenizers.path("word_bpe_49k.json"))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -97,6 +98,19 @@ class Kept(dict):
         return {k for k in keys if k not in self and k not in self.older}
 
 
+#: The caches of the operator that this worker served last.
+_OWN: list = []
+
+
+def sole(*caches) -> None:
+    """Keep these caches (of functools) and empty those of the operator served before: a worker lives on from stage to stage, and so would what it holds."""
+    for other in _OWN:
+        if other not in caches:
+            other.cache_clear()
+    _OWN[:] = caches
+    pa.default_memory_pool().release_unused()  # what batches of the task before took
+
+
 def exact(rows: DataFrame, run: Callable, schema: str, *ids: str) -> DataFrame:
     """``rows.mapInPandas(run, schema)`` with integers in the columns ``ids`` kept as they are.
 

@@ -276,6 +276,7 @@ def kept_rows(spark: SparkSession, docs: DataFrame, model: Model, text_col: str
 
     @F.pandas_udf(DoubleType())
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shared.sole()
         own = held.value
         for texts in parts:
             yield pd.Series([own.score(*own.evidence(t)[:2]) for t in texts], dtype=float)
