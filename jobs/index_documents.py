@@ -37,11 +37,15 @@ CHUNK = "namespace string, path string, chunk long, text string, relations strin
 STATE = ("namespace", "path")
 
 
-def texts_of(documents: DataFrame, default_namespace: str) -> DataFrame:
-    """(namespace, path, text): the language is the namespace, source and id make the path; the last text of each."""
+def named(documents: DataFrame, default_namespace: str) -> DataFrame:
+    """(namespace, path, text): the language is the namespace, source and id make the path."""
     path = F.concat(F.coalesce("source", F.lit("unknown")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".md"))
-    own = documents.select(F.coalesce("lang", F.lit(default_namespace)).alias("namespace"), path.alias("path"), "text")
-    return delta.latest(own, list(STATE), ["text"])
+    return documents.select(F.coalesce("lang", F.lit(default_namespace)).alias("namespace"), path.alias("path"), "text")
+
+
+def texts_of(documents: DataFrame, default_namespace: str) -> DataFrame:
+    """(namespace, path, text), the last text of each."""
+    return delta.latest(named(documents, default_namespace), list(STATE), ["text"])
 
 
 def embedder_of(name: str | None) -> Callable[[list[str]], list[list[float]]] | None:
@@ -72,7 +76,9 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, files
         made.withColumn("batch", F.lit(number).cast("long")).write.partitionBy("batch", "namespace").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(f"{output}/chunks")
         # what follows reads what was written, not the documents again
         stored = own.read.schema(CHUNK).parquet(f"{output}/chunks").where(F.col("batch") == number)
-        postings.add(stored, f"{output}/index", number, files=texts.where("text IS NOT NULL"), gone=texts.where("text IS NULL"))
+        # a file with any text is there, since a null never counts as the last one: so files need no texts to be compared
+        listed = named(part, default_namespace)
+        postings.add(stored, f"{output}/index", number, files=listed.where("text IS NOT NULL"), gone=listed.where("text IS NULL"))
         counts = stored.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct(*STATE).alias("files")).first()
         log.info("batch %d: read %d documents of %s, wrote %d chunks of %d files to %s", number, part.count(), documents, counts["chunks"], counts["files"], output)
 

@@ -1,6 +1,7 @@
 """Full-text index: for each token, blocks of the points that hold it.
 
-A block is one row: token, namespace, slice (a hash range of paths), the least and greatest path in it, how many keys, and the keys. All chunks of a file lie in
+A block is one row: token, namespace, slice (a hash range of paths), the least and greatest key in it, how many keys, and the keys. A key is the place of a
+point in its slice, by namespace, path and chunk; which points these are is listed once, by batch, beside the blocks. All chunks of a file lie in
 one slice, so a text match is decided slice by slice and a token that every point holds is spread over all slices. Blocks lie in
 Parquet folders by batch and bucket, a hash range of tokens: a search opens the buckets of its own tokens and no other.
 
@@ -13,14 +14,18 @@ from __future__ import annotations
 import math
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import read_or_empty
 from . import search as S
 
 #: Folders of tokens; points of a batch for each slice, which bounds the keys of a block but for files of more chunks.
 BUCKETS, SLICE = 64, 4096
-BLOCK = "token string, namespace string, slice long, lo string, hi string, n long, keys array<struct<path:string,chunk:long>>, batch long, bucket int"
+#: Slices whose points one task lists.
+LISTED = 32
+BLOCK = "token string, namespace string, slice long, lo int, hi int, n long, keys array<int>, batch long, bucket int"
+PLACES = "namespace string, path string, chunk long, slice long, place int, batch long"
 FILES = "namespace string, path string, gone boolean, batch long"
 
 
@@ -28,12 +33,31 @@ def bucket_of(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
+def placed(points: DataFrame, slices: int, tasks: int, *rest: Column) -> DataFrame:
+    """(namespace, path, chunk, ..., slice, place): a slice is in one task, which numbers its points. Points alone decide the numbers, whatever goes with them."""
+    part = F.pmod(F.xxhash64("namespace", "path"), F.lit(slices)).alias("slice")
+    dealt = points.select("namespace", "path", F.col("chunk").cast("long").alias("chunk"), *rest, part).repartition(tasks, "slice")
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("slice").orderBy("namespace", "path", "chunk")))
+
+
+def _told(blocks: DataFrame) -> DataFrame:
+    """Blocks with what follows from their token and keys; it is added after a shuffle, not carried through it."""
+    return blocks.withColumns({"lo": F.get("keys", F.lit(0)), "hi": F.element_at("keys", -1), "n": F.size("keys").cast("long"), "bucket": bucket_of(F.col("token"))})
+
+
+def _grouped(points: DataFrame, slices: int) -> DataFrame:
+    """(token, namespace, slice, keys) of points.
+
+    Points are shuffled by slice, their tokens as one text, and each slice's tokens are grouped where they are.
+    """
+    own = placed(points, slices, slices, F.to_json(F.array_distinct("tokens")).alias("tokens"))
+    each = own.select("namespace", "slice", "place", F.explode(F.from_json("tokens", "array<string>")).alias("token"))
+    return each.groupBy("token", "namespace", "slice").agg(F.sort_array(F.collect_list("place")).alias("keys"))
+
+
 def blocks(points: DataFrame, slices: int) -> DataFrame:
     """Points (namespace, path, chunk, tokens) to blocks, without a batch. Points without a token have none."""
-    part = F.pmod(F.xxhash64("namespace", "path"), F.lit(slices)).alias("slice")
-    each = points.select("namespace", "path", F.col("chunk").cast("long").alias("chunk"), part, F.explode(F.array_distinct("tokens")).alias("token"))
-    found = each.groupBy("token", "namespace", "slice").agg(F.sort_array(F.collect_list(F.struct("path", "chunk"))).alias("keys"))
-    return found.select("token", "namespace", "slice", F.get("keys", F.lit(0))["path"].alias("lo"), F.element_at("keys", -1)["path"].alias("hi"), F.size("keys").cast("long").alias("n"), "keys", bucket_of(F.col("token")).alias("bucket"))
+    return _told(_grouped(points, slices))
 
 
 def _put(df: DataFrame, path: str, *by: str) -> None:
@@ -44,9 +68,11 @@ def add(points: DataFrame, root: str, batch: int, files: DataFrame | None = None
     """Index a batch of points. ``files`` (namespace, path) names all its files, those without a point too (by default those of the points), ``gone`` those that are no more."""
     spark = points.sparkSession
     slices = max(1, math.ceil(points.count() / SLICE))
-    made = blocks(points, slices).withColumn("batch", F.lit(batch).cast("long"))
+    listing = placed(points.select("namespace", "path", "chunk"), slices, math.ceil(slices / LISTED)).withColumn("batch", F.lit(batch).cast("long"))
+    _put(listing, f"{root}/places", "batch")
     # the blocks of a bucket lie in one file, by token, so that its statistics tell where a token can be
-    _put(made.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "token", "namespace", "slice"), f"{root}/blocks", "batch", "bucket")
+    made = _told(_grouped(points, slices).repartition(BUCKETS, bucket_of(F.col("token")))).sortWithinPartitions("bucket", "token", "namespace", "slice")
+    _put(made.withColumn("batch", F.lit(batch).cast("long")), f"{root}/blocks", "batch", "bucket")
     own = (points if files is None else files).select("namespace", "path", F.lit(False).alias("gone"))
     lost = spark.createDataFrame([], "namespace string, path string, gone boolean") if gone is None else gone.select("namespace", "path", F.lit(True).alias("gone"))
     # a file that is listed both ways is there
@@ -54,6 +80,14 @@ def add(points: DataFrame, root: str, batch: int, files: DataFrame | None = None
     _put(listed.withColumn("batch", F.lit(batch).cast("long")), f"{root}/files", "batch")
 
 
+def posted(spark: SparkSession, root: str) -> DataFrame:
+    """(batch, namespace, path, chunk, tokens): the index turned round, each point that has tokens with those under which it is held, sorted."""
+    held, places = spark.read.schema(BLOCK).parquet(f"{root}/blocks"), spark.read.schema(PLACES).parquet(f"{root}/places")
+    dealt = held.select("batch", "slice", "token", "keys").repartition(max(1, math.ceil(places.count() / SLICE)), "batch", "slice")
+    each = dealt.select("batch", "slice", "token", F.explode("keys").alias("place")).groupBy("batch", "slice", "place").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return places.join(each, ["batch", "slice", "place"]).select("batch", "namespace", "path", "chunk", "tokens")
+
+
 def batches(spark: SparkSession, root: str) -> list[int]:
     """The numbers of the batches, from the names of their folders."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files")
@@ -95,8 +129,9 @@ def matches(spark: SparkSession, root: str, words: str, namespace: str | None =
     own = S.in_namespace(_blocks_of(spark, root, tokens), namespace)
     met = own.groupBy("batch", "namespace", "slice").agg(F.sort_array(F.collect_list(F.struct("n", "keys"))).alias("b"), F.max("lo").alias("lo"), F.min("hi").alias("hi"))
     cut = F.aggregate(F.slice("b", 2, len(tokens)), F.get("b", F.lit(0))["keys"], lambda a, x: F.array_intersect(a, x["keys"]))
-    # ranges of paths that do not overlap have no key in common
-    found = met.where((F.size("b") == len(tokens)) & (F.col("lo") <= F.col("hi"))).select("batch", "namespace", F.explode(cut).alias("k")).select("batch", "namespace", "k.path", "k.chunk")
+    # ranges of keys that do not overlap have none in common
+    found = met.where((F.size("b") == len(tokens)) & (F.col("lo") <= F.col("hi"))).select("batch", "slice", F.explode(cut).alias("place"))
+    found = read_or_empty(spark, f"{root}/places", PLACES).join(found, ["batch", "slice", "place"]).select("batch", *S.KEY)
     return current(spark, root, found).select(*S.KEY)
 
 

@@ -25,9 +25,9 @@ def job1_index_documents(spark, sf_dir):
     for _ in range(2):  # the second run finds nothing new
         index_documents.run(spark, f"{sf_dir}/documents.parquet", f"{root}/out", f"{root}/progress")
     held = index_documents.current(spark, f"{root}/out").select("namespace", "path", "chunk", F.md5("text").alias("digest"), F.size("tokens").cast("long").alias("n_tokens"), "batch")
-    blocks = spark.read.schema(postings.BLOCK).parquet(f"{root}/out/index/blocks")
-    each = blocks.select("batch", "namespace", "token", F.explode("keys").alias("k")).groupBy("batch", "namespace", "k.path", "k.chunk")
-    posted = each.agg(F.count(F.lit(1)).alias("n_posted"), F.md5(F.array_join(F.sort_array(F.collect_list("token")), " ")).alias("posted"))  # a chunk's tokens, 512 words at most
+    turned = postings.posted(spark, f"{root}/out/index")
+    # a chunk's tokens, 512 words at most
+    posted = turned.select("batch", "namespace", "path", "chunk", F.size("tokens").cast("long").alias("n_posted"), F.md5(F.array_join("tokens", " ")).alias("posted"))
     return held.join(posted, ["batch", "namespace", "path", "chunk"], "left").drop("batch").withColumn("n_posted", F.coalesce("n_posted", F.lit(0).cast("long"))).withColumn("posted", F.coalesce("posted", F.md5(F.lit(""))))
 
 
