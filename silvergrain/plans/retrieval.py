@@ -123,19 +123,18 @@ def hybrid_by_namespace_and_paths(spark, sf_dir):
 
 
 # the full-text index: all points, then a batch in which every 7th document comes again with another text and every 11th is gone
-def posted(spark, sf_dir: str) -> tuple[str, str]:
-    """Where the index of the points lies, and that of the points after the second batch."""
+def posted(spark, sf_dir: str, both: bool = False) -> str:
+    """Where the index of the points lies, or (``both``) that of the points after the second batch; each is made when it is first asked for."""
 
     def write(path: str) -> None:
         own = points(spark, sf_dir)
-        again = own.where((F.col("vec_id") % 7 == 0) & (F.col("vec_id") % 11 != 0))
-        half = F.concat(F.lit("Zebra-"), F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
-        for name in ("first", "both"):
-            postings.add(own, f"{path}/{name}", 0)
-        postings.add(again.withColumn("tokens", T.match_tokens(half)), f"{path}/both", 1, files=again, gone=own.where(F.col("vec_id") % 11 == 0))
+        postings.add(own, path, 0)
+        if both:
+            again = own.where((F.col("vec_id") % 7 == 0) & (F.col("vec_id") % 11 != 0))
+            half = F.concat(F.lit("Zebra-"), F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+            postings.add(again.withColumn("tokens", T.match_tokens(half)), path, 1, files=again, gone=own.where(F.col("vec_id") % 11 == 0))
 
-    path, _ = stored(spark, sf_dir, "postings", ("embeddings", "documents"), write)
-    return f"{path}/first", f"{path}/both"
+    return stored(spark, sf_dir, "postings-both" if both else "postings", ("embeddings", "documents"), write)[0]
 
 
 LATER = r"""later AS (SELECT *, regexp_split_to_array(lower(CASE WHEN vec_id % 7 = 0 THEN 'Zebra-' || left(text, length(text) // 2) ELSE text END), '[^\p{L}\p{N}]+') AS tokens FROM points WHERE vec_id % 11 <> 0)"""
@@ -145,13 +144,13 @@ LOOKED_UP = ("the and of", "zebra", "Zebra, the", "der die und", "nowhere the")
 
 @query(f"WITH {POINTS}, {MATCH}, r AS (SELECT *, row_number() OVER (ORDER BY namespace, path, chunk) AS rank FROM hits) SELECT namespace, path, chunk, round(1.0::DOUBLE / (60 + rank), 12) AS score FROM r ORDER BY score DESC, namespace, path, chunk LIMIT 10")
 def indexed_keyword_search(spark, sf_dir):
-    return postings.keyword_search(spark, posted(spark, sf_dir)[0], WORDS)
+    return postings.keyword_search(spark, posted(spark, sf_dir), WORDS)
 
 
 @query(f"WITH {POINTS}, {LATER}, q(words, wanted) AS (VALUES ('the and of', ['the', 'and', 'of']), ('zebra', ['zebra']), ('Zebra, the', ['zebra', 'the']), ('der die und', ['der', 'die', 'und']), ('nowhere the', ['nowhere', 'the'])) SELECT words, namespace, path, chunk FROM later, q WHERE list_has_all(tokens, wanted)")
 def indexed_matches(spark, sf_dir):
     """All matches of a few queries after a second batch that changed and removed files."""
-    root, out = posted(spark, sf_dir)[1], None
+    root, out = posted(spark, sf_dir, both=True), None
     for words in LOOKED_UP:
         found = postings.matches(spark, root, words).select(F.lit(words).alias("words"), *S.KEY)
         out = found if out is None else out.unionByName(found)
@@ -160,7 +159,7 @@ def indexed_matches(spark, sf_dir):
 
 @query(f"WITH {POINTS}, {DENSE}, {MATCH}, {HYBRID.format(where='')} SELECT * FROM f ORDER BY score DESC, namespace, path, chunk LIMIT 10")
 def indexed_hybrid_search(spark, sf_dir):
-    return postings.hybrid_search(spark, points(spark, sf_dir), posted(spark, sf_dir)[0], asked(spark, sf_dir), WORDS)
+    return postings.hybrid_search(spark, points(spark, sf_dir), posted(spark, sf_dir), asked(spark, sf_dir), WORDS)
 
 
 FAN = """d AS (SELECT namespace, path, chunk, score, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, path, chunk) AS rank FROM scored),
