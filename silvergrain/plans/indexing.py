@@ -8,7 +8,6 @@ import tarfile
 import uuid
 import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,10 +212,8 @@ def archive_paths(spark, sf_dir):
 def archive_entries(spark, sf_dir):
     """Archives opened, their entries read as plain text; the entry whose name leads out is left out."""
 
-    @F.pandas_udf("binary")
-    def packed(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([archived(i % 4, t.encode()) for i, t in zip(ids, texts)])
-
+    # rows come in hundreds to a plain function: a batch of whole texts and their archives would be held several times over
+    packed = F.udf(lambda i, t: archived(i % 4, t.encode()), "binary", useArrow=False)
     ext = F.get(F.array(*map(F.lit, (".zip", ".tar", ".tar.gz", ".txt.gz"))), (F.col("doc_id") % 4).cast("int"))
     path = F.concat(F.lit("/data/f"), F.col("doc_id").cast("string"), ext)
     found = files.expand_archives(table(spark, sf_dir, "documents").select(path.alias("path"), packed("doc_id", "text").alias("content")))

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from email import policy
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from ..functions import text as T
 
 #: Bytes kept of a file and of an archive's entry; the largest archive that is opened, and what it may unpack to.
 MOST, MOST_ENTRY, MOST_ARCHIVE, MOST_UNPACKED = 50 << 20, 10 << 20, 512 << 20, 2 << 30
+#: Bytes of an Arrow batch that a Python worker opens at a time; the batch itself is up to 64 MiB (spark.sql.execution.arrow.maxBytesPerBatch).
+PIECE = 4 << 20
 #: Backends by type of node and the scheme that reaches them.
 SCHEMES = {"local": "file", "s3": "s3a", "sftp": "sftp", "smb": "file", "nfs": "file"}
 ARCHIVES = (".zip", ".tar", ".gz", ".tgz")
@@ -123,6 +126,16 @@ def _entries(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
                 yield info.name, t.extractfile(info).read(MOST_ENTRY + 1)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of Arrow batches in frames of about PIECE bytes, one row at least: what a worker holds beside a batch does not grow with it."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step).to_pandas()
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def expand_archives(files: DataFrame) -> DataFrame:
     """files (path, content, truncated), archives replaced by their entries as archive/entry; unsafe names are left out.
 
@@ -130,8 +143,10 @@ def expand_archives(files: DataFrame) -> DataFrame:
     and too large archives pass as they are.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("truncated", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             for path, data, cut in zip(batch["path"], batch["content"], batch["truncated"]):
                 rows = [(path, data, bool(cut))]
                 if path.lower().endswith(ARCHIVES) and data is not None and len(data) <= MOST_ARCHIVE:
@@ -139,10 +154,10 @@ def expand_archives(files: DataFrame) -> DataFrame:
                         rows = [(f"{path}/{clean}", body[:MOST_ENTRY], len(body) > MOST_ENTRY) for name, body in _entries(path, bytes(data)) if (clean := T.clean_archive_path(name))]
                     except (OSError, ValueError, EOFError, zipfile.BadZipFile, tarfile.TarError):
                         pass
-                yield pd.DataFrame(rows, columns=["path", "content", "truncated"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, schema.types)], schema=schema)
 
     cut = F.coalesce("truncated", F.lit(False)) if "truncated" in files.columns else F.lit(False)
-    return files.select("path", "content", cut.alias("truncated")).mapInPandas(run, "path string, content binary, truncated boolean")
+    return files.select("path", "content", cut.alias("truncated")).mapInArrow(run, "path string, content binary, truncated boolean")
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -185,8 +200,11 @@ def extract(files: DataFrame, extractors: list[tuple[str, tuple[str, ...], Calla
     of both stays. Failures give null. ``truncated`` is that of the files, false if they have none.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    text_map = pa.map_(pa.string(), pa.string())
+    schema = pa.schema([*((n, pa.string()) for n in ("path", "text", "extractor", "relations")), ("metadata", text_map), ("truncated", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             texts, names, found, notes = [], [], [], []
             for path, data in zip(batch["path"], batch["content"]):
                 ext = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
@@ -206,11 +224,12 @@ def extract(files: DataFrame, extractors: list[tuple[str, tuple[str, ...], Calla
                 texts.append(text)
                 names.append(name)
                 found.append(json.dumps(relations) if relations else "")
-                notes.append({str(k): v if isinstance(v, str) else json.dumps(v) for k, v in note.items()})
-            yield batch[["path", "truncated"]].assign(text=texts, extractor=names, relations=found, metadata=notes)
+                notes.append(list({str(k): v if isinstance(v, str) else json.dumps(v) for k, v in note.items()}.items()))
+            columns = [batch["path"].tolist(), texts, names, found, notes, batch["truncated"].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     cut = F.coalesce("truncated", F.lit(False)) if "truncated" in files.columns else F.lit(False)
-    return files.select("path", "content", cut.alias("truncated")).mapInPandas(run, "path string, text string, extractor string, relations string, metadata map<string,string>, truncated boolean")
+    return files.select("path", "content", cut.alias("truncated")).mapInArrow(run, "path string, text string, extractor string, relations string, metadata map<string,string>, truncated boolean")
 
 
 def frame_times(n, interval, most: int | None = None):
