@@ -89,21 +89,17 @@ def semantic_chunks(texts: DataFrame, embed: Callable[[list[str]], list[list[flo
     Texts of few sentences, and those whose embedding fails, are cut by words.
     """
 
-    @F.pandas_udf("array<string>")
-    def grouped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in parts:
-            out = []
-            for sentences in batch:
-                try:
-                    own = list(sentences)
-                    vectors = embed(own) if len(own) > FEW else []
-                    out.append(sentence_groups(own, vectors, threshold, max_words) if own and len(vectors) == len(own) else None)
-                except Exception:  # noqa: BLE001 - an injected model may fail in any way
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
-
+    def grouped(sentences: list[str]) -> list[str] | None:
+        try:
+            vectors = embed(sentences) if len(sentences) > FEW else []
+            return sentence_groups(sentences, vectors, threshold, max_words) if sentences and len(vectors) == len(sentences) else None
+        except Exception:  # noqa: BLE001 - an injected model may fail in any way
+            return None
+
+    # the model takes one text's sentences at a time, so rows come in hundreds to a plain function: an Arrow batch of whole texts would be held several times over
+    by_meaning = F.udf(grouped, "array<string>", useArrow=False)
     size, overlap = T.chunk_params(max_words, 0)
-    own = trimmed(texts).withColumn("_by_meaning", grouped(T.sentences(F.col("text"))))
+    own = trimmed(texts).withColumn("_by_meaning", by_meaning(T.sentences(F.col("text"))))
     cut = F.coalesce("_by_meaning", T.smart_chunk(T.fields(F.col("text")), size, overlap))
     return own.select(*(c for c in texts.columns if c != "text"), F.posexplode(cut).alias("chunk", "text")).where(F.trim("text") != "")
 
