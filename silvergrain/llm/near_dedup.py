@@ -56,36 +56,73 @@ CLASS = -math.log(SIMILAR - 1e-6)
 PICKED = 1_000_000
 #: Documents worked on at a time.
 CHUNK = 256
+#: Bytes of a word up to which it is hashed along with all others; longer ones are hashed each.
+LONG = 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: Masks of the first bytes, 0 to 8, of a block.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x * _ODD[0]
-    x ^= x >> np.uint64(32)
-    x *= _ODD[1]
-    x ^= x >> np.uint64(29)
+    _mix_on(x, np.empty_like(x))
     return x
 
 
+def _mix_on(x: np.ndarray, room: np.ndarray) -> None:
+    """The steps of ``_mixed`` after its first product, in place; room: an array like x."""
+    x ^= np.right_shift(x, np.uint64(32), out=room)
+    x *= _ODD[1]
+    x ^= np.right_shift(x, np.uint64(29), out=room)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each of these large strings. All words at once, 8 bytes a step: a Python call a word costs more than all else here."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    _, offsets, raw = words.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    start, size = offsets[:-1], np.diff(offsets)
+    data = np.zeros(int(offsets[-1]) + 8, dtype=np.uint8)
+    if offsets[-1]:
+        data[:-8] = np.frombuffer(raw, dtype=np.uint8, count=int(offsets[-1]))
+    blocks = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))  # the 8 bytes from each place on
+    out = _mixed(_mixed(size.astype(np.uint64)) ^ (blocks[start] & _BYTES[np.minimum(size, 8)]))
+    left, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(left):
+        out[left] = _mixed(out[left] ^ (blocks[start[left] + done] & _BYTES[np.minimum(size[left] - done, 8)]))
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return out
+
+
 def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text: the distinct hashes of its shingles, sorted, and their counts."""
     cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(texts, pa.large_string())))
-    coded = cut.values.dictionary_encode()
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    stream = words[coded.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.uint64)
+    stream = word_hashes(cut.values)
     n = len(stream) - SHINGLE + 1
     run = _mixed(sum(stream[i : n + i] * _ODD[i] for i in range(SHINGLE))) if n > 0 else stream[:0]
-    offsets, out, none = cut.offsets.to_numpy().tolist(), [], np.zeros(0, dtype=np.uint64)
+    offsets, found, none = cut.offsets.to_numpy().tolist(), [], np.zeros(0, dtype=np.uint64)
     for text, a, b in zip(texts, offsets[:-1], offsets[1:]):
         if not text.strip():
             own = none
         elif b - a < SHINGLE:
             own = _mixed(sum((stream[a + i : a + i + 1] * _ODD[i] for i in range(b - a)), np.array([b - a], dtype=np.uint64)))
         else:
-            own = run[a : b - SHINGLE + 1]
-        out.append(np.unique(own, return_counts=True))
-    return out
+            own = np.sort(run[a : b - SHINGLE + 1])
+        found.append(own)
+    # of all texts at once: where a value differs from the one before it, or a text begins
+    ends = np.cumsum([len(own) for own in found], dtype=np.int64)
+    every = np.concatenate([none, *found])
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = every[1:] != every[:-1]
+    new[ends[ends < len(every)]] = True
+    at = np.flatnonzero(new)
+    hashed, counts, ends = every[at], np.diff(at, append=len(every)), np.searchsorted(at, ends).tolist()
+    return [(hashed[a:b], counts[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
 
 
 class Weights:
@@ -132,6 +169,7 @@ class Sampler:
         self.r = _gamma_quantiles(1 << 16)
         self.ln_c = np.log(self.r)
         self.beta = (np.arange(1 << 16) + 0.5) / (1 << 16)
+        self.beta_1 = self.beta - 1
         self.seeds = _mixed(np.arange(1, hashes + 1, dtype=np.uint64) * _ODD[4])
 
     def signatures(self, hashed: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -139,14 +177,23 @@ class Sampler:
         out = np.empty((len(self.seeds), len(starts)))
         other = np.flatnonzero(weight != 1)  # of weight 1, t is 0
         ln_w = np.log(weight[other])
+        # one set of arrays for all hashes: new ones would be taken from the system and given back at every step
+        mixed, room, at = np.empty_like(hashed), np.empty_like(hashed), np.empty(len(hashed), dtype=np.intp)
+        r, ln_a, ln_c = (np.empty(len(hashed)) for _ in range(3))
         for k, seed in enumerate(self.seeds):
-            draw = _mixed(hashed ^ seed).view(np.uint16).reshape(-1, 4)
-            r, beta, ln_c = self.r[draw[:, 0]], self.beta[draw[:, 1]], self.ln_c[draw[:, 2]]
+            np.bitwise_xor(hashed, seed, out=mixed)
+            mixed *= _ODD[0]
+            _mix_on(mixed, room)
+            draw = mixed.view(np.uint16).reshape(-1, 4)
+            for column, (drawn, into) in enumerate(((self.r, r), (self.beta_1, ln_a), (self.ln_c, ln_c))):
+                at[:] = draw[:, column]
+                np.take(drawn, at, out=into, mode="wrap")  # no place lies outside; this mode takes without a copy
             # ln c - r (t - beta) - r, the part without t first, so that equal (shingle, t) have equal bits whatever the weights
-            ln_a = ln_c + r * (beta - 1)
+            ln_a *= r
+            ln_a += ln_c
             if len(other):
                 ro = r[other]
-                ln_a[other] -= ro * np.floor(ln_w / ro + beta[other])
+                ln_a[other] -= ro * np.floor(ln_w / ro + self.beta[draw[other, 1]])
             out[k] = np.minimum.reduceat(ln_a, starts)
         return out
 

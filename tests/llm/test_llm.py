@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -491,6 +492,39 @@ def brute_classes(texts):
     return own
 
 
+def test_words_are_hashed_without_a_call_each(monkeypatch):
+    """Work in Python grew with the distinct words: now only words longer than 64 bytes are hashed one by one."""
+    calls, real = [], near_dedup.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(near_dedup.xxhash, "xxh3_64_intdigest", lambda x: calls.append(1) or real(x))
+    near_dedup.shingles([" ".join(f"w{i}x{j}" for j in range(100)) for i in range(30)] + ["a b c d " + "y" * 65])
+    assert len(calls) == 1
+
+
+def test_words_of_any_length_have_their_own_hash():
+    """Words that differ in one byte at any place, or in length only, beside others and alone."""
+    words = ["", *("a" * n for n in range(1, 140)), *("\0" * n for n in range(1, 140)), *("a" * i + "b" + "a" * (71 - i) for i in range(72)), *("a" * i + "b" + "a" * (15 - i) for i in range(16)), "é" * 4, "é" * 40]
+    found = near_dedup.word_hashes(pa.array(words, pa.large_string()))
+    assert len(set(found.tolist())) == len(words)
+    assert near_dedup.word_hashes(pa.array(words, pa.large_string())[100:200]).tolist() == found[100:200].tolist()
+    assert [near_dedup.word_hashes(pa.array([w], pa.large_string()))[0] for w in words] == found.tolist()
+    assert len(near_dedup.word_hashes(pa.array([], pa.large_string()))) == 0
+
+
+def test_shingles_are_runs_of_five_words_with_their_counts():
+    """Held against tuples of words: each hash stands for one tuple, in all texts."""
+    texts = ["", " ", "one", "one two", "two one", "a b c d e", "a b c d", "a b c d e f a b c d e", "\u2003a b\u00a0c d\te\n", " ".join("pq" * 30), "x" * 65 + " b c d " + "y" * 9, "", "a b c d " + "z" * 64, "é à ü ß ñ", "a b c d e " * 50, ""]
+    stands = {}
+    for text, (h, c) in zip(texts, near_dedup.shingles(texts), strict=True):
+        words = text.split()
+        want = {}
+        for i in range(max(len(words) - 4, 1) if words else 0):
+            want[tuple(words[i : i + 5])] = want.get(tuple(words[i : i + 5]), 0) + 1
+        alone = {near_dedup.shingles([" ".join(k)])[0][0].item(): k for k in want}
+        assert h.tolist() == sorted(h.tolist()) and {alone[x]: n for x, n in zip(h.tolist(), c.tolist())} == want
+        assert all(stands.setdefault(x, k) == k for x, k in alone.items())
+    assert len(set(stands.values())) == len(stands) and near_dedup.shingles([]) == []
+
+
 def test_near_dedup(spark):
     rnd = random.Random(6)
     words = lambda n: [f"w{rnd.randint(0, 5000)}" for _ in range(n)]
